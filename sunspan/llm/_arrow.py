@@ -58,13 +58,14 @@ def add_columns(
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    The setting is read from the session; where it is unset (local tests) it is set to a folder below the
-    warehouse, so that checkpoint() and the tables written here are in one place.
+    The setting is read from the session; where it is unset (local tests), a folder below the warehouse takes its
+    place and becomes the checkpoint folder of the context.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
