@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe
+from sunspan.llm import bpe, media, mixing, secrets, warc
+from sunspan.llm._arrow import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,102 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix_slot", "mix_pos", "mix_exact")
+
+
+ORACLES["op3_mixing"] = """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, coalesce('=' || source, '') AS key,
+           md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0') AS h
+    FROM documents),
+counted AS (SELECT key, count(*) AS n_rows, pow(CAST(count(*) AS DOUBLE), 0.5) AS weight FROM docs GROUP BY key),
+ideal AS (
+    SELECT *, round(weight / sum(weight) OVER () * (1000 - count(*) OVER ()), 6) AS exact FROM counted),
+ranked AS (
+    SELECT *, 1000 - count(*) OVER () - sum(floor(exact)) OVER () AS left_over,
+           row_number() OVER (ORDER BY exact - floor(exact) DESC, key) AS rank FROM ideal),
+shares AS (
+    SELECT key, n_rows, CAST(1 + floor(exact) + CASE WHEN rank <= left_over THEN 1 ELSE 0 END AS BIGINT) AS q,
+           row_number() OVER (ORDER BY key) AS i FROM ranked),
+lists AS (SELECT list(q ORDER BY i) AS qs FROM shares),
+cycle(t, done, j) AS (
+    SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists
+    UNION ALL
+    SELECT t + 1, list_transform(range(1, len(qs) + 1), lambda i: CAST(done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)), pick
+    FROM (SELECT t, done, qs,
+                 list_min(list_transform(
+                     list_filter(range(1, len(qs) + 1), lambda i: done[i] * 1000 < (t + 2) * qs[i]),
+                     lambda i: CAST(ceil((done[i] + 1) * 1000.0 / qs[i]) AS BIGINT) * 10000 + i)) % 10000 AS pick
+          FROM cycle, lists WHERE t < 999)),
+slots AS (SELECT s.key, s.q, s.n_rows, c.t AS slot, row_number() OVER (PARTITION BY c.j ORDER BY c.t) - 1 AS k
+          FROM cycle c JOIN shares s ON s.i = c.j WHERE c.t >= 0),
+first_empty AS (
+    SELECT min(floor(ceil(n_rows / 16.0) / q) * 1000 + slot) AS e FROM slots
+    WHERE k = CAST(ceil(n_rows / 16.0) AS BIGINT) % q),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, doc_id) - 1 AS number FROM docs),
+placed AS (
+    SELECT n.doc_id, n.source, CAST((n.number // 16) // s.q * 1000 + s.slot AS BIGINT) AS mix_slot,
+           CAST(n.number % 16 AS BIGINT) AS mix_pos
+    FROM numbered n JOIN slots s ON s.key = n.key AND s.k = (n.number // 16) % s.q)
+SELECT doc_id, source, mix_slot, mix_pos, mix_slot < e AS mix_exact FROM placed, first_empty
+"""
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, "text").drop("text")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.span_text("secret_spans", secrets.KINDS[:3]).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text("secret_spans").alias("spans"),
+    )
+
+
+@query
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = stored(media.store_text(docs, "text"), "media")
+    read = media.read_media(kept)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(
+            ";", F.concat(F.lit("frames="), F.size("frame_offsets")), F.concat(F.lit("samples="), "samples"), F.concat(F.lit("rate="), "sample_rate"),
+            F.concat(F.lit("crc_bad="), "crc_bad"), F.concat(F.lit("seek="), F.sha2(F.array_join(F.col("frame_offsets").cast("array<string>"), ",").cast("binary"), 256)),
+        ).alias("feature"),
+    )
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.page_digests(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(p.h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS UBIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS BIGINT), 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
