@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe, media, mixing, secrets, warc
+from sunspan.llm import bpe, media, mixing, secrets, substring, warc
 from sunspan.llm._arrow import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
        CASE WHEN p.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
 FROM p JOIN f ON p.html = f.html
 """
+
+
+@query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", k=13)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
