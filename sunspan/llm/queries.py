@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe, media, mixing, secrets, substring, warc
+from sunspan.llm import bpe, jaccard, media, mixing, secrets, substring, warc
 from sunspan.llm._arrow import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ FROM p JOIN f ON p.html = f.html
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", k=13)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_documents(table(spark, sf_dir, "documents"), "doc_id", "text", k=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
