@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe, jaccard, media, mixing, secrets, substring, warc
+from sunspan.llm import bpe, jaccard, media, mixing, quality, secrets, substring, toxicity, warc
 from sunspan.llm._arrow import shared_dir, stored
+from sunspan.llm._labels import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +148,19 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similar_documents(table(spark, sf_dir, "documents"), "doc_id", "text", k=5, percent=75)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", (3, 1))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", (5, 0))
+    scored = quality.score(docs, model).drop("text")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
