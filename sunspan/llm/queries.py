@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe, jaccard, media, mixing, quality, secrets, substring, toxicity, warc
+from sunspan.llm import bpe, embeddings, jaccard, media, mixing, quality, secrets, substring, toxicity, warc
 from sunspan.llm._arrow import shared_dir, stored
 from sunspan.llm._labels import held_out
 
@@ -164,3 +164,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", (5, 0))
     scored = quality.score(docs, model).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
+@query
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
