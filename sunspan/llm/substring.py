@@ -23,11 +23,11 @@ from sunspan.llm._arrow import slices
 from sunspan.llm._words import Words, sequence_hashes, sliding_min, word_hashes
 
 #: Bytes of text whose strings are packed together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Slots of the table of counts by which hot minimisers are found: its bitmap has 8 KB whatever the input.
 SLOTS = 1 << 16
 #: Words of the input for each bucket.
-BUCKET_WORDS = 1_500_000
+BUCKET_WORDS = 800_000
 #: A slot is hot when it holds more than this part of a bucket's fair share.
 HOT_SHARE = 0.125
 
@@ -89,7 +89,7 @@ def hot_slots(rows: DataFrame, k: int, m: int, partitions: int) -> tuple[bytes,
 
 def _pack(parts: dict[str, bytes]) -> bytes:
     head = b"".join(len(parts[x]).to_bytes(8, "little") for x in ("ids", "positions", "counts", "strings"))
-    return zstandard.ZstdCompressor(level=1).compress(head + parts["ids"] + parts["positions"] + parts["counts"] + parts["strings"])
+    return zstandard.ZstdCompressor(level=3).compress(head + parts["ids"] + parts["positions"] + parts["counts"] + parts["strings"])
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -173,12 +173,30 @@ def _split(hot_bits: bytes, buckets: int, k: int, m: int):
     return run
 
 
-def _runs_by_document(ids: np.ndarray, positions: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((positions, ids))
-    ids, pairs = ids[order], np.stack([positions[order], counts[order]], axis=1).astype("<i4")
-    cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, dtype=np.int64)
+def _by_target(ids: np.ndarray, positions: np.ndarray, counts: np.ndarray, targets: int) -> pa.RecordBatch:
+    """Runs of windows as one packed row for each target, the partition that gathers a document's runs."""
+    target = ids % targets
+    order = np.lexsort((positions, ids, target))
+    target, rows = target[order], np.stack([ids, positions.astype(np.int64), counts.astype(np.int64)], axis=1)[order]
+    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(ids) else np.empty(0, dtype=np.int64)
+    ends = np.append(cut[1:], len(target))
+    packed = [zstandard.ZstdCompressor(level=1).compress(rows[a:b].tobytes()) for a, b in zip(cut, ends, strict=True)]
+    return pa.RecordBatch.from_pydict({"target": pa.array(target[cut], pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packed runs of a target to one row for each document."""
+    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.int64).reshape(-1, 3) for b in batches for x in b.column("packed").to_pylist()]
+    if not rows:
+        return
+    every = np.concatenate(rows)
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    ids, pairs = every[:, 0], every[:, 1:].astype("<i4")
+    cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     ends = np.append(cut[1:], len(ids))
-    return pa.RecordBatch.from_pydict({"id": pa.array(ids[cut], pa.int64()), "runs": pa.array([pairs[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
+    for at in range(0, len(cut), 20_000):
+        some = list(zip(cut[at : at + 20_000], ends[at : at + 20_000], strict=True))
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cut[at : at + 20_000]], pa.int64()), "runs": pa.array([pairs[a:b].tobytes() for a, b in some], pa.binary())})
 
 
 def smallest_documents(strings: bytes, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +236,7 @@ def smallest_documents(strings: bytes, ids: np.ndarray, k: int) -> tuple[np.ndar
     return string[at], at - first_word[string[at]], found
 
 
-def _count(k: int):
+def _count(k: int, targets: int):
     """All blocks of a bucket to runs of windows that start in a smaller document too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +245,7 @@ def _count(k: int):
             for kind, block in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
                 i, p, c, s = _unpack(block)
                 if kind:
-                    yield _runs_by_document(i, p, c)
+                    yield _by_target(i, p, c, targets)
                 else:
                     ids.append(i)
                     positions.append(p)
@@ -254,21 +272,22 @@ def _count(k: int):
         which = np.repeat(np.arange(len(string)), n)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         place = places[begin[string[which]] + inner]
-        yield _runs_by_document(owner[string[which]], place + offset[which], length[which])
+        yield _by_target(owner[string[which]], place + offset[which], length[which], targets)
 
     return run
 
 
-def repeated_runs(df: DataFrame, id_col: str, text_col: str, k: int = 13, m: int = 4) -> DataFrame:
-    """id and runs (packed little-endian int32 pairs: first window, number of windows), some rows for each document."""
+def repeated_runs(df: DataFrame, id_col: str, text_col: str, k: int = 13, m: int = 3) -> DataFrame:
+    """id and runs (packed little-endian int32 pairs: first window, number of windows) of each document with repeats."""
     spark = df.sparkSession
     rows = _texts(df, id_col, text_col)
     hot, buckets = hot_slots(rows, k, m, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = rows.mapInArrow(_split(hot, buckets, k, m), "bucket int, kind int, block binary")
-    return blocks.repartitionById(buckets, "bucket").select("kind", "block").mapInArrow(_count(k), "id long, runs binary")
+    runs = blocks.repartitionById(buckets, "bucket").select("kind", "block").mapInArrow(_count(k, buckets), "target int, packed binary")
+    return runs.repartitionById(buckets, "target").select("packed").mapInArrow(_gather, "id long, runs binary")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 4, kept_col: str = "kept_text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, kept_col: str = "kept_text") -> DataFrame:
     """id, n_words, n_removed and ``kept_col``: the words no window of which starts in a document with a smaller id too.
 
     Kept words are joined by one space. A null text has no words and an empty result, as has an empty one; texts of
@@ -277,7 +296,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id have different texts, windows that repeat in one of them are removed at those places in all. Other columns are
     not passed on; an empty table stays empty.
     """
-    runs = repeated_runs(df, id_col, text_col, k, m).groupBy("id").agg(F.collect_list("runs").alias("runs"))  # of one document
+    runs = repeated_runs(df, id_col, text_col, k, m)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(runs, "id", "left")
     fields = [T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(kept_col, T.StringType())]
 
@@ -288,7 +307,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(words))
                 if packed:
-                    pairs = np.frombuffer(b"".join(packed), dtype="<i4").reshape(-1, 2)
+                    pairs = np.frombuffer(packed, dtype="<i4").reshape(-1, 2)
                     pairs = pairs[pairs[:, 0] + pairs[:, 1] + k - 1 <= len(words)]
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(edge, pairs[:, 0], 1)
