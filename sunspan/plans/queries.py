@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import relational  # noqa: F401
+from sunspan.operators import graph, kernels, layout, raster, relational  # noqa: F401
 from sunspan.operators._sql import OPERATORS, SqlOperator, ansi
 from sunspan.plans.bindings import BINDINGS, TABLES
 
@@ -38,9 +38,85 @@ def _oracle(op: SqlOperator) -> str:
     return (f"WITH {', '.join(ctes)}\n" if ctes else "") + body if not body.lstrip().upper().startswith("WITH") else f"WITH {', '.join(ctes)}, {body.lstrip()[4:]}" if ctes else body
 
 
+def _ctes(*names: str) -> str:
+    return ", ".join(f"{k} AS ({DUCK_ONLY.get(k) or ansi(BINDINGS[k])})" for k in names)
+
+
+def _links(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    return spark.sql(text, **{n: bind(spark, sf_dir, n) for n in names})
+
+
+def g1_select_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = bind(spark, sf_dir, "faces")
+    return graph.select_connected(faces, relational.adjacency(faces=faces))
+
+
+def g2_coplanar_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(relational.coplanar(faces=bind(spark, sf_dir, "faces"))).withColumnRenamed("id", "face_id")
+
+
+def g3_grouped_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = {"faces": bind(spark, sf_dir, "faces"), "numbers": bind(spark, sf_dir, "numbers")}
+    return graph.grouped_panels(layout.panels(**inputs), layout.module_adjacency(**inputs))
+
+
+def g4_tileset_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.walk_tree(_links(spark, sf_dir, TREE, "orders"), 1)
+
+
+def g5_sibling_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = bind(spark, sf_dir, "faces").where("building_id < 3000")
+    return graph.expand_siblings(faces, faces.where("building_id = 100").select("building_id"))
+
+
+def g6_cell_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_links(spark, sf_dir, raster.CELL_LINKS, "cells", "numbers")).withColumnRenamed("id", "cell")
+
+
+def g7_merge_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.merge_detections(bind(spark, sf_dir, "detections"))
+
+
+def g8_deduplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.deduplicate(bind(spark, sf_dir, "detections"))
+
+
+def a1_union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.union_area(bind(spark, sf_dir, "faces"))
+
+
+def a4_fit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.fit_plane(raster.clean_raster_input(bind(spark, sf_dir, "cells")))
+
+
+def a26_roof_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.group_triangles(bind(spark, sf_dir, "vectors"))
+
+
+def p22_bounded_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.simplify_rings(bind(spark, sf_dir, "vectors"))
+
+
+def p5_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.alignments(bind(spark, sf_dir, "vectors"))
+
+
+TREE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey = 1 THEN NULL ELSE CAST(floor(o_orderkey / 3e0) AS BIGINT) END AS parent, o_orderkey % 7 <> 5 AS covers FROM {orders}"""
+
+CODE = {f.__name__: f for f in (g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
+
+REACH = """reach(id, other) AS (SELECT a, a FROM links UNION SELECT b, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other)"""
+CODE_SQL = {
+    "g2_coplanar_components": f"WITH RECURSIVE {_ctes('faces')}, links AS ({ansi(relational.coplanar.text).format(faces='faces')}), {REACH} SELECT id AS face_id, min(other) AS component FROM reach GROUP BY id",
+    "g4_tileset_walk": f"WITH RECURSIVE n AS ({TREE.format(orders='orders')}), w(id, level) AS (SELECT id, 0 FROM n WHERE id = 1 AND covers UNION ALL SELECT n.id, w.level + 1 FROM n JOIN w ON n.parent = w.id WHERE n.covers AND w.level < 24) SELECT id, level FROM w",
+    "g6_cell_components": f"WITH RECURSIVE {_ctes('cells', 'numbers')}, links AS ({ansi(raster.CELL_LINKS).format(cells='cells', numbers='numbers')}), {REACH} SELECT id AS cell, min(other) AS component FROM reach GROUP BY id",
+    "a1_union_area": f"WITH {_ctes('faces', 'numbers')} SELECT building_id, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT f.building_id, c.n AS cx, r.n AS cy FROM faces f CROSS JOIN numbers c CROSS JOIN numbers r WHERE c.n + 0.5e0 > f.x0 AND c.n + 0.5e0 < f.x1 AND r.n + 0.5e0 > f.y0 AND r.n + 0.5e0 < f.y1 AND r.n < 16) t GROUP BY building_id",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(op) for name, op in OPERATORS.items()}
+    return {name: _query(op) for name, op in OPERATORS.items()} | CODE
 
 
 def oracles() -> dict[str, str]:
-    return {name: _oracle(op) for name, op in OPERATORS.items()}
+    return {name: _oracle(op) for name, op in OPERATORS.items()} | CODE_SQL
