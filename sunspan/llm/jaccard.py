@@ -51,8 +51,8 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Token bitmap of two to four bits for each shingle; a power of two of bits, 64 at least."""
-    width = max(64, 1 << int(2 * len(s)).bit_length())
+    """Token bitmap of four to eight bits for each shingle; a power of two of bits, 64 at least."""
+    width = max(64, 1 << int(4 * len(s)).bit_length())
     bits = np.zeros(width, dtype=bool)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -162,30 +162,51 @@ class SignatureTree:
         return possible & ((group_a != group_b) | (group_a < 0))
 
 
-def _folded(bitmaps: list[bytes]) -> np.ndarray:
-    """Bitmaps at the least width among them: bits that are equal modulo it fall together."""
-    width = min(map(len, bitmaps))
+def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps at a width in bytes: bits that are equal modulo it fall together."""
     out = np.zeros((len(bitmaps), width), dtype=np.uint8)
     for i, x in enumerate(bitmaps):
         out[i] = np.bitwise_or.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, width), axis=0)
-    return np.ascontiguousarray(out).view(np.uint64)
+    return out.view(np.uint64)
+
+
+def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Of rows (id, size, bitmap, component, block), pairs of ids that may be linked: of one block, or of two different.
+
+    Sizes of linked sets are within 4 to 3, so their bitmaps have one width or one that is twice the other; there is a
+    tree for each width (and block).
+    """
+    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[3], r[1], r[0]))
+    apart = len({r[4] for r in rows}) > 1
+    by: dict[tuple[int, int], list[tuple]] = {}
+    for r in rows:
+        by.setdefault((len(r[2]), r[4]), []).append(r)
+
+    def tree(part: list[tuple], width: int) -> tuple[np.ndarray, SignatureTree]:
+        ids, sizes, groups = (np.array([r[i] for r in part], dtype=np.int64) for i in (0, 1, 3))
+        return ids, SignatureTree(_folded([r[2] for r in part], width), sizes, groups)
+
+    out = []
+    for (width, block), part in by.items():
+        ids, own = tree(part, width)
+        for (wider, other), others in by.items():
+            if wider not in (width, 2 * width) or (apart and other == block) or (wider == width and other < block):
+                continue
+            if wider == width and other == block:
+                x, y = own.pairs(own, percent, True)
+                theirs = ids
+            else:
+                theirs, second = tree(others, width)
+                x, y = own.pairs(second, percent, False)
+            out += [(min(p, q), max(p, q)) for p, q in zip(ids[x].tolist(), theirs[y].tolist(), strict=True)]
+    return out
 
 
 def _candidates(percent: int):
     """Rows sorted by key, left and right block to pairs that trees cannot rule out."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[3], r[1], r[0]))
-        bits = _folded([r[2] for r in rows])
-        ids, sizes, groups, blocks = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 3, 4))
-        if blocks.min() == blocks.max():
-            tree = SignatureTree(bits, sizes, groups)
-            x, y = tree.pairs(tree, percent, True)
-        else:
-            left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks != blocks.min())
-            x, y = SignatureTree(bits[left], sizes[left], groups[left]).pairs(SignatureTree(bits[right], sizes[right], groups[right]), percent, False)
-            x, y = left[x], right[y]
-        return [(int(min(p, q)), int(max(p, q))) for p, q in zip(ids[x], ids[y], strict=True)]
+        return tree_pairs(rows, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
