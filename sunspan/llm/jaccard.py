@@ -5,8 +5,9 @@ its smallest document. The hash range of shingles is cut into BINS bins; the lea
 gives the keys by which classes meet: two sets of similarity 0.75 share none of the 80 keys with a probability below
 1e-13, whatever their sizes. Keys only bring classes together; links are decided by the sets themselves:
 
-1. Each class is compared with the smallest class that it shares a key with, which joins up groups of near copies of
-   any size with one comparison for each member.
+1. Each class is compared with the class that leads most where they share a key (the one whose keys most others have,
+   as the original of many copies does), and then with the leads of its other keys, unless links join them already.
+   This joins up groups of near copies of any size with a few comparisons for each member.
 2. Where a key still spans several components, its classes are put in a signature tree. Its nodes hold the OR of token
    bitmaps, the range of set sizes and the component, if there is but one. Pairs of nodes are walked down together and
    left where sizes, components or the largest overlap that the bitmaps allow rule a link out. What remains is compared.
@@ -229,6 +230,12 @@ def _candidates(percent: int):
     return run
 
 
+def _pairs(lead: str, rows: DataFrame) -> DataFrame:
+    """(a, b) with a < b of each row's id and its lead."""
+    other = -F.col(f"{lead}.minus")
+    return rows.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose documents are linked."""
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -258,10 +265,23 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = owned.where("id = class_id and n > 0").select("id")
 
     met = sketches.select("id", "keys").join(heads, "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    shared = met.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
     met = stored(met.join(shared, "key"), "met")
-    first = met.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    near = stored(_verified(first, texts, k, percent).distinct(), "near")
+    # a class that many others are copies of has the keys that most of them kept: it leads where it takes part
+    weight = met.groupBy("id").agg(F.sum("members").alias("weight"))
+    weighed = stored(met.select("key", "id").join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")), "weighed")
+    leads = weighed.groupBy("key").agg(F.max("rank").alias("lead"))
+    led = stored(weighed.join(leads, "key").select("key", "id", "lead"), "led")
+    first = led.where(F.col("id") != -F.col("lead.minus")).groupBy("id").agg(F.max("lead").alias("lead"))
+    near = stored(_verified(_pairs("lead", first), texts, k, percent).distinct(), "near")
+    joined = components(near)
+    # once more with the leads of all keys that still span several components, a pair for each member at most
+    other = joined.withColumnsRenamed({"id": "b", "component": "theirs"})
+    again = _pairs("lead", led.where(F.col("id") != -F.col("lead.minus")).select("id", "lead").distinct())
+    again = again.join(joined.withColumnsRenamed({"id": "a", "component": "mine"}), "a", "left").join(other, "b", "left")
+    again = again.where(F.coalesce("mine", "a") != F.coalesce("theirs", "b")).select("a", "b")
+    again = again.join(stored(_pairs("lead", first), "compared"), ["a", "b"], "left_anti")
+    near = stored(near.unionByName(_verified(again, texts, k, percent)).distinct(), "near")
     joined = components(near)
 
     placed = met.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
