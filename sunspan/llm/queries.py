@@ -169,3 +169,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
+
+
+WORDS_SQL = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op2_jaccard"] = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, {WORDS_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS h FROM grams GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM sets),
+heads AS (SELECT g.doc_id, g.g FROM grams g JOIN classes c ON c.doc_id = g.doc_id AND c.class_id = c.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM heads a JOIN heads b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT a, a FROM ways UNION SELECT r.id, l.b FROM reach r JOIN ways l ON l.a = r.other),
+least_of AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component_id, c.class_id, d.doc_id) AS component_id, coalesce(c.class_id, d.doc_id) AS class_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN classes c ON c.doc_id = d.doc_id LEFT JOIN least_of l ON l.id = c.class_id
+"""
+
+ORACLES["op9_substring"] = f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format("text")} AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13) t),
+firsts AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT x.doc_id, x.i + k.k AS i FROM windows x JOIN firsts f ON f.s = x.s AND f.first_id < x.doc_id CROSS JOIN (SELECT range AS k FROM range(13)) k),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+marked AS (SELECT x.doc_id, x.word, x.i, g.i IS NOT NULL AS removed FROM words x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i),
+kept AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(CASE WHEN removed THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+                coalesce(string_agg(CASE WHEN removed THEN NULL ELSE word END, ' ' ORDER BY i), '') AS text FROM marked GROUP BY doc_id)
+SELECT w.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
