@@ -229,7 +229,7 @@ def test_oracles_agree(spark, tiny):
     from sunspan.llm.queries import ORACLES, QUERIES
 
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, tiny)
