@@ -152,6 +152,6 @@ triangle_normals = operator(
        FROM (SELECT id, b * 1e0 - tilt / 10e0 * height / 450e0 AS cx, tilt / 10e0 * 2e0 - a * 1e0 AS cy, a * height / 450e0 - b * 2e0 AS cz FROM {vectors}) t""",
 )
 panels_3d = operator("p27_panels_3d", "faces", "SELECT face_id, CASE WHEN anchor <> 'projected_2d' THEN bround(z + tan(radians(pitch)) * (x1 - x0), 6) END AS corner_z, bround(cos(radians(pitch)), 9) AS normal_z FROM {faces}")
-row_mask = operator("p28_facet_mask", "faces numbers", "SELECT face_id, c.n AS col_no, r.n AS row_no FROM {faces} CROSS JOIN {numbers} c CROSS JOIN {numbers} r WHERE part_no = 1 AND building_id % 50 = 0 AND c.n < 24 AND r.n < 24 AND c.n * 0.5e0 + 0.25e0 > x0 AND c.n * 0.5e0 + 0.25e0 < x1 AND r.n * 0.5e0 + 0.25e0 > y0 AND r.n * 0.5e0 + 0.25e0 < y1")
-boundary_points = operator("p29_boundary_points", "faces numbers", "SELECT face_id, CAST(n AS BIGINT) AS k, bround(CASE WHEN along < w THEN x0 + along WHEN along < w + h THEN x1 WHEN along < 2 * w + h THEN x1 - (along - w - h) ELSE x0 END, 6) AS x, bround(CASE WHEN along < w THEN y0 WHEN along < w + h THEN y0 + (along - w) WHEN along < 2 * w + h THEN y1 ELSE y1 - (along - 2 * w - h) END, 6) AS y FROM (SELECT f.*, n, n * 2 * (w + h) / 32e0 AS along FROM {faces} f CROSS JOIN {numbers} WHERE n < 32 AND part_no = 1) t")
+row_mask = operator("p28_facet_mask", "faces", "SELECT face_id, col_no, row_no FROM {faces} f EACH(col_no, CAST(x0 * 2 AS BIGINT), CAST(x1 * 2 AS BIGINT) - 1) EACH(row_no, CAST(y0 * 2 AS BIGINT), CAST(y1 * 2 AS BIGINT) - 1) WHERE part_no = 1")
+boundary_points = operator("p29_boundary_points", "faces", "SELECT face_id, CAST(n AS BIGINT) AS k, bround(CASE WHEN along < w THEN x0 + along WHEN along < w + h THEN x1 WHEN along < 2 * w + h THEN x1 - (along - w - h) ELSE x0 END, 6) AS x, bround(CASE WHEN along < w THEN y0 WHEN along < w + h THEN y0 + (along - w) WHEN along < 2 * w + h THEN y1 ELSE y1 - (along - 2 * w - h) END, 6) AS y FROM (SELECT *, n * 2 * (w + h) / 32e0 AS along FROM {faces} f EACH(n, CAST(0 AS BIGINT), CAST(31 AS BIGINT))) t")
 texture = operator("p31_channels", "vectors", "SELECT id, b8 - r8 AS blueness, bround((r8 + g8 + b8) / 3e0, 6) AS grey FROM (SELECT id, id % 256 AS r8, (id * 3) % 256 AS g8, (id * 7) % 256 AS b8 FROM {vectors}) t")

@@ -17,6 +17,7 @@ OPERATORS: dict[str, SqlOperator] = {}
 
 def ansi(text: str) -> str:
     """A shared text in DuckDB's spelling."""
+    text = _each(text, "CROSS JOIN unnest(range({1}, ({2}) + 1)) _{0}({0})")
     text = _wrapped(text, "bround(", "(0e0 + round_even(")  # zero has no sign in Spark's
     for spark, duck in (("percentile(", "quantile_cont("), ("format_string(", "printf("), ("regexp_like(", "regexp_matches(")):
         text = re.sub(r"\b" + re.escape(spark), duck, text)
@@ -26,6 +27,28 @@ def ansi(text: str) -> str:
     return text
 
 
+def _each(text: str, form: str) -> str:
+    """EACH(x, lo, hi), a row for each whole number from lo to hi (none if lo is greater), in an engine's form."""
+    at = 0
+    while (at := text.find("EACH(", at)) >= 0:
+        depth, end, cuts = 1, at + 5, [at + 5]
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            if depth == 1 and text[end] == ",":
+                cuts.append(end + 1)
+            end += 1
+        cuts.append(end)
+        parts = [text[a : b - 1].strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+        made = form.format(*parts)
+        text = text[:at] + made + text[end:]
+        at += len(made)
+    return text
+
+
+def spark_text(text: str) -> str:
+    return _each(text, "LATERAL VIEW explode(if({1} <= {2}, sequence({1}, {2}), cast(array() AS array<bigint>))) _{0} AS {0}")
+
+
 def _wrapped(text: str, name: str, other: str) -> str:
     """Calls of ``name`` as calls of ``other``, which opens one more parenthesis."""
     at = 0
@@ -52,7 +75,7 @@ class SqlOperator:
         if missing:
             raise TypeError(f"{self.name} needs {sorted(missing)}")
         spark = next(iter(frames.values())).sparkSession
-        return spark.sql(self.text, **{k: frames[k] for k in self.inputs})
+        return spark.sql(spark_text(self.text), **{k: frames[k] for k in self.inputs})
 
     def sql(self) -> str:
         names = {k: k for k in self.inputs}

@@ -1,35 +1,50 @@
-"""Module packing: every layout of the grid of orientations and offsets is counted, and the first of the best wins."""
+"""Module packing: every layout of the grid of orientations and offsets is counted, and the first of the best wins.
+
+A module is a column and a row of its lattice, and it is blocked where its column and its row both meet the obstacle.
+So columns and rows are counted apart, and a layout's modules are columns times rows less blocked columns times blocked
+rows: no candidate module is made before the layout is chosen.
+"""
 
 from __future__ import annotations
 
 from sunspan.operators._sql import operator
 from sunspan.operators.relational import ASSESSED
 
-USABLE = "SELECT face_id, building_id, part_no, x0 + 0.3e0 AS x0, y0 + 0.3e0 AS y0, x1 - 0.3e0 AS x1, y1 - 0.3e0 AS y1, irradiation, CASE WHEN pk % 3 = 0 THEN x0 + 2e0 END AS ox, CASE WHEN pk % 3 = 0 THEN y0 + 1e0 END AS oy FROM {faces} WHERE building_id % 20 = 0"
-LAYOUTS = """SELECT o.n AS orientation, ax.n * 0.25e0 AS fx, ay.n * 0.25e0 AS fy, o.n * 16 + ay.n * 4 + ax.n AS ord,
-                    CASE o.n WHEN 0 THEN 1.134e0 ELSE 1.762e0 END AS mw, CASE o.n WHEN 0 THEN 1.762e0 ELSE 1.134e0 END AS mh
-             FROM {numbers} o CROSS JOIN {numbers} ax CROSS JOIN {numbers} ay WHERE o.n < 2 AND ax.n < 4 AND ay.n < 4"""
-PLACED = f"""
-SELECT u.face_id, l.ord, l.orientation, i.n AS i, j.n AS j,
-       u.x0 + l.fx * (l.mw + 0.02e0) + i.n * (l.mw + 0.02e0) AS px, u.y0 + l.fy * (l.mh + 0.02e0) + j.n * (l.mh + 0.02e0) AS py, l.mw, l.mh, u.ox, u.oy, u.x1, u.y1
-FROM ({USABLE}) u CROSS JOIN ({LAYOUTS}) l CROSS JOIN {{numbers}} i CROSS JOIN {{numbers}} j
-WHERE i.n < 12 AND j.n < 10 AND u.x0 + l.fx * (l.mw + 0.02e0) + i.n * (l.mw + 0.02e0) + l.mw <= u.x1 + 1e-9 AND u.y0 + l.fy * (l.mh + 0.02e0) + j.n * (l.mh + 0.02e0) + l.mh <= u.y1 + 1e-9"""
-KEPT = f"SELECT * FROM ({PLACED}) p WHERE ox IS NULL OR px + mw <= ox - 0.4e0 OR px >= ox + 1.4e0 OR py + mh <= oy - 0.4e0 OR py >= oy + 1.4e0"
+USABLE = "SELECT face_id, building_id, part_no, x0 + 0.3e0 AS x0, y0 + 0.3e0 AS y0, x1 - 0.3e0 AS x1, y1 - 0.3e0 AS y1, irradiation, CASE WHEN pk % 3 = 0 THEN x0 + 2e0 END AS ox, CASE WHEN pk % 3 = 0 THEN y0 + 1e0 END AS oy FROM {faces}"
+WIDE, HIGH = "CASE o WHEN 0 THEN 1.134e0 ELSE 1.762e0 END", "CASE o WHEN 0 THEN 1.762e0 ELSE 1.134e0 END"
+
+
+def _axis(low: str, high: str, size: str, obstacle: str) -> str:
+    """Positions along one axis: for each orientation o and offset f, lattice place i, and whether the obstacle is met."""
+    return f"""SELECT face_id, o, f, i, place, NOT ({obstacle} IS NULL OR place + size <= {obstacle} - 0.4e0 OR place >= {obstacle} + 1.4e0) AS met FROM (
+        SELECT *, lo + f * 0.25e0 * (size + 0.02e0) + i * (size + 0.02e0) AS place FROM (
+            SELECT face_id, o, f, i, {size} AS size, {low} AS lo, {high} AS hi, {obstacle} FROM ({USABLE}) u EACH(o, CAST(0 AS BIGINT), CAST(1 AS BIGINT)) EACH(f, CAST(0 AS BIGINT), CAST(3 AS BIGINT))
+            EACH(i, CAST(0 AS BIGINT), CAST(floor(({high} - {low}) / 1.154e0) AS BIGINT))) a) b
+        WHERE place + size <= hi + 1e-9"""
+
+
+COLUMNS, ROWS = _axis("x0", "x1", WIDE, "ox"), _axis("y0", "y1", HIGH, "oy")
+COUNTS = "SELECT face_id, o, f, count(*) AS n, sum(CASE WHEN met THEN 1 ELSE 0 END) AS met FROM ({0}) p GROUP BY face_id, o, f"
 BEST = f"""
-SELECT face_id, ord, orientation, panels FROM (
-    SELECT face_id, ord, orientation, panels, row_number() OVER (PARTITION BY face_id ORDER BY panels DESC, ord) AS rn
-    FROM (SELECT face_id, ord, orientation, CAST(count(*) AS BIGINT) AS panels FROM ({KEPT}) k GROUP BY face_id, ord, orientation) c) r WHERE rn = 1"""
-optimise = operator("k2_optimise_panels", "faces numbers", f"SELECT face_id, CASE orientation WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation, CAST(ord % 16 AS BIGINT) AS layout, panels FROM ({BEST}) b")
-panels = operator("k2_panels", "faces numbers", f"SELECT k.face_id, k.i, k.j, bround(k.px, 4) AS x, bround(k.py, 4) AS y FROM ({KEPT}) k JOIN ({BEST}) b ON b.face_id = k.face_id AND b.ord = k.ord")
+SELECT face_id, o, fx, fy, ord, panels FROM (
+    SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY panels DESC, ord) AS rn FROM (
+        SELECT c.face_id, c.o, c.f AS fx, r.f AS fy, c.o * 16 + r.f * 4 + c.f AS ord, CAST(c.n * r.n - c.met * r.met AS BIGINT) AS panels
+        FROM ({COUNTS.format(COLUMNS)}) c JOIN ({COUNTS.format(ROWS)}) r ON r.face_id = c.face_id AND r.o = c.o) l WHERE panels > 0) w WHERE rn = 1"""
+PANELS = f"""
+SELECT b.face_id, c.i AS i, r.i AS j, c.place AS px, r.place AS py, CASE b.o WHEN 0 THEN 1.134e0 ELSE 1.762e0 END AS mw, CASE b.o WHEN 0 THEN 1.762e0 ELSE 1.134e0 END AS mh
+FROM ({BEST}) b JOIN ({COLUMNS}) c ON c.face_id = b.face_id AND c.o = b.o AND c.f = b.fx JOIN ({ROWS}) r ON r.face_id = b.face_id AND r.o = b.o AND r.f = b.fy
+WHERE NOT (c.met AND r.met)"""
+optimise = operator("k2_optimise_panels", "faces", f"SELECT face_id, CASE o WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation, CAST(ord % 16 AS BIGINT) AS layout, panels FROM ({BEST}) b")
+panels = operator("k2_panels", "faces", f"SELECT face_id, i, j, bround(px, 4) AS x, bround(py, 4) AS y FROM ({PANELS}) p")
 module_adjacency = operator(
-    "j3_module_adjacency", "faces numbers",
-    f"""SELECT a.face_id, a.i AS ai, a.j AS aj, b.i AS bi, b.j AS bj FROM (SELECT k.* FROM ({KEPT}) k JOIN ({BEST}) b ON b.face_id = k.face_id AND b.ord = k.ord) a
-        CROSS JOIN (SELECT x.n - 1 AS di, y.n - 1 AS dj FROM {{numbers}} x CROSS JOIN {{numbers}} y WHERE x.n < 3 AND y.n < 3) o
-        JOIN (SELECT k.* FROM ({KEPT}) k JOIN ({BEST}) b ON b.face_id = k.face_id AND b.ord = k.ord) b ON b.face_id = a.face_id AND b.i = a.i + o.di AND b.j = a.j + o.dj
+    "j3_module_adjacency", "faces",
+    f"""SELECT a.face_id, a.i AS ai, a.j AS aj, b.i AS bi, b.j AS bj FROM (
+            SELECT *, i + CAST(floor(s / 3e0) AS BIGINT) - 1 AS ni, j + s % 3 - 1 AS nj FROM ({PANELS}) p EACH(s, CAST(0 AS BIGINT), CAST(8 AS BIGINT))) a
+        JOIN ({PANELS}) b ON b.face_id = a.face_id AND b.i = a.ni AND b.j = a.nj
         WHERE a.i * 100 + a.j < b.i * 100 + b.j AND sqrt(pow(greatest(0e0, abs(a.px - b.px) - a.mw), 2) + pow(greatest(0e0, abs(a.py - b.py) - a.mh), 2)) <= 0.02e0 + 0.05e0 + 1e-9""",
 )
 demand = operator(
-    "k7_demand_allocation", "faces numbers",
+    "k7_demand_allocation", "faces",
     f"""SELECT building_id, face_id, wanted FROM (
         SELECT building_id, face_id, CAST(greatest(0, least(panels, needed - coalesce(sum(panels) OVER (PARTITION BY building_id ORDER BY irradiation DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS wanted
         FROM (SELECT f.building_id, f.face_id, f.part_no, f.irradiation, b.panels, CAST(ceil(4000e0 / (0.45e0 * f.irradiation * 0.8e0)) AS BIGINT) AS needed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from sunspan.operators._sql import operator
 from sunspan.operators.relational import CLEAN
 
-RESIDUAL = f"SELECT tile_id, row_no, col_no, {CLEAN} - 0.15e0 * col_no - 500e0 AS residual FROM {{cells}} WHERE tile_id < 40"
+RESIDUAL = f"SELECT tile_id, row_no, col_no, {CLEAN} - 0.15e0 * col_no - 500e0 AS residual FROM {{cells}}"
 RAISED = f"SELECT tile_id, row_no, col_no FROM ({RESIDUAL}) r WHERE residual > 0.35e0"
 OFFSETS = "SELECT a.n - 1 AS dr, b.n - 1 AS dc FROM {numbers} a CROSS JOIN {numbers} b WHERE a.n < 3 AND b.n < 3"
 DILATED = f"SELECT DISTINCT r.tile_id, r.row_no + o.dr AS row_no, r.col_no + o.dc AS col_no FROM ({RAISED}) r CROSS JOIN ({OFFSETS}) o"
@@ -20,7 +20,7 @@ raised_cells = operator("i1_raised_cells", "cells", f"SELECT * FROM ({RAISED}) r
 closed_cells = operator("i1_closed_obstacles", "cells numbers", f"SELECT * FROM ({CLOSED}) c")
 core_cells = operator(
     "i2_core_cells", "cells numbers",
-    f"""SELECT d.tile_id, d.row_no, d.col_no FROM (SELECT tile_id, row_no, col_no FROM {{cells}} WHERE z IS NOT NULL AND tile_id < 40) d CROSS JOIN ({OFFSETS}) o
+    f"""SELECT d.tile_id, d.row_no, d.col_no FROM (SELECT tile_id, row_no, col_no FROM {{cells}} WHERE z IS NOT NULL) d CROSS JOIN ({OFFSETS}) o
         JOIN (SELECT tile_id, row_no, col_no FROM {{cells}} WHERE z IS NOT NULL) e ON e.tile_id = d.tile_id AND e.row_no = d.row_no + o.dr AND e.col_no = d.col_no + o.dc
         GROUP BY d.tile_id, d.row_no, d.col_no HAVING count(*) = 9""",
 )

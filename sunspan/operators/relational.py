@@ -11,8 +11,8 @@ from sunspan.operators._sql import operator
 
 # --- scans and selections -------------------------------------------------------------------------------------------
 identify_point = operator("s2_identify_point", "faces", "SELECT face_id, building_id FROM {faces} WHERE x0 <= 12e0 AND x1 >= 12e0 AND y0 <= 3e0 AND y1 >= 3e0")
-identify_envelope = operator("s3_identify_envelope", "faces", "SELECT face_id FROM (SELECT face_id, row_number() OVER (ORDER BY building_id, part_no) AS rn FROM {faces} WHERE x1 >= 20e0 - 2e0 AND x0 <= 24e0 + 2e0 AND y1 >= 1e0 - 2e0 AND y0 <= 4e0 + 2e0 AND building_id < 2000) t WHERE rn <= 500")
-find_by_attribute = operator("s4_find_by_attribute", "faces", "SELECT face_id, building_id, pitch, irradiation FROM (SELECT *, row_number() OVER (ORDER BY part_no) AS rn FROM {faces} WHERE building_id = 100) t WHERE rn <= 100")
+identify_envelope = operator("s3_identify_envelope", "faces", "SELECT face_id FROM {faces} WHERE x1 >= 20e0 - 2e0 AND x0 <= 24e0 + 2e0 AND y1 >= 1e0 - 2e0 AND y0 <= 4e0 + 2e0 ORDER BY building_id, part_no LIMIT 500")
+find_by_attribute = operator("s4_find_by_attribute", "faces", "SELECT face_id, building_id, pitch, irradiation FROM {faces} WHERE building_id = 100 ORDER BY part_no LIMIT 100")
 address = operator(
     "s6_building_address", "faces plants",
     """SELECT building_id, plant_id AS address_id, distance FROM (
@@ -20,8 +20,8 @@ address = operator(
                row_number() OVER (PARTITION BY f.building_id ORDER BY CASE WHEN f.egid IS NOT NULL AND f.egid = p.egid THEN 0 ELSE 1 END, abs(f.x0 - p.plant_id % 30), p.plant_id) AS rn
         FROM {faces} f JOIN {plants} p ON f.building_id = p.plant_id WHERE f.part_no <= 2) t WHERE rn = 1""",
 )
-search = operator("s7_search_locations", "pages", "SELECT page_id, label FROM (SELECT page_id, substr(regexp_replace(html, '<[^>]+>', ''), 1, 40) AS label, row_number() OVER (ORDER BY page_id) AS rn FROM {pages} WHERE url IS NOT NULL) t WHERE rn <= 7",
-    oracle="SELECT page_id, label FROM (SELECT page_id, substr(regexp_replace(html, '<[^>]+>', '', 'g'), 1, 40) AS label, row_number() OVER (ORDER BY page_id) AS rn FROM pages WHERE url IS NOT NULL) t WHERE rn <= 7")
+search = operator("s7_search_locations", "pages", "SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '')) AS label FROM {pages} WHERE url IS NOT NULL ORDER BY page_id LIMIT 7",
+    oracle="SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS label FROM pages WHERE url IS NOT NULL ORDER BY page_id LIMIT 7")
 ORIGIN = "regexp_extract(asset_name, '_([0-9][0-9][0-9][0-9]-[0-9][0-9][0-9][0-9])', 1)"
 newest_tiles = operator(
     "s8_newest_tiles", "tiles",
@@ -148,7 +148,7 @@ vintage_findings = operator(
 )
 vintage_confidence = operator("a14_vintage_confidence", "plants", "SELECT plant_id, CASE WHEN age <= 2 THEN 'high' WHEN age <= 4 THEN 'medium' WHEN age IS NOT NULL THEN 'low' ELSE 'unknown' END AS level FROM (SELECT plant_id, 2001 - extract(YEAR FROM taken_at) AS age FROM {plants}) t")
 building_statistics = operator("a17_building_statistics", "faces", "SELECT building_id, CAST(count(*) AS BIGINT) AS faces, bround(sum(area), 3) AS area_m2, bround(sum(official_kwh), 2) AS official_kwh, bround(100e0 * sum(CASE WHEN irradiation >= 800 THEN area ELSE 0e0 END) / sum(area), 1) AS utilisation_pct FROM {faces} GROUP BY building_id")
-statistics_rollup = operator("a17_rollup", "faces", "SELECT building_id, part_no, bround(sum(area), 3) AS area_m2 FROM {faces} WHERE building_id < 4000 GROUP BY ROLLUP (building_id, part_no)")
+statistics_rollup = operator("a17_rollup", "faces", "SELECT building_id, part_no, bround(sum(area), 3) AS area_m2 FROM {faces} GROUP BY ROLLUP (building_id, part_no)")
 otsu = operator(
     "a18_split_threshold", "detections",
     """SELECT capture_id, CAST(min(bin) AS BIGINT) AS threshold FROM (
@@ -171,9 +171,11 @@ approx_coplanar = operator("a3_merge_coplanar_sums", "faces", f"SELECT c.a AS fa
 
 # --- windows --------------------------------------------------------------------------------------------------------
 first_per_id = operator("w1_first_per_face", "raw_faces", "SELECT face_id, rank_key, bround(q, 4) AS q FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY rank_key, q, p) AS rn FROM {raw_faces}) t WHERE rn = 1")
-FACE_CELLS = "SELECT f.building_id, f.face_id, f.part_no, f.z, c.n AS cx, r.n AS cy, status FROM ({assessed}) f CROSS JOIN {{numbers}} c CROSS JOIN {{numbers}} r WHERE f.building_id % 40 = 0 AND c.n + 0.5e0 > f.x0 AND c.n + 0.5e0 < f.x1 AND r.n + 0.5e0 > f.y0 AND r.n + 0.5e0 < f.y1 AND c.n < 100 AND r.n < 16".format(assessed=ASSESSED)
-upper_face = operator("w2_upper_face_wins", "faces numbers", f"SELECT building_id, cx, cy, face_id FROM (SELECT *, row_number() OVER (PARTITION BY building_id, cx, cy ORDER BY z DESC, part_no) AS rn FROM ({FACE_CELLS}) c) t WHERE rn = 1")
-topmost = operator("w3_topmost_area", "faces numbers", f"SELECT face_id, CAST(count(*) AS BIGINT) AS visible FROM (SELECT *, row_number() OVER (PARTITION BY building_id, cx, cy ORDER BY z DESC, part_no) AS rn FROM ({FACE_CELLS}) c) t WHERE rn = 1 GROUP BY face_id")
+LOW, HIGH = "CAST(floor({0} + 0.5e0) AS BIGINT)", "CAST(ceil({0} - 0.5e0) AS BIGINT) - 1"
+#: One-metre cells by their centres: a row for each cell of each face.
+FACE_CELLS = f"SELECT building_id, face_id, part_no, z, cx, cy, status FROM ({ASSESSED}) f EACH(cx, {LOW.format('x0')}, {HIGH.format('x1')}) EACH(cy, {LOW.format('y0')}, {HIGH.format('y1')})"
+upper_face = operator("w2_upper_face_wins", "faces", f"SELECT building_id, cx, cy, face_id FROM (SELECT *, row_number() OVER (PARTITION BY building_id, cx, cy ORDER BY z DESC, part_no) AS rn FROM ({FACE_CELLS}) c) t WHERE rn = 1")
+topmost = operator("w3_topmost_area", "faces", f"SELECT face_id, CAST(count(*) AS BIGINT) AS visible FROM (SELECT *, row_number() OVER (PARTITION BY building_id, cx, cy ORDER BY z DESC, part_no) AS rn FROM ({FACE_CELLS}) c) t WHERE rn = 1 GROUP BY face_id")
 ALLOCATED = f"""
 SELECT building_id, face_id, fits, CAST(greatest(0, least(fits, 60 - coalesce(sum(fits) OVER (PARTITION BY building_id ORDER BY coalesce(irradiation, -1) DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS placed
 FROM (SELECT *, CAST(floor((w - 0.6e0) / 1.154e0) * floor((h - 0.6e0) / 1.782e0) AS BIGINT) AS fits FROM ({ASSESSED}) a WHERE status <> 'not_recommended') t"""
@@ -196,21 +198,20 @@ parts = operator("o8_parts", "detections", "SELECT object_id, CAST(pos AS BIGINT
 
 # --- cells, exclusion areas and accounting --------------------------------------------------------------------------
 usable_cells = operator(
-    "k1_usable_cells", "faces numbers",
+    "k1_usable_cells", "faces",
     """SELECT face_id, CAST(count(*) AS BIGINT) AS cells, CAST(sum(CASE WHEN edge THEN 1 ELSE 0 END) AS BIGINT) AS edge_cells, CAST(sum(CASE WHEN NOT edge AND blocked THEN 1 ELSE 0 END) AS BIGINT) AS blocked_cells,
               CAST(sum(CASE WHEN NOT edge AND NOT blocked THEN 1 ELSE 0 END) AS BIGINT) AS usable_cells FROM (
-        SELECT f.face_id, c.n * 0.5e0 + 0.25e0 < f.x0 + 0.3e0 OR c.n * 0.5e0 + 0.25e0 > f.x1 - 0.3e0 OR r.n * 0.5e0 + 0.25e0 < f.y0 + 0.3e0 OR r.n * 0.5e0 + 0.25e0 > f.y1 - 0.3e0 AS edge,
-               c.n * 0.5e0 + 0.25e0 BETWEEN f.x0 + 2e0 - 0.4e0 AND f.x0 + 3e0 + 0.4e0 AND r.n * 0.5e0 + 0.25e0 BETWEEN f.y0 + 1e0 - 0.4e0 AND f.y0 + 2e0 + 0.4e0 AS blocked
-        FROM {faces} f CROSS JOIN {numbers} c CROSS JOIN {numbers} r
-        WHERE f.building_id % 40 = 0 AND c.n * 0.5e0 + 0.25e0 > f.x0 AND c.n * 0.5e0 + 0.25e0 < f.x1 AND r.n * 0.5e0 + 0.25e0 > f.y0 AND r.n * 0.5e0 + 0.25e0 < f.y1 AND r.n < 32) t GROUP BY face_id""",
+        SELECT face_id, cx * 0.5e0 + 0.25e0 < x0 + 0.3e0 OR cx * 0.5e0 + 0.25e0 > x1 - 0.3e0 OR cy * 0.5e0 + 0.25e0 < y0 + 0.3e0 OR cy * 0.5e0 + 0.25e0 > y1 - 0.3e0 AS edge,
+               cx * 0.5e0 + 0.25e0 BETWEEN x0 + 2e0 - 0.4e0 AND x0 + 3e0 + 0.4e0 AND cy * 0.5e0 + 0.25e0 BETWEEN y0 + 1e0 - 0.4e0 AND y0 + 2e0 + 0.4e0 AS blocked
+        FROM {faces} f EACH(cx, CAST(x0 * 2 AS BIGINT), CAST(x1 * 2 AS BIGINT) - 1) EACH(cy, CAST(y0 * 2 AS BIGINT), CAST(y1 * 2 AS BIGINT) - 1)) t GROUP BY face_id""",
 )
 exclusive = operator(
-    "a11_exclusive_accounting", "faces numbers",
+    "a11_exclusive_accounting", "faces",
     f"""SELECT building_id, CAST(count(*) AS BIGINT) AS cells, CAST(sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pv, CAST(sum(CASE WHEN rank = 2 THEN 1 ELSE 0 END) AS BIGINT) AS obstacle,
                CAST(sum(CASE WHEN rank = 3 THEN 1 ELSE 0 END) AS BIGINT) AS shade, CAST(sum(CASE WHEN rank = 9 THEN 1 ELSE 0 END) AS BIGINT) AS remainder, bround(100e0 * sum(CASE WHEN rank < 9 THEN 1 ELSE 0 END) / count(*), 1) AS shortfall_pct
         FROM (SELECT building_id, cx, cy, min(CASE WHEN (cx + cy) % 7 = 0 THEN 1 WHEN cx % 5 = 0 THEN 2 WHEN cy % 4 = 0 THEN 3 ELSE 9 END) AS rank FROM ({FACE_CELLS}) c WHERE status <> 'not_recommended' GROUP BY building_id, cx, cy) t GROUP BY building_id""",
 )
-sun_exclusions = operator("k3_sunlight_exclusions", "faces numbers", f"SELECT face_id, CAST(count(*) AS BIGINT) AS shaded_cells FROM ({FACE_CELLS}) c WHERE (cx * 7 + cy * 3) % 100 < 60 AND (cx + cy) % 10 < 9 GROUP BY face_id")
+sun_exclusions = operator("k3_sunlight_exclusions", "faces", f"SELECT face_id, CAST(count(*) AS BIGINT) AS shaded_cells FROM ({FACE_CELLS}) c WHERE (cx * 7 + cy * 3) % 100 < 60 AND (cx + cy) % 10 < 9 GROUP BY face_id")
 roof_potential = operator(
     "m1_roof_potential", "faces",
     f"""SELECT building_id, CAST(count(*) AS BIGINT) AS faces, CAST(sum(placed) AS BIGINT) AS panels, bround(sum(placed) * 450e0 / 1000e0, 3) AS kwp,

@@ -14,12 +14,12 @@ def prepare(faces: DataFrame) -> DataFrame:
     return faces.join(chosen.where("accepted").select("face_id"), "face_id", "left_semi")
 
 
-def analyse(faces: DataFrame, numbers: DataFrame, power_w: float = 450.0, ratio: float = 0.8, limit: int | None = None) -> DataFrame:
+def analyse(faces: DataFrame, power_w: float = 450.0, ratio: float = 0.8, limit: int | None = None) -> DataFrame:
     """Modules, kWp and kWh a year of each face: assessment, packing, then allocation by yield up to ``limit`` a building.
 
     A face without irradiation has unknown energy, never zero.
     """
-    packed = layout.optimise(faces=faces, numbers=numbers)
+    packed = layout.optimise(faces=faces)
     assessed = relational.assess_face(faces=faces).select("face_id", "status", "eligible")
     rows = faces.select("building_id", "face_id", "part_no", "irradiation").join(packed, "face_id").join(assessed, "face_id")
     panels = F.when(F.col("eligible"), F.col("panels")).otherwise(F.lit(0))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import graph, kernels, layout, raster, relational  # noqa: F401
-from sunspan.operators._sql import OPERATORS, SqlOperator, ansi
+from sunspan.operators import buildings, graph, kernels, layout, raster, relational  # noqa: F401
+from sunspan.operators._sql import OPERATORS, SqlOperator, ansi, spark_text
 from sunspan.plans.bindings import BINDINGS, TABLES
 
 #: Bindings that the two engines spell differently.
@@ -43,7 +43,7 @@ def _ctes(*names: str) -> str:
 
 
 def _links(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
-    return spark.sql(text, **{n: bind(spark, sf_dir, n) for n in names})
+    return spark.sql(spark_text(text), **{n: bind(spark, sf_dir, n) for n in names})
 
 
 def g1_select_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def g2_coplanar_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g3_grouped_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = {"faces": bind(spark, sf_dir, "faces"), "numbers": bind(spark, sf_dir, "numbers")}
+    inputs = {"faces": bind(spark, sf_dir, "faces")}
     return graph.grouped_panels(layout.panels(**inputs), layout.module_adjacency(**inputs))
 
 
@@ -65,7 +65,7 @@ def g4_tileset_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g5_sibling_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = bind(spark, sf_dir, "faces").where("building_id < 3000")
+    faces = bind(spark, sf_dir, "faces")
     return graph.expand_siblings(faces, faces.where("building_id = 100").select("building_id"))
 
 
@@ -110,7 +110,7 @@ CODE_SQL = {
     "g2_coplanar_components": f"WITH RECURSIVE {_ctes('faces')}, links AS ({ansi(relational.coplanar.text).format(faces='faces')}), {REACH} SELECT id AS face_id, min(other) AS component FROM reach GROUP BY id",
     "g4_tileset_walk": f"WITH RECURSIVE n AS ({TREE.format(orders='orders')}), w(id, level) AS (SELECT id, 0 FROM n WHERE id = 1 AND covers UNION ALL SELECT n.id, w.level + 1 FROM n JOIN w ON n.parent = w.id WHERE n.covers AND w.level < 24) SELECT id, level FROM w",
     "g6_cell_components": f"WITH RECURSIVE {_ctes('cells', 'numbers')}, links AS ({ansi(raster.CELL_LINKS).format(cells='cells', numbers='numbers')}), {REACH} SELECT id AS cell, min(other) AS component FROM reach GROUP BY id",
-    "a1_union_area": f"WITH {_ctes('faces', 'numbers')} SELECT building_id, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT f.building_id, c.n AS cx, r.n AS cy FROM faces f CROSS JOIN numbers c CROSS JOIN numbers r WHERE c.n + 0.5e0 > f.x0 AND c.n + 0.5e0 < f.x1 AND r.n + 0.5e0 > f.y0 AND r.n + 0.5e0 < f.y1 AND r.n < 16) t GROUP BY building_id",
+    "a1_union_area": f"WITH {_ctes('faces')} SELECT building_id, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT building_id, cx, cy FROM ({ansi(relational.FACE_CELLS).format(faces='faces')}) c) t GROUP BY building_id",
 }
 
 

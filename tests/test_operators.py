@@ -115,10 +115,9 @@ def test_suitability(spark, change, status):
 
 
 def test_modules_lie_inside_and_apart(spark):
-    numbers = spark.range(200).withColumnRenamed("id", "n")
     df = faces(spark, [(0, 0, 10, 8), (20, 0, 28, 6)], pk=[3, 1])
-    rows = layout.panels(faces=df, numbers=numbers).collect()
-    best = {r.face_id: r for r in layout.optimise(faces=df, numbers=numbers).collect()}
+    rows = layout.panels(faces=df).collect()
+    best = {r.face_id: r for r in layout.optimise(faces=df).collect()}
     for face, (x0, y0, x1, y1), obstacle in (("20:1", (0, 0, 10, 8), (2, 1, 3, 2)), ("20:2", (20, 0, 28, 6), None)):
         w, h = (1.134, 1.762) if best[face].orientation == "portrait" else (1.762, 1.134)
         mine = [(r.x, r.y) for r in rows if r.face_id == face]
@@ -128,7 +127,7 @@ def test_modules_lie_inside_and_apart(spark):
             assert all(abs(x - a) >= w - 1e-4 or abs(y - b) >= h - 1e-4 for a, b in mine[:n])
             if obstacle:
                 assert x + w <= obstacle[0] - 0.4 + 1e-4 or x >= obstacle[2] + 0.4 - 1e-4 or y + h <= obstacle[1] - 0.4 + 1e-4 or y >= obstacle[3] + 0.4 - 1e-4
-    out = pipeline.analyse(df, numbers, limit=best["20:1"].panels + 2).orderBy("face_id").collect()
+    out = pipeline.analyse(df, limit=best["20:1"].panels + 2).orderBy("face_id").collect()
     assert [r.placed for r in out] == [best["20:1"].panels, 2]
 
 
