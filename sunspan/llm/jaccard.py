@@ -204,27 +204,28 @@ def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 
 
 def _candidates(percent: int):
-    """Rows sorted by key, left and right block to pairs that trees cannot rule out."""
+    """Rows sorted by key, left and right block to pairs that trees cannot rule out, each at the least key that it shares."""
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        return tree_pairs(rows, percent)
+    def solve(rows: list[tuple], key: int) -> list[tuple[int, int]]:
+        keys = {r[0]: set(r[5]) for r in rows}
+        return [(a, b) for a, b in tree_pairs([r[:5] for r in rows], percent) if min(keys[a] & keys[b]) == key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         key, rows = None, []
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "one", "two", "id", "n", "bits", "component", "block")]
+            columns = [b.column(c).to_pylist() for c in ("key", "one", "two", "id", "n", "bits", "component", "block", "keys")]
             for k, one, two, *row in zip(*columns, strict=True):
                 if (k, one, two) != key:
                     if len(rows) > 1:
-                        found.update(solve(rows))
+                        found.update(solve(rows, key[0]))
                     key, rows = (k, one, two), []
                 rows.append(tuple(row))
             if len(found) > 100_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
                 found = set()
         if len(rows) > 1:
-            found.update(solve(rows))
+            found.update(solve(rows, key[0]))
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
@@ -291,10 +292,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).where("low < high")
     once = spans.groupBy("members", "digest").agg(F.min("key").alias("key"))  # keys of the same classes need one tree
     once = once.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(once, "key").join(sketches.select("id", "n", "bits"), "id")
+    members = stored(placed.join(once, "key"), "members")
+    own = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    members = members.join(own.join(sketches.select("id", "n", "bits"), "id"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "bits", "component", "block")
+    members = members.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "bits", "component", "block", "keys")
     members = members.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     rest = stored(members.mapInArrow(_candidates(percent), "a long, b long").distinct(), "rest")
     more = _verified(rest, texts, k, percent)
