@@ -69,7 +69,7 @@ FROM (SELECT event_id AS id, CAST(floor(event_id / 1600e0) AS BIGINT) AS tile_id
 """
 
 TILES = """
-SELECT o_orderkey AS item_id, concat('swissalti_', CAST(1990 + o_orderkey % 40 AS STRING), '_', CAST(2480 + o_custkey % 300 AS STRING), '-',
+SELECT o_orderkey AS item_id, concat('terrain_', CAST(1990 + o_orderkey % 40 AS STRING), '_', CAST(2480 + o_custkey % 300 AS STRING), '-',
               CAST(1075 + o_custkey % 200 AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN '_2_' ELSE '_0.5_' END, '2056.tif') AS asset_name,
        CASE WHEN o_orderkey % 6 = 0 THEN 'image/png' ELSE 'image/tiff' END AS media_type,
        CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_orderdate END AS taken_at, o_totalprice AS bytes
