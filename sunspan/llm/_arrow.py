@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,6 +25,16 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
                 yield batch.slice(at, step)
 
 
+def release() -> None:
+    """Gives a worker's free memory back: workers are kept for later tasks, and beside them run those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A string column as Python strings; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
@@ -51,6 +63,8 @@ def add_columns(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep_names] + [made[c] for c in out_names], names=keep_names + out_names
             )
+            del batch, made
+        release()
 
     return inner.mapInArrow(run, T.StructType(kept + fields))
 

@@ -23,7 +23,7 @@ from sunspan.llm._arrow import add_columns, texts
 
 NONE = np.iinfo(np.int64).max
 #: Words kept in a worker's cache; when it is full, it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 def _byte_chars() -> list[str]:
@@ -82,7 +82,7 @@ class WordBpe:
         width = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for size in np.unique(width):
             rows = np.flatnonzero(width == size)
-            step = max(1, (1 << 20) // int(size))
+            step = max(1, (1 << 18) // int(size))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 for i, ids in zip(part.tolist(), self._trees([words[i] for i in part], lengths[part], int(size)), strict=True):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.llm._arrow import slices, stored
+from sunspan.llm._arrow import release, slices, stored
 from sunspan.llm._graph import components
 from sunspan.llm._words import Words, mix, sequence_hashes
 
@@ -84,6 +84,8 @@ def _sketches(k: int):
                     "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
                 }
             )
+            del b, sets
+        release()
 
     return run
 
@@ -102,6 +104,8 @@ def _linked(k: int, percent: int):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            del b, a, c, texts, sets
+        release()
 
     return run
 
