@@ -1,10 +1,10 @@
-"""Embedding near-dedup by NN-descent.
+"""Embedding near-dedup by exact comparison in the leaves of random-hyperplane trees.
 
-Equal vectors are one class. A first neighbour graph comes from leaves of a few random-hyperplane trees; then rounds of
-neighbours-of-neighbours joins refine it: for every vector, pairs of its neighbours are compared, and whatever beats
-what they have is kept. A vector keeps its LIST best neighbours and beyond these every neighbour at the threshold or
-above, so a list that links fill grows instead of losing any. Recall is audited against brute force for a fixed number
-of vectors; while it is too low, lists double and rounds go on. Edges at the threshold are the links.
+Equal vectors are one class. Every tree cuts the classes by a few random hyperplanes, and the vectors of a leaf are all
+compared with each other: a dense leaf by pairs of blocks, which are dealt over tasks. There are so many trees that a
+pair right at the threshold shares a leaf of one of them but for a chance of MISS. A pair counts in the first tree whose
+leaf it shares, so that numbers of links add up without a table of pairs; of a block's links only a spanning forest is
+kept for the components. Recall is audited against brute force for a fixed number of vectors.
 """
 
 from __future__ import annotations
@@ -16,22 +16,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.llm._arrow import slices, stored
+from sunspan.llm._arrow import release, slices, stored
 from sunspan.llm._graph import components
 
-LIST = 8
-TREES = 5
-LEAF = 256
-#: Rows of a leaf that are compared at once; a denser leaf is walked in overlapping windows of so many.
-WINDOW = 1024
-#: Neighbours of a vector that meet in a round, of those found in the last round and of older ones.
-MEET = 10
-ROUNDS = 4
-#: Vectors of the audit, and the recall of links that it asks for.
-AUDIT, RECALL = 256, 0.995
+#: Vectors of a leaf, on average; tables up to this are compared whole.
+LEAF = 1024
+#: Vectors of a leaf that are compared at once; a denser leaf is dealt over pairs of blocks of about so many.
+BLOCK = 2048
+#: Chance that a pair right at the threshold shares no leaf.
+MISS = 1e-4
+#: Trees whose vectors are shuffled at once.
+TURN = 3
+#: Vectors of the audit.
+AUDIT = 256
 SIGNATURE = 30
 
 
@@ -50,8 +50,16 @@ def _unit(rows: list[bytes]) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _planes(dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(dim, TREES * SIGNATURE))
+def _planes(dim: int, trees: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(17).normal(size=(dim, trees * bits))
+
+
+def shape(n: int, threshold: float) -> tuple[int, int]:
+    """Hyperplanes of a tree, and trees: a pair at the threshold is on one side of a plane with chance 1 - angle / pi."""
+    side = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    bits = min(SIGNATURE, max(0, math.ceil(math.log2(max(1, n) / LEAF)))) if side > 0.5 else 0
+    together = side**bits
+    return bits, 1 if together >= 1 else math.ceil(math.log(MISS) / math.log1p(-together))
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,41 +70,29 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(same, pa.binary()), pa.array(raw, pa.binary())], names=["id", "same", "vec"])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = 1 << np.arange(SIGNATURE - 1, -1, -1, dtype=np.int64)
-    for b in slices(batches):
-        ids, raw = b.column("id").to_pylist(), b.column("vec").to_pylist()
-        for size in sorted({len(r) for r in raw}):
-            at = [i for i, r in enumerate(raw) if len(r) == size]
-            bits = (_unit([raw[i] for i in at]) @ _planes(size // 8, 17) > 0).reshape(len(at), TREES, SIGNATURE)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": pa.array([ids[i] for i in at], pa.int64()),
-                    "vec": pa.array([raw[i] for i in at], pa.binary()),
-                    "size": pa.array([size] * len(at), pa.int32()),
-                    "signatures": pa.array((bits * weights).sum(axis=2).tolist(), pa.list_(pa.int64())),
-                }
-            )
-
-
-def _edges(ids: np.ndarray, x: np.ndarray, keep: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs among a few vectors: each one's best ``keep`` neighbours, and all at the threshold."""
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
-    near = sims >= threshold
-    if len(ids) > keep:
-        best = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-        near[np.arange(len(ids))[:, None], best] = True
-    else:
-        near[:] = True
-    near |= near.T
-    a, b = np.nonzero(np.triu(near, 1))
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), sims[a, b]
+def _signatures(bits: int, trees: int):
+    """Rows (id, copies, vec) with the vector's size and its leaf in each tree, packed as int32."""
+    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, copies, raw = (b.column(c).to_pylist() for c in ("id", "copies", "vec"))
+            for size in sorted({len(r) for r in raw}):
+                at = [i for i, r in enumerate(raw) if len(r) == size]
+                above = (_unit([raw[i] for i in at]) @ _planes(size // 8, trees, bits) > 0).reshape(len(at), trees, bits)
+                leaves = (above * weights).sum(axis=2).astype(np.int32)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": pa.array([ids[i] for i in at], pa.int64()),
+                        "copies": pa.array([copies[i] for i in at], pa.int64()),
+                        "vec": pa.array([raw[i] for i in at], pa.binary()),
+                        "size": pa.array([size] * len(at), pa.int32()),
+                        "leaves": pa.array([x.tobytes() for x in leaves], pa.binary()),
+                        "signatures": pa.array(leaves.tolist(), pa.list_(pa.int32())),
+                    }
+                )
 
-def _batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b, s = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(3))
-    return pa.RecordBatch.from_pydict({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "sim": pa.array(s.astype(np.float64))})
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[list[tuple]]:
@@ -113,50 +109,60 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rest: tuple
         yield rows
 
 
-def _leaves(keep: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for rows in _groups(batches, ("tree", "size", "leaf"), ("id", "vec")):
-            ids, x = np.array([r[0] for r in rows], dtype=np.int64), _unit([r[1] for r in rows])
-            if len(ids) > WINDOW:  # along one direction, so that what is close stays close
-                order = np.argsort(x @ _planes(x.shape[1], 29)[:, 0], kind="stable")
-                ids, x = ids[order], x[order]
-            for at in range(0, max(1, len(ids) - WINDOW // 2), WINDOW // 2):
-                parts.append(_edges(ids[at : at + WINDOW], x[at : at + WINDOW], keep, threshold))
-                n += len(parts[-1][0])
-            if n > 200_000:
-                yield _batch(parts)
-                parts, n = [], 0
-        yield _batch(parts)
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each of ``n`` places reaches over links (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (root := root[root])).any():
+            pass
 
-    return run
 
+def _compare(threshold: float):
+    """Blocks of leaves to rows (id, near, around, root) of the vectors with new links there.
 
-def _meetings(threshold: float):
-    """Rows (hub, id, vec, worst, fresh) sorted by hub to pairs that beat what one of the two has, or are links."""
+    near counts the links and around the copies at their other ends; root is the block's vector that stands for those
+    linked there. A pair that shares a leaf of an earlier tree was compared there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for rows in _groups(batches, ("hub",), ("id", "vec", "worst", "fresh")):
+        key = ("tree", "size", "leaf", "low", "high")
+        for rows in _groups(batches, key, ("id", "copies", "vec", "leaves", "tree", "low", "high", "chunk")):
             if len(rows) < 2:
                 continue
-            ids, x = np.array([r[0] for r in rows], dtype=np.int64), _unit([r[1] for r in rows])
-            worst, fresh = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            sims = x @ x.T
-            good = (sims >= threshold) | (sims > np.minimum(worst[:, None], worst[None, :]))
-            good &= (fresh[:, None] | fresh[None, :]) & (ids[:, None] < ids[None, :])
-            a, b = np.nonzero(good)
-            parts.append((ids[a], ids[b], sims[a, b]))
-            n += len(a)
-            if n > 200_000:
-                yield _batch(parts)
-                parts, n = [], 0
-        yield _batch(parts)
+            x, (tree, low, high) = _unit([r[2] for r in rows]), rows[0][4:7]
+            if low == high:
+                a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+            else:
+                left = np.array([r[7] == low for r in rows])
+                left, right = np.flatnonzero(left), np.flatnonzero(~left)
+                a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+                a, b = left[a], right[b]
+            seen = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.int32).reshape(len(rows), -1)
+            for t in range(tree):
+                new = seen[a, t] != seen[b, t]
+                a, b = a[new], b[new]
+            if not len(a):
+                continue
+            ids, copies = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+            near = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+            around = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
+            at = np.flatnonzero(near)
+            root = ids[_roots(len(rows), a, b)]
+            yield pa.RecordBatch.from_pydict(
+                {"id": ids[at], "near": near[at].astype(np.int64), "around": around[at].astype(np.int64), "root": root[at]}
+            )
+        release()
 
     return run
 
 
 def _audit(queries: list[tuple[int, bytes]], threshold: float):
+    """Rows (id, vec) to the numbers of vectors that each of ``queries`` is linked with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, raw = b.column("id").to_pylist(), b.column("vec").to_pylist()
@@ -164,75 +170,46 @@ def _audit(queries: list[tuple[int, bytes]], threshold: float):
                 mine = [(i, r) for i, r in zip(ids, raw, strict=True) if len(r) == size]
                 asked = [(i, r) for i, r in queries if len(r) == size]
                 if asked:
-                    sims = _unit([r for _, r in asked]) @ _unit([r for _, r in mine]).T
-                    q, o = np.nonzero(sims >= threshold)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([asked[i][0] for i in q], pa.int64()), "b": pa.array([mine[i][0] for i in o], pa.int64())})
+                    near = _unit([r for _, r in asked]) @ _unit([r for _, r in mine]).T >= threshold
+                    near &= np.array([i for i, _ in asked])[:, None] != np.array([i for i, _ in mine])[None, :]
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in asked], pa.int64()), "n": near.sum(axis=1).astype(np.int64)})
 
     return run
 
 
-def _trim(edges: DataFrame, keep: int, threshold: float) -> DataFrame:
-    """Of edges (a, b, sim, fresh), those in the ``keep`` best of either end, and all at the threshold."""
-    links, rest = edges.where(F.col("sim") >= threshold), edges.where(F.col("sim") < threshold)
-    both = rest.select(F.col("a").alias("hub"), "a", "b", "sim", "fresh").unionByName(rest.select(F.col("b").alias("hub"), "a", "b", "sim", "fresh"))
-    rank = F.row_number().over(Window.partitionBy("hub").orderBy(F.col("sim").desc(), "a", "b"))
-    kept = both.withColumn("rank", rank).where(F.col("rank") <= keep).select("a", "b", "sim", "fresh").dropDuplicates(["a", "b"])
-    return links.unionByName(kept)
+def _turn(signed: DataFrame, trees: range, threshold: float) -> DataFrame:
+    """Rows (id, near, around, root) of the links that ``trees`` add to those of the trees before."""
+    one = F.posexplode(F.slice("signatures", trees.start + 1, len(trees))).alias("at", "leaf")
+    placed = signed.select("id", "copies", "vec", "size", F.substring("leaves", 1, 4 * trees.stop).alias("leaves"), one)
+    placed = placed.withColumn("tree", F.col("at") + trees.start).drop("at")
+    dense = placed.groupBy("tree", "size", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    dense = dense.select("tree", "size", "leaf", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = placed.join(F.broadcast(dense), ["tree", "size", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(29)), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    key = ("tree", "size", "leaf", "low", "high")
+    placed = placed.select(*key, "chunk", "id", "copies", "vec", "leaves").repartition(*key).sortWithinPartitions(*key)
+    return stored(placed.mapInArrow(_compare(threshold), "id long, near long, around long, root long"), "found")
 
 
-def _round(vectors: DataFrame, edges: DataFrame, keep: int, threshold: float, turn: int) -> DataFrame:
-    """A neighbours-of-neighbours join: edges with a mark on those that it found.
+def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+    """Rows (id, near, around, root) of vectors (id, copies, vec as packed float64), and the audited recall.
 
-    At every vector up to MEET fresh and MEET older neighbours meet, chosen by a hash that changes from round to
-    round; where more wait, later rounds draw again. Their number is counted before, so that even a vector with very
-    many neighbours sends about that many.
+    near and around add up over a vector's rows to its links and to the copies at their ends; (id, root) reach what
+    links reach.
     """
-    ends = edges.select(F.col("a").alias("hub"), F.col("b").alias("id"), "sim", "fresh").unionByName(edges.select(F.col("b").alias("hub"), F.col("a").alias("id"), "sim", "fresh"))
-    load = ends.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("new"), F.min("sim").alias("worst"))
-    draw = F.pmod(F.xxhash64("hub", "id", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.when(F.col("fresh"), F.lit(float(MEET)) / F.col("new")).otherwise(F.lit(float(MEET)) / F.greatest(F.col("n") - F.col("new"), F.lit(1)))
-    drawn = ends.join(load.where("new > 0").select("hub", "n", "new"), "hub").where(draw < wanted).select("hub", "id", "fresh")
-    worst = load.select(F.col("hub").alias("id"), F.when(F.col("n") >= keep, F.col("worst")).otherwise(-2.0).alias("worst"))
-    met = drawn.join(vectors.select("id", "vec").join(worst, "id"), "id")
-    met = met.repartition("hub").sortWithinPartitions("hub").select("hub", "id", "vec", "worst", "fresh")
-    found = met.mapInArrow(_meetings(threshold), "a long, b long, sim double").dropDuplicates(["a", "b"])
-    old = edges.select("a", "b", "sim", F.lit(False).alias("fresh"), F.lit(0).alias("age"))
-    every = old.unionByName(found.select("a", "b", "sim", F.lit(True).alias("fresh"), F.lit(1).alias("age")))
-    merged = every.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    return stored(_trim(merged, keep, threshold), "edges")
-
-
-def neighbour_links(classes: DataFrame, threshold: float, keep: int = LIST) -> tuple[DataFrame, float]:
-    """Links (a, b, sim) with a < b between vectors (id, vec as packed float64), and the audited recall."""
-    signed = stored(classes.mapInArrow(_signatures, "id long, vec binary, size int, signatures array<long>"), "signed")
-    n = signed.count()
-    bits = min(SIGNATURE, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
-    placed = signed.select("id", "vec", "size", F.posexplode("signatures").alias("tree", "signature"))
-    leaf = F.shiftright("signature", SIGNATURE - bits) if bits else F.lit(0).cast("long")
-    placed = placed.withColumn("wide", leaf)
-    counts = placed.groupBy("tree", "size", "wide").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * LEAF)
-    deeper = F.least(F.lit(SIGNATURE - bits), F.ceil(F.log2(F.col("n") / float(2 * LEAF))).cast("int"))
-    placed = placed.join(counts.withColumn("deeper", deeper).drop("n"), ["tree", "size", "wide"], "left")
-    shift = F.lit(SIGNATURE - bits) - F.coalesce("deeper", F.lit(0))
-    placed = placed.withColumn("leaf", F.call_function("shiftright", F.col("signature"), shift))
-    placed = placed.select("tree", "size", "leaf", "id", "vec").repartition("tree", "size", "leaf").sortWithinPartitions("tree", "size", "leaf")
-    first = placed.mapInArrow(_leaves(keep, threshold), "a long, b long, sim double").dropDuplicates(["a", "b"])
-    edges = stored(_trim(first.withColumn("fresh", F.lit(True)), keep, threshold), "edges")
+    bits, trees = shape(classes.count(), threshold)
+    signed = "id long, copies long, vec binary, size int, leaves binary, signatures array<int>"
+    signed = stored(classes.mapInArrow(_signatures(bits, trees), signed), "signed")
+    found = None
+    for at in range(0, trees, TURN):
+        more = _turn(signed, range(at, min(trees, at + TURN)), threshold)
+        found = more if found is None else found.unionByName(more)
     asked = [(r.id, bytes(r.vec)) for r in signed.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()]
-    truth = stored(signed.select("id", "vec").mapInArrow(_audit(asked, threshold), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "truth")
-    wanted = truth.count()
-    recall, turn = 1.0, 0
-    while True:
-        for _ in range(ROUNDS if turn == 0 else 2):
-            turn += 1
-            edges = _round(signed, edges, keep, threshold, turn)
-            if not edges.where(F.col("fresh") & (F.col("sim") >= threshold)).limit(1).count():
-                break
-        recall = truth.join(edges, ["a", "b"], "left_semi").count() / wanted if wanted else 1.0
-        if recall >= RECALL or turn >= 3 * ROUNDS:
-            break
-        keep *= 2
-    return edges.where(F.col("sim") >= threshold).select("a", "b", "sim"), recall
+    truth = signed.select("id", "vec").mapInArrow(_audit(asked, threshold), "id long, n long").agg(F.sum("n")).first()[0]
+    got = found.where(F.col("id").isin([i for i, _ in asked])).agg(F.sum("near")).first()[0]
+    return found, (got or 0) / truth if truth else 1.0
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -243,15 +220,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     with each other. Equal vectors are linked and take part once, with their number. Repeated rows, even of one id,
     are vectors of their own. component_id is the smallest id reachable, itself included, and kept says whether it is
     the row's own; for a null id both are null and it is linked with nothing. Other columns are not read; an empty
-    table stays empty. Below the threshold nothing is linked; the share of links found is audited (RECALL).
+    table stays empty. Below the threshold nothing is linked; the share of links found is audited.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     rows = stored(rows.mapInArrow(_prepare, "id long, same binary, vec binary"), "vectors")
     classes = stored(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "copies")
-    links, _ = neighbour_links(classes.select("id", "vec"), threshold)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("around"))
-    reach = components(links)
+    found, _ = neighbours(classes.select("id", "copies", "vec"), threshold)
+    around = found.groupBy("id").agg(F.sum("around").alias("around"))
+    reach = components(found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
     known = classes.select("same", "id", "copies").join(around, "id", "left").join(reach, "id", "left")
     known = known.select("same", (F.col("copies") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", "same").join(known, "same", "left")

@@ -121,6 +121,19 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embedding_links_in_a_dense_group_equal_brute_force(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=24) + r.normal(size=(4500, 24)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100_000
+    rows = embeddings.near_duplicates(df).collect()
+    found, wanted = {r.vec_id: r.n_links for r in rows}, near.sum(axis=1).tolist()
+    assert all(found[i] <= n for i, n in enumerate(wanted)) and sum(found.values()) > 0.9999 * sum(wanted)
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
