@@ -4,7 +4,8 @@ Equal vectors are one class. Every tree cuts the classes by a few random hyperpl
 compared with each other: a dense leaf by pairs of blocks, which are dealt over tasks. There are so many trees that a
 pair right at the threshold shares a leaf of one of them but for a chance of MISS. A pair counts in the first tree whose
 leaf it shares, so that numbers of links add up without a table of pairs; of a block's links only a spanning forest is
-kept for the components. Recall is audited against brute force for a fixed number of vectors.
+kept for the components. Recall is audited against brute force for vectors that have links: more are asked until their
+links are enough. While it is too low, spare trees are added; if that does not raise it, the run fails.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BLOCK = 2048
 MISS = 1e-4
 #: Trees whose vectors are shuffled at once.
 TURN = 3
-#: Vectors of the audit.
-AUDIT = 256
+#: Vectors that the audit asks first and at most, the links that it looks for, and the recall of these that it demands.
+AUDIT, MOST_ASKED, ENOUGH, RECALL = 256, 4096, 256, 0.995
 SIGNATURE = 30
 
 
@@ -193,23 +194,43 @@ def _turn(signed: DataFrame, trees: range, threshold: float) -> DataFrame:
     return stored(placed.mapInArrow(_compare(threshold), "id long, near long, around long, root long"), "found")
 
 
-def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+def _truth(signed: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """The ids that the audit asks, and their links by brute force: four times as many ids while these are too few."""
+    spark, vectors, n = signed.sparkSession, signed.select("id", "vec"), AUDIT
+    while True:
+        asked = [(r.id, bytes(r.vec)) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+        wanted = vectors.mapInArrow(_audit(asked, threshold), "id long, n long").agg(F.sum("n")).first()[0] or 0
+        if wanted >= ENOUGH or len(asked) < n or n >= MOST_ASKED:
+            return spark.createDataFrame([(i,) for i, _ in asked], "id long"), wanted
+        n *= 4
+
+
+def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float | None]:
     """Rows (id, near, around, root) of vectors (id, copies, vec as packed float64), and the audited recall.
 
+    Recall is None where none of the audited vectors has a link.
+
     near and around add up over a vector's rows to its links and to the copies at their ends; (id, root) reach what
     links reach.
     """
     bits, trees = shape(classes.count(), threshold)
+    last = 2 * trees if bits else trees  # with as many to spare
     signed = "id long, copies long, vec binary, size int, leaves binary, signatures array<int>"
-    signed = stored(classes.mapInArrow(_signatures(bits, trees), signed), "signed")
-    found = None
-    for at in range(0, trees, TURN):
-        more = _turn(signed, range(at, min(trees, at + TURN)), threshold)
-        found = more if found is None else found.unionByName(more)
-    asked = [(r.id, bytes(r.vec)) for r in signed.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()]
-    truth = signed.select("id", "vec").mapInArrow(_audit(asked, threshold), "id long, n long").agg(F.sum("n")).first()[0]
-    got = found.where(F.col("id").isin([i for i, _ in asked])).agg(F.sum("near")).first()[0]
-    return found, (got or 0) / truth if truth else 1.0
+    signed = stored(classes.mapInArrow(_signatures(bits, last), signed), "signed")
+    asked, wanted = _truth(signed, threshold)
+    found, done = None, 0
+    while True:
+        for at in range(done, trees, TURN):
+            more = _turn(signed, range(at, min(trees, at + TURN)), threshold)
+            found = more if found is None else found.unionByName(more)
+        done = trees
+        got = found.join(F.broadcast(asked), "id", "left_semi").agg(F.sum("near")).first()[0] or 0
+        recall = got / wanted if wanted else None
+        if recall is None or recall >= RECALL:
+            return found, recall
+        if done == last:
+            raise RuntimeError(f"recall of links is {recall:.4f} after {done} trees, below {RECALL}: {got} of {wanted} links of the audited vectors")
+        trees = last
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -220,7 +241,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     with each other. Equal vectors are linked and take part once, with their number. Repeated rows, even of one id,
     are vectors of their own. component_id is the smallest id reachable, itself included, and kept says whether it is
     the row's own; for a null id both are null and it is linked with nothing. Other columns are not read; an empty
-    table stays empty. Below the threshold nothing is linked; the share of links found is audited.
+    table stays empty. Below the threshold nothing is linked; the share of links found is audited,
+    and a share below RECALL that more trees do not mend raises an error.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     rows = stored(rows.mapInArrow(_prepare, "id long, same binary, vec binary"), "vectors")

@@ -134,6 +134,33 @@ def test_embedding_links_in_a_dense_group_equal_brute_force(spark):
     assert all(found[i] <= n for i, n in enumerate(wanted)) and sum(found.values()) > 0.9999 * sum(wanted)
 
 
+def vector_classes(spark, vectors):
+    rows = [(i, 1, np.asarray(v, dtype=np.float64).tobytes()) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "id long, copies long, vec binary")
+
+
+def test_embedding_trees_follow_the_depth_of_leaves():
+    side = 1 - math.acos(0.95) / math.pi
+    for n in (10, 5_000, 25_000, 1_000_000, 30_000_000):
+        bits, trees = embeddings.shape(n, 0.95)
+        assert n / 2**bits <= embeddings.LEAF and (1 - side**bits) ** trees <= 1e-4
+
+
+def test_embedding_audit_looks_for_links_and_fails_on_low_recall(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    alone = r.normal(size=(2900, 24))
+    few = np.concatenate([alone, alone[:60] + r.normal(size=(60, 24)) * 0.2])
+    unit = few / np.linalg.norm(few, axis=1, keepdims=True)
+    links = (int((unit @ unit.T >= 0.95).sum()) - len(few)) // 2
+    assert 50 <= links <= 60
+    found, recall = embeddings.neighbours(vector_classes(spark, few), 0.95)
+    assert recall == 1.0 and found.agg(F.sum("near")).first()[0] == 2 * links
+    assert embeddings.neighbours(vector_classes(spark, alone), 0.95)[1] is None
+    monkeypatch.setattr(embeddings, "shape", lambda n, threshold: (14, 1))
+    with pytest.raises(RuntimeError, match="recall of links"):
+        embeddings.neighbours(vector_classes(spark, few), 0.95)
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
