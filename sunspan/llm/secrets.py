@@ -37,11 +37,11 @@ BLANK = re.compile(r"[ \t]*")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
 
-#: How telling a part of a name is.
+#: How telling a part of a name is; above THRESHOLD, so that a strong literal is reported for each.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "clientsecret": 1.0,
-    "bearer": 0.8, "authorization": 0.8, "auth": 0.6, "key": 0.5, "pass": 0.6, "salt": 0.5, "signature": 0.5, "dsn": 0.6,
+    "bearer": 0.8, "authorization": 0.8, "auth": 0.6, "key": 0.6, "pass": 0.6, "salt": 0.6, "signature": 0.6, "dsn": 0.6,
 }
 PLACEHOLDER = re.compile(r"(?:x+|\*+|\.+|none|null|nil|true|false|todo|changeme|example|your.*|<.*>|\$\{.*\}|%\w+%|password|secret|token)\Z", re.IGNORECASE)
 THRESHOLD = 0.55

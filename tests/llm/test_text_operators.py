@@ -88,6 +88,13 @@ def test_lexer_leaves_plain_text_alone(text):
     assert not [s for s in secrets.lexed_spans(text)]
 
 
+@pytest.mark.parametrize("name", [*secrets.SENSITIVE, "encryption_key", "SIGNING_KEY", "sshKey", "password-salt"])
+def test_a_strong_literal_is_reported_for_every_listed_name(name):
+    for value in ("9fQ2xL7pTz4W", "8f3a91bc02de77a5", "Zm9v+YmFy/cXV4"):
+        text = f'a = 1\n{name} = "{value}"\n'
+        assert [text[x.start : x.end] for x in secrets.lexed_spans(text)] == [value]
+
+
 def test_base_spans_equal_the_patterns(spark):
     r = random.Random(3)
     pieces = ["password=", "Token: ", "api_key\"='", "AKIA", "deadbeef", "abcdef0123456789", " ", "\n", "é", "XYZ12", "secret", "apikey = ", "passwd:", "0" * 24, "aaaaaa"]
