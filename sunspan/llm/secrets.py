@@ -45,8 +45,8 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?:x+|\*+|\.+|none|null|nil|true|false|todo|changeme|example|your.*|<.*>|\$\{.*\}|%\w+%|password|secret|token)\Z", re.IGNORECASE)
 THRESHOLD = 0.55
-#: A constant that is added up from more literals than this stands for the first of them.
-MOST_PIECES = 64
+#: First characters of a value that are kept to see a placeholder; those of fixed length are shorter.
+HEAD = 64
 
 
 class Span(NamedTuple):
@@ -80,14 +80,40 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts + joined), default=0.0)
 
 
+class Value:
+    """What weighs a literal that is added up from others, whatever its length: its ends and its characters' counts."""
+
+    __slots__ = ("head", "tail", "counts", "length")
+
+    def __init__(self, text: str = "") -> None:
+        self.head, self.tail, self.counts, self.length = text[:HEAD], text[-1:], Counter(text), len(text)
+
+    def add(self, other: Value) -> None:
+        if self.length < HEAD:
+            self.head = (self.head + other.head)[:HEAD]
+        self.tail = other.tail or self.tail
+        self.counts.update(other.counts)
+        self.length += other.length
+
+    def placeholder(self) -> bool:
+        if self.length <= HEAD:
+            return bool(PLACEHOLDER.match(self.head))
+        inner = self.counts - Counter(self.head[0] + self.tail)
+        return bool(PLACEHOLDER.match(self.head + "".join(inner) + self.tail))
+
+    def weight(self) -> float:
+        if self.length < 6 or self.placeholder() or any(c.isspace() for c in self.counts):
+            return 0.0
+        shares = [c / self.length for c in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        kinds = "".join(self.counts)
+        classes = sum(bool(re.search(p, kinds)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
+        return min(1.0, entropy / 4 + 0.15 * (classes - 1) + (0.1 if self.length >= 16 else 0.0))
+
+
 def literal_weight(value: str) -> float:
     """0 to 1: how much a literal looks like a secret: long enough, varied, no placeholder, no prose."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4 + 0.15 * (classes - 1) + (0.1 if len(value) >= 16 else 0.0))
+    return Value(value).weight()
 
 
 def _name(text: str, end: int) -> str | None:
@@ -122,32 +148,58 @@ def _literal(text: str, at: int) -> tuple[list[tuple[int, int, bool]], int]:
         at = plus.end()
 
 
+class Assigned(NamedTuple):
+    """A value as it is written: each part is a span of the text, or the number of the earlier value that it names."""
+
+    name: str
+    parts: list[tuple[int, int] | int]
+
+
+def _values(text: str, assigned: list[Assigned], wanted: list[int]) -> dict[int, Value]:
+    """The values of ``wanted`` and of all that they are added up from, each added up once."""
+    need = set()
+    ahead = list(wanted)
+    while ahead:
+        if (k := ahead.pop()) not in need:
+            need.add(k)
+            ahead += [p for p in assigned[k].parts if isinstance(p, int)]
+    out: dict[int, Value] = {}
+    for k in sorted(need):  # a value only names earlier ones
+        out[k] = Value()
+        for p in assigned[k].parts:
+            out[k].add(out[p] if isinstance(p, int) else Value(text[slice(*p)]))
+    return out
+
+
 def lexed_spans(text: str) -> list[Span]:
-    """Literals that end up in a sensitive name, each with the name and its score."""
-    constants: dict[str, list[tuple[int, int]]] = {}
-    out: dict[tuple[int, int], Span] = {}
+    """Literals that end up in a sensitive name, each with the name that scores most, the first of equals."""
+    constants: dict[str, int] = {}
+    assigned: list[Assigned] = []
     for m in OPERATOR.finditer(text):
         name = _name(text, m.start())
         if name is None:
             continue
-        value: list[tuple[int, int]] = []
+        parts: list[tuple[int, int] | int] = []
         for start, end, quoted in _literal(text, m.end())[0]:
             word = text[start:end]
             if not quoted and IDENTIFIER.match(word) and word in constants:
-                value += constants[word]
+                parts.append(constants[word])
             else:
-                value.append((start, end))
-        if not value:
+                parts.append((start, end))
+        if not parts:
             continue
-        constants[name] = value[:MOST_PIECES]
-        weight = name_weight(name)
-        if weight:
-            score = weight * literal_weight("".join(text[a:b] for a, b in value))
-            if score >= THRESHOLD:
-                for a, b in value:
-                    if b > a and ((a, b) not in out or out[a, b].score < score):
-                        out[a, b] = Span("lexed", a, b, name, round(score, 4))
-    return list(out.values())
+        constants[name] = len(assigned)
+        assigned.append(Assigned(name, parts))
+    weights = {k: w for k, a in enumerate(assigned) if (w := name_weight(a.name))}
+    values = _values(text, assigned, list(weights))
+    best = {k: (score, -k) for k, w in weights.items() if (score := w * values[k].weight()) >= THRESHOLD}
+    out: dict[tuple[int, int], tuple[float, int]] = {}
+    for k in range(len(assigned) - 1, -1, -1):  # from values to what they are added up from
+        if k in best:
+            for p in assigned[k].parts:
+                into = best if isinstance(p, int) else out
+                into[p] = max(into.get(p, best[k]), best[k])
+    return [Span("lexed", a, b, assigned[-k].name, round(score, 4)) for (a, b), (score, k) in out.items() if b > a]
 
 
 def scan(text: str) -> list[Span]:

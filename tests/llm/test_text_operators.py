@@ -88,6 +88,21 @@ def test_lexer_leaves_plain_text_alone(text):
     assert not [s for s in secrets.lexed_spans(text)]
 
 
+def test_every_piece_of_a_long_constant_is_reported():
+    r = random.Random(8)
+    pieces = ["".join(r.choices("abcXYZ0189+", k=5)) for _ in range(300)]
+    text = "k = " + " + ".join(f'"{p}"' for p in pieces[:150]) + "\n"
+    text += "".join(f'k = k + "{p}"\n' for p in pieces[150:]) + "secret = k\n"
+    found = sorted(secrets.lexed_spans(text), key=lambda s: s.start)
+    assert [text[s.start : s.end] for s in found] == pieces
+    assert {(s.name, s.score) for s in found} == {("secret", round(secrets.literal_weight("".join(pieces)), 4))}
+
+
+def test_a_constant_that_doubles_is_followed():
+    text = 'a0 = "9fQ2xL7p"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(2000)) + "token = a2000 + 'tail'"
+    assert {text[s.start : s.end] for s in secrets.lexed_spans(text)} == {"9fQ2xL7p", "tail"}
+
+
 @pytest.mark.parametrize("name", [*secrets.SENSITIVE, "encryption_key", "SIGNING_KEY", "sshKey", "password-salt"])
 def test_a_strong_literal_is_reported_for_every_listed_name(name):
     for value in ("9fQ2xL7pTz4W", "8f3a91bc02de77a5", "Zm9v+YmFy/cXV4"):
