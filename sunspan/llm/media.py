@@ -15,7 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunspan.llm._arrow import add_columns, texts
@@ -148,6 +149,7 @@ class Stream:
     table_bytes: int | None = None
     toc: bytes | None = None
     payload: bytes | None = None
+    missing: int | None = None  # bytes that the payload is shorter than was stored
 
     @property
     def seconds(self) -> float:
@@ -167,7 +169,10 @@ def _checksum_ok(data: bytes, at: int, h: Header) -> bool | None:
 
 
 def read(data: bytes) -> Stream:
-    """What a stream holds. Bytes that are no frame are skipped up to a header that another one, or the end, follows."""
+    """What a stream holds. Bytes that are no frame are skipped up to a header that another one, or the end, follows.
+
+    A tag at the end counts only where no frame reaches over it: audio or payload may hold its three letters.
+    """
     out, at, end, length = Stream(), 0, len(data), None
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         size = 10 + sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
@@ -176,13 +181,16 @@ def read(data: bytes) -> Stream:
             length = struct.unpack_from(">QQ", data, found + len(OWNER))[1]
         out.tag_bytes += size
         at += size
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tag_bytes += 128
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     pieces, good, first = [], False, True
     while at < end:
+        if at == tag:
+            out.tag_bytes += 128
+            break
         h = header(data[at : at + 4])
-        if h and at + h.length <= end and (good or at + h.length == end or header(data[at + h.length : at + h.length + 4])):
+        after = at + h.length if h else 0
+        sure = good and not at < tag < after  # a frame over what may be a tag says itself that it is none
+        if h and after <= end and (sure or after in (tag, end) or header(data[after : after + 4])):
             good = True
             extra = 2 if h.protected else 0
             body = at + 4 + extra + h.side
@@ -211,10 +219,12 @@ def read(data: bytes) -> Stream:
         good = False
         nxt = data.find(b"\xff", at + 1, end)
         nxt = nxt if nxt >= 0 else end
+        nxt = min(nxt, tag) if at < tag else nxt
         out.skipped += nxt - at
         at = nxt
     if length is not None:
         out.payload = b"".join(pieces)[:length]
+        out.missing = length - len(out.payload)
     return out
 
 
@@ -235,6 +245,7 @@ def store_text(df: DataFrame, text_col: str, media_col: str = "media", bytes_col
 
 FIELDS = [
     T.StructField("payload", T.BinaryType()),
+    T.StructField("payload_missing", T.LongType()),
     T.StructField("samples", T.LongType()),
     T.StructField("sample_rate", T.IntegerType()),
     T.StructField("duration_s", T.DoubleType()),
@@ -252,13 +263,15 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` with what each stream holds (the columns in FIELDS, which replace input columns of these names).
 
     payload is null unless the stream was made by store_text(); a null or empty stream has no frames and duration 0.
-    Damage never raises: frames that cannot be found count as skipped bytes, wrong checksums as crc_bad.
+    Damage never raises here: frames that cannot be found count as skipped bytes, wrong checksums as crc_bad, and what
+    the payload lacks of its stored size as payload_missing; whole_payload() raises where that is more than 0.
     """
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         s = [read(x or b"") for x in batch.column(media_col).to_pylist()]
         return {
             "payload": pa.array([x.payload for x in s], pa.binary()),
+            "payload_missing": pa.array([x.missing for x in s], pa.int64()),
             "samples": pa.array([x.samples for x in s], pa.int64()),
             "sample_rate": pa.array([x.rate for x in s], pa.int32()),
             "duration_s": pa.array([x.seconds for x in s], pa.float64()),
@@ -272,3 +285,8 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
         }
 
     return add_columns(df, fn, FIELDS, [media_col])
+
+
+def whole_payload() -> Column:
+    """The payload of read_media(); an error where it is shorter than was stored."""
+    return F.when(F.col("payload_missing") > 0, F.raise_error("payload is shorter than its stored size").cast("binary")).otherwise(F.col("payload"))

@@ -102,7 +102,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = stored(media.store_text(docs, "text"), "media")
-    read = media.read_media(kept)
+    read = media.read_media(kept).withColumn("payload", media.whole_payload())
     return read.select(
         "doc_id",
         "n_bytes",

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sunspan.llm import bpe, jaccard, media, secrets, substring
 
@@ -160,6 +161,29 @@ def test_media_survives_damage():
     assert media.read(whole + b"TAG" + bytes(125)).skipped == 0
 
 
+@pytest.mark.parametrize("size", [64, 128, 937, 1000, 937 * 3, 937 * 3 + 100, 937 * 5])
+def test_media_payload_may_hold_the_letters_of_a_tag(size):
+    hit = 0
+    for at in range(max(0, size - 500), size - 3):
+        data = b"a" * at + b"TAG" + b"b" * (size - at - 3)
+        stream = media.write(data)
+        hit += stream[-128:-125] == b"TAG"
+        found = media.read(stream)
+        assert found.payload[:size] == data and found.missing == found.skipped == 0
+        tagged = media.read(stream + b"TAG" + bytes(125))
+        assert tagged.payload == found.payload and tagged.skipped == 0 and tagged.tag_bytes == found.tag_bytes + 128
+    assert hit or size == 64
+
+
+def test_media_notices_a_short_payload(spark):
+    df = media.store_text(frame(spark, ["x" * 3000]), "text")
+    cut = df.withColumn("media", F.expr("substring(media, 1, 2000)"))
+    assert [r.payload_missing > 0 for r in media.read_media(cut).collect()] == [True]
+    assert len(media.read_media(df).select(media.whole_payload().alias("p")).first().p) == 3008
+    with pytest.raises(Exception, match="shorter than its stored size"):
+        media.read_media(cut).select(media.whole_payload()).collect()
+
+
 def test_media_columns(spark):
     rows = media.read_media(media.store_text(frame(spark, ODD), "text")).collect()
     for r in rows:
