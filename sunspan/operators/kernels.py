@@ -262,7 +262,7 @@ def deduplicate(detections: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rank = np.where(pdf["kind"] == "existing_pv", 0, np.where(pdf["source"] == "manual", 1, 2))
-        pdf = pdf.assign(rank=rank).sort_values(["rank", "object_id"])
+        pdf = pdf.assign(rank=rank, height_m=pdf["height_m"].astype(float)).sort_values(["rank", "object_id"])
         kept: list[dict] = []
         for r in pdf.itertuples(index=False):
             box = (r.x0, r.y0, r.x1, r.y1)
@@ -274,7 +274,7 @@ def deduplicate(detections: DataFrame) -> DataFrame:
                     k["kinds"].add(r.kind)
                     if same:
                         k["boxes"].append(box)
-                        k["height"] = np.nanmax([k["height"], r.height_m]) if not (pd.isna(k["height"]) and pd.isna(r.height_m)) else None
+                        k["height"] = np.fmax(k["height"], r.height_m)
                     break
             else:
                 kept.append({"id": r.object_id, "kind": r.kind, "boxes": [box], "sources": {r.source}, "kinds": {r.kind}, "height": r.height_m})

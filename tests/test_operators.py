@@ -170,6 +170,14 @@ def test_detections_merge_within_a_kind_only(spark):
     assert kept == {1: ("image+yolo", "existing_pv+skylight", 1.0), 4: ("map", "skylight", 0.5), 5: ("map", "chimney", 2.0)}
 
 
+def test_heights_of_joined_objects_may_be_unknown(spark):
+    rows = [(i, 1, "chimney", "map", None, 0.0, 0.0, 2.0, 2.0, h) for i, h in enumerate([None, None, 1.0, None, 0.5])]
+    rows += [(9, 2, "chimney", "map", None, 0.0, 0.0, 2.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "object_id long, capture_id long, kind string, source string, confidence double, x0 double, y0 double, x1 double, y1 double, height_m double")
+    got = {r.capture_id: r for r in kernels.deduplicate(df).collect()}
+    assert got[1].height_m == 1.0 and got[1].area == 4.0 and got[2].height_m is None
+
+
 def test_tree_walk_and_siblings(spark):
     tree = spark.createDataFrame([(1, None, True), (2, 1, True), (3, 1, False), (4, 3, True), (5, 2, True)], "id long, parent long, covers boolean")
     assert {(r.id, r.level) for r in graph.walk_tree(tree, 1).collect()} == {(1, 0), (2, 1), (5, 2)}
