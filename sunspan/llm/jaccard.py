@@ -1,20 +1,23 @@
 """N-gram Jaccard join by signature trees.
 
 A document is the set of its distinct shingles of K words. Documents of one set are one class; a class takes part by
-its smallest document. The hash range of shingles is cut into BINS bins; the least hash of each, in bands of ROWS bins,
-gives the keys by which classes meet: two sets of similarity 0.75 share none of the 80 keys with a probability below
-1e-13, whatever their sizes. Keys only bring classes together; links are decided by the sets themselves:
+its smallest document. Shingles have one order for all sets: rare ones first, as far as a table of fixed size tells,
+then by hash. Of a set of n shingles any set that it is linked with holds percent * n / 100 at least, so both hold one
+of the first n - ceil(percent * n / 100) + 1 of either: these are the keys by which classes meet, and no link is lost.
+The order decides how many classes meet, never which links are found.
 
 1. Each class is compared with the class that leads most where they share a key (the one whose keys most others have,
    as the original of many copies does), and then with the leads of its other keys, unless links join them already.
-   This joins up groups of near copies of any size with a few comparisons for each member.
-2. Where a key still spans several components, its classes are put in a signature tree. Its nodes hold the OR of token
-   bitmaps, the range of set sizes and the component, if there is but one. Pairs of nodes are walked down together and
-   left where sizes, components or the largest overlap that the bitmaps allow rule a link out. What remains is compared.
+   This only sets the order of work: it joins up groups of near copies of any size with a few comparisons for each
+   member, so that the trees need not walk through pairs inside such a group.
+2. Where a key spans several components, its classes are put in signature trees. Nodes hold the OR of token bitmaps,
+   the range of set sizes and the component, if there is but one. Pairs of nodes are walked down together and left
+   where sizes, components or the largest overlap that the bitmaps allow rule a link out. What remains is compared.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +29,13 @@ from sunspan.llm._arrow import release, slices, stored
 from sunspan.llm._graph import components
 from sunspan.llm._words import Words, mix, sequence_hashes
 
-ROWS, BANDS = 4, 80
-BINS = ROWS * BANDS
 #: Classes of one key that a tree holds; more are dealt over trees for pairs of blocks.
 BLOCK = 4096
 FANOUT = 8
-_BIN_FACTORS = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
+#: Slots of the table that tells frequent shingles: a byte each, whatever the input.
+SLOT_BITS = 20
+#: A slot counts as frequent from so many times the average, and from so many documents of a task and of all.
+FREQUENT, LEAST_IN_TASK, LEAST_IN_ALL = 4, 8, 64
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -58,30 +62,54 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """The keys of a set's bands that hold a shingle."""
-    bins = ((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1])) if len(s) else np.empty(0, dtype=np.int64)
-    least = np.zeros(BINS, dtype=np.uint64)
-    least[bins[first]] = mix(s[first]) * _BIN_FACTORS[bins[first]]
-    used = np.zeros(BINS, dtype=bool)
-    used[bins[first]] = True
-    keys = mix(least.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return keys[used.reshape(BANDS, ROWS).any(axis=1)].view(np.int64)
+def slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _sketches(k: int):
+def prefix_keys(s: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, one of which every set that it is linked with has among its own first ones."""
+    n = len(s) + percent * len(s) // -100 + 1 if len(s) else 0
+    rank = ranks[slots(s)]
+    return (s[np.lexsort((s, rank))[:n]] if rank.any() else s[:n]).view(np.int64)
+
+
+def frequencies(texts: DataFrame, k: int) -> bytes:
+    """For each slot, how often its shingles occur: 0, or 1 and more with each doubling. At most a row per slot is collected."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for b in slices(batches):
+            sets = shingle_sets([x or "" for x in b.column("text").to_pylist()], k)
+            table += np.bincount(slots(np.concatenate(sets)), minlength=len(table))
+        total = int(table.sum())
+        high = np.flatnonzero(table >= max(LEAST_IN_TASK, FREQUENT * total / len(table)))
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *high.tolist()], pa.int64()), "n": pa.array([total, *table[high].tolist()], pa.int64())})
+        release()
+
+    counted = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counted.where(f"slot < 0 or n >= {LEAST_IN_ALL}").toArrow()
+    slot, n = found["slot"].to_numpy(), found["n"].to_numpy()
+    least = max(LEAST_IN_ALL, FREQUENT * int(n[slot < 0].sum()) / (1 << SLOT_BITS))
+    hot = (slot >= 0) & (n >= least)
+    ranks = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    ranks[slot[hot]] = 1 + np.log2(n[hot] / least).astype(np.uint8)
+    return zlib.compress(ranks.tobytes())
+
+
+def _sketches(k: int, percent: int, packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
         for b in slices(batches):
             sets = shingle_sets([x or "" for x in b.column("text").to_pylist()], k)
             sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)), len(s)) for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": b.column("id"),
+                    "version": b.column("version"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "same": pa.array([b"".join(x.to_bytes(8, "little") for x in y) for y in sums], pa.binary()),
                     "bits": pa.array([bitmap(s) for s in sets], pa.binary()),
-                    "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                    "keys": pa.array([prefix_keys(s, ranks, percent) for s in sets], pa.list_(pa.int64())),
                 }
             )
             del b, sets
@@ -177,8 +205,8 @@ def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
 def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Of rows (id, size, bitmap, component, block), pairs of ids that may be linked: of one block, or of two different.
 
-    Sizes of linked sets are within 4 to 3, so their bitmaps have one width or one that is twice the other; there is a
-    tree for each width (and block).
+    Sizes of linked sets differ by a factor of 2 at most, so their bitmaps have one width or one that is twice the
+    other; there is a tree for each width (and block).
     """
     rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[3], r[1], r[0]))
     apart = len({r[4] for r in rows}) > 1
@@ -207,29 +235,50 @@ def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 
 
 def _candidates(percent: int):
-    """Rows sorted by key, left and right block to pairs that trees cannot rule out, each at the least key that it shares."""
+    """Rows sorted by key, left and right block to pairs that trees cannot rule out."""
 
-    def solve(rows: list[tuple], key: int) -> list[tuple[int, int]]:
-        keys = {r[0]: set(r[5]) for r in rows}
-        return [(a, b) for a, b in tree_pairs([r[:5] for r in rows], percent) if min(keys[a] & keys[b]) == key]
+    def made(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         key, rows = None, []
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "one", "two", "id", "n", "bits", "component", "block", "keys")]
+            columns = [b.column(c).to_pylist() for c in ("key", "one", "two", "id", "n", "bits", "component", "block")]
             for k, one, two, *row in zip(*columns, strict=True):
                 if (k, one, two) != key:
                     if len(rows) > 1:
-                        found.update(solve(rows, key[0]))
+                        found.update(tree_pairs(rows, percent))
                     key, rows = (k, one, two), []
                 rows.append(tuple(row))
             if len(found) > 100_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+                yield made(found)
                 found = set()
         if len(rows) > 1:
-            found.update(solve(rows, key[0]))
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            found.update(tree_pairs(rows, percent))
+        yield made(found)
+
+    return run
+
+
+def _possible(percent: int):
+    """Pairs with sizes and bitmaps of both sides to those that these do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n = [b.column(f"n_{x}").to_numpy() for x in "ab"]
+            bits = [b.column(f"bits_{x}").to_pylist() for x in "ab"]
+            widths = np.array([[len(x) for x in side] for side in bits]).min(axis=0)
+            keep = np.zeros(b.num_rows, dtype=bool)
+            for width in np.unique(widths).tolist():  # both sides at the width of the narrower one
+                at = np.flatnonzero(widths == width)
+                one, two = (_folded([side[i] for i in at], width) for side in bits)
+                left, right = n[0][at], n[1][at]
+                extra = [size - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for size, x in ((left, one), (right, two))]
+                most = np.minimum(np.minimum(left, right), np.bitwise_count(one & two).sum(axis=1, dtype=np.int64) + np.minimum(*extra))
+                keep[at] = (100 + percent) * most >= percent * (left + right)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 
@@ -247,63 +296,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_linked(k, percent), "a long, b long")
 
 
+def _led(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that sizes and bitmaps do not rule out."""
+    for x in "ab":
+        pairs = pairs.join(sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    pairs = pairs.where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
+    return pairs.mapInArrow(_possible(percent), "a long, b long")
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """id, n_shingles, class_id and component_id of each document.
 
-    Two documents are linked when 100 * intersection >= percent * union of their sets; percent is at least 75, for
-    which the keys are chosen. class_id is the smallest document with the same set, component_id the smallest that
-    links reach, itself included. A-Z are lower-cased, other letters are not. A text that is null, empty or has no
-    words is an empty set: it is linked with nothing and a class of its own. Equal sets are linked (similarity 1), so
-    ties go to the smallest id. Repeated rows of one id count once if they have one text; of several texts that with
-    the greatest set digest counts. Rows without an id are left out. Other columns are not read; an empty table stays
-    empty. Links are decided on 64-bit hashes of shingles.
+    Two documents are linked when 100 * intersection >= percent * union of their sets; percent is from 50 to
+    100, so that their sizes differ by a factor of 2 at most. class_id is the smallest document with the same set,
+    component_id the smallest that links reach, itself included.
+    A-Z are lower-cased, other letters are not. A text that is null, empty or has no words is an empty set: it is
+    linked with nothing and a class of its own. Equal sets are linked (similarity 1), so ties go to the smallest id.
+    Repeated rows of one id count once if they have one text; of several texts that with the greatest set digest
+    counts. Very long texts have as many keys as their sets ask for. Rows without an id are left out. Other columns
+    are not read; an empty table stays empty. Links are decided on 64-bit hashes of shingles.
     """
-    if percent < 75:
-        raise ValueError("keys are chosen for a similarity of 0.75 or more")
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    sketches = texts.mapInArrow(_sketches(k), "id long, n long, same binary, bits binary, keys array<long>")
+    texts = texts.withColumn("version", F.xxhash64("text"))
+    sketches = texts.mapInArrow(_sketches(k, percent, frequencies(texts, k)), "id long, version long, n long, same binary, bits binary, keys array<long>")
     sketches = stored(sketches, "sketches")
-    classes = sketches.where("n > 0").groupBy("same").agg(F.min("id").alias("class_id"))
-    sets = sketches.groupBy("id").agg(F.max(F.struct("same", "n")).alias("s")).select("id", "s.same", "s.n")
-    owned = stored(sets.join(classes, "same", "left").select("id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id")), "classes")
-    heads = owned.where("id = class_id and n > 0").select("id")
-
-    met = sketches.select("id", "keys").join(heads, "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    sets = sketches.groupBy("id").agg(F.max(F.struct("same", "n", "version")).alias("s")).select("id", "s.same", "s.n", "s.version")
+    classes = stored(sketches.where("n > 0").groupBy("same").agg(F.min("id").alias("class_id")), "classes")
+    # an empty set has no class to be looked up, and a key of its own so that they do not meet in one task
+    sets = sets.withColumn("same", F.when(F.col("n") > 0, F.col("same")).otherwise(F.col("id").cast("string").cast("binary")))
+    owned = stored(sets.join(classes, "same", "left").select("id", "n", "version", F.coalesce("class_id", "id").alias("class_id")), "owned")
+    heads = owned.where("id = class_id and n > 0").select("id", "version")
+    sketches = sketches.join(heads, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+    sketches = stored(sketches.select("id", "version", "n", "bits", "keys"), "heads")
+
+    met = sketches.select("id", F.explode("keys").alias("key"))
     shared = met.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
     met = stored(met.join(shared, "key"), "met")
     # a class that many others are copies of has the keys that most of them kept: it leads where it takes part
-    weight = met.groupBy("id").agg(F.sum("members").alias("weight"))
+    weight = stored(met.groupBy("id").agg(F.sum("members").alias("weight")), "weight")
+    meeting = sketches.select("id", "version").join(weight, "id", "left_semi")
+    texts = stored(texts.join(meeting, ["id", "version"], "left_semi").select("id", "text"), "texts")
     weighed = stored(met.select("key", "id").join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")), "weighed")
-    leads = weighed.groupBy("key").agg(F.max("rank").alias("lead"))
-    led = stored(weighed.join(leads, "key").select("key", "id", "lead"), "led")
-    first = led.where(F.col("id") != -F.col("lead.minus")).groupBy("id").agg(F.max("lead").alias("lead"))
-    near = stored(_verified(_pairs("lead", first), texts, k, percent).distinct(), "near")
+    leads = stored(weighed.groupBy("key").agg(F.max("rank").alias("lead")), "leads")
+    led = weighed.join(leads, "key").where(F.col("id") != -F.col("lead.minus")).select("id", "lead").distinct()
+    led = stored(led, "led")
+    first = stored(_pairs("lead", led.groupBy("id").agg(F.max("lead").alias("lead"))).distinct(), "first")
+    near = stored(_verified(_led(first, sketches, percent), texts, k, percent).distinct(), "near")
     joined = components(near)
     # once more with the leads of all keys that still span several components, a pair for each member at most
     other = joined.withColumnsRenamed({"id": "b", "component": "theirs"})
-    again = _pairs("lead", led.where(F.col("id") != -F.col("lead.minus")).select("id", "lead").distinct())
+    again = _pairs("lead", led).distinct()
     again = again.join(joined.withColumnsRenamed({"id": "a", "component": "mine"}), "a", "left").join(other, "b", "left")
-    again = again.where(F.coalesce("mine", "a") != F.coalesce("theirs", "b")).select("a", "b")
-    again = again.join(stored(_pairs("lead", first), "compared"), ["a", "b"], "left_anti")
-    near = stored(near.unionByName(_verified(again, texts, k, percent)).distinct(), "near")
+    again = again.where(F.coalesce("mine", "a") != F.coalesce("theirs", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    near = stored(near.unionByName(_verified(_led(again, sketches, percent), texts, k, percent)).distinct(), "near")
     joined = components(near)
 
     placed = met.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = stored(placed, "placed")
     spans = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest"),
     ).where("low < high")
     once = spans.groupBy("members", "digest").agg(F.min("key").alias("key"))  # keys of the same classes need one tree
-    once = once.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = stored(placed.join(once, "key"), "members")
-    own = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # BANDS at most
-    members = members.join(own.join(sketches.select("id", "n", "bits"), "id"), "id")
+    once = stored(once.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "trees")
+    members = placed.join(once, "key").join(sketches.select("id", "n", "bits"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "bits", "component", "block", "keys")
+    members = members.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "bits", "component", "block")
     members = members.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     rest = stored(members.mapInArrow(_candidates(percent), "a long, b long").distinct(), "rest")
-    more = _verified(rest, texts, k, percent)
-    whole = components(near.unionByName(more))
+    whole = components(near.unionByName(_verified(rest, texts, k, percent)))
     ids = owned.join(whole.withColumnRenamed("id", "class_id"), "class_id", "left")
     return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -318,7 +319,44 @@ def test_jaccard_odd_rows(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(1, 0, 1), (2, 0, 2), (3, 2, 3)]
     assert jaccard.similar_documents(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
-        jaccard.similar_documents(df, percent=50)
+        jaccard.similar_documents(df, percent=40)
+
+
+def test_jaccard_prefixes_of_linked_sets_meet():
+    r = random.Random(3)
+    ranks = np.zeros(1 << jaccard.SLOT_BITS, dtype=np.uint8)
+    ranks[:: 3] = 1
+    ranks[:: 7] = 2
+    for n in [*range(1, 40), 200, 1000]:
+        for _ in range(20):
+            s = np.unique(np.array([r.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+            gone = r.randrange(n // 4 + 1)
+            t = np.delete(s, r.sample(range(len(s)), gone))
+            more = np.array([r.getrandbits(64) for _ in range(r.randrange(n // 3 + 2))], dtype=np.uint64)
+            t = np.unique(np.concatenate([t, more]))
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= 75 * (len(s) + len(t) - both):
+                assert set(jaccard.prefix_keys(s, ranks, 75)) & set(jaccard.prefix_keys(t, ranks, 75))
+
+
+def test_jaccard_of_all_short_texts_equals_brute_force(spark):
+    texts = [" ".join(w) for n in range(1, 9) for w in itertools.islice(itertools.product("abc", repeat=n), 0, 200)]
+    texts += [" ".join(f"w{j}" for j in range(i, i + 7 + i % 3)) for i in range(0, 60, 1)]  # three of four shingles in common
+    rows = jaccard.similar_documents(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_hand(texts)
+
+
+def test_jaccard_of_very_long_and_repeated_texts(spark, monkeypatch):
+    long = shuffled_words(20_000, 1, 50_000)
+    near = list(long)
+    near[::40] = [f"other{i}" for i in range(500)]
+    texts = [" ".join(long), " ".join(near), " ".join(long[:14_000]), "same " * 30_000, "same " * 40, None] + ["copy of one text with a few words"] * 30
+    rows = jaccard.similar_documents(frame(spark, texts)).collect()
+    want = components_by_hand(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and want[1][1] == 0 and want[2][1] == 2
+    for name in ("LEAST_IN_TASK", "LEAST_IN_ALL"):  # the order of shingles decides no link
+        monkeypatch.setattr(jaccard, name, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(frame(spark, texts)).collect()} == want
 
 
 def test_digests_are_of_the_whole_text(spark):
