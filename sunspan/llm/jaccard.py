@@ -73,20 +73,35 @@ def prefix_keys(s: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     return (s[np.lexsort((s, rank))[:n]] if rank.any() else s[:n]).view(np.int64)
 
 
-def frequencies(texts: DataFrame, k: int) -> bytes:
-    """For each slot, how often its shingles occur: 0, or 1 and more with each doubling. At most a row per slot is collected."""
+def _sketches(k: int):
+    """A row for each text, and then rows (slot, n) of the slots that many sets of the task have; slot -1 has their sum."""
+    names = ("id", "version", "n", "same", "bits", "slot")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(**columns: list) -> pa.RecordBatch:
+        size = len(columns["n"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types, strict=True)], names=list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for b in slices(batches):
             sets = shingle_sets([x or "" for x in b.column("text").to_pylist()], k)
             table += np.bincount(slots(np.concatenate(sets)), minlength=len(table))
+            sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)), len(s)) for s in sets]
+            same = [b"".join(x.to_bytes(8, "little") for x in y) for y in sums]
+            yield made(id=b.column("id"), version=b.column("version"), n=[len(s) for s in sets], same=same, bits=[bitmap(s) for s in sets])
+            del b, sets
         total = int(table.sum())
         high = np.flatnonzero(table >= max(LEAST_IN_TASK, FREQUENT * total / len(table)))
-        yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *high.tolist()], pa.int64()), "n": pa.array([total, *table[high].tolist()], pa.int64())})
+        yield made(slot=[-1, *high.tolist()], n=[total, *table[high].tolist()])
         release()
 
-    counted = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return run
+
+
+def _ranks(sketches: DataFrame) -> bytes:
+    """For each slot how frequent its shingles are: 0, or 1 and more with each doubling. A row per slot is collected at most."""
+    counted = sketches.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counted.where(f"slot < 0 or n >= {LEAST_IN_ALL}").toArrow()
     slot, n = found["slot"].to_numpy(), found["n"].to_numpy()
     least = max(LEAST_IN_ALL, FREQUENT * int(n[slot < 0].sum()) / (1 << SLOT_BITS))
@@ -96,23 +111,18 @@ def frequencies(texts: DataFrame, k: int) -> bytes:
     return zlib.compress(ranks.tobytes())
 
 
-def _sketches(k: int, percent: int, packed: bytes):
+def _keys(k: int, percent: int, packed: bytes):
+    """Texts to a row for each of their keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
         for b in slices(batches):
-            sets = shingle_sets([x or "" for x in b.column("text").to_pylist()], k)
-            sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)), len(s)) for s in sets]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": b.column("id"),
-                    "version": b.column("version"),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "same": pa.array([b"".join(x.to_bytes(8, "little") for x in y) for y in sums], pa.binary()),
-                    "bits": pa.array([bitmap(s) for s in sets], pa.binary()),
-                    "keys": pa.array([prefix_keys(s, ranks, percent) for s in sets], pa.list_(pa.int64())),
-                }
-            )
-            del b, sets
+            keys = [prefix_keys(s, ranks, percent) for s in shingle_sets([x or "" for x in b.column("text").to_pylist()], k)]
+            ids = np.repeat(b.column("id").to_numpy(), [len(x) for x in keys])
+            keys = np.concatenate(keys)
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"key": keys[at : at + (1 << 16)], "id": ids[at : at + (1 << 16)]})
+            del b, keys, ids
         release()
 
     return run
@@ -320,24 +330,23 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("percent is from 50 to 100")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     texts = texts.withColumn("version", F.xxhash64("text"))
-    sketches = texts.mapInArrow(_sketches(k, percent, frequencies(texts, k)), "id long, version long, n long, same binary, bits binary, keys array<long>")
-    sketches = stored(sketches, "sketches")
+    sketches = stored(texts.mapInArrow(_sketches(k), "id long, version long, n long, same binary, bits binary, slot long"), "sketches")
+    packed, sketches = _ranks(sketches), sketches.where("slot is null").drop("slot")
     sets = sketches.groupBy("id").agg(F.max(F.struct("same", "n", "version")).alias("s")).select("id", "s.same", "s.n", "s.version")
     classes = stored(sketches.where("n > 0").groupBy("same").agg(F.min("id").alias("class_id")), "classes")
     # an empty set has no class to be looked up, and a key of its own so that they do not meet in one task
     sets = sets.withColumn("same", F.when(F.col("n") > 0, F.col("same")).otherwise(F.col("id").cast("string").cast("binary")))
     owned = stored(sets.join(classes, "same", "left").select("id", "n", "version", F.coalesce("class_id", "id").alias("class_id")), "owned")
     heads = owned.where("id = class_id and n > 0").select("id", "version")
-    sketches = sketches.join(heads, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
-    sketches = stored(sketches.select("id", "version", "n", "bits", "keys"), "heads")
+    # repeated rows: a group of the columns by which they were joined asks for no other shuffle
+    texts = stored(texts.join(heads, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("text").alias("text")).select("id", "text"), "texts")
+    sketches = stored(sketches.join(heads, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).drop("version"), "heads")
 
-    met = sketches.select("id", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
+    met = texts.mapInArrow(_keys(k, percent, packed), "key long, id long")
+    shared = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     met = stored(met.join(shared, "key"), "met")
     # a class that many others are copies of has the keys that most of them kept: it leads where it takes part
     weight = stored(met.groupBy("id").agg(F.sum("members").alias("weight")), "weight")
-    meeting = sketches.select("id", "version").join(weight, "id", "left_semi")
-    texts = stored(texts.join(meeting, ["id", "version"], "left_semi").select("id", "text"), "texts")
     weighed = stored(met.select("key", "id").join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")), "weighed")
     leads = stored(weighed.groupBy("key").agg(F.max("rank").alias("lead")), "leads")
     led = weighed.join(leads, "key").where(F.col("id") != -F.col("lead.minus")).select("id", "lead").distinct()
