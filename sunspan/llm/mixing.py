@@ -2,9 +2,10 @@
 
 Time is a row of slots, each with room for one block. A source of weight w releases its k-th block (from 0) at slot
 floor(k / w) and wants it placed before slot ceil((k + 1) / w); in each slot the released block with the earliest
-deadline goes next. With weights in whole parts of a cycle the schedule repeats every cycle, so one cycle is scheduled
-and every block finds its slot by arithmetic. At every slot each source has less than one block more or less than its
-weight asks for.
+deadline goes next. Weights are whole millionths of their sum, and release times and deadlines are exact whole-number
+arithmetic, so at every slot of the schedule each source has less than one block more or less than its weight asks for.
+The schedule is as long as the sources last, up to SLOTS; a longer stream repeats it, and is off by less than one more
+block with each SLOTS slots.
 """
 
 from __future__ import annotations
@@ -12,8 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a cycle; weights are whole parts of it. It bounds the number of sources and what is broadcast.
-CYCLE = 1000
+#: Weights are whole parts, of so many for all sources.
+PARTS = 1_000_000
+#: Slots that are scheduled one by one; it bounds what is broadcast. A lesser weight than 2 in so many counts as that.
+SLOTS = 100_000
+#: Sources of a mix. Each slot looks at all of them.
+MOST_SOURCES = 4096
+#: Slots that are folded at once.
+FOLD = 500
 #: Rows that a range of a source is to hold; ranges number the rows of a source in parallel.
 RANGE_ROWS, LEAST_RANGES = 20_000, 64
 
@@ -23,12 +30,12 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def shares(counts: DataFrame, cycle: int = CYCLE, power: float = 0.5, targets: dict[str, float] | None = None) -> DataFrame:
-    """key, n_rows and quota from rows (key, n): the whole parts of a cycle that each source gets, which fill it.
+def parts(counts: DataFrame, power: float = 0.5, targets: dict[str, float] | None = None) -> DataFrame:
+    """key, n_rows and part from rows (key, n): each source's target weight in whole parts.
 
-    Target weights are ``targets`` by source name (a source that it lacks has weight 0) or, without it, the number of
-    rows to ``power``. Each source gets one part at least and the rest goes by largest remainder, ties to the lesser
-    key. There may be at most ``cycle`` sources; more raise an error.
+    Target weights are ``targets`` by source name or, without it, the number of rows to ``power``. A source whose
+    weight is missing, 0 or less than 2 in SLOTS counts with 2 in SLOTS, so that all rows get a slot. Without any
+    weight all sources weigh the same. More than MOST_SOURCES sources raise an error.
     """
     rows = counts.groupBy("key").agg(F.sum("n").alias("n_rows"))
     if targets is None:
@@ -37,37 +44,46 @@ def shares(counts: DataFrame, cycle: int = CYCLE, power: float = 0.5, targets: d
         weight = F.coalesce(F.create_map(*[F.lit(x) for s, w in targets.items() for x in ("=" + s, float(w))])[F.col("key")], F.lit(0.0))
     else:
         weight = F.lit(0.0)
-    every = Window.partitionBy(F.lit(1))  # a row per source, so at most a cycle of them
+    every = Window.partitionBy(F.lit(1))  # a row per source, MOST_SOURCES at most
     n, total = F.count(F.lit(1)).over(every), F.sum("weight").over(every)
-    free = F.when(n <= cycle, F.lit(cycle) - n).otherwise(F.raise_error(F.lit(f"more than {cycle} sources")).cast("long"))
-    exact = F.round(F.when(total > 0, F.col("weight") / total).otherwise(F.lit(1.0) / n) * free, 6)
-    out = rows.withColumn("weight", weight).withColumn("free", free).withColumn("exact", exact).withColumn("whole", F.floor("exact"))
-    rank = F.row_number().over(every.orderBy((F.col("exact") - F.col("whole")).desc(), "key"))
-    left = F.col("free") - F.sum("whole").over(every)
-    out = out.withColumn("rank", rank).withColumn("left", left)
-    return out.select("key", "n_rows", (1 + F.col("whole") + (F.col("rank") <= F.col("left")).cast("long")).cast("long").alias("quota"))
+    share = F.when(total > 0, F.col("weight") / total).otherwise(F.lit(1.0) / n)
+    part = F.greatest(F.round(share * PARTS).cast("long"), F.lit(-(-2 * PARTS // SLOTS)).cast("long"))
+    few = F.when(n <= MOST_SOURCES, part).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources")).cast("long"))
+    return rows.withColumn("weight", weight).select("key", "n_rows", few.alias("part"))
 
 
-def cycle_schedule(quotas: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """key, n_rows, quota, k and slot: the slot of each source's k-th block within the cycle.
+def schedule(weighed: DataFrame, block_rows: int = 16, slots: int = SLOTS) -> DataFrame:
+    """key, n_rows, k, slot, quota and length: the slot of each source's k-th block.
 
     In each slot, of the blocks that are released, that with the earliest deadline is placed, ties to the lesser key.
-    The cycle is folded in one row: ``cycle`` steps over an array with an entry per source, both bounded.
+    length is the number of slots, enough for all rows of each source but ``slots`` at most, and quota the number of
+    blocks that a source has in them. The slots are folded in one row, over an array with an entry per source; both
+    are bounded.
     """
-    listed = quotas.agg(F.sort_array(F.collect_list(F.struct("key", "n_rows", F.col("quota").alias("q")))).alias("all"))
-    fold = f"""
-        aggregate(sequence(0L, {cycle - 1}L),
-            named_struct('done', transform(all, x -> 0L), 'picked', cast(array() as array<int>)),
-            (acc, t) -> transform(
+    blocks = F.ceil(F.col("n_rows") / block_rows)
+    whole = F.sum("part").over(Window.partitionBy(F.lit(1)))
+    asked = weighed.withColumn("asked", F.ceil(blocks * whole / F.col("part")).cast("long")).withColumn("whole", whole)
+    listed = asked.groupBy("whole").agg(
+        F.sort_array(F.collect_list(F.struct("key", "n_rows", F.col("part").alias("p")))).alias("all"), F.least(F.max("asked"), F.lit(slots).cast("long")).alias("length")
+    )
+    step = """
+        aggregate(sequence(o * {fold}L, least(length, (o + 1L) * {fold}L) - 1L),
+            named_struct('done', acc.done, 'picked', cast(array() as array<bigint>)),
+            (one, t) -> transform(
                 array(array_min(transform(
-                    filter(sequence(0, size(all) - 1), i -> acc.done[i] * {cycle}L < (t + 1L) * all[i].q),
-                    i -> struct(cast(ceil(((acc.done[i] + 1L) * {cycle}L) / all[i].q) as bigint) as due, i as i))).i),
-                j -> named_struct('done', transform(acc.done, (d, i) -> if(i = j, d + 1L, d)), 'picked', concat(acc.picked, array(j))))[0])
+                    filter(sequence(0, size(all) - 1), i -> one.done[i] * whole < (t + 1L) * all[i].p),
+                    i -> struct(cast(ceil(((one.done[i] + 1L) * whole) / all[i].p) as bigint) as due, i as i))).i),
+                j -> named_struct('done', transform(one.done, (d, i) -> if(i = j, d + 1L, d)), 'picked', concat(one.picked, array(one.done[j] * 65536L + j))))[0])
+    """.format(fold=FOLD)
+    fold = f"""
+        aggregate(sequence(0L, cast(ceil(length / {FOLD}D) as bigint) - 1L),
+            named_struct('done', transform(all, x -> 0L), 'picked', cast(array() as array<array<bigint>>)),
+            (acc, o) -> transform(array({step}), r -> named_struct('done', r.done, 'picked', concat(acc.picked, array(r.picked))))[0])
     """
-    picked = listed.where(F.size("all") > 0).select("all", F.expr(fold)["picked"].alias("picked"))
-    slots = picked.select("all", F.posexplode("picked").alias("slot", "i")).select(F.expr("all[i]").alias("s"), F.col("slot").cast("long").alias("slot"))
-    slots = slots.select("s.key", "s.n_rows", F.col("s.q").alias("quota"), "slot")
-    return slots.withColumn("k", (F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1).cast("long"))
+    folded = listed.select("all", "length", F.expr(fold).alias("f"))
+    rows = folded.select("all", "length", "f.done", F.posexplode(F.flatten("f.picked")).alias("slot", "code"))
+    rows = rows.select(F.expr("all[cast(code % 65536 as int)]").alias("s"), F.expr("done[cast(code % 65536 as int)]").alias("quota"), "length", F.col("slot").cast("long").alias("slot"), F.expr("code div 65536").alias("k"))
+    return rows.select("s.key", "s.n_rows", "k", "slot", "quota", "length")
 
 
 def mix(
@@ -75,7 +91,6 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = 16,
-    cycle: int = CYCLE,
     power: float = 0.5,
     targets: dict[str, float] | None = None,
     seed: int = 0,
@@ -85,10 +100,11 @@ def mix(
     Rows of a source are put in the order of a digest of id and seed and cut into blocks of ``block_rows``. No row is
     dropped: where a source has run out its slots stay empty, and the others keep their weights to each other.
     mix_exact says whether the slot lies before the first empty one, so that the stream up to it follows the target
-    weights with less than one block's deviation. A null id is an id of its own; rows that repeat an id stay rows, in
-    any order among themselves; a null source is a source; input columns of these names are replaced, others pass
-    through; an empty table stays empty. Texts are moved once, to the tasks that number the rows of one range of one
-    source; a source with a third of all rows has as many ranges as its rows ask for.
+    weights with less than one block's deviation (see the module for more than SLOTS slots). A null id is an id of its
+    own; rows that repeat an id stay rows, in any order among themselves; a null source is a source; input columns of
+    these names are replaced, others pass through; an empty table stays empty. Rows are moved once, to the tasks that
+    number the rows of one range of one source; a source with a third of all rows has as many ranges as its rows ask
+    for.
     """
     kept = [c for c in df.columns if c not in ("mix_slot", "mix_pos", "mix_exact")]
     ranges = max(LEAST_RANGES, -(-df.select(F.lit(1)).count() // RANGE_ROWS))
@@ -98,11 +114,11 @@ def mix(
     rows = rows.withColumn("_mix_range", part)
 
     counts = rows.groupBy(F.col("_mix_source").alias("key"), F.col("_mix_range").alias("range")).agg(F.count(F.lit(1)).alias("n"))
-    plan = cycle_schedule(shares(counts, cycle, power, targets), cycle)
+    plan = schedule(parts(counts, power, targets), block_rows)
     blocks = F.ceil(F.col("n_rows") / block_rows)
-    empty = F.when(F.col("k") == blocks % F.col("quota"), F.floor(blocks / F.col("quota")) * cycle + F.col("slot"))
+    empty = F.when(F.col("k") == blocks % F.col("quota"), F.floor(blocks / F.col("quota")) * F.col("length") + F.col("slot"))
     plan = plan.withColumn("empty", F.min(empty).over(Window.partitionBy(F.lit(1))))
-    slots = plan.select(F.col("key").alias("_mix_source"), F.col("k").alias("_mix_k"), F.col("slot").alias("_mix_in_cycle"), F.col("empty").alias("_mix_empty"))
+    slots = plan.select(F.col("key").alias("_mix_source"), F.col("k").alias("_mix_k"), F.col("slot").alias("_mix_in_cycle"), F.col("empty").alias("_mix_empty"), F.col("length").alias("_mix_length"))
     ahead = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("key", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_mix_ahead"))
     offsets = offsets.join(F.broadcast(plan.where("k = 0").select("key", F.col("quota").alias("_mix_quota"))), "key")
@@ -113,8 +129,8 @@ def mix(
     placed = placed.withColumn("_mix_number", F.col("_mix_ahead") + F.col("_mix_rank"))
     placed = placed.withColumn("_mix_block", F.floor(F.col("_mix_number") / block_rows))
     placed = placed.withColumn("_mix_k", F.col("_mix_block") % F.col("_mix_quota"))
-    placed = placed.join(F.broadcast(slots), ["_mix_source", "_mix_k"])  # a row per slot of a cycle
-    slot = (F.floor(F.col("_mix_block") / F.col("_mix_quota")) * cycle + F.col("_mix_in_cycle")).cast("long")
+    placed = placed.join(F.broadcast(slots), ["_mix_source", "_mix_k"])  # a row per slot, SLOTS at most
+    slot = (F.floor(F.col("_mix_block") / F.col("_mix_quota")) * F.col("_mix_length") + F.col("_mix_in_cycle")).cast("long")
     return placed.select(
         *[F.col(f"`{c}`") for c in kept],
         slot.alias("mix_slot"),

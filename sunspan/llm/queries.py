@@ -51,32 +51,30 @@ WITH RECURSIVE docs AS (
            md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0') AS h
     FROM documents),
 counted AS (SELECT key, count(*) AS n_rows, pow(CAST(count(*) AS DOUBLE), 0.5) AS weight FROM docs GROUP BY key),
-ideal AS (
-    SELECT *, round(weight / sum(weight) OVER () * (1000 - count(*) OVER ()), 6) AS exact FROM counted),
-ranked AS (
-    SELECT *, 1000 - count(*) OVER () - sum(floor(exact)) OVER () AS left_over,
-           row_number() OVER (ORDER BY exact - floor(exact) DESC, key) AS rank FROM ideal),
-shares AS (
-    SELECT key, n_rows, CAST(1 + floor(exact) + CASE WHEN rank <= left_over THEN 1 ELSE 0 END AS BIGINT) AS q,
-           row_number() OVER (ORDER BY key) AS i FROM ranked),
-lists AS (SELECT list(q ORDER BY i) AS qs FROM shares),
-cycle(t, done, j) AS (
-    SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists
+parts AS (
+    SELECT key, n_rows, row_number() OVER (ORDER BY key) AS i,
+           greatest(CAST(round(weight / sum(weight) OVER () * 1000000) AS BIGINT), 20) AS p FROM counted),
+lists AS (
+    SELECT list(p ORDER BY i) AS ps, CAST(sum(p) AS BIGINT) AS whole,
+           least(100000, max(CAST(ceil(ceil(n_rows / 16.0) * (SELECT sum(p) FROM parts) / p) AS BIGINT))) AS length FROM parts),
+fold(t, done, j) AS (
+    SELECT CAST(-1 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM lists
     UNION ALL
-    SELECT t + 1, list_transform(range(1, len(qs) + 1), lambda i: CAST(done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)), pick
-    FROM (SELECT t, done, qs,
+    SELECT t + 1, list_transform(range(1, len(ps) + 1), lambda i: CAST(done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)), pick
+    FROM (SELECT t, done, ps,
                  list_min(list_transform(
-                     list_filter(range(1, len(qs) + 1), lambda i: done[i] * 1000 < (t + 2) * qs[i]),
-                     lambda i: CAST(ceil((done[i] + 1) * 1000.0 / qs[i]) AS BIGINT) * 10000 + i)) % 10000 AS pick
-          FROM cycle, lists WHERE t < 999)),
-slots AS (SELECT s.key, s.q, s.n_rows, c.t AS slot, row_number() OVER (PARTITION BY c.j ORDER BY c.t) - 1 AS k
-          FROM cycle c JOIN shares s ON s.i = c.j WHERE c.t >= 0),
+                     list_filter(range(1, len(ps) + 1), lambda i: done[i] * whole < (t + 2) * ps[i]),
+                     lambda i: ((done[i] + 1) * whole + ps[i] - 1) // ps[i] * 10000 + i)) % 10000 AS pick
+          FROM fold, lists WHERE t < length - 1)),
+slots AS (SELECT s.key, s.n_rows, l.length, f.t AS slot, row_number() OVER (PARTITION BY f.j ORDER BY f.t) - 1 AS k,
+                 count(*) OVER (PARTITION BY f.j) AS q
+          FROM fold f JOIN parts s ON s.i = f.j CROSS JOIN lists l WHERE f.t >= 0),
 first_empty AS (
-    SELECT min(floor(ceil(n_rows / 16.0) / q) * 1000 + slot) AS e FROM slots
+    SELECT min(floor(ceil(n_rows / 16.0) / q) * length + slot) AS e FROM slots
     WHERE k = CAST(ceil(n_rows / 16.0) AS BIGINT) % q),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, doc_id) - 1 AS number FROM docs),
 placed AS (
-    SELECT n.doc_id, n.source, CAST((n.number // 16) // s.q * 1000 + s.slot AS BIGINT) AS mix_slot,
+    SELECT n.doc_id, n.source, CAST((n.number // 16) // s.q * s.length + s.slot AS BIGINT) AS mix_slot,
            CAST(n.number % 16 AS BIGINT) AS mix_pos
     FROM numbered n JOIN slots s ON s.key = n.key AND s.k = (n.number // 16) % s.q)
 SELECT doc_id, source, mix_slot, mix_pos, mix_slot < e AS mix_exact FROM placed, first_empty
@@ -122,19 +120,32 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.page_digests(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-ORACLES["op7_warc"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
-SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
-       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-           CAST(1 + ((CAST('0x' || substr(p.h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS UBIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS BIGINT), 1)),
-           'string_agg', '') AS payload_digest,
-       CASE WHEN p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN p.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
-FROM p JOIN f ON p.html = f.html
+    records = warc.read_records(spark, path)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
+
+
+_UUID = "'urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-8' || {0}[14:16] || '-8' || {0}[18:20] || '-' || {0}[21:32]"
+_END = "chr(13) || chr(10)"
+ORACLES["op7_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, ''), '[\\r\\n]', '%0A', 'g') AS url,
+                  sha1(coalesce(html, '')) AS h, sha256(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT html, min(page_id) AS first_id, min_by(url, page_id) AS first_url FROM p GROUP BY html),
+d AS (SELECT p.*, f.first_id, f.first_url, octet_length(encode(p.html)) AS n, p.page_id <> f.first_id AS again,
+             sha256(p.page_id || '|' || p.s) AS mine, sha256(f.first_id || '|' || p.s) AS theirs,
+             list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 CAST(1 + ((CAST('0x' || substr(p.h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS UBIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS BIGINT), 1)),
+                 'string_agg', '') AS digest
+      FROM p JOIN f ON p.html = f.html)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to,
+       sha256('WARC/1.1' || {_END} || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || {_END}
+           || 'WARC-Record-ID: <' || {_UUID.format("mine")} || '>' || {_END} || 'WARC-Date: {warc.EPOCH}' || {_END} || 'WARC-Target-URI: ' || url || {_END}
+           || 'WARC-Payload-Digest: sha1:' || digest || {_END}
+           || CASE WHEN again THEN 'WARC-Profile: {warc.REVISIT_PROFILE}' || {_END} || 'WARC-Refers-To: <' || {_UUID.format("theirs")} || '>' || {_END}
+                || 'WARC-Refers-To-Target-URI: ' || first_url || {_END} || 'WARC-Refers-To-Date: {warc.EPOCH}' || {_END} ELSE '' END
+           || 'Content-Type: text/html' || {_END} || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || {_END} || {_END}
+           || CASE WHEN again THEN '' ELSE html END || {_END} || {_END}) AS record_sha256
+FROM d
 """
 
 

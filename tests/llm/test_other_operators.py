@@ -6,7 +6,7 @@ import base64
 import hashlib
 import math
 import random
-from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -23,16 +23,46 @@ def sources(spark, counts):
     return spark.createDataFrame(rows, "doc_id long, source string, mix_slot long")
 
 
-def test_cycle_deviates_by_less_than_a_block(spark):
-    quotas = spark.createDataFrame([("=a", 9, 500), ("=b", 9, 333), ("=c", 9, 120), ("=d", 9, 46), ("=e", 9, 1)], "key string, n_rows long, quota long")
-    rows = mixing.cycle_schedule(quotas).orderBy("slot").collect()
-    assert [r.slot for r in rows] == list(range(1000))
-    quota, done = {"=a": 500, "=b": 333, "=c": 120, "=d": 46, "=e": 1}, defaultdict(int)
-    for t, r in enumerate(rows, 1):
-        assert r.k == done[r.key]
+def edf(weights, length):
+    """Keys of the slots by hand: exact fractions, earliest deadline first."""
+    total, done, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(length):
+        free = [k for k in weights if Fraction(done[k] * total, weights[k]) < t + 1]
+        key = min(free, key=lambda k: (math.ceil(Fraction((done[k] + 1) * total, weights[k])), k))
+        out.append((key, done[key]))
+        done[key] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"=a": 900_000, **{f"=s{i:02}": 5_263 for i in range(19)}}, {"=a": 500, "=b": 333, "=c": 120, "=d": 46, "=e": 1}, {"=a": 7}])
+def test_every_slot_deviates_by_less_than_a_block_from_the_targets(spark, weights):
+    rows = [(k, 16 * (9000 * w // sum(weights.values())), w) for k, w in weights.items()]
+    got = mixing.schedule(spark.createDataFrame(rows, "key string, n_rows long, part long")).orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(got[0].length)) and len(got) >= 8990
+    assert [(r.key, r.k) for r in got] == edf(weights, len(got))
+    done, total = dict.fromkeys(weights, 0), sum(weights.values())
+    for t, r in enumerate(got, 1):
         done[r.key] += 1
-        assert all(abs(done[k] - t * q / 1000) < 1 for k, q in quota.items())
-    assert dict(done) == quota
+        assert all(abs(done[k] - Fraction(t * w, total)) < 1 for k, w in weights.items())
+    assert {r.key: r.quota for r in got} == done
+
+
+def test_parts_follow_the_targets(spark):
+    counts = spark.createDataFrame([("=a", 100), *((f"=s{i}", 50) for i in range(19)), ("", 3)], "key string, n long")
+    got = {r.key: r.part for r in mixing.parts(counts, targets={"a": 0.9, **{f"s{i}": 0.1 / 19 for i in range(19)}}).collect()}
+    assert got["=a"] == 900_000 and got["=s3"] == 5_263 and got[""] == 20
+    assert {r.part for r in mixing.parts(counts, targets={}).collect()} == {round(1_000_000 / 21)}
+    many = spark.range(mixing.MOST_SOURCES + 1).select(F.col("id").cast("string").alias("key"), F.lit(1).alias("n"))
+    with pytest.raises(Exception, match="more than 4096 sources"):
+        mixing.parts(many).collect()
+
+
+def test_a_longer_stream_repeats_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 50)
+    monkeypatch.setattr(mixing.schedule, "__defaults__", (16, 50))
+    df = sources(spark, {"a": 400, "b": 100, "c": 1})
+    rows = mixing.mix(df, block_rows=2).collect()
+    assert len({(r.mix_slot, r.mix_pos) for r in rows}) == 501 and max(r.mix_slot for r in rows) > 100
 
 
 def test_mix_keeps_every_row_and_follows_the_weights(spark):
@@ -62,7 +92,7 @@ def test_warc_round_trip(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha256", F.lit("clash"))
     path = shared_dir(spark, "test-warc")
     warc.write_archive(df, path)
-    rows = warc.page_digests(spark, path).collect()
+    rows = warc.read_records(spark, path).collect()
     assert sorted((r.id, r.record_type, r.refers_to or 0) for r in rows) == [(2, "response", 0), (2, "response", 0), (4, "revisit", 2), (7, "response", 0), (8, "response", 0), (9, "revisit", 8)]
     by = {i: (h or "").encode() for i, _, h in pages}
     for r in rows:
@@ -71,7 +101,12 @@ def test_warc_round_trip(spark):
         assert r.payload == by[r.id]
         head, _, _ = r.record.partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and head.count(b"\r\nWARC-Target-URI:") == 1
-        assert r.record.endswith((by[r.id] if r.record_type == "response" else b"") + b"\r\n\r\n")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        block = by[r.id] if r.record_type == "response" else b""
+        assert r.record == head + b"\r\n\r\n" + block + b"\r\n\r\n" and int(fields[b"Content-Length"]) == len(block)
+        assert fields[b"WARC-Record-ID"] == f"<{r.record_id}>".encode() and (b"WARC-Refers-To" in fields) == (r.record_type == "revisit")
+    own = {r.record_id: r.id for r in rows if r.record_type == "response"}
+    assert all(own[r.refers_id] == r.refers_to for r in rows if r.record_type == "revisit")
     assert spark.read.parquet(f"{path}/payloads").count() == 3
 
 
@@ -82,7 +117,7 @@ def test_warc_least_bytes_and_empty(spark):
     assert sorted((r.id, r.record_type) for r in warc.read_headers(spark, path).collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
     path = shared_dir(spark, "test-warc")
     warc.write_archive(df.limit(0), path)
-    assert warc.page_digests(spark, path).collect() == []
+    assert warc.read_records(spark, path).collect() == []
 
 
 def test_warc_notices_damage(spark):
@@ -92,6 +127,10 @@ def test_warc_notices_damage(spark):
     hurt.write.parquet(f"{path}-hurt/payloads")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_payloads(spark, f"{path}-hurt").collect()
+    spark.read.parquet(f"{path}/payloads").limit(0).write.parquet(f"{path}-lost/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-lost/headers")
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_records(spark, f"{path}-lost").collect()
 
 
 def clusters(n, size, seed=1, dim=16):
