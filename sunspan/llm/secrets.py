@@ -1,9 +1,10 @@
 """Secret scans by assignment-aware lexing.
 
 Three plain patterns give base spans (assign, access, hex). The lexer reads source and configuration syntax
-(``name = "literal"``, ``"name": literal``, ``name := literal``, ``name => literal``, ``name: literal``) into
-name-literal pairs, joins literals that are added up, follows names that stand for an earlier constant, and scores
-each literal by how sensitive the name is that it ends up in. Literals that score enough are spans of kind ``lexed``.
+(``name = "literal"``, ``"name": literal``, ``name := literal``, ``name => literal``, ``name: literal``, literals in
+triple quotes, ``<name>literal</name>``, and values that YAML has on the lines below a name) into name-literal pairs,
+joins literals and constants that are added up, follows names that stand for an earlier constant, and scores each
+literal by how sensitive the name is that it ends up in. Literals that score enough are spans of kind ``lexed``.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 OPERATOR = re.compile(r":=|=>|(?<![=!<>+\-*/%&|^~])=(?![=~])|:(?![:/=])")
 QUOTED = re.compile(r"""(?:[rRbBuUfF]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)""")
+TRIPLE = re.compile(r"""(?:[rRbBuUfF]{0,2})(\"{3}|'{3})((?:[^\\]|\\[\s\S])*?)\1""")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>]*?)\s*</\1\s*>", re.ASCII)
+BELOW = re.compile(r"[ \t]*(?:([|>])[-+0-9]*)?[ \t]*\r?\n")
+LINE = re.compile(r"([ \t]*)(?:- +)?([^\r\n]*?)[ \t]*(?:\r?\n|\Z)")
+KEY = re.compile(r"[\w.\"'-]+[ \t]*:(?:\s|\Z)")
 BARE = re.compile(r"(?:[^\s,;#\"'`(){}\[\]<>|=:]|:(?=//))+={0,2}")
 BLANK = re.compile(r"[ \t]*")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
@@ -132,22 +138,40 @@ def _name(text: str, end: int) -> str | None:
 
 def _literal(text: str, at: int) -> tuple[list[tuple[int, int, bool]], int]:
     """Pieces (start, end, quoted) of the value that starts at ``at``, and where it ends; pieces are joined by +."""
-    pieces = []
+    pieces: list[tuple[int, int, bool]] = []
     while True:
         at = BLANK.match(text, at).end()
-        if m := QUOTED.match(text, at):
+        if m := TRIPLE.match(text, at):
+            pieces.append((*m.span(2), True))
+        elif m := QUOTED.match(text, at):
             pieces.append((m.start(1) + 1, m.end(1) - 1, True))
-        elif m := BARE.match(text, at):
+        elif (m := BARE.match(text, at)) and (not pieces or IDENTIFIER.match(m[0])):
             pieces.append((*m.span(), False))
         else:
             return pieces, at
         at = m.end()
-        if not pieces[-1][2] or not (plus := PLUS.match(text, at)):
-            if not (pieces[-1][2] is False and (plus := PLUS.match(text, at)) and QUOTED.match(text, plus.end())):
-                return pieces, at
+        plus = PLUS.match(text, at)
+        if not plus or not (pieces[-1][2] or IDENTIFIER.match(text[slice(*pieces[-1][:2])])):
+            return pieces, at
         at = plus.end()
 
 
+def _below(text: str, name_at: int, at: int) -> list[tuple[int, int, bool]]:
+    """Pieces of a value on the lines below a YAML name: a block's lines, or the one plain or quoted value."""
+    begin = text.rfind("\n", 0, name_at) + 1
+    if text[begin:name_at].strip(" \t-\"'") or not (m := BELOW.match(text, at)):
+        return []
+    depth, block, at = len(text[begin:name_at].rstrip("-\"'")), m[1], m.end()
+    pieces: list[tuple[int, int, bool]] = []
+    while at < len(text) and (line := LINE.match(text, at)) and (len(line[1]) > depth or (block and not line[2])):
+        if not block:
+            return [] if KEY.match(line[2]) else _literal(text, line.start(2))[0]
+        if line[2]:
+            pieces.append((*line.span(2), True))
+        at = line.end()
+    return pieces
+
+
 class Assigned(NamedTuple):
     """A value as it is written: each part is a span of the text, or the number of the earlier value that it names."""
 
@@ -175,16 +199,24 @@ def lexed_spans(text: str) -> list[Span]:
     """Literals that end up in a sensitive name, each with the name that scores most, the first of equals."""
     constants: dict[str, int] = {}
     assigned: list[Assigned] = []
-    for m in OPERATOR.finditer(text):
-        name = _name(text, m.start())
-        if name is None:
-            continue
+    found = [(m.start(), m, None) for m in OPERATOR.finditer(text)]
+    if "</" in text:
+        found = sorted(found + [(m.start(), None, m) for m in ELEMENT.finditer(text) if m[2]], key=lambda x: x[0])
+    for _, m, element in found:
+        if element:
+            name, pieces = element[1], [(*element.span(2), True)]
+        else:
+            name, pieces = _name(text, m.start()), []
+            if name is not None:
+                pieces = _literal(text, m.end())[0]
+                if not pieces and m[0] == ":":
+                    pieces = _below(text, text.rfind(name, 0, m.start()), m.end())
         parts: list[tuple[int, int] | int] = []
-        for start, end, quoted in _literal(text, m.end())[0]:
+        for start, end, quoted in pieces:
             word = text[start:end]
             if not quoted and IDENTIFIER.match(word) and word in constants:
                 parts.append(constants[word])
-            else:
+            elif quoted or len(pieces) == 1:  # a name without a constant in a sum is no literal
                 parts.append((start, end))
         if not parts:
             continue
@@ -204,7 +236,7 @@ def lexed_spans(text: str) -> list[Span]:
 
 def scan(text: str) -> list[Span]:
     """All spans by start, then kind as listed in KINDS, then end."""
-    return sorted(base_spans(text) + (lexed_spans(text) if ":" in text or "=" in text else []), key=lambda s: (s.start, ORDER[s.kind], s.end))
+    return sorted(base_spans(text) + (lexed_spans(text) if ":" in text or "=" in text or "</" in text else []), key=lambda s: (s.start, ORDER[s.kind], s.end))
 
 
 SPANS = T.ArrayType(
@@ -237,7 +269,11 @@ def find_secrets(df: DataFrame, text_col: str, spans_col: str = "secret_spans")
 
 
 def redact(df: DataFrame, text_col: str, spans_col: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with each run of overlapping spans in ``text_col`` replaced by ``mark``; null texts stay null."""
+    """``df`` with each run of overlapping spans in ``text_col`` replaced by ``mark``.
+
+    Null and empty texts stay as they are; rows without spans too. Repeated rows are treated alike; other columns pass
+    through; an empty table stays empty.
+    """
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out = []

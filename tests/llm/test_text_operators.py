@@ -7,11 +7,15 @@ import itertools
 import os
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import assume, given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sunspan.llm import bpe, jaccard, media, secrets, substring
@@ -78,6 +82,13 @@ def test_segment_tree_is_lowest_rank_leftmost_first():
         ("KEY_A = 'abC9dE2fGh'\nauth_token = KEY_A", "abC9dE2fGh"),
         ('{"api_key": "Zq81mmK2xx9"}', "Zq81mmK2xx9"),
         ("clientSecret := `Q9x!a8s7d6f5`", "Q9x!a8s7d6f5"),
+        ('password = """hunter2Xy9secret"""', "hunter2Xy9secret"),
+        ("secret = r'''a\n9fQ2xL7pTz'''".replace("\n", ""), "a9fQ2xL7pTz"),
+        ("<password> 9fQ2xL7pTz4W </password>", "9fQ2xL7pTz4W"),
+        ("<a:api_key id='x'>9fQ2xL7pTz4W</a:api_key>", "9fQ2xL7pTz4W"),
+        ("db:\n  password:\n    9fQ2xL7pTz4W\n  user: x\n", "9fQ2xL7pTz4W"),
+        ('"password":\n    "9fQ2xL7pTz4W",\n', "9fQ2xL7pTz4W"),
+        ("- private_key: |\n    MIIBOgIBAAJB\n    AKj34Gkx9QwZ\n- next: 1\n", "AKj34Gkx9QwZ"),
     ],
 )
 def test_lexer_finds_literals_of_sensitive_names(text, literal):
@@ -85,7 +96,32 @@ def test_lexer_finds_literals_of_sensitive_names(text, literal):
     assert literal in found
 
 
-@pytest.mark.parametrize("text", ["the token: is good", "colour = 'blue sky'", "password = 'password'", "x == y; a != b", "url: http://host/path"])
+def test_constants_that_are_added_up_are_all_reported():
+    text = "a = 'abC9dE2f'\nb = 'Zq81mmK2'\nauth_token = a + b\n"
+    assert sorted(text[s.start : s.end] for s in secrets.lexed_spans(text)) == ["Zq81mmK2", "abC9dE2f"]
+    text = "a = 'abC9dE2f'\nauth_token = unknown + a + \"Zq81mmK2\"\n"
+    assert sorted(text[s.start : s.end] for s in secrets.lexed_spans(text)) == ["Zq81mmK2", "abC9dE2f"]
+
+
+FORMS = ("{n} = '{v}'", '{n} := "{v}"', '"{n}": "{v}"', "{n} => '{v}'", "{n}: {v}", "<{n}>{v}</{n}>", "{n}:\n  {v}", "{n}: |\n  {v}", '{n} = """{v}"""', "k = '{v}'\n{n} = k")
+
+
+@given(st.sampled_from(FORMS), st.sampled_from(["db_password", "authToken", "API_KEY", "client.secret"]), st.text("abcdefXYZ0123456789", min_size=16, max_size=40), st.text("xy\n", max_size=30))
+def test_lexed_spans_are_the_literals(form, name, value, around):
+    assume(len(set(value)) >= 10)
+    text = f"{around}\n{form.format(n=name, v=value)}\n{around}"
+    spans = secrets.lexed_spans(text)
+    assert [text[s.start : s.end] for s in spans] == [value] and spans[0].score >= secrets.THRESHOLD
+
+
+def test_lexing_takes_time_in_proportion():
+    for unit in ("password: |\n", 'x = """ ', "<token>", "k: ", "a = a + b + ", "secret = '", "  key:\n"):
+        began = time.process_time()
+        secrets.lexed_spans(unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 8, unit
+
+
+@pytest.mark.parametrize("text", ["<p>the password</p>", "secret:\n  name: value", "note: |\n  some plain words here\n", "token = a + b", "the token: is good", "colour = 'blue sky'", "password = 'password'", "x == y; a != b", "url: http://host/path"])
 def test_lexer_leaves_plain_text_alone(text):
     assert not [s for s in secrets.lexed_spans(text)]
 
@@ -190,11 +226,79 @@ def test_media_columns(spark):
     for r in rows:
         raw = (ODD[r.doc_id] or "").encode()
         assert r.n_bytes == len(raw) and r.payload[: len(raw)] == raw and len(r.payload) % 64 == 0 and r.payload
-        assert zlib.crc32(r.payload[-64:]) >= 0
     assert rows[9].media == rows[10].media
     assert media.store_text(frame(spark, []), "text").collect() == []
 
 
+def frames_by_hand(stream):
+    """Payload and frame offsets of a written stream, walked without the reader: mono frames of 48 kHz with a checksum."""
+    kbit = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    at, payload, offsets = 10 + sum(b << s for b, s in zip(stream[6:10], (21, 14, 7, 0), strict=True)), b"", []
+    while at < len(stream):
+        size = 3 * kbit[stream[at + 2] >> 4]
+        assert stream[at : at + 2] == b"\xff\xfa"
+        if stream[at + 23 : at + 27] != b"Xing" or offsets:
+            offsets.append(at)
+            payload += stream[at + 23 : at + size]
+        at += size
+    return payload, offsets
+
+
+def test_media_query_equals_brute_force(spark, tmp_path):
+    from sunspan.llm.queries import QUERIES
+
+    texts = [*ODD, "TAG " * 4000, "é" * 70_001]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op5_media"](spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        raw, r = (t or "").encode(), rows[i]
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        stream = media.write(raw)
+        payload, offsets = frames_by_hand(stream)
+        assert payload[: len(padded)] == padded and not any(payload[len(padded) :])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+        seek = hashlib.sha256(",".join(map(str, offsets)).encode()).hexdigest()
+        assert r.feature == f"frames={len(offsets)};samples={1152 * len(offsets)};rate=48000;crc_bad=0;seek={seek}"
+
+
+def id3(frames, flags=0, version=4):
+    body = b"".join(n + media._syncsafe(len(d)) + b"\0\0" + d for n, d in frames) + bytes(7)
+    head = bytes([version, 0, flags]) + media._syncsafe(len(body))
+    return b"ID3" + head + body + (b"3DI" + head if flags & 0x10 else b"")
+
+
+def test_media_tags_at_both_ends():
+    frames = [bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)] * 5
+    front = id3([(b"TIT2", b"\3" + "Näme".encode()), (b"TPE1", b"\1" + "Wer".encode("utf-16")), (b"APIC", b"\xff\xfb" * 9)], flags=0x10)
+    back = id3([(b"TALB", b"\0Album\0x")], flags=0x10)
+    old = b"TAG" + b"Other".ljust(30, b"\0") + b"Me".ljust(30) + bytes(62) + b"\0\7\1"
+    found = media.read(front + b"".join(frames) + back + old)
+    assert found.skipped == 0 and len(found.offsets) == 5 and found.tag_bytes == len(front) + len(back) + len(old)
+    assert found.tags == {"TIT2": "Näme", "TPE1": "Wer", "TALB": "Album", "TRCK": "7"}
+    assert media.read(front[:30]).offsets == [] and media.read(b"ID3\4\0\0\x7f\x7f\x7f\x7f" + frames[0]).tags == {}
+
+
+def test_media_tables_of_both_kinds():
+    frame = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)
+    vbri = struct.pack(">4sHHHIIHHHH", b"VBRI", 1, 0, 75, 4170, 9, 3, 10, 2, 3) + struct.pack(">HHH", 10, 20, 30)
+    first = (frame[:36] + vbri).ljust(417, b"\0")
+    found = media.read(first + frame * 9)
+    assert (found.table, found.table_frames, found.table_bytes, found.seek, len(found.offsets)) == ("VBRI", 9, 4170, [100, 300, 600], 9)
+    assert found.seconds == 9 * 1152 / 44100
+    xing = (frame[:36] + b"Info" + struct.pack(">III", 7, 9, 4170) + bytes(range(100))).ljust(417, b"\0")
+    found = media.read(xing + frame * 9)
+    assert (found.table, found.table_frames, found.seek[:3]) == ("Info", 9, [0, 16, 32])
+
+
+@pytest.mark.parametrize("size", [300, 417, 2000])
+def test_media_of_free_format(size):
+    frame = bytes([0xFF, 0xFB, 0x00, 0xC0]) + b"a" * (size - 4)
+    found = media.read(b"junk" + frame * 6)
+    assert len(found.offsets) == 6 and found.skipped == 4 and found.samples == 6 * 1152
+
+
 def repeats_by_hand(docs, k=13):
     """The contract's words, computed one window at a time; docs: (id, text), ids ascending."""
     first, out = {}, {}
