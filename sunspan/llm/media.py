@@ -3,14 +3,15 @@
 The writer stores bytes losslessly in a variable-bitrate Layer III stream: an ID3v2 tag with the length, a frame with
 the variable-bitrate table, then frames whose side information says that they hold no audio and whose remaining bytes,
 which decoders skip as ancillary data, are the payload. Each frame has its checksum. The reader takes any MPEG audio
-stream: it skips tags, finds frame headers again after damage, verifies checksums, and gives the exact duration and
-the byte offset of every frame.
+stream, free format included: it parses tags (ID3v2 at either end, ID3v1) and variable-bitrate tables (Xing, Info,
+VBRI), finds frame headers again after damage, verifies checksums, and gives the exact duration and the byte offset of
+every frame.
 """
 
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -145,10 +146,13 @@ class Stream:
     bad: int = 0
     skipped: int = 0  # bytes that belong to nothing
     tag_bytes: int = 0
+    tags: dict[str, str] = field(default_factory=dict)
+    table: str | None = None  # Xing, Info or VBRI
     table_frames: int | None = None
     table_bytes: int | None = None
-    toc: bytes | None = None
+    seek: list[int] = field(default_factory=list)  # the table's places in the stream, in bytes from its frame on
     payload: bytes | None = None
+    length: int | None = None  # of the payload, as stored
     missing: int | None = None  # bytes that the payload is shorter than was stored
 
     @property
@@ -156,6 +160,95 @@ class Stream:
         return self.samples / self.rate if self.rate else 0.0
 
 
+def _unsyncsafe(b: bytes) -> int:
+    return sum((x & 0x7F) << s for x, s in zip(b, (21, 14, 7, 0), strict=True))
+
+
+def _text(b: bytes) -> str:
+    """A text of an ID3v2 frame: a byte for its encoding, then the text up to a zero."""
+    code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(b[0] if b else 0, "latin-1")
+    return b[1:].decode(code, "replace").split("\0")[0]
+
+
+def _parse_id3v2(tag: bytes, out: Stream) -> None:
+    """Text frames and the payload's length from a whole ID3v2 tag; frames that do not fit end it."""
+    version, flags, body = tag[3], tag[5], tag[10:]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at, wide = 0, version > 2
+    if flags & 0x40 and wide and len(body) >= 4:  # an extended header
+        at = _unsyncsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 10 if wide else 6
+    while at + head <= len(body) and body[at] != 0:
+        name = body[at : at + (4 if wide else 3)]
+        size = body[at + len(name) : at + 2 * len(name)]
+        size = _unsyncsafe(size) if version == 4 else int.from_bytes(size, "big")
+        data = body[at + head : at + head + size]
+        if not name.isalnum() or len(data) < size:
+            return
+        if name[:1] == b"T" and name not in (b"TXXX", b"TXX"):
+            out.tags.setdefault(name.decode(), _text(data))
+        elif name == b"PRIV" and data.startswith(OWNER) and len(data) >= len(OWNER) + 16:
+            out.length = struct.unpack_from(">QQ", data, len(OWNER))[1]
+        at += head + size
+
+
+def _parse_id3v1(tag: bytes, out: Stream) -> None:
+    clean = lambda b: b.split(b"\0")[0].decode("latin-1").rstrip()
+    for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97), ("COMM", 97, 127)):
+        if clean(tag[a:b]):
+            out.tags.setdefault(name, clean(tag[a:b]))
+    if tag[125] == 0 and tag[126]:
+        out.tags.setdefault("TRCK", str(tag[126]))
+
+
+def _table(data: bytes, at: int, h: Header, body: int, out: Stream) -> bool:
+    """Whether the first frame holds a variable-bitrate table, which is then parsed."""
+    end = at + h.length
+    if data[body : body + 4] in (b"Xing", b"Info") and body + 8 <= end:
+        out.table, flags, p = data[body : body + 4].decode(), int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
+        if flags & 1:
+            out.table_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if flags & 2:
+            out.table_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if flags & 4 and out.table_bytes is not None:
+            out.seek = [x * out.table_bytes // 256 for x in data[p : min(p + 100, end)]]
+        return True
+    p = at + 36
+    if data[p : p + 4] == b"VBRI" and p + 26 <= end:
+        out.table = "VBRI"
+        _, _, _, out.table_bytes, out.table_frames, entries, scale, width, _ = struct.unpack_from(">HHHIIHHHH", data, p + 4)
+        if 1 <= width <= 4:
+            sizes = [int.from_bytes(data[p + 26 + i * width : p + 26 + (i + 1) * width], "big") * scale for i in range(min(entries, (end - p - 26) // width))]
+            out.seek = np.cumsum(sizes).tolist()
+        return True
+    return False
+
+
+#: Bytes in which the next frame of a stream of free format is looked for.
+FREE = 8192
+
+
+def _free(data: bytes, at: int, end: int) -> Header | None:
+    """The header of a frame of free format: its length is the distance to the next header of the same kind."""
+    word = data[at : at + 4]
+    if len(word) < 4 or word[0] != 0xFF or word[2] >> 4:
+        return None
+    like = header(word[:2] + bytes([word[2] | 0x10]) + word[3:])  # the same with a bitrate
+    if like is None:
+        return None
+    same = lambda p: data[p : p + 2] == word[:2] and p + 3 < end and data[p + 2] & 0xFD == word[2] & 0xFD
+    low, p = at + 4 + like.side, data.find(word[:2], at + 4 + like.side, min(end, at + FREE))
+    while p >= low:
+        size = p - at
+        pad = (word[2] >> 1 & 1) * (4 if like.layer == 1 else 1)
+        after = p + size - pad + (data[p + 2] >> 1 & 1 if p + 2 < end else 0) * (4 if like.layer == 1 else 1)
+        if same(p) and (after == end or same(after)):
+            return replace(like, length=size, bitrate=(size - pad) * like.rate // (125 * like.samples))
+        p = data.find(word[:2], p + 1, min(end, at + FREE))
+    return None
+
+
 def _checksum_ok(data: bytes, at: int, h: Header) -> bool | None:
     """None for Layer II, whose checksum covers a part that only decoding finds."""
     if h.layer == 2:
@@ -173,42 +266,45 @@ def read(data: bytes) -> Stream:
 
     A tag at the end counts only where no frame reaches over it: audio or payload may hold its three letters.
     """
-    out, at, end, length = Stream(), 0, len(data), None
+    out, at, end = Stream(), 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = 10 + sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
-        found = data.find(OWNER, at, at + size)
-        if found >= 0 and found + len(OWNER) + 16 <= end:
-            length = struct.unpack_from(">QQ", data, found + len(OWNER))[1]
-        out.tag_bytes += size
+        size = 10 + _unsyncsafe(data[at + 6 : at + 10])
+        _parse_id3v2(data[at : at + size], out)
+        size += 10 if data[at + 5] & 0x10 else 0  # a footer
+        out.tag_bytes += min(size, end - at)
         at += size
-    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
-    pieces, good, first = [], False, True
+    tags = {}  # where a tag at the end begins, and its length
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        tags[end - 128] = 128
+    last = min(tags, default=end)
+    if last - at >= 20 and data[last - 10 : last - 7] == b"3DI" and (size := 20 + _unsyncsafe(data[last - 4 : last])) <= last - at and data[last - size : last - size + 3] == b"ID3":
+        tags[last - size] = size
+    pieces, good, first, free = [], False, True, None
     while at < end:
-        if at == tag:
-            out.tag_bytes += 128
-            break
+        if at in tags:
+            size = tags[at]
+            (_parse_id3v1 if size == 128 and data[at : at + 3] == b"TAG" else _parse_id3v2)(data[at : at + size], out)
+            out.tag_bytes += size
+            at += size
+            continue
         h = header(data[at : at + 4])
+        if h is None and data[at] == 0xFF:
+            h = _free(data, at, end)
+            if h is None and free is not None and data[at : at + 2] == free[0] and at + free[1].length in (end, *tags):
+                h = free[1]  # the last frame of a stream of free format
+            free = (data[at : at + 2], h) if h else free
         after = at + h.length if h else 0
-        sure = good and not at < tag < after  # a frame over what may be a tag says itself that it is none
-        if h and after <= end and (sure or after in (tag, end) or header(data[after : after + 4])):
+        over = any(at < t < after for t in tags)  # a frame over what may be a tag says itself that it is none
+        if h and after <= end and ((good and not over) or after == end or after in tags or header(data[after : after + 4]) or (free and data[after : after + 2] == free[0])):
             good = True
             extra = 2 if h.protected else 0
             body = at + 4 + extra + h.side
-            if first and data[body : body + 4] in (b"Xing", b"Info"):
-                flags = int.from_bytes(data[body + 4 : body + 8], "big")
-                p = body + 8
-                if flags & 1:
-                    out.table_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-                if flags & 2:
-                    out.table_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-                if flags & 4:
-                    out.toc = data[p : p + 100]
-            else:
+            if not (first and h.layer == 3 and _table(data, at, h, body, out)):
                 out.offsets.append(at)
                 out.samples += h.samples
                 out.rate = out.rate or h.rate
                 out.kbits.add(h.bitrate)
-                if length is not None and h.layer == 3:
+                if out.length is not None and h.layer == 3:
                     pieces.append(data[body : at + h.length])
             first = False
             if h.protected and (ok := _checksum_ok(data, at, h)) is not None:
@@ -218,13 +314,12 @@ def read(data: bytes) -> Stream:
             continue
         good = False
         nxt = data.find(b"\xff", at + 1, end)
-        nxt = nxt if nxt >= 0 else end
-        nxt = min(nxt, tag) if at < tag else nxt
+        nxt = min([nxt if nxt >= 0 else end, *(t for t in tags if t > at)])
         out.skipped += nxt - at
         at = nxt
-    if length is not None:
-        out.payload = b"".join(pieces)[:length]
-        out.missing = length - len(out.payload)
+    if out.length is not None:
+        out.payload = b"".join(pieces)[: out.length]
+        out.missing = out.length - len(out.payload)
     return out
 
 
@@ -256,6 +351,8 @@ FIELDS = [
     T.StructField("tag_bytes", T.LongType()),
     T.StructField("table_frames", T.LongType()),
     T.StructField("table_bytes", T.LongType()),
+    T.StructField("table_seek", T.ArrayType(T.LongType())),
+    T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
 ]
 
 
@@ -264,7 +361,9 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     payload is null unless the stream was made by store_text(); a null or empty stream has no frames and duration 0.
     Damage never raises here: frames that cannot be found count as skipped bytes, wrong checksums as crc_bad, and what
-    the payload lacks of its stored size as payload_missing; whole_payload() raises where that is more than 0.
+    the payload lacks of its stored size as payload_missing; whole_payload() raises where that is more than 0. tags
+    holds the text frames by their ID3v2 names, the first of equal ones. Rows are read one by one, whatever their
+    length, so repeated rows get equal values; other columns pass through; an empty table stays empty.
     """
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -282,6 +381,8 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             "tag_bytes": pa.array([x.tag_bytes for x in s], pa.int64()),
             "table_frames": pa.array([x.table_frames for x in s], pa.int64()),
             "table_bytes": pa.array([x.table_bytes for x in s], pa.int64()),
+            "table_seek": pa.array([x.seek for x in s], pa.list_(pa.int64())),
+            "tags": pa.array([list(x.tags.items()) for x in s], pa.map_(pa.string(), pa.string())),
         }
 
     return add_columns(df, fn, FIELDS, [media_col])
