@@ -5,7 +5,9 @@ Consecutive windows with one minimiser travel as one packed string (their words,
 all windows are sorted, equal neighbours are compared byte by byte, and each window learns the smallest document that
 holds it. Strings that several documents of one batch share are sent once, for the smallest of them: all windows of
 the others are repeats whatever the bucket says. Minimisers that a passage in very many documents makes hot are found
-in a first pass, by counts over a table of fixed size; their windows travel one by one, dealt by their own hash.
+in a first pass that counts minimisers; their windows travel one by one, dealt by their own hash.
+
+A bucket is small, whatever the input: a partition holds many, sorted, and treats one after the other.
 """
 
 from __future__ import annotations
@@ -19,17 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunspan.llm._arrow import slices
-from sunspan.llm._words import Words, sequence_hashes, sliding_min, word_hashes
+from sunspan.llm._arrow import release, slices
+from sunspan.llm._words import Words, mix, sequence_hashes, sliding_min, word_hashes
 
 #: Bytes of text whose strings are packed together.
 BATCH_BYTES = 4 << 20
-#: Slots of the table of counts by which hot minimisers are found: its bitmap has 8 KB whatever the input.
-SLOTS = 1 << 16
 #: Words of the input for each bucket.
 BUCKET_WORDS = 800_000
-#: A slot is hot when it holds more than this part of a bucket's fair share.
-HOT_SHARE = 0.125
+#: A minimiser is hot when more than this part of a partition's fair share of runs, and more than LEAST_HOT runs, have it.
+HOT_SHARE, LEAST_HOT = 0.02, 64
+#: Minimisers that a task counts at once.
+COUNTED = 1 << 22
+#: Blocks of fewer bytes are left to the codec of the shuffle.
+COMPRESSED = 2048
 
 
 class Batch:
@@ -57,43 +61,65 @@ class Batch:
         return first, np.diff(np.append(first, n))
 
 
-def slot_of(least: np.ndarray) -> np.ndarray:
-    return (least >> np.uint64(48)).astype(np.int64)
-
-
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
 
 
-def hot_slots(rows: DataFrame, k: int, m: int, partitions: int) -> tuple[bytes, int]:
-    """A bitmap of the hot slots, and the number of buckets to use. Every run of every document is counted."""
+def hot_minimisers(rows: DataFrame, k: int, m: int, partitions: int) -> tuple[np.ndarray, int]:
+    """The hot minimisers, ascending, and the number of words. Every run of every document is counted.
+
+    A task tells the minimisers that have half the share of its own runs which makes one hot, so what it leaves out of
+    a hot one is less than half of it: no hot one is missed. Both what a task tells and what is hot in the end are
+    bounded by the number of partitions.
+    """
+    share = HOT_SHARE / partitions
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = np.zeros(SLOTS, dtype=np.int64), 0
+        words, waiting = 0, []
+        known, times = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+        def fold() -> None:
+            nonlocal known, times, waiting
+            some, n = np.unique(np.concatenate(waiting or [np.empty(0, dtype=np.uint64)]), return_counts=True)
+            both, place = np.unique(np.concatenate([known, some]), return_inverse=True)
+            known, times, waiting = both, np.bincount(place, np.concatenate([times, n]), len(both)).astype(np.int64), []
+
         for b in slices(batches, BATCH_BYTES):
             batch = Batch(b.column("id").to_pylist(), b.column("text").to_pylist(), k, m)
             words += len(batch.words.hashes)
-            table += np.bincount(slot_of(batch.least[batch.runs()[0]]) if len(batch.at) else np.empty(0, dtype=np.int64), minlength=SLOTS)
-        total = int(table.sum())
-        high = np.flatnonzero(table > 4 * total / SLOTS)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, -2, *high.tolist()], pa.int64()), "n": pa.array([words, total, *table[high].tolist()], pa.int64())})
-
-    counted = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = {r.slot: r.n for r in counted.collect()}  # at most SLOTS + 2 rows
-    buckets = max(partitions, -(-found.pop(-1, 0) // BUCKET_WORDS))
-    total = found.pop(-2, 0)
-    hot = np.zeros(SLOTS, dtype=bool)
-    hot[[s for s, n in found.items() if n > HOT_SHARE * total / buckets and n > 64]] = True
-    return np.packbits(hot).tobytes(), buckets
+            waiting.append(batch.least[batch.runs()[0]].astype(np.uint64))
+            if sum(map(len, waiting)) > COUNTED:
+                fold()
+        fold()
+        total = int(times.sum())
+        high = np.flatnonzero(times >= max(2, share / 2 * total))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "minimiser": pa.array(np.concatenate([np.zeros(2, dtype=np.uint64), known[high]]).view(np.int64)),
+                "kind": pa.array([0, 1] + [2] * len(high), pa.int32()),
+                "n": pa.array([words, total, *times[high].tolist()], pa.int64()),
+            }
+        )
+
+    counted = rows.mapInArrow(count, "minimiser long, kind int, n long").groupBy("kind", "minimiser").agg(F.sum("n").alias("n")).where(f"kind < 2 or n >= {LEAST_HOT}").toArrow()
+    kind, n, minimiser = (counted[c].to_numpy() for c in ("kind", "n", "minimiser"))
+    hot = (kind == 2) & (n >= max(LEAST_HOT, share / 2 * int(n[kind == 1].sum())))
+    return np.sort(minimiser[hot].view(np.uint64)), int(n[kind == 0].sum())
 
 
 def _pack(parts: dict[str, bytes]) -> bytes:
+    """The parts in a row, behind a byte that says whether they are compressed."""
     head = b"".join(len(parts[x]).to_bytes(8, "little") for x in ("ids", "positions", "counts", "strings"))
-    return zstandard.ZstdCompressor(level=3).compress(head + parts["ids"] + parts["positions"] + parts["counts"] + parts["strings"])
+    data = head + parts["ids"] + parts["positions"] + parts["counts"] + parts["strings"]
+    return b"\0" + data if len(data) < COMPRESSED else b"\1" + zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _plain(block: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(block[1:]) if block[0] else block[1:]
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    data = zstandard.ZstdDecompressor().decompress(block)
+    data = _plain(block)
     sizes, at = [int.from_bytes(data[i : i + 8], "little") for i in (0, 8, 16, 24)], 32
     parts = []
     for size in sizes:
@@ -102,18 +128,41 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(parts[0], dtype=np.int64), np.frombuffer(parts[1], dtype=np.int32), np.frombuffer(parts[2], dtype=np.int32), parts[3]
 
 
-def _split(hot_bits: bytes, buckets: int, k: int, m: int):
-    """Batches of documents to blocks of packed strings, one for each bucket, and of runs that are known to repeat."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str, column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of rows of one key in sorted rows: the key and the values of a column."""
+    last, values = None, []
+    for b in batches:
+        for k, v in zip(b.column(key).to_pylist(), b.column(column).to_pylist(), strict=True):
+            if k != last and values:
+                yield last, values
+                values = []
+            last = k
+            values.append(v)
+    if values:
+        yield last, values
+
+
+def _target(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers a document's runs."""
+    return (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _split(hot: bytes, buckets: int, k: int, m: int):
+    """Batches of documents to blocks of packed strings, one for each bucket, and of runs that are known to repeat.
+
+    The latter have the bucket -1 - b, where b is the one that gathers their documents' runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.unpackbits(np.frombuffer(hot_bits, dtype=np.uint8)).astype(bool)
+        listed = np.frombuffer(hot, dtype=np.uint64)
         for b in slices(batches, BATCH_BYTES):
             batch = Batch(b.column("id").to_pylist(), b.column("text").to_pylist(), k, m)
             if not len(batch.at):
                 continue
             w = batch.words
             first, count = batch.runs()
-            single = hot[slot_of(batch.least[first])]
+            least = batch.least[first]
+            single = listed[np.minimum(np.searchsorted(listed, least), len(listed) - 1)] == least if len(listed) else np.zeros(len(first), dtype=bool)
             alone = np.flatnonzero(np.repeat(single, count))
             windows = sequence_hashes(w.hashes, k)[batch.at[alone]] if len(alone) else np.empty(0, dtype=np.uint64)
             key = np.concatenate([batch.least[first[~single]], windows])
@@ -142,61 +191,55 @@ def _split(hot_bits: bytes, buckets: int, k: int, m: int):
             owners = np.array(owner, dtype=np.int64)
             target = bucket[owners]
             by = np.argsort(target, kind="stable")
-            edges = np.searchsorted(target[by], np.arange(buckets + 1))
-            out_bucket, out_kind, out_block = [], [], []
-            for r in range(buckets):
-                chosen = by[edges[r] : edges[r + 1]].tolist()
-                if chosen:
-                    mine = [places[j] for j in chosen]
-                    out_bucket.append(r)
-                    out_kind.append(0)
-                    out_block.append(
-                        _pack(
-                            {
-                                "ids": doc[owners[chosen]].tobytes(),
-                                "positions": np.array([p for x in mine for p in x], dtype=np.int32).tobytes(),
-                                "counts": np.array([len(x) for x in mine], dtype=np.int32).tobytes(),
-                                "strings": b"\n".join(strings[j] for j in chosen),
-                            }
-                        )
+            cut = np.flatnonzero(np.append(True, np.diff(target[by]) != 0)) if len(by) else by
+            out_bucket, out_block = [], []
+            for begins, ends in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):  # buckets that the batch has
+                chosen = by[begins:ends].tolist()
+                mine = [places[j] for j in chosen]
+                out_bucket.append(int(target[chosen[0]]))
+                out_block.append(
+                    _pack(
+                        {
+                            "ids": doc[owners[chosen]].tobytes(),
+                            "positions": np.array([p for x in mine for p in x], dtype=np.int32).tobytes(),
+                            "counts": np.array([len(x) for x in mine], dtype=np.int32).tobytes(),
+                            "strings": b"\n".join(strings[j] for j in chosen),
+                        }
                     )
+                )
             if repeats:
                 r = np.array(repeats, dtype=np.int64)
-                to = doc[r] % buckets
-                for target_bucket in np.unique(to).tolist():
-                    c = r[to == target_bucket]
-                    out_bucket.append(target_bucket)
-                    out_kind.append(1)
+                to = _target(doc[r], buckets)
+                r, to = r[np.argsort(to, kind="stable")], np.sort(to, kind="stable")
+                for c in np.split(r, np.flatnonzero(np.diff(to)) + 1):
+                    out_bucket.append(-1 - int(_target(doc[c[:1]], buckets)[0]))
                     out_block.append(_pack({"ids": doc[c].tobytes(), "positions": position[c].tobytes(), "counts": count[c].astype(np.int32).tobytes(), "strings": b""}))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out_bucket, pa.int32()), "kind": pa.array(out_kind, pa.int32()), "block": pa.array(out_block, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out_bucket, pa.int64()), "block": pa.array(out_block, pa.binary())})
 
     return run
 
 
-def _by_target(ids: np.ndarray, positions: np.ndarray, counts: np.ndarray, targets: int) -> pa.RecordBatch:
-    """Runs of windows as one packed row for each target, the partition that gathers a document's runs."""
-    target = ids % targets
+def _by_target(ids: np.ndarray, positions: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Runs of windows as one packed row for each bucket that gathers a document's runs."""
+    target = _target(ids, buckets)
     order = np.lexsort((positions, ids, target))
     target, rows = target[order], np.stack([ids, positions.astype(np.int64), counts.astype(np.int64)], axis=1)[order]
     cut = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(ids) else np.empty(0, dtype=np.int64)
     ends = np.append(cut[1:], len(target))
-    packed = [zstandard.ZstdCompressor(level=1).compress(rows[a:b].tobytes()) for a, b in zip(cut, ends, strict=True)]
-    return pa.RecordBatch.from_pydict({"target": pa.array(target[cut], pa.int32()), "packed": pa.array(packed, pa.binary())})
+    packed = [rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+    packed = [b"\0" + x if len(x) < COMPRESSED else b"\1" + zstandard.ZstdCompressor(level=1).compress(x) for x in packed]
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(target[cut], pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed runs of a target to one row for each document."""
-    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.int64).reshape(-1, 3) for b in batches for x in b.column("packed").to_pylist()]
-    if not rows:
-        return
-    every = np.concatenate(rows)
-    every = every[np.argsort(every[:, 0], kind="stable")]
-    ids, pairs = every[:, 0], every[:, 1:].astype("<i4")
-    cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    ends = np.append(cut[1:], len(ids))
-    for at in range(0, len(cut), 20_000):
-        some = list(zip(cut[at : at + 20_000], ends[at : at + 20_000], strict=True))
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cut[at : at + 20_000]], pa.int64()), "runs": pa.array([pairs[a:b].tobytes() for a, b in some], pa.binary())})
+    """Packed runs, sorted by bucket, to one row for each document."""
+    for _, packed in _groups(batches, "bucket", "packed"):
+        every = np.concatenate([np.frombuffer(_plain(x), dtype=np.int64).reshape(-1, 3) for x in packed])
+        every = every[np.argsort(every[:, 0], kind="stable")]
+        ids, pairs = every[:, 0], every[:, 1:].astype("<i4")
+        cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ends = np.append(cut[1:], len(ids))
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cut], pa.int64()), "runs": pa.array([pairs[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
 
 def smallest_documents(strings: bytes, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,43 +279,40 @@ def smallest_documents(strings: bytes, ids: np.ndarray, k: int) -> tuple[np.ndar
     return string[at], at - first_word[string[at]], found
 
 
-def _count(k: int, targets: int):
+def _bucket_runs(blocks: list[bytes], k: int, buckets: int) -> pa.RecordBatch | None:
     """All blocks of a bucket to runs of windows that start in a smaller document too."""
+    owner, places, times, strings = zip(*map(_unpack, blocks), strict=True)
+    owner, places, times = np.concatenate(owner), np.concatenate(places), np.concatenate(times)
+    string, offset, least = smallest_documents(b"\n".join(strings), owner, k)
+    repeat = least < owner[string]
+    string, offset = string[repeat], offset[repeat]
+    if not len(string):
+        return None
+    order = np.lexsort((offset, string))
+    string, offset = string[order], offset[order]
+    new = np.append(True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))
+    cut = np.flatnonzero(new)
+    length = np.diff(np.append(cut, len(string)))
+    string, offset = string[cut], offset[cut]
+    begin = np.cumsum(times) - times
+    n = times[string]  # a run for each place of its string in the document
+    which = np.repeat(np.arange(len(string)), n)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    place = places[begin[string[which]] + inner]
+    return _by_target(owner[string[which]], place + offset[which], length[which], buckets)
+
+
+def _count(k: int, buckets: int):
+    """Blocks sorted by bucket, one bucket after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, positions, counts, strings = [], [], [], []
-        for b in batches:
-            for kind, block in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
-                i, p, c, s = _unpack(block)
-                if kind:
-                    yield _by_target(i, p, c, targets)
-                else:
-                    ids.append(i)
-                    positions.append(p)
-                    counts.append(c)
-                    strings.append(s)
-        if not ids:
-            return
-        owner, places, times = np.concatenate(ids), np.concatenate(positions), np.concatenate(counts)
-        joined = b"\n".join(strings)
-        del strings
-        string, offset, least = smallest_documents(joined, owner, k)
-        repeat = least < owner[string]
-        string, offset = string[repeat], offset[repeat]
-        if not len(string):
-            return
-        order = np.lexsort((offset, string))
-        string, offset = string[order], offset[order]
-        new = np.append(True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))
-        cut = np.flatnonzero(new)
-        length = np.diff(np.append(cut, len(string)))
-        string, offset = string[cut], offset[cut]
-        begin = np.cumsum(times) - times
-        n = times[string]  # a run for each place of its string in the document
-        which = np.repeat(np.arange(len(string)), n)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        place = places[begin[string[which]] + inner]
-        yield _by_target(owner[string[which]], place + offset[which], length[which], targets)
+        for bucket, blocks in _groups(batches, "bucket", "block"):
+            if bucket < 0:
+                parts = zip(*(_unpack(x)[:3] for x in blocks), strict=True)
+                yield _by_target(*(np.concatenate(x) for x in parts), buckets)
+            elif (found := _bucket_runs(blocks, k, buckets)) is not None:
+                yield found
+        release()
 
     return run
 
@@ -281,10 +321,16 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str, k: int = 13, m: int
     """id and runs (packed little-endian int32 pairs: first window, number of windows) of each document with repeats."""
     spark = df.sparkSession
     rows = _texts(df, id_col, text_col)
-    hot, buckets = hot_slots(rows, k, m, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.mapInArrow(_split(hot, buckets, k, m), "bucket int, kind int, block binary")
-    runs = blocks.repartitionById(buckets, "bucket").select("kind", "block").mapInArrow(_count(k, buckets), "target int, packed binary")
-    return runs.repartitionById(buckets, "target").select("packed").mapInArrow(_gather, "id long, runs binary")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot, words = hot_minimisers(rows, k, m, partitions)
+    buckets = max(partitions, -(-words // BUCKET_WORDS))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)).cast("int")).sortWithinPartitions("bucket")
+
+    blocks = dealt(rows.mapInArrow(_split(hot.tobytes(), buckets, k, m), "bucket long, block binary"))
+    runs = blocks.mapInArrow(_count(k, buckets), "bucket long, packed binary")
+    return dealt(runs).mapInArrow(_gather, "id long, runs binary")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, kept_col: str = "kept_text") -> DataFrame:

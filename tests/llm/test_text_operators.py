@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import assume, given
 from hypothesis import strategies as st
@@ -329,13 +330,47 @@ def passages():
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_equals_brute_force(spark, passages, monkeypatch, hot):
     if hot:  # every minimiser hot: all windows travel alone
-        monkeypatch.setattr(substring, "hot_slots", lambda rows, k, m, n: (b"\xff" * (substring.SLOTS // 8), n))
+        every = np.unique(substring.Batch(list(range(len(passages))), [t or "" for t in passages], 13, 3).least)
+        monkeypatch.setattr(substring, "hot_minimisers", lambda rows, k, m, n: (every, n))
     rows = substring.remove_repeats(frame(spark, passages).repartition(3), "doc_id", "text").collect()
     want = repeats_by_hand(list(enumerate(passages)))
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == want
     assert sum(v[1] for v in want.values()) > 500
 
 
+def test_substring_of_many_buckets_equals_brute_force(spark, passages, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET_WORDS", 3)
+    rows = substring.remove_repeats(frame(spark, passages), "doc_id", "text").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == repeats_by_hand(list(enumerate(passages)))
+
+
+def test_substring_finds_every_hot_minimiser(spark, passages, monkeypatch):
+    texts = [t or "" for t in passages] * 7 + ["a b c d e f g h i j k l m n o p"] * 400
+    batch = substring.Batch(list(range(len(texts))), texts, 13, 3)
+    known, n = np.unique(batch.least[batch.runs()[0]], return_counts=True)
+    hot, words = substring.hot_minimisers(substring._texts(frame(spark, texts).repartition(5), "doc_id", "text"), 13, 3, 1)
+    least = max(substring.LEAST_HOT, substring.HOT_SHARE * n.sum())
+    assert words == len(batch.words.hashes) and set(known[n >= least]) <= set(hot) and (n >= least).any() and len(hot) < len(known)
+
+
+def test_substring_batches_do_not_depend_on_the_number_of_buckets(passages):
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(passages))), "text": [t or "" for t in passages]})
+    seconds = []
+    for buckets in (10, 10**6, 10**12):
+        began = time.process_time()
+        made = list(substring._split(b"", buckets, 13, 3)(iter([batch])))
+        seconds.append(time.process_time() - began)
+        assert sum(x.num_rows for x in made) <= 1 << 14
+    assert max(seconds) < 5
+
+
+def test_substring_of_very_long_and_repeated_rows(spark):
+    long = shuffled_words(60_000, 3, 2000)
+    texts = [" ".join(long), " ".join(long[20_000:]), "w " * 50_000, "w " * 30, None, ""] + ["one passage of " + " ".join(long[:20])] * 300
+    rows = substring.remove_repeats(frame(spark, texts), "doc_id", "text").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == repeats_by_hand(list(enumerate(texts)))
+
+
 def test_substring_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "sequence_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), dtype=np.uint64))
     text = b"a b c\na b d\na b c"
