@@ -1,11 +1,15 @@
-"""Embedding near-dedup by exact comparison in the leaves of random-hyperplane trees.
-
-Equal vectors are one class. Every tree cuts the classes by a few random hyperplanes, and the vectors of a leaf are all
-compared with each other: a dense leaf by pairs of blocks, which are dealt over tasks. There are so many trees that a
-pair right at the threshold shares a leaf of one of them but for a chance of MISS. A pair counts in the first tree whose
-leaf it shares, so that numbers of links add up without a table of pairs; of a block's links only a spanning forest is
-kept for the components. Recall is audited against brute force for vectors that have links: more are asked until their
-links are enough. While it is too low, spare trees are added; if that does not raise it, the run fails.
+"""Embedding near-dedup by NN-descent.
+
+Equal vectors are one class. A first neighbour graph comes from random-hyperplane trees: each vector keeps the LIST best
+of the leaves that it is in. NN-descent then refines it: the neighbours of a vector, and those that have it as a
+neighbour, are compared with each other wherever one of them is new, and each keeps the best that it meets, until few
+lists change. Edges below the threshold are dropped, the rest is checked in double precision.
+
+A list that is not full of links holds all links of its vector. One that is full is saturated and is enlarged to its
+whole group: vectors that links connect, with a saturated one among them, are a group; NN-descent looks for links that
+lead out of groups, which join them, until there are none; then the vectors of a group are compared with each other by
+pairs of blocks, and their links are counted, not listed. Recall is audited against brute force for vectors that have links; while it is too low
+the lists get longer and the trees more, and if that does not raise it, the run fails.
 """
 
 from __future__ import annotations
@@ -17,23 +21,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunspan.llm._arrow import release, slices, stored
 from sunspan.llm._graph import components
 
-#: Vectors of a leaf, on average; tables up to this are compared whole.
-LEAF = 1024
-#: Vectors of a leaf that are compared at once; a denser leaf is dealt over pairs of blocks of about so many.
+#: Neighbours that a vector keeps at first, and those that have it as a neighbour that take part in a comparison.
+LIST, MEET = 10, 10
+#: Rounds of NN-descent at most, and the share of list entries that a round has to change for another one.
+ROUNDS, CHANGE = 10, 0.001
+#: Vectors of a leaf, on average, and at most of those that are compared for the first graph.
+LEAF, CHUNK = 256, 1024
+#: Chance that a pair right at the threshold shares no leaf of the first graph.
+MISS = 0.05
+#: Vectors of a group that are compared at once; a larger group is dealt over pairs of blocks of about so many.
 BLOCK = 2048
-#: Chance that a pair right at the threshold shares no leaf.
-MISS = 1e-4
-#: Trees whose vectors are shuffled at once.
-TURN = 3
 #: Vectors that the audit asks first and at most, the links that it looks for, and the recall of these that it demands.
 AUDIT, MOST_ASKED, ENOUGH, RECALL = 256, 4096, 256, 0.995
+#: Times that lists are made longer for a low recall.
+TRIES = 2
+#: By how much single precision may lack of the threshold; what it lets through is checked in double precision.
+ROUGH = 1e-5
 SIGNATURE = 30
+ENTRY = np.dtype([("id", "<i8"), ("cos", "<f4"), ("fresh", "u1")])
 
 
 def _clean(x: list | None) -> np.ndarray | None:
@@ -58,7 +69,7 @@ def _planes(dim: int, trees: int, bits: int) -> np.ndarray:
 def shape(n: int, threshold: float) -> tuple[int, int]:
     """Hyperplanes of a tree, and trees: a pair at the threshold is on one side of a plane with chance 1 - angle / pi."""
     side = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    bits = min(SIGNATURE, max(0, math.ceil(math.log2(max(1, n) / LEAF)))) if side > 0.5 else 0
+    bits = min(SIGNATURE, max(0, math.ceil(math.log2(max(1, n) / LEAF)))) if side > 0.5 and n > CHUNK else 0
     together = side**bits
     return bits, 1 if together >= 1 else math.ceil(math.log(MISS) / math.log1p(-together))
 
@@ -71,25 +82,25 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(same, pa.binary()), pa.array(raw, pa.binary())], names=["id", "same", "vec"])
 
 
-def _signatures(bits: int, trees: int):
-    """Rows (id, copies, vec) with the vector's size and its leaf in each tree, packed as int32."""
+def _signed(bits: int, trees: int):
+    """Rows (id, part, vec) with the vector's size, its leaf in each tree and the vector in single precision."""
     weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, copies, raw = (b.column(c).to_pylist() for c in ("id", "copies", "vec"))
+            ids, part, raw = (b.column(c).to_pylist() for c in ("id", "part", "vec"))
             for size in sorted({len(r) for r in raw}):
                 at = [i for i, r in enumerate(raw) if len(r) == size]
-                above = (_unit([raw[i] for i in at]) @ _planes(size // 8, trees, bits) > 0).reshape(len(at), trees, bits)
+                unit = _unit([raw[i] for i in at])
+                above = (unit @ _planes(size // 8, trees, bits) > 0).reshape(len(at), trees, bits)
                 leaves = (above * weights).sum(axis=2).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": pa.array([ids[i] for i in at], pa.int64()),
-                        "copies": pa.array([copies[i] for i in at], pa.int64()),
-                        "vec": pa.array([raw[i] for i in at], pa.binary()),
+                        "part": pa.array([part[i] for i in at], pa.int64()),
+                        "unit": pa.array([x.tobytes() for x in unit.astype("<f4")], pa.binary()),
                         "size": pa.array([size] * len(at), pa.int32()),
-                        "leaves": pa.array([x.tobytes() for x in leaves], pa.binary()),
-                        "signatures": pa.array(leaves.tolist(), pa.list_(pa.int32())),
+                        "leaves": pa.array(leaves.tolist(), pa.list_(pa.int32())),
                     }
                 )
 
@@ -122,30 +133,196 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             pass
 
 
+def _best(ids: np.ndarray, cos: np.ndarray, most: int, fresh: np.ndarray | None = None) -> np.ndarray:
+    """The ``most`` best of entries, each id once; of equal cosines the lesser id, of equal ids the older entry."""
+    out = np.empty(len(ids), dtype=ENTRY)
+    out["id"], out["cos"], out["fresh"] = ids, cos, 1 if fresh is None else fresh
+    out = out[np.lexsort((out["fresh"], out["id"]))]
+    out = out[np.append(True, out["id"][1:] != out["id"][:-1])] if len(out) else out
+    return out[np.lexsort((out["id"], -out["cos"]))[:most]]
+
+
+def _rows(ids: list[int], lists: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "list": pa.array([x.tobytes() for x in lists], pa.binary())})
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1)
+
+
+def _leaves(most: int):
+    """Chunks of leaves to the best neighbours of each vector there, of other parts than its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("tree", "size", "leaf", "chunk"), ("id", "part", "unit")):
+            if len(rows) < 2:
+                continue
+            ids, part = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+            x = _matrix([r[2] for r in rows])
+            cos = x @ x.T
+            cos[part[:, None] == part[None, :]] = -2
+            k = min(most, len(rows) - 1)
+            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            lists = [_best(ids[t], c, most) for t, c in ((t[c[t] > -2], c[t[c[t] > -2]]) for t, c in zip(top, cos, strict=True))]
+            yield _rows(ids.tolist(), lists)
+        release()
+
+    return run
+
+
+def _merged(most: int):
+    """Rows (id, lists, old) to the best of the lists, and how many entries are new against the old list, which age."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            lists, changed = [], []
+            for found, old in zip(b.column("lists").to_pylist(), b.column("old").to_pylist(), strict=True):
+                known = np.frombuffer(old or b"", dtype=ENTRY)
+                new = np.frombuffer(b"".join(found or []), dtype=ENTRY)
+                fresh = np.append(np.zeros(len(known), dtype=np.uint8), np.ones(len(new), dtype=np.uint8))
+                lists.append(_best(np.append(known["id"], new["id"]), np.append(known["cos"], new["cos"]), most, fresh))
+                changed.append(int(lists[-1]["fresh"].sum()))
+            worst = [float(x["cos"][-1]) if len(x) == most else -2.0 for x in lists]
+            yield pa.RecordBatch.from_pydict(
+                {"id": b.column("id"), "list": pa.array([x.tobytes() for x in lists], pa.binary()), "worst": pa.array(worst, pa.float32()), "changed": pa.array(changed, pa.int64())}
+            )
+
+    return run
+
+
+MERGED = "id long, list binary, worst float, changed long"
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, list) to rows (hub, member, fresh, back): each neighbour, and each vector that has the hub as neighbour."""
+    for b in slices(batches):
+        lists = [np.frombuffer(x, dtype=ENTRY) for x in b.column("list").to_pylist()]
+        if not (n := [len(x) for x in lists]) or not sum(n):
+            continue
+        own, every = np.repeat(b.column("id").to_numpy(), n), np.concatenate(lists)
+        fresh = np.tile(every["fresh"].astype(bool), 2)
+        hub, member = np.append(own, every["id"]), np.append(every["id"], own)
+        back = np.repeat([False, True], len(own))
+        for at in range(0, len(hub), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_pydict({"hub": hub[part], "member": member[part], "fresh": fresh[part], "back": back[part]})
+
+
+def _meet(most: int):
+    """Members of hubs to what each of them meets there that is better than the worst of its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, lists = [], []
+        for rows in _groups(batches, ("hub",), ("member", "fresh", "part", "worst", "unit")):
+            rows = list({r[0]: r for r in sorted(rows, key=lambda r: r[1])}.values())
+            fresh = np.array([r[1] for r in rows])
+            if len(rows) < 2 or not fresh.any():
+                continue
+            ids, part = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 2))
+            x = _matrix([r[4] for r in rows])
+            cos = x @ x.T
+            better = (cos > np.array([r[3] for r in rows], dtype=np.float32)[:, None]) & (part[:, None] != part[None, :]) & (fresh[:, None] | fresh[None, :])
+            for i in np.flatnonzero(better.any(axis=1)).tolist():
+                at = np.flatnonzero(better[i])
+                made.append(int(ids[i]))
+                lists.append(_best(ids[at], cos[i][at], most))
+            if len(made) > 5000:
+                yield _rows(made, lists)
+                made, lists = [], []
+        yield _rows(made, lists)
+        release()
+
+    return run
+
+
+def _checked(threshold: float):
+    """Pairs (a, b) with both vectors to those that are linked in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            x, y = (b.column(f"vec_{c}").to_pylist() for c in "ab")
+            keep = np.zeros(len(x), dtype=bool)
+            for size in {len(v) for v in x}:
+                at = [i for i, v in enumerate(x) if len(v) == size]
+                keep[at] = np.einsum("ij,ij->i", _unit([x[i] for i in at]), _unit([y[i] for i in at])) >= threshold
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def descend(vectors: DataFrame, threshold: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that NN-descent finds between vectors (id, part, vec) of different parts, and the saturated ids.
+
+    a holds b in its list; an id is saturated if its list is full of links.
+    """
+    bits, trees = shape(vectors.count(), threshold)
+    signed = stored(vectors.mapInArrow(_signed(bits, trees * most // LIST if bits else 1), "id long, part long, unit binary, size int, leaves array<int>"), "signed")
+    placed = signed.select("id", "part", "unit", "size", F.posexplode("leaves").alias("tree", "leaf"))
+    counted = placed.groupBy("tree", "size", "leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    placed = placed.join(counted.where("chunks > 1"), ["tree", "size", "leaf"], "left")
+    key = ("tree", "size", "leaf", "chunk")
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.coalesce("chunks", F.lit(1)))).select(*key, "id", "part", "unit")
+    found = placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_leaves(most), "id long, list binary")
+    state = found.groupBy("id").agg(F.collect_list("list").alias("lists")).withColumn("old", F.lit(None).cast("binary"))
+    state = stored(state.mapInArrow(_merged(most), MERGED), "lists")
+    nodes = signed.select(F.col("id").alias("member"), "part", "unit")
+    for _ in range(ROUNDS):
+        size, changed = state.agg(F.count(F.lit(1)), F.sum("changed")).first()
+        if not changed or changed <= CHANGE * size * most:
+            break
+        edges = state.select("id", "list").mapInArrow(_edges, "hub long, member long, fresh boolean, back boolean")
+        first = Window.partitionBy("hub", "back").orderBy(F.col("fresh").desc(), F.xxhash64("hub", "member"))
+        edges = edges.withColumn("place", F.row_number().over(first)).where(f"place <= {max(most, MEET)}").select("hub", "member", "fresh")
+        rows = edges.join(nodes.join(state.select(F.col("id").alias("member"), "worst"), "member"), "member").select("hub", "member", "fresh", "part", "worst", "unit")
+        found = rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(_meet(most), "id long, list binary")
+        met = found.groupBy("id").agg(F.collect_list("list").alias("lists"))
+        state = state.select("id", F.col("list").alias("old")).join(met, "id", "left").select("id", "lists", "old")
+        state = stored(state.mapInArrow(_merged(most), MERGED), "lists")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            lists = [x[x["cos"] >= threshold - ROUGH] for x in (np.frombuffer(v, dtype=ENTRY) for v in b.column("list").to_pylist())]
+            if lists:
+                yield pa.RecordBatch.from_pydict({"a": np.repeat(b.column("id").to_numpy(), [len(x) for x in lists]), "b": np.concatenate(lists)["id"].astype(np.int64)})
+
+    links = state.select("id", "list").mapInArrow(near, "a long, b long")
+    for c in "ab":
+        links = links.join(vectors.select(F.col("id").alias(c), F.col("vec").alias(f"vec_{c}")), c)
+    links = stored(links.select("a", "b", "vec_a", "vec_b").mapInArrow(_checked(threshold), "a long, b long"), "edges")
+    return links, links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(f"n >= {most}").select("id")
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each of ``n`` places reaches over links (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (root := root[root])).any():
+            pass
+
+
 def _compare(threshold: float):
-    """Blocks of leaves to rows (id, near, around, root) of the vectors with new links there.
+    """Blocks of groups to rows (id, near, around, root) of the vectors with links there.
 
     near counts the links and around the copies at their other ends; root is the block's vector that stands for those
-    linked there. A pair that shares a leaf of an earlier tree was compared there.
+    linked there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("tree", "size", "leaf", "low", "high")
-        for rows in _groups(batches, key, ("id", "copies", "vec", "leaves", "tree", "low", "high", "chunk")):
+        for rows in _groups(batches, ("part", "low", "high"), ("id", "copies", "vec", "low", "high", "chunk")):
             if len(rows) < 2:
                 continue
-            x, (tree, low, high) = _unit([r[2] for r in rows]), rows[0][4:7]
+            x, (low, high) = _unit([r[2] for r in rows]), rows[0][3:5]
             if low == high:
                 a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
             else:
-                left = np.array([r[7] == low for r in rows])
+                left = np.array([r[5] == low for r in rows])
                 left, right = np.flatnonzero(left), np.flatnonzero(~left)
                 a, b = np.nonzero(x[left] @ x[right].T >= threshold)
                 a, b = left[a], right[b]
-            seen = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.int32).reshape(len(rows), -1)
-            for t in range(tree):
-                new = seen[a, t] != seen[b, t]
-                a, b = a[new], b[new]
             if not len(a):
                 continue
             ids, copies = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
@@ -161,6 +338,18 @@ def _compare(threshold: float):
     return run
 
 
+def _within(members: DataFrame, threshold: float) -> DataFrame:
+    """Rows (id, near, around, root) of the links between all vectors (id, copies, vec) of one part."""
+    large = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    placed = members.join(large, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(29)), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    key = ("part", "low", "high")
+    placed = placed.select(*key, "chunk", "id", "copies", "vec").repartition(*key).sortWithinPartitions(*key)
+    return placed.mapInArrow(_compare(threshold), "id long, near long, around long, root long")
+
+
 def _audit(queries: list[tuple[int, bytes]], threshold: float):
     """Rows (id, vec) to the numbers of vectors that each of ``queries`` is linked with."""
 
@@ -178,25 +367,9 @@ def _audit(queries: list[tuple[int, bytes]], threshold: float):
     return run
 
 
-def _turn(signed: DataFrame, trees: range, threshold: float) -> DataFrame:
-    """Rows (id, near, around, root) of the links that ``trees`` add to those of the trees before."""
-    one = F.posexplode(F.slice("signatures", trees.start + 1, len(trees))).alias("at", "leaf")
-    placed = signed.select("id", "copies", "vec", "size", F.substring("leaves", 1, 4 * trees.stop).alias("leaves"), one)
-    placed = placed.withColumn("tree", F.col("at") + trees.start).drop("at")
-    dense = placed.groupBy("tree", "size", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    dense = dense.select("tree", "size", "leaf", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    placed = placed.join(F.broadcast(dense), ["tree", "size", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(29)), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    key = ("tree", "size", "leaf", "low", "high")
-    placed = placed.select(*key, "chunk", "id", "copies", "vec", "leaves").repartition(*key).sortWithinPartitions(*key)
-    return stored(placed.mapInArrow(_compare(threshold), "id long, near long, around long, root long"), "found")
-
-
-def _truth(signed: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+def _truth(classes: DataFrame, threshold: float) -> tuple[DataFrame, int]:
     """The ids that the audit asks, and their links by brute force: four times as many ids while these are too few."""
-    spark, vectors, n = signed.sparkSession, signed.select("id", "vec"), AUDIT
+    spark, vectors, n = classes.sparkSession, classes.select("id", "vec"), AUDIT
     while True:
         asked = [(r.id, bytes(r.vec)) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
         wanted = vectors.mapInArrow(_audit(asked, threshold), "id long, n long").agg(F.sum("n")).first()[0] or 0
@@ -205,6 +378,26 @@ def _truth(signed: DataFrame, threshold: float) -> tuple[DataFrame, int]:
         n *= 4
 
 
+def _found(classes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Rows (id, near, around, root) of the links of classes (id, copies, vec) that lists of ``most`` entries lead to."""
+    links, full = descend(classes.select("id", F.col("id").alias("part"), "vec"), threshold, most)
+    full = stored(full, "saturated")
+    while True:  # groups with a saturated vector, and links that lead out of them
+        reach = components(links).withColumnRenamed("component", "part")
+        dense = reach.join(full, "id", "left_semi").select("part").distinct()
+        group = stored(reach.join(dense, "part", "left_semi").join(classes, "id").select("id", "part", "copies", "vec"), "groups")
+        more = descend(group.select("id", "part", "vec"), threshold, most)[0]
+        if not more.limit(1).count():
+            break
+        links = stored(links.unionByName(more), "edges")
+    # the lists of other groups hold all their links
+    loose = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(group.select(F.col("id").alias("a")), "a", "left_anti")
+    loose = stored(loose, "loose")
+    ends = loose.unionByName(loose.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(classes.select(F.col("id").alias("b"), "copies"), "b")
+    ends = ends.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("near"), F.col("copies").alias("around"), F.least("a", "b").alias("root"))
+    return stored(ends.unionByName(_within(group, threshold)), "found")
+
+
 def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float | None]:
     """Rows (id, near, around, root) of vectors (id, copies, vec as packed float64), and the audited recall.
 
@@ -213,24 +406,14 @@ def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float |
     near and around add up over a vector's rows to its links and to the copies at their ends; (id, root) reach what
     links reach.
     """
-    bits, trees = shape(classes.count(), threshold)
-    last = 2 * trees if bits else trees  # with as many to spare
-    signed = "id long, copies long, vec binary, size int, leaves binary, signatures array<int>"
-    signed = stored(classes.mapInArrow(_signatures(bits, last), signed), "signed")
-    asked, wanted = _truth(signed, threshold)
-    found, done = None, 0
-    while True:
-        for at in range(done, trees, TURN):
-            more = _turn(signed, range(at, min(trees, at + TURN)), threshold)
-            found = more if found is None else found.unionByName(more)
-        done = trees
+    asked, wanted = _truth(classes, threshold)
+    for attempt in range(TRIES + 1):
+        found = _found(classes, threshold, LIST << attempt)
         got = found.join(F.broadcast(asked), "id", "left_semi").agg(F.sum("near")).first()[0] or 0
         recall = got / wanted if wanted else None
         if recall is None or recall >= RECALL:
             return found, recall
-        if done == last:
-            raise RuntimeError(f"recall of links is {recall:.4f} after {done} trees, below {RECALL}: {got} of {wanted} links of the audited vectors")
-        trees = last
+    raise RuntimeError(f"recall of links is {recall:.4f} with lists of {LIST << TRIES}, below {RECALL}: {got} of {wanted} links of the audited vectors")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -242,7 +425,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     are vectors of their own. component_id is the smallest id reachable, itself included, and kept says whether it is
     the row's own; for a null id both are null and it is linked with nothing. Other columns are not read; an empty
     table stays empty. Below the threshold nothing is linked; the share of links found is audited,
-    and a share below RECALL that more trees do not mend raises an error.
+    and a share below RECALL that longer lists do not mend raises an error.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     rows = stored(rows.mapInArrow(_prepare, "id long, same binary, vec binary"), "vectors")

@@ -152,7 +152,7 @@ def test_embedding_links_equal_brute_force(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = ((x @ x.T) >= 0.95).sum(1) - 1
     got = np.array([rows[i].n_links for i in good])
-    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and want.sum() > 1000
+    assert (got == want).all() and want.sum() > 1000
     assert rows[len(vectors) - 2].n_links == 1 and rows[len(vectors) - 1].component_id == len(vectors) - 2
     for i in set(range(len(vectors) - 2)) - set(good):
         assert rows[i].n_links == 0 and rows[i].component_id == i and rows[i].kept
@@ -182,24 +182,58 @@ def test_embedding_trees_follow_the_depth_of_leaves():
     side = 1 - math.acos(0.95) / math.pi
     for n in (10, 5_000, 25_000, 1_000_000, 30_000_000):
         bits, trees = embeddings.shape(n, 0.95)
-        assert n / 2**bits <= embeddings.LEAF and (1 - side**bits) ** trees <= 1e-4
+        assert (n <= embeddings.CHUNK and bits == 0) or n / 2**bits <= embeddings.LEAF
+        assert (1 - side**bits) ** trees <= embeddings.MISS
+
+
+def linked(unit):
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near
 
 
 def test_embedding_audit_looks_for_links_and_fails_on_low_recall(spark, monkeypatch):
     r = np.random.default_rng(6)
     alone = r.normal(size=(2900, 24))
     few = np.concatenate([alone, alone[:60] + r.normal(size=(60, 24)) * 0.2])
-    unit = few / np.linalg.norm(few, axis=1, keepdims=True)
-    links = (int((unit @ unit.T >= 0.95).sum()) - len(few)) // 2
+    links = int(linked(few / np.linalg.norm(few, axis=1, keepdims=True)).sum()) // 2
     assert 50 <= links <= 60
     found, recall = embeddings.neighbours(vector_classes(spark, few), 0.95)
     assert recall == 1.0 and found.agg(F.sum("near")).first()[0] == 2 * links
     assert embeddings.neighbours(vector_classes(spark, alone), 0.95)[1] is None
     monkeypatch.setattr(embeddings, "shape", lambda n, threshold: (14, 1))
+    monkeypatch.setattr(embeddings, "ROUNDS", 0)
+    monkeypatch.setattr(embeddings, "TRIES", 0)
     with pytest.raises(RuntimeError, match="recall of links"):
         embeddings.neighbours(vector_classes(spark, few), 0.95)
 
 
+def test_embedding_groups_that_only_few_links_join(spark):
+    """Two dense groups that few links join: all lists are full of links of the own group."""
+    r = np.random.default_rng(9)
+    a = np.eye(24)[0] + r.normal(size=(1500, 24)) * 0.01
+    turn = math.acos(0.95)
+    b = math.cos(turn) * np.eye(24)[0] + math.sin(turn) * np.eye(24)[1] + r.normal(size=(1500, 24)) * 0.01
+    x = np.concatenate([a, b, r.normal(size=(500, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = linked(x)
+    assert 0 < near[:1500, 1500:3000].sum() < near[:1500, 1500:3000].size * 0.9 and near[:1500, :1500].all(where=~np.eye(1500, dtype=bool))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {q.vec_id: q for q in embeddings.near_duplicates(df).collect()}
+    assert [rows[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert {rows[i].component_id for i in range(3000)} == {0}
+
+
+@pytest.mark.parametrize("size", [25, 1500, 6000])
+def test_embedding_cluster_of_any_size_is_counted_exactly(spark, size):
+    r = np.random.default_rng(size)
+    x = np.concatenate([r.normal(size=32) + r.normal(size=(size, 32)) * 0.02, r.normal(size=(700, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = linked(x / np.linalg.norm(x, axis=1, keepdims=True)).sum(axis=1)
+    assert want[:size].min() == size - 1
+    assert {q.vec_id: q.n_links for q in embeddings.near_duplicates(df).collect()} == dict(enumerate(want.tolist()))
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
