@@ -112,7 +112,7 @@ def _ranks(sketches: DataFrame) -> bytes:
 
 
 def _keys(k: int, percent: int, packed: bytes):
-    """Texts to a row for each of their keys."""
+    """Texts to a row for each of their keys; a key of a frequent slot is dealt over so many deals as its rank tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
@@ -120,14 +120,33 @@ def _keys(k: int, percent: int, packed: bytes):
             keys = [prefix_keys(s, ranks, percent) for s in shingle_sets([x or "" for x in b.column("text").to_pylist()], k)]
             ids = np.repeat(b.column("id").to_numpy(), [len(x) for x in keys])
             keys = np.concatenate(keys)
+            rank = ranks[slots(keys.view(np.uint64))].astype(np.uint64)
+            deal = np.where(rank > 0, 1 + (mix(ids.view(np.uint64)) & ((np.uint64(1) << np.minimum(rank, np.uint64(30))) - np.uint64(1))), 0).astype(np.int32)
             for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"key": keys[at : at + (1 << 16)], "id": ids[at : at + (1 << 16)]})
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_pydict({"key": keys[part], "deal": deal[part], "id": ids[part]})
             del b, keys, ids
         release()
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and deal to those whose key another row has; keys of frequent slots (deal above 0) all stay."""
+    last = None  # the row before, and whether it is yet to come
+    for b in batches:
+        key, deal, ids = (b.column(c).to_numpy() for c in ("key", "deal", "id"))
+        if not len(key):
+            continue
+        same = np.append(last is not None and last[0] == key[0], key[1:] == key[:-1])
+        keep = same | (deal > 0)
+        keep[:-1] |= same[1:]
+        if last is not None and same[0] and last[2]:
+            yield pa.RecordBatch.from_pydict({"key": key[:1], "id": np.array([last[1]])})
+        yield pa.RecordBatch.from_pydict({"key": key[keep], "id": ids[keep]})
+        last = (key[-1], ids[-1], not keep[-1])
+
+
 def _linked(k: int, percent: int):
     """Pairs of texts to pairs whose sets are similar enough."""
 
@@ -148,14 +167,22 @@ def _linked(k: int, percent: int):
     return run
 
 
-class SignatureTree:
-    """A tree over bitmaps: levels[0] are the sets, each further level has FANOUT nodes of the one before to a node."""
+class SignatureForest:
+    """A tree over bitmaps for each segment of rows, all in the same arrays.
+
+    levels[0] are the sets, in the order of their segments; each further level has FANOUT nodes of the one before to a
+    node, and the last level a node for each segment. A level holds bitmaps, least and largest sizes, the most
+    shingles that a bitmap does not tell apart, the component (-1 for several) and the range of nodes below.
+    """
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
-        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), groups)]
-        while len(self.levels[-1][1]) > 1:
-            bits, low, high, extra, group = self.levels[-1]
-            cut = np.arange(0, len(low), FANOUT)
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, groups: np.ndarray, segments: np.ndarray):
+        places = np.arange(len(sizes))
+        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), groups, places, places + 1)]
+        while len(segments) and (segments[1:] == segments[:-1]).any():
+            bits, low, high, extra, group, _, _ = self.levels[-1]
+            first = np.flatnonzero(np.append(True, segments[1:] != segments[:-1]))
+            inner = np.arange(len(segments)) - np.repeat(first, np.diff(np.append(first, len(segments))))
+            cut = np.flatnonzero(inner % FANOUT == 0)
             most = np.maximum.reduceat(group, cut)
             self.levels.append(
                 (
@@ -164,44 +191,49 @@ class SignatureTree:
                     np.maximum.reduceat(high, cut),
                     np.maximum.reduceat(extra, cut),
                     np.where(np.minimum.reduceat(group, cut) == most, most, -1),
+                    cut,
+                    np.append(cut[1:], len(segments)),
                 )
             )
+            segments = segments[cut]
+        self.roots = segments
 
-    def pairs(self, other: SignatureTree, percent: int, itself: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of sets that may be linked, by a walk down both trees from their roots."""
-        x = y = np.zeros(1, dtype=np.int64)
-        top = max(len(self.levels), len(other.levels)) - 1
-        for level in range(top, -1, -1):
+    def pairs(self, other: SignatureForest, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of sets that may be linked, by a walk down from pairs (x, y) of roots; with itself each pair once."""
+        for level in range(max(len(self.levels), len(other.levels)) - 1, -1, -1):
             mine, theirs = (t.levels[min(level, len(t.levels) - 1)] for t in (self, other))
             kept = [self._possible(mine, theirs, x[i : i + 65536], y[i : i + 65536], percent) for i in range(0, len(x), 65536)]
             keep = np.concatenate(kept) if kept else np.empty(0, dtype=bool)
-            if itself:
+            if self is other:
                 keep &= (x < y) if level == 0 else (x <= y)
             x, y = x[keep], y[keep]
             if level:
-                x, y = self._down(x, y, level, len(self.levels), len(other.levels))
-                inside = (x < len(self.levels[min(level - 1, len(self.levels) - 1)][1])) & (y < len(other.levels[min(level - 1, len(other.levels) - 1)][1]))
-                x, y = x[inside], y[inside]
+                x, y = self._down(x, y, mine if level < len(self.levels) else None, theirs if level < len(other.levels) else None)
         return x, y
 
     @staticmethod
-    def _down(x: np.ndarray, y: np.ndarray, level: int, mine: int, theirs: int) -> tuple[np.ndarray, np.ndarray]:
-        one = np.arange(FANOUT)
-        a = one if level < mine else np.zeros(1, dtype=np.int64)
-        b = one if level < theirs else np.zeros(1, dtype=np.int64)
-        left = (x[:, None] * FANOUT + a if level < mine else x[:, None] + a)[:, :, None]
-        right = (y[:, None] * FANOUT + b if level < theirs else y[:, None] + b)[:, None, :]
-        left, right = np.broadcast_arrays(left, right)
-        return left.ravel(), right.ravel()
+    def _down(x: np.ndarray, y: np.ndarray, mine: tuple | None, theirs: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of the nodes below; a tree without a level there stays where it is."""
+        for level, first in ((mine, True), (theirs, False)):
+            if level is None:
+                continue
+            node = x if first else y
+            n = level[6][node] - level[5][node]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            below = np.repeat(level[5][node], n) + inner
+            x, y = (below, np.repeat(y, n)) if first else (np.repeat(x, n), below)
+        return x, y
 
     @staticmethod
     def _possible(mine: tuple, theirs: tuple, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-        bits_a, low_a, high_a, extra_a, group_a = (v[x] for v in mine)
-        bits_b, low_b, high_b, extra_b, group_b = (v[y] for v in theirs)
+        possible = (100 * mine[2][x] >= percent * theirs[1][y]) & (100 * theirs[2][y] >= percent * mine[1][x])
+        possible &= (mine[4][x] != theirs[4][y]) | (mine[4][x] < 0)
+        at = np.flatnonzero(possible)
+        bits_a, low_a, high_a, extra_a = (v[x[at]] for v in mine[:4])
+        bits_b, low_b, high_b, extra_b = (v[y[at]] for v in theirs[:4])
         most = np.minimum(np.minimum(high_a, high_b), np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64) + np.minimum(extra_a, extra_b))
-        possible = (100 + percent) * most >= percent * (low_a + low_b)
-        possible &= (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
-        return possible & ((group_a != group_b) | (group_a < 0))
+        possible[at] = (100 + percent) * most >= percent * (low_a + low_b)
+        return possible
 
 
 def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
@@ -212,65 +244,92 @@ def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Of rows (id, size, bitmap, component, block), pairs of ids that may be linked: of one block, or of two different.
+def tree_pairs(tree: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], components: np.ndarray, blocks: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of ids (a < b), as rows, that may be linked: of one tree, and there of one block or of two different.
 
     Sizes of linked sets differ by a factor of 2 at most, so their bitmaps have one width or one that is twice the
     other; there is a tree for each width (and block).
     """
-    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[3], r[1], r[0]))
-    apart = len({r[4] for r in rows}) > 1
-    by: dict[tuple[int, int], list[tuple]] = {}
-    for r in rows:
-        by.setdefault((len(r[2]), r[4]), []).append(r)
+    order = np.lexsort((ids, sizes, components, blocks, tree))
+    tree, ids, sizes, components, blocks = (v[order] for v in (tree, ids, sizes, components, blocks))
+    bits = [bits[i] for i in order.tolist()]
+    widths = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+    edge = np.append(True, (tree[1:] != tree[:-1]) | (blocks[1:] != blocks[:-1]))
+    segment = np.cumsum(edge) - 1
+    of_tree, of_block = tree[edge], blocks[edge]  # a segment's tree and block; a tree has one or two
+    begins = np.append(True, of_tree[1:] != of_tree[:-1])
+    first = np.flatnonzero(begins)
+    second = np.append(first[1:], len(of_tree)) - 1
+    two = first != second
+    apart = np.repeat(two, np.diff(np.append(first, len(of_tree))))
+
+    def forest(width: int, folded: int) -> tuple[np.ndarray, SignatureForest]:
+        at = np.flatnonzero(widths == width)
+        return at, SignatureForest(_folded([bits[i] for i in at.tolist()], folded), sizes[at], components[at], segment[at])
+
+    def roots(one: SignatureForest, other: SignatureForest, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of roots for pairs of segments, where both forests have them."""
+        x, y = np.searchsorted(one.roots, left), np.searchsorted(other.roots, right)
+        there = (x < len(one.roots)) & (y < len(other.roots))
+        x, y, left, right = x[there], y[there], left[there], right[there]
+        there = (one.roots[x] == left) & (other.roots[y] == right)
+        return x[there], y[there]
+
+    every = np.arange(len(of_tree))
+    out = []
+    for width in np.unique(widths).tolist():
+        at, own = forest(width, width)
+        found = [own.pairs(own, *roots(own, own, every[~apart], every[~apart]), percent)]
+        twin = forest(width, width)[1] if two.any() else own
+        found.append(own.pairs(twin, *roots(own, twin, first[two], second[two]), percent))
+        out += [(at[x], at[y]) for x, y in found]
+        if 2 * width in widths:
+            theirs, wider = forest(2 * width, width)
+            for left, right in ((every[~apart], every[~apart]), (first[two], second[two]), (second[two], first[two])):
+                x, y = own.pairs(wider, *roots(own, wider, left, right), percent)
+                out.append((at[x], theirs[y]))
+    x, y = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
+    return np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1), axis=0)
 
-    def tree(part: list[tuple], width: int) -> tuple[np.ndarray, SignatureTree]:
-        ids, sizes, groups = (np.array([r[i] for r in part], dtype=np.int64) for i in (0, 1, 3))
-        return ids, SignatureTree(_folded([r[2] for r in part], width), sizes, groups)
 
-    out = []
-    for (width, block), part in by.items():
-        ids, own = tree(part, width)
-        for (wider, other), others in by.items():
-            if wider not in (width, 2 * width) or (apart and other == block) or (wider == width and other < block):
-                continue
-            if wider == width and other == block:
-                x, y = own.pairs(own, percent, True)
-                theirs = ids
-            else:
-                theirs, second = tree(others, width)
-                x, y = own.pairs(second, percent, False)
-            out += [(min(p, q), max(p, q)) for p, q in zip(ids[x].tolist(), theirs[y].tolist(), strict=True)]
-    return out
+#: Rows of trees that are walked at once; a larger tree is walked alone.
+TOGETHER = 20_000
 
 
 def _candidates(percent: int):
     """Rows sorted by key, left and right block to pairs that trees cannot rule out."""
 
-    def made(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    def solve(parts: list[dict]) -> pa.RecordBatch:
+        key, one, two, ids, n, component, block = (np.concatenate([p[c] for p in parts]) for c in ("key", "one", "two", "id", "n", "component", "block"))
+        tree = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        pairs = tree_pairs(tree, ids, n, [x for p in parts for x in p["bits"]], component, block, percent)
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        key, rows = None, []
+        waiting, rows = [], 0
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "one", "two", "id", "n", "bits", "component", "block")]
-            for k, one, two, *row in zip(*columns, strict=True):
-                if (k, one, two) != key:
-                    if len(rows) > 1:
-                        found.update(tree_pairs(rows, percent))
-                    key, rows = (k, one, two), []
-                rows.append(tuple(row))
-            if len(found) > 100_000:
-                yield made(found)
-                found = set()
-        if len(rows) > 1:
-            found.update(tree_pairs(rows, percent))
-        yield made(found)
+            part = {c: b.column(c).to_numpy() for c in ("key", "one", "two", "id", "n", "component", "block")} | {"bits": b.column("bits").to_pylist()}
+            if rows + b.num_rows > TOGETHER:  # up to where the last tree of the batch begins
+                new = np.flatnonzero(np.append(_differs(waiting[-1], part) if waiting else True, (np.diff(part["key"]) != 0) | (np.diff(part["one"]) != 0) | (np.diff(part["two"]) != 0)))
+                if len(new) and (waiting or new[-1]):
+                    waiting.append({c: v[: new[-1]] for c, v in part.items()})
+                    yield solve(waiting)
+                    waiting, rows, part = [], 0, {c: v[new[-1] :] for c, v in part.items()}
+            if len(part["key"]):
+                waiting.append(part)
+                rows += len(part["key"])
+        if waiting:
+            yield solve(waiting)
+        release()
 
     return run
 
 
+def _differs(before: dict, after: dict) -> bool:
+    """Whether the first row of ``after`` is of another tree than the last of ``before``."""
+    return any(before[c][-1] != after[c][0] for c in ("key", "one", "two"))
+
+
 def _possible(percent: int):
     """Pairs with sizes and bitmaps of both sides to those that these do not rule out."""
 
@@ -342,7 +401,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(texts.join(heads, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("text").alias("text")).select("id", "text"), "texts")
     sketches = stored(sketches.join(heads, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).drop("version"), "heads")
 
-    met = texts.mapInArrow(_keys(k, percent, packed), "key long, id long")
+    met = texts.mapInArrow(_keys(k, percent, packed), "key long, deal int, id long").repartition("key", "deal").sortWithinPartitions("key", "deal")
+    met = stored(met.mapInArrow(_shared, "key long, id long"), "keys")
     shared = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     met = stored(met.join(shared, "key"), "met")
     # a class that many others are copies of has the keys that most of them kept: it leads where it takes part

@@ -437,8 +437,10 @@ def test_jaccard_blocks_and_trees(spark, near_copies, monkeypatch):
 
 def test_signature_tree_loses_no_link(near_copies):
     sets = [s for s in jaccard.shingle_sets([t or "" for t in near_copies], 5) if len(s)]
-    rows = [(i, len(s), jaccard.bitmap(s), i, 0) for i, s in enumerate(sets)]
-    found = set(jaccard.tree_pairs(rows, 75))
+    n, ids = len(sets), np.arange(len(sets))
+    sizes, bits = np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets]
+    pairs = lambda tree, block: {tuple(p) for p in jaccard.tree_pairs(tree, ids, sizes, bits, ids, block, 75).tolist()}
+    found = pairs(np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64))
     links, possible = set(), 0
     for i, s in enumerate(sets):
         for j in range(i):
@@ -447,9 +449,20 @@ def test_signature_tree_loses_no_link(near_copies):
             if 100 * both >= 75 * (len(s) + len(sets[j]) - both) > 0:
                 links.add((j, i))
     assert links <= found and len(found) < possible / 2
-    split = [(*r[:4], r[0] % 2) for r in rows]
     across = {(a, b) for a, b in links if a % 2 != b % 2}
-    assert across <= set(jaccard.tree_pairs(split, 75))
+    split = pairs(np.zeros(n, dtype=np.int64), ids % 2)
+    assert across <= split and all(a % 2 != b % 2 for a, b in split)
+    inside = {(a, b) for a, b in links if a % 3 == b % 3}
+    forest = pairs(ids % 3, np.zeros(n, dtype=np.int64))
+    assert inside <= forest and all(a % 3 == b % 3 for a, b in forest)
+
+
+def test_rows_of_shared_keys_stay_across_batches():
+    rows = [(1, 0, 5), (1, 0, 6), (2, 0, 7), (3, 0, 8), (3, 0, 9), (3, 0, 10), (4, 1, 11), (5, 0, 12), (6, 0, 13), (6, 0, 14)]
+    for step in range(1, 11):
+        batches = [pa.RecordBatch.from_pydict(dict(zip(("key", "deal", "id"), map(list, zip(*rows[i : i + step], strict=True)), strict=True))) for i in range(0, len(rows), step)]
+        got = sorted(x for b in jaccard._shared(iter(batches)) for x in b.column("id").to_pylist())
+        assert got == [5, 6, 8, 9, 10, 11, 13, 14], step
 
 
 def test_jaccard_odd_rows(spark):
