@@ -1,7 +1,8 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded from measures of its characters and words;
-gated attention, learned from document labels alone, weighs the passages; the weighted sum is scored.
+A document is a bag of passages of PASSAGE words. Each passage is encoded from measures of its characters and words and
+from the words themselves, hashed to signed places; gated attention, learned from document labels alone, weighs the
+passages; the weighted sum is scored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,12 @@ for _members in _CLASSES.values():
     _t = np.zeros(256, dtype=np.int64)
     _t[list(_members)] = 1
     _TABLES.append(_t)
-FEATURES = len(_TABLES) + 9
+MEASURES = len(_TABLES) + 9
+#: Signed places that words are hashed to, and how much more their weights are pulled to zero than others.
+PLACES, PULL = 128, 300.0
+FEATURES = MEASURES + PLACES
+#: Standard deviations that an input counts at most, so that unknown words cannot outvote all else.
+LIMIT = np.append(np.full(MEASURES, 8.0), np.full(PLACES, 2.0))
 
 
 def passages(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +86,10 @@ def passages(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out[:, at + 6] = total((last == 46) | (last == 44)) / words
         out[:, at + 7] = total(size <= 3) / words
         out[:, at + 8] = np.log1p(n) / 4
+        cell = place * PLACES + (w.hashes & np.uint64(PLACES - 1)).astype(np.int64)
+        sign = np.where(w.hashes >> np.uint64(63), 1.0, -1.0)
+        full = np.flatnonzero(n > 0)
+        out[full, MEASURES:] = np.bincount(cell, sign, len(full) * PLACES).reshape(len(full), PLACES) / np.sqrt(n[full])[:, None]
     return out, doc
 
 
@@ -94,7 +104,7 @@ class Model:
     out: np.ndarray  # (HIDDEN + 1,)
 
     def forward(self, x: np.ndarray, doc: np.ndarray, n: int) -> dict[str, np.ndarray]:
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
+        x = np.clip((x - self.mean) / self.scale, -LIMIT, LIMIT)
         h = np.tanh(x @ self.encode[:-1] + self.encode[-1])
         v = np.tanh(h @ self.value[:-1] + self.value[-1])
         g = 1 / (1 + np.exp(-(h @ self.gate[:-1] + self.gate[-1])))
@@ -111,6 +121,25 @@ class Model:
         return self.forward(x, doc, len(batch))["p"] if len(batch) else np.empty(0)
 
 
+def gradient(m: Model, x: np.ndarray, doc: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted log loss, by weights."""
+    f = m.forward(x, doc, len(y))
+    d = (f["p"] - y) * share
+    grad = {"out": np.append(f["z"].T @ d, d.sum())}
+    dz = d[:, None] * m.out[:-1]
+    dh = f["a"][:, None] * dz[doc]
+    da = (dz[doc] * f["h"]).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["first"])[doc])
+    grad["attend"] = (f["v"] * f["g"]).T @ de
+    dv = de[:, None] * m.attend * f["g"] * (1 - f["v"] ** 2)
+    dg = de[:, None] * m.attend * f["v"] * f["g"] * (1 - f["g"])
+    grad["value"] = np.vstack([f["h"].T @ dv, dv.sum(0)])
+    grad["gate"] = np.vstack([f["h"].T @ dg, dg.sum(0)])
+    dh = (dh + dv @ m.value[:-1].T + dg @ m.gate[:-1].T) * (1 - f["h"] ** 2)
+    grad["encode"] = np.vstack([f["x"].T @ dh, dh.sum(0)])
+    return grad
+
+
 def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> Model:
     """x: measures of passages, doc: the document of each (ascending from 0), y: its label."""
     r = np.random.default_rng(seed)
@@ -121,25 +150,15 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = 300, rate: f
         m.out[-1] = 3.0 * (2 * y.mean() - 1) if n else 0.0
         return m
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    m.encode[MEASURES:-1] *= 0.1
+    pull = np.ones((FEATURES + 1, 1))
+    pull[MEASURES:-1] = PULL
     names = ("encode", "gate", "value", "attend", "out")
     moments = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in names}
     for t in range(1, steps + 1):
-        f = m.forward(x, doc, n)
-        d = (f["p"] - y) * share
-        grad = {"out": np.append(f["z"].T @ d, d.sum())}
-        dz = d[:, None] * m.out[:-1]
-        dh = f["a"][:, None] * dz[doc]
-        da = (dz[doc] * f["h"]).sum(1)
-        de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["first"])[doc])
-        grad["attend"] = (f["v"] * f["g"]).T @ de
-        dv = de[:, None] * m.attend * f["g"] * (1 - f["v"] ** 2)
-        dg = de[:, None] * m.attend * f["v"] * f["g"] * (1 - f["g"])
-        grad["value"] = np.vstack([f["h"].T @ dv, dv.sum(0)])
-        grad["gate"] = np.vstack([f["h"].T @ dg, dg.sum(0)])
-        dh = (dh + dv @ m.value[:-1].T + dg @ m.gate[:-1].T) * (1 - f["h"] ** 2)
-        grad["encode"] = np.vstack([f["x"].T @ dh, dh.sum(0)])
+        grad = gradient(m, x, doc, y, share)
         for k in names:
-            g = grad[k] + decay * getattr(m, k)
+            g = grad[k] + decay * (pull if k == "encode" else 1) * getattr(m, k)
             a, b = moments[k]
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
@@ -150,8 +169,9 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = 300, rate: f
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", test: tuple[int, int] = (5, 0), most: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the label from the texts alone; see training_rows() for the rows that it learns from.
 
-    Measures of the passages of that bounded sample reach the driver: FEATURES floats for each 64 words. Without rows
-    of both labels the model is constant.
+    Measures of the passages of that bounded sample reach the driver: FEATURES floats for each 64 words. Null and empty
+    texts are one passage without words; repeated rows count as often as they are there. Without rows of both labels,
+    as in empty tables, the model is constant.
     """
     rows = training_rows(docs, labels, label, test, most, id_col, text_col)
 

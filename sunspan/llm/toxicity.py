@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the words of a text and their beginnings. In training, each labelled text that mentions an
-identity group is scored once more with its identity terms swapped for others, and a change of score costs: the
-weights of group terms are driven together, so that a neutral mention of a group does not raise the score.
+identity group is scored again with each of its identity terms swapped for each term that can stand for it, and every
+change of the score costs: the weights of group terms are driven together, so that a neutral mention of a group does
+not raise the score.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ IDENTITY = (
     ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("frauen", "männer"), ("muslime", "christen", "juden"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-SWAP = {w: row[(i + 1) % len(row)] for row in IDENTITY for i, w in enumerate(row)}
+PARTNERS = {w: tuple(v for v in row if v != w) for row in IDENTITY for w in row}
 
 
 def words(text: str) -> set[str]:
@@ -87,37 +88,80 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, strength: float = 1.0, decay: float = 1e-3, steps: int = 250) -> Model:
-    """rows: features of each text; swapped: those with identity terms exchanged, None where there are none."""
+def changes(found: set[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features lost and gained by each swap of one identity term of a set of words for one of its partners."""
+    out = []
+    for w in sorted(found & PARTNERS.keys()):
+        rest = found - {w}
+        own = set(features(w))
+        kept = {f for x in rest for f in features(x) if f in own}  # shared with other words
+        for v in PARTNERS[w]:
+            new = set(features(v)) if v not in rest else set()
+            gained = new - own - {f for x in rest for f in features(x) if f in new}
+            out.append((np.array(sorted(own - kept - new), dtype=np.int64), np.array(sorted(gained), dtype=np.int64)))
+    return out
+
+
+class Swaps:
+    """Differences of feature rows, text less swapped text, as a sparse matrix over kept features."""
+
+    def __init__(self, swaps: list[list[tuple[np.ndarray, np.ndarray]]], keep: np.ndarray):
+        self.text = np.repeat(np.arange(len(swaps)), [len(x) for x in swaps])
+        pairs = [p for x in swaps for p in x]
+        column = np.concatenate([np.concatenate(p) for p in pairs]) if pairs else np.empty(0, dtype=np.int64)
+        sign = np.concatenate([np.repeat((1.0, -1.0), (len(a), len(b))) for a, b in pairs]) if pairs else np.empty(0)
+        row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
+        at = np.minimum(np.searchsorted(keep, column), len(keep) - 1)
+        known = keep[at] == column if len(keep) else np.zeros(len(column), dtype=bool)
+        self.row, self.column, self.sign, self.size = row[known], at[known], sign[known], len(pairs)
+        self.share = 1 / np.maximum(np.bincount(self.text, minlength=len(swaps)), 1)[self.text] if pairs else np.empty(0)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.sign * w[self.column], self.size)
+
+    def back(self, g: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.column, self.sign * g[self.row], width)
+
+
+def fit(rows: list[np.ndarray], swaps: list[list[tuple[np.ndarray, np.ndarray]]], y: np.ndarray, strength: float = 4.0, decay: float = 1e-3, steps: int = 250) -> Model:
+    """rows: features of each text; swaps: changes() of each text.
+
+    The loss is that of the labels, either kind with the same weight, and ``strength`` times the mean over texts with
+    identity terms of the mean square by which a swap changes the score.
+    """
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, dtype=np.int64), np.empty(0), float(3.0 * (2 * y.mean() - 1)) if len(y) else 0.0)
     count = np.stack([np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == v]), minlength=SPACE + 1) for v in (0, 1)])
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     share, overall = count / n[:, None], count.sum(0) / n.sum()
     z = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(overall * (1 - overall), 1e-9) * (1 / n[0] + 1 / n[1]))
-    terms = np.array(sorted({f for w in SWAP for f in features(w)}))
+    terms = np.array(sorted({f for w in PARTNERS for f in features(w)}))
     keep = np.union1d(np.flatnonzero((z >= LEAST_Z) & (count.sum(0) >= 5)), terms[count.sum(0)[terms] > 0])
 
-    def matrix(texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(texts), len(keep)), dtype=np.float32)
-        for i, r in enumerate(texts):
-            at = np.searchsorted(keep, r)
-            at = at[(at < len(keep))]
-            out[i, at[np.isin(keep[at], r)]] = 1
-        return out
-
-    x = matrix(rows)
-    which = np.array([i for i, s in enumerate(swapped) if s is not None], dtype=np.int64)
-    change = x[which] - matrix([swapped[i] for i in which]) if len(which) else np.zeros((0, len(keep)), dtype=np.float32)
+    x = np.zeros((len(rows), len(keep)), dtype=np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(keep, r)
+        at = at[at < len(keep)]
+        x[i, at[np.isin(keep[at], r)]] = 1
+    swapped = Swaps(swaps, keep)
+    cost = 2 * strength * swapped.share / max(1, len(np.unique(swapped.text)))
     weight_of = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)
     w, b = np.zeros(len(keep), dtype=np.float32), np.float32(0)
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
+    score = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        z = x @ w + b
+        p = score(z)
         g = (p - y) * weight_of
-        grad = np.append(x.T @ g + decay * w, g.sum())
-        if len(change):
-            grad[:-1] += 2 * strength / len(change) * (change.T @ (change @ w))
+        moved = np.zeros(len(keep))
+        if swapped.size:
+            was = p[swapped.text]
+            now = score(z[swapped.text] - swapped.times(w))
+            step = cost * (was - now)
+            first, second = step * was * (1 - was), -step * now * (1 - now)
+            g = g + np.bincount(swapped.text, first + second, len(y))
+            moved = -swapped.back(second, len(keep))
+        grad = np.append(x.T @ g.astype(np.float32) + decay * w + moved, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1].astype(np.float32), b - np.float32(move[-1])
@@ -128,26 +172,27 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", test: tuple[int, int] = (3, 1), most: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the label from the texts alone; see training_rows() for the rows that it learns from.
 
-    Only hashed features of that bounded sample reach the driver. Without rows of both labels the model is constant.
+    Only hashed features of that bounded sample reach the driver. Null and empty texts have no features; repeated rows
+    count as often as they are there. Without rows of both labels, as in empty tables, the model is constant.
     """
     rows = training_rows(docs, labels, label, test, most, id_col, text_col)
-    columns = "y int, plain binary, swapped binary"
+    columns = "y int, plain binary, swaps array<struct<lost:binary,gained:binary>>"
 
     def extract(batches):
         for b in batches:
-            out = {"y": b.column("y").to_pylist(), "plain": [], "swapped": []}
+            plain, swaps = [], []
             for t in texts(b, "text"):
                 found = words(t)
-                out["plain"].append(text_features(found).astype("<u4").tobytes())
-                out["swapped"].append(text_features({SWAP.get(w, w) for w in found}).astype("<u4").tobytes() if found & SWAP.keys() else None)
-            yield pa.RecordBatch.from_pydict({"y": pa.array(out["y"], pa.int32()), "plain": pa.array(out["plain"], pa.binary()), "swapped": pa.array(out["swapped"], pa.binary())})
-
-    got = rows.select("y", "text").mapInArrow(extract, columns).toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["y"][i].as_py(), got["plain"][i].as_py()))  # the same sums in any order of partitions
-    unpack = lambda x: None if x is None else np.frombuffer(x, dtype="<u4").astype(np.int64)
-    plain = [unpack(got["plain"][i].as_py()) for i in order]
-    swapped = [unpack(got["swapped"][i].as_py()) for i in order]
-    return fit(plain, swapped, np.array([got["y"][i].as_py() for i in order], dtype=np.float32))
+                plain.append(text_features(found).astype("<u4").tobytes())
+                swaps.append([{"lost": p.astype("<u4").tobytes(), "gained": q.astype("<u4").tobytes()} for p, q in changes(found)])
+            kind = pa.list_(pa.struct([("lost", pa.binary()), ("gained", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"y": b.column("y").cast(pa.int32()), "plain": pa.array(plain, pa.binary()), "swaps": pa.array(swaps, kind)})
+
+    got = rows.select("y", "text").mapInArrow(extract, columns).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["y"], r["plain"]))  # the same sums in any order of partitions
+    unpack = lambda x: np.frombuffer(x, dtype="<u4").astype(np.int64)
+    swaps = [[(unpack(s["lost"]), unpack(s["gained"])) for s in r["swaps"]] for r in got]
+    return fit([unpack(r["plain"]) for r in got], swaps, np.array([r["y"] for r in got], dtype=np.float32))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

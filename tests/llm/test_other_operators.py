@@ -292,19 +292,61 @@ def test_counterfactual_penalty_lowers_identity_weights():
             w.add("muslims")  # goes with the label in this sample, though it is neutral
         texts.append(w)
         y.append(float(toxic))
-    rows = [toxicity.text_features(t) for t in texts]
-    swapped = [toxicity.text_features({toxicity.SWAP.get(w, w) for w in t}) if t & toxicity.SWAP.keys() else None for t in texts]
-    plain = toxicity.fit(rows, [None] * len(rows), np.array(y, dtype=np.float32))
-    fair = toxicity.fit(rows, swapped, np.array(y, dtype=np.float32), strength=5.0)
-    change = lambda m: abs(m.score("muslims met today") - m.score("christians met today"))
-    assert change(fair) < 0.5 * change(plain)
+    rows, swaps, y = [toxicity.text_features(t) for t in texts], [toxicity.changes(t) for t in texts], np.array(y, dtype=np.float32)
+    plain = toxicity.fit(rows, [[] for _ in rows], y)
+    fair = toxicity.fit(rows, swaps, y, strength=20.0)
+    assert len({len(s) for s in swaps}) == 2 and max(map(len, swaps)) == 5
+    others = ("christians", "jews", "hindus", "atheists")
+    change = lambda m: max(abs(m.score("muslims met today") - m.score(f"{o} met today")) for o in others)
+    assert change(fair) < 0.3 * change(plain)
     assert fair.score("vile") > 0.7
 
 
+def test_swaps_change_one_term_at_a_time():
+    for found in ({"women", "men", "met"}, {"muslims", "met"}, {"woman", "women"}, {"met"}, {"black", "blackbird"}):
+        got = toxicity.changes(found)
+        want = [(found, found - {w} | {v}) for w in sorted(found & toxicity.PARTNERS.keys()) for v in toxicity.PARTNERS[w]]
+        assert len(got) == len(want)
+        for (lost, gained), (a, b) in zip(got, want, strict=True):
+            x, y = set(toxicity.text_features(a)), set(toxicity.text_features(b))
+            assert set(lost) == x - y and set(gained) == y - x
+
+
+def test_toxicity_gradient_is_that_of_the_loss():
+    """A small fit by plain gradient steps on the stated loss, with differences for the gradient."""
+    r = random.Random(4)
+    texts = [{*(r.choice(["muslims", "women", "old", "vile", "a1", "a2", "a3"]) for _ in range(4))} for _ in range(60)]
+    y = np.array([float("vile" in t) for t in texts], dtype=np.float32)
+    rows, swaps = [toxicity.text_features(t) for t in texts], [toxicity.changes(t) for t in texts]
+    keep = np.unique(np.concatenate(rows))
+    x = np.array([[f in set(row) for f in keep] for row in rows], dtype=float)
+    m = toxicity.Swaps(swaps, keep)
+    w = np.array([r.uniform(-1, 1) for _ in keep])
+    score = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(w):
+        total = 0.0
+        for i, own in enumerate(swaps):
+            for lost, gained in own:
+                z = x[i] @ w
+                other = z - sum(w[keep == f].sum() for f in lost) + sum(w[keep == f].sum() for f in gained)
+                total += (score(z) - score(other)) ** 2 / len(own)
+        return total
+
+    z = x @ w
+    was, now = score(z)[m.text], score(z[m.text] - m.times(w))
+    step = 2 * m.share * (was - now)
+    first, second = step * was * (1 - was), -step * now * (1 - now)
+    grad = x.T @ np.bincount(m.text, first + second, len(y)) - m.back(second, len(keep))
+    for k in range(len(keep)):
+        e = np.eye(len(keep))[k] * 1e-5
+        assert abs((loss(w + e) - loss(w - e)) / 2e-5 - grad[k]) < 1e-6
+
+
 def test_attention_finds_the_bad_passage():
-    good = " ".join(f"plain word{i % 37}" for i in range(400))
-    bad = " ".join("JUNK!!" for _ in range(64))
     r = random.Random(1)
+    good = " ".join(f"w{r.randrange(500)}" for _ in range(256))
+    bad = " ".join("JUNK!!" for _ in range(64))
     docs, y = [], []
     for i in range(120):
         w = [f"w{r.randrange(500)}" for _ in range(256)]
@@ -314,9 +356,51 @@ def test_attention_finds_the_bad_passage():
         y.append(float(i % 2 == 0))
     x, doc = quality.passages(docs)
     model = quality.fit(x, doc, np.array(y))
-    assert model.scores([good])[0] > 0.5 > model.scores([good + " " + bad + " " + good])[0] or model.scores([good])[0] > model.scores([good + " " + bad])[0]
+    assert model.scores([good])[0] > 0.5 > model.scores([good + " " + bad + " " + good])[0]
     f = model.forward(x, doc, len(docs))
     assert np.allclose(np.add.reduceat(f["a"], f["first"]), 1)
+    attended = f["a"].reshape(-1, 4)[1::2]  # of texts with a bad passage, which is the second of four
+    assert attended[:, 1].mean() > 0.5
+
+
+def test_quality_forward_equals_a_loop():
+    texts = ["a b c " * 60, "", "Ü x! " * 200, "one two"]
+    x, doc = quality.passages(texts)
+    m = quality.fit(x, doc, np.array([1.0, 0.0, 0.0, 1.0]), steps=5)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for i, score in enumerate(m.forward(x, doc, len(texts))["p"]):
+        z = [np.clip((v - m.mean) / m.scale, -quality.LIMIT, quality.LIMIT) for v in x[doc == i]]
+        h = [np.tanh(v @ m.encode[:-1] + m.encode[-1]) for v in z]
+        e = np.array([np.tanh(v @ m.value[:-1] + m.value[-1]) * sigmoid(v @ m.gate[:-1] + m.gate[-1]) @ m.attend for v in h])
+        a = np.exp(e) / np.exp(e).sum()
+        assert abs(score - sigmoid(sum(p * v for p, v in zip(a, h, strict=True)) @ m.out[:-1] + m.out[-1])) < 1e-9
+
+
+def test_quality_gradient_is_that_of_the_loss():
+    """One step without memory moves every weight against the difference quotient of the loss."""
+    texts = ["a b c " * 60, "", "Ü x! " * 200, "one two", "JUNK " * 100]
+    y = np.array([1.0, 0.0, 0.0, 1.0, 0.0])
+    x, doc = quality.passages(texts)
+    before, after = (quality.fit(x, doc, y, steps=n, decay=0.0) for n in (3, 4))
+    again = quality.fit(x, doc, y, steps=3, decay=0.0)
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+
+    def loss(m):
+        p = m.forward(x, doc, len(y))["p"]
+        return -(share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    assert np.allclose(before.encode, again.encode) and loss(after) < loss(before)
+    grad = quality.gradient(before, x, doc, y, share)
+    for name in ("encode", "gate", "value", "attend", "out"):
+        weights = getattr(before, name)
+        for place in list(np.ndindex(weights.shape))[:: max(1, weights.size // 12)]:
+            kept = weights[place]
+            weights[place] = kept + 1e-5
+            up = loss(before)
+            weights[place] = kept - 1e-5
+            down = loss(before)
+            weights[place] = kept
+            assert abs((up - down) / 2e-5 - grad[name][place]) < 1e-6, (name, place)
 
 
 def test_pipeline_stages(spark, tiny):
