@@ -61,11 +61,17 @@ utc_text = operator(
 )
 
 # Fixed values of the fractional-year series for declination and the equation of time (published by NOAA).
-SUN = """
-SELECT id, lat, lon, month, hour,
-       0.006918e0 - 0.399912e0 * cos(g) + 0.070257e0 * sin(g) - 0.006758e0 * cos(2 * g) + 0.000907e0 * sin(2 * g) - 0.002697e0 * cos(3 * g) + 0.00148e0 * sin(3 * g) AS decl,
-       229.18e0 * (0.000075e0 + 0.001868e0 * cos(g) - 0.032077e0 * sin(g) - 0.014615e0 * cos(2 * g) - 0.040849e0 * sin(2 * g)) AS eqt
-FROM (SELECT *, 2e0 * pi() / 365e0 * (dayofyear(make_date(2025, month, 21)) - 1 + (hour - 12e0) / 24e0) AS g FROM {vectors}) s"""
+def declination(g: str) -> str:
+    return f"0.006918e0 - 0.399912e0 * cos({g}) + 0.070257e0 * sin({g}) - 0.006758e0 * cos(2 * {g}) + 0.000907e0 * sin(2 * {g}) - 0.002697e0 * cos(3 * {g}) + 0.00148e0 * sin(3 * {g})"
+
+
+def equation_of_time(g: str) -> str:
+    return f"229.18e0 * (0.000075e0 + 0.001868e0 * cos({g}) - 0.032077e0 * sin({g}) - 0.014615e0 * cos(2 * {g}) - 0.040849e0 * sin(2 * {g}))"
+
+
+SUN = f"""
+SELECT id, lat, lon, month, hour, {declination("g")} AS decl, {equation_of_time("g")} AS eqt
+FROM (SELECT *, 2e0 * pi() / 365e0 * (dayofyear(make_date(2025, month, 21)) - 1 + (hour - 12e0) / 24e0) AS g FROM {{vectors}}) s"""
 ANGLED = f"SELECT *, radians((hour * 60e0 + eqt + 4e0 * lon) / 4e0 - 180e0) AS ha, radians(lat) AS phi FROM ({SUN}) a"
 hour_angle = operator("d6_hour_angle", "vectors", f"SELECT id, bround(degrees(ha), 6) AS hour_angle, bround(eqt, 6) AS equation_of_time FROM ({ANGLED}) h")
 solar_position = operator(

@@ -7,7 +7,7 @@ part of SQL that Spark and DuckDB share, so the same text, put through ``ansi``,
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -22,6 +22,7 @@ def ansi(text: str) -> str:
     for spark, duck in (("percentile(", "quantile_cont("), ("format_string(", "printf("), ("regexp_like(", "regexp_matches(")):
         text = re.sub(r"\b" + re.escape(spark), duck, text)
     text = re.sub(r"regexp_replace\((.+?), ('[^']+'), ('[^']*')\)", r"regexp_replace(\1, \2, \3, 'g')", text)
+    text = re.sub(r"\bsha2\((.+?), 256\)", r"sha256(\1)", text)
     text = re.sub(r"locate\(('[^']*'), (\w+)\)", r"strpos(\2, \1)", text)
     text = re.sub(r"try_to_date\((\w+), 'dd.MM.yyyy'\)", r"CAST(try_strptime(\1, '%d.%m.%Y') AS DATE)", text)
     return text
@@ -69,21 +70,32 @@ class SqlOperator:
     text: str
     about: str = ""
     oracle: str | None = None  # where DuckDB needs another text
-
-    def __call__(self, **frames: DataFrame) -> DataFrame:
-        missing = set(self.inputs) - frames.keys()
-        if missing:
-            raise TypeError(f"{self.name} needs {sorted(missing)}")
+    settings: dict[str, float | str] = field(default_factory=dict)  # :name in the text, with its default
+
+    def __call__(self, **given: DataFrame | float | str) -> DataFrame:
+        """The operator over DataFrames and settings by name; settings that are not given have their defaults."""
+        missing = set(self.inputs) - given.keys()
+        if missing or given.keys() - set(self.inputs) - self.settings.keys():
+            raise TypeError(f"{self.name} needs {sorted(self.inputs)} and takes {sorted(self.settings)}")
+        frames = {k: given[k] for k in self.inputs}
         spark = next(iter(frames.values())).sparkSession
-        return spark.sql(spark_text(self.text), **{k: frames[k] for k in self.inputs})
+        return spark.sql(spark_text(self.set({k: given[k] for k in self.settings if k in given})), **frames)
+
+    def set(self, given: dict[str, float | str] | None = None, text: str | None = None) -> str:
+        """The text with its settings as literals."""
+        text = text or self.text
+        for name, value in (self.settings | (given or {})).items():
+            literal = "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value) + ("e0" if isinstance(value, float) and "e" not in repr(value) else "")
+            text = re.sub(rf":{name}\b", literal, text)
+        return text
 
     def sql(self) -> str:
         names = {k: k for k in self.inputs}
-        return (self.oracle or ansi(self.text)).format(**names)
+        return self.set(text=self.oracle or ansi(self.set())).format(**names)
 
 
-def operator(name: str, inputs: str, text: str, about: str = "", oracle: str | None = None) -> SqlOperator:
+def operator(name: str, inputs: str, text: str, about: str = "", oracle: str | None = None, **settings: float | str) -> SqlOperator:
     """Registers an operator; the part of the name before the first underscore is its id in the inventory."""
-    made = SqlOperator(name, tuple(inputs.split()), text, about, oracle)
+    made = SqlOperator(name, tuple(inputs.split()), text, about, oracle, settings)
     OPERATORS[name] = made
     return made

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from sunspan.functions.scalars import ANGLED
 from sunspan.operators._sql import operator
 from sunspan.operators.layout import BEST
 from sunspan.operators.relational import ASSESSED, FACE_CELLS, OX, OY
@@ -36,5 +35,4 @@ face_loop = operator(
         FROM ({ASSESSED}) f JOIN ({BEST}) b ON b.face_id = f.face_id""",
 )
 upload = operator("k10_upload_analyse", "detections", "SELECT capture_id, bround(ppm, 6) AS ppm, CAST(floor(w / ppm / 1.154e0) * floor(h / ppm / 1.782e0) AS BIGINT) AS panels, TRUE AS approximate FROM (SELECT capture_id, (max(x1) - min(x0)) / 12e0 AS ppm, max(x1) - min(x0) AS w, max(y1) - min(y0) AS h FROM {detections} GROUP BY capture_id) t")
-shadow_at = operator("k11_shadow_query", "vectors", f"SELECT id, CASE WHEN up <= 0 THEN 'night' WHEN up <= 0.2e0 THEN 'low' ELSE 'day' END AS light FROM (SELECT id, bround(sin(phi) * sin(decl) + cos(phi) * cos(decl) * cos(ha), 6) AS up FROM ({ANGLED}) a) u")
 capture_document = operator("k13_capture_summary", "faces plants detections", "SELECT f.building_id, f.faces, f.area, coalesce(d.objects, 0) AS objects, coalesce(p.plants, 0) AS plants FROM (SELECT building_id, max(egid) AS egid, CAST(count(*) AS BIGINT) AS faces, bround(sum(area), 2) AS area FROM {faces} GROUP BY building_id) f LEFT JOIN (SELECT object_id, CAST(count(*) AS BIGINT) AS objects FROM {detections} GROUP BY object_id) d ON d.object_id = f.building_id LEFT JOIN (SELECT egid, CAST(count(*) AS BIGINT) AS plants FROM {plants} GROUP BY egid) p ON p.egid = f.egid")

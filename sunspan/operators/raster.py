@@ -13,7 +13,7 @@ CLOSED = f"""SELECT d.tile_id, d.row_no, d.col_no FROM ({DILATED}) d CROSS JOIN
              JOIN ({DILATED}) e ON e.tile_id = d.tile_id AND e.row_no = d.row_no + o.dr AND e.col_no = d.col_no + o.dc
              GROUP BY d.tile_id, d.row_no, d.col_no HAVING count(*) = 9"""
 #: Bindings for component operators: cells as nodes, 8-neighbours as links.
-CELL_LINKS = f"""SELECT a.tile_id * 10000 + a.row_no * 100 + a.col_no AS a, b.tile_id * 10000 + b.row_no * 100 + b.col_no AS b
+CELL_LINKS = f"""SELECT a.tile_id * 100000000 + a.row_no * 10000 + a.col_no AS a, b.tile_id * 100000000 + b.row_no * 10000 + b.col_no AS b
                  FROM ({CLOSED}) a CROSS JOIN ({OFFSETS}) o JOIN ({CLOSED}) b ON b.tile_id = a.tile_id AND b.row_no = a.row_no + o.dr AND b.col_no = a.col_no + o.dc"""
 
 raised_cells = operator("i1_raised_cells", "cells", f"SELECT * FROM ({RAISED}) r")
@@ -41,22 +41,10 @@ estimate_shift = operator(
             JOIN (SELECT tile_id, row_no, col_no, {CLEAN} - 500e0 AS v FROM {{cells}}) c ON c.row_no = p.r0 + s.dy AND c.col_no = p.c0 + s.dx
             WHERE c.v IS NOT NULL GROUP BY c.tile_id, s.dx, s.dy, s.ord HAVING count(*) >= 5) t) r WHERE rn = 1""",
 )
-ray_horizon = operator(
-    "j15_ray_horizon", "cells numbers",
-    f"""SELECT r.tile_id, r.bin, bround(greatest(0e0, max(coalesce(atan2(c.v - 503e0 - 0.25e0, r.d), -1.5e0))), 6) AS horizon, bround(avg(CASE WHEN c.v IS NULL THEN 0e0 ELSE 1e0 END), 6) AS coverage
-        FROM (SELECT t.tile_id, a.n AS bin, 0.5e0 * (m.n + 1) AS d, CAST(floor(20.25e0 + (m.n + 1) * cos(radians(a.n * 10e0))) AS BIGINT) AS rr, CAST(floor(20.25e0 + (m.n + 1) * sin(radians(a.n * 10e0))) AS BIGINT) AS cc
-              FROM (SELECT DISTINCT tile_id FROM {{cells}}) t CROSS JOIN {{numbers}} a CROSS JOIN {{numbers}} m WHERE a.n < 36 AND m.n < 18) r
-        LEFT JOIN (SELECT tile_id, row_no, col_no, {CLEAN} AS v FROM {{cells}}) c ON c.tile_id = r.tile_id AND c.row_no = r.rr AND c.col_no = r.cc
-        GROUP BY r.tile_id, r.bin""",
-)
 box_mean = operator(
     "i5_local_contrast", "cells",
     f"SELECT tile_id, row_no, col_no, bround(v - avg(v) OVER (PARTITION BY tile_id, row_no ORDER BY col_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS contrast FROM (SELECT tile_id, row_no, col_no, {CLEAN} AS v FROM {{cells}}) c WHERE v IS NOT NULL",
 )
-small_holes = operator(
-    "i4_hole_cells", "cells numbers",
-    f"SELECT d.tile_id, d.row_no, d.col_no FROM ({DILATED}) d LEFT JOIN ({RAISED}) r ON r.tile_id = d.tile_id AND r.row_no = d.row_no AND r.col_no = d.col_no WHERE r.tile_id IS NULL",
-)
 refit_plane = operator(
     "a4_refit_plane", "cells",
     f"""SELECT tile_id, n, bround(sxz / nullif(sxx, 0), 6) AS slope_col, bround(syz / nullif(syy, 0), 6) AS slope_row FROM (

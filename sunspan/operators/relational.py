@@ -6,13 +6,15 @@ exact predicate is what remains, so that Spark plans a hash or merge join and ne
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from sunspan.functions.scalars import POWER_KW, TILE_YEAR
 from sunspan.operators._sql import operator
 
 # --- scans and selections -------------------------------------------------------------------------------------------
-identify_point = operator("s2_identify_point", "faces", "SELECT face_id, building_id FROM {faces} WHERE x0 <= 12e0 AND x1 >= 12e0 AND y0 <= 3e0 AND y1 >= 3e0")
-identify_envelope = operator("s3_identify_envelope", "faces", "SELECT face_id FROM {faces} WHERE x1 >= 20e0 - 2e0 AND x0 <= 24e0 + 2e0 AND y1 >= 1e0 - 2e0 AND y0 <= 4e0 + 2e0 ORDER BY building_id, part_no LIMIT 500")
-find_by_attribute = operator("s4_find_by_attribute", "faces", "SELECT face_id, building_id, pitch, irradiation FROM {faces} WHERE building_id = 100 ORDER BY part_no LIMIT 100")
+identify_point = operator("s2_identify_point", "faces", "SELECT face_id, building_id FROM {faces} WHERE x0 <= :x AND x1 >= :x AND y0 <= :y AND y1 >= :y", x=12.0, y=3.0)
+identify_envelope = operator("s3_identify_envelope", "faces", "SELECT face_id FROM {faces} WHERE x1 >= :minx - :around AND x0 <= :maxx + :around AND y1 >= :miny - :around AND y0 <= :maxy + :around ORDER BY building_id, part_no LIMIT :most", minx=20.0, miny=1.0, maxx=24.0, maxy=4.0, around=2.0, most=500)
+find_by_attribute = operator("s4_find_by_attribute", "faces", "SELECT face_id, building_id, pitch, irradiation FROM {faces} WHERE building_id = :building ORDER BY part_no LIMIT :most", building=100, most=100)
 address = operator(
     "s6_building_address", "faces plants",
     """SELECT building_id, plant_id AS address_id, distance FROM (
@@ -54,15 +56,26 @@ REASONS = """
 SELECT *, CASE WHEN anchor = 'projected_2d' THEN 1 ELSE 0 END AS r_projected, CASE WHEN conflict THEN 1 ELSE 0 END AS r_conflict,
        CASE WHEN area_disagreement > 0.2e0 THEN 1 ELSE 0 END AS r_area, CASE WHEN pitch > 65 THEN 1 ELSE 0 END AS r_steep,
        CASE WHEN pitch >= 10 AND least(azimuth, 360e0 - azimuth) <= 35 THEN 1 ELSE 0 END AS r_north,
-       CASE WHEN irradiation < 800 THEN 1 ELSE 0 END AS r_dim, CASE WHEN irradiation IS NULL THEN 1 ELSE 0 END AS c_irradiation,
+       CASE WHEN irradiation < :minimum_irradiation THEN 1 ELSE 0 END AS r_dim, CASE WHEN irradiation IS NULL THEN 1 ELSE 0 END AS c_irradiation,
        CASE WHEN coverage IS NULL THEN 'no_sunlight' WHEN anchor = 'approximate' THEN 'approximate_anchor' WHEN coverage < 0.98e0 THEN 'partial_coverage' END AS c_sun
 FROM {faces}"""
-ASSESSED = f"""SELECT *, CASE WHEN r_projected + r_conflict + r_area + r_steep + r_north + r_dim > 0 THEN 'not_recommended'
+ASSESSED_TEXT = f"""SELECT *, CASE WHEN r_projected + r_conflict + r_area + r_steep + r_north + r_dim > 0 THEN 'not_recommended'
        WHEN c_irradiation = 1 OR c_sun IS NOT NULL THEN 'needs_review' ELSE 'suitable' END AS status FROM ({REASONS}) r"""
+#: For operators that take no setting.
+ASSESSED = ASSESSED_TEXT.replace(":minimum_irradiation", "800e0")
 assess_face = operator(
     "f5_assess_face", "faces",
-    f"SELECT face_id, building_id, status, status <> 'not_recommended' AS eligible, r_projected, r_conflict, r_area, r_steep, r_north, r_dim, c_irradiation, c_sun FROM ({ASSESSED}) a",
+    f"SELECT face_id, building_id, status, status <> 'not_recommended' AS eligible, r_projected, r_conflict, r_area, r_steep, r_north, r_dim, c_irradiation, c_sun FROM ({ASSESSED_TEXT}) a",
+    minimum_irradiation=800.0,
 )
+
+
+def with_status(faces: DataFrame, minimum_irradiation: float) -> DataFrame:
+    """``faces`` with status and eligible, without a join."""
+    text = assess_face.set({"minimum_irradiation": minimum_irradiation}, f"SELECT *, status <> 'not_recommended' AS eligible FROM ({ASSESSED_TEXT}) a")
+    return faces.sparkSession.sql(text, faces=faces)
+
+
 obstacle_filter = operator("f6_obstacle_filter", "detections", "SELECT capture_id, object_id FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY (x1 - x0) * (y1 - y0) DESC, object_id) AS rn FROM {detections} WHERE (x1 - x0) * (y1 - y0) >= 4 AND least(x1 - x0, y1 - y0) >= 0.7e0 AND height_m >= 0.35e0) t WHERE rn <= 40")
 rooflight_filter = operator("f7_rooflight_filter", "detections", "SELECT capture_id, object_id FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY (x1 - x0) * (y1 - y0) DESC, object_id) AS rn FROM {detections} WHERE (x1 - x0) * (y1 - y0) BETWEEN 0.25e0 AND 6e0 AND (x1 - x0) / (y1 - y0) BETWEEN 0.3e0 AND 3.4e0) t WHERE rn <= 60")
 pv_gate = operator("f8_pv_field_gate", "detections", "SELECT capture_id, CASE WHEN dark >= 12 THEN 'covered' WHEN bright >= 5 AND bright - dark >= 14 AND share <= 0.92e0 THEN 'separated' ELSE 'none' END AS gate FROM (SELECT capture_id, bround(avg(CASE WHEN confidence < 0.5e0 THEN confidence * 40e0 END), 6) AS dark, bround(avg(CASE WHEN confidence >= 0.5e0 THEN confidence * 40e0 END), 6) AS bright, avg(CASE WHEN kind = 'existing_pv' THEN 1e0 ELSE 0e0 END) AS share FROM {detections} GROUP BY capture_id) t")
@@ -70,7 +83,7 @@ pv_component = operator("f9_pv_component", "detections", "SELECT capture_id, obj
 alignment_gate = operator("f10_alignment_acceptance", "vectors", "SELECT id, CASE WHEN value <= 50 THEN 'no_edges' WHEN height / 450e0 < 1.02e0 THEN 'no_gain' WHEN value < 0.35e0 * 490 THEN 'weak' WHEN n_panels IN (0, 59) THEN 'on_search_wall' ELSE 'accepted' END AS verdict FROM {vectors}")
 measured_gate = operator("f13_measured_acceptance", "faces", "SELECT building_id, max(CASE WHEN x0 - 1.5e0 <= 12e0 AND x1 + 1.5e0 >= 12e0 AND y0 - 1.5e0 <= 3e0 AND y1 + 1.5e0 >= 3e0 THEN 1 ELSE 0 END) = 1 AS accepted FROM {faces} GROUP BY building_id")
 override_owned = operator("f16_override_ownership", "raw_faces faces", "SELECT DISTINCT r.face_id FROM {raw_faces} r LEFT JOIN {faces} f ON r.face_id = f.face_id WHERE f.face_id IS NULL")
-capture_integrity = operator("f17_capture_integrity", "documents", "SELECT doc_id, sha2(text, 256) = sha2(concat(text, ''), 256) AND length(text) = n_chars AS intact FROM {documents}", oracle="SELECT doc_id, sha256(text) = sha256(concat(text, '')) AND length(text) = n_chars AS intact FROM documents")
+capture_integrity = operator("f17_capture_integrity", "captures", "SELECT doc_id, length(text) = stored_chars AND sha2(text, 256) = stored_sha256 AND abs(ppm - stored_ppm) <= 1e-5 * stored_ppm AS intact FROM {captures}")
 roof_triangles = operator("f18_roof_triangles", "vectors", "SELECT id FROM {vectors} WHERE 1e0 / sqrt(a * a + b * b + 1e0) >= 0.30e0")
 colour_bins = operator("f19_colour_bins", "faces", "SELECT face_id, CASE WHEN irradiation >= 1200 THEN 'high' WHEN irradiation >= 1000 THEN 'medium' WHEN irradiation IS NOT NULL THEN 'low' END AS bin FROM {faces}")
 breakdown = operator("f20_breakdown", "detections", "SELECT capture_id, bround(sum(a), 6) AS shown FROM (SELECT capture_id, kind, sum((x1 - x0) * (y1 - y0)) AS a FROM {detections} GROUP BY capture_id, kind) t WHERE a > 0.05e0 GROUP BY capture_id")
@@ -111,7 +124,7 @@ clip_faces = operator("j12_clip_faces", "faces", "SELECT face_id, greatest(x0, 4
 bridge_veto = operator("j13_bridge_veto", "cells", f"SELECT tile_id, CASE WHEN count(h) < 6 THEN TRUE ELSE avg(CASE WHEN h >= 2 THEN 1e0 WHEN h < 2 THEN 0e0 END) >= 0.6e0 END AS supported FROM (SELECT tile_id, {CLEAN} - ground AS h FROM {{cells}} WHERE col_no BETWEEN 18 AND 21) t GROUP BY tile_id")
 height_above_ground = operator("j14_surface_minus_terrain", "cells", f"SELECT s.tile_id, s.row_no, s.col_no, bround(s.v - t.ground, 6) AS height FROM (SELECT tile_id, row_no, col_no, {CLEAN} AS v FROM {{cells}}) s LEFT JOIN {{cells}} t ON s.tile_id = t.tile_id AND s.row_no = t.row_no AND s.col_no = t.col_no")
 manifest_semi = operator("j17_manifest_semi", "splits pages", "SELECT s.id FROM {splits} s WHERE NOT EXISTS (SELECT 1 FROM {pages} p WHERE p.page_id = s.egid)")
-split_leakage = operator("j18_split_leakage", "splits", "SELECT s.id FROM {splits} s LEFT JOIN (SELECT egid FROM {splits} GROUP BY egid HAVING count(DISTINCT source) > 14) l ON s.egid = l.egid WHERE l.egid IS NULL")
+split_leakage = operator("j18_split_leakage", "splits", "SELECT s.id FROM {splits} s LEFT JOIN (SELECT egid FROM {splits} GROUP BY egid HAVING count(DISTINCT split) > 1) l ON s.egid = l.egid WHERE l.egid IS NULL")
 image_mask = operator("j19_image_mask", "documents labels", "SELECT d.doc_id, l.quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id")
 absorb = operator("j21_absorbed_skylights", "detections", f"SELECT a.object_id AS skylight, min(b.object_id) AS pv FROM {{detections}} a JOIN {{detections}} b ON a.capture_id = b.capture_id WHERE a.kind = 'skylight' AND a.source = 'image' AND b.kind = 'existing_pv' AND {OX} > 0 AND {OY} > 0 AND {OX} * {OY} >= 0.95e0 * (a.x1 - a.x0) * (a.y1 - a.y0) GROUP BY a.object_id")
 
@@ -138,7 +151,6 @@ rise_threshold = operator(
 register_summary = operator("a7_register_summary", "plants", f"SELECT egid, CAST(count(*) AS BIGINT) AS plants, bround(sum({POWER_KW.format('power_text')}), 2) AS total_kw FROM {{plants}} WHERE lower(trim(coalesce(category, ''))) = 'photovoltaic' GROUP BY egid")
 rejected_summary = operator("a8_rejected_summary", "faces", f"SELECT building_id, CAST(sum(CASE WHEN status = 'not_recommended' THEN 1 ELSE 0 END) AS BIGINT) AS rejected, CAST(sum(CASE WHEN status = 'not_recommended' AND ok > 0 THEN 1 ELSE 0 END) AS BIGINT) AS beside_accepted FROM (SELECT building_id, status, sum(CASE WHEN status <> 'not_recommended' THEN 1 ELSE 0 END) OVER (PARTITION BY building_id) AS ok FROM ({ASSESSED}) a) t GROUP BY building_id")
 confidence = operator("a9_confidence_summary", "detections", "SELECT capture_id, bround(avg(CASE WHEN source = 'yolo' AND kind = 'existing_pv' THEN confidence END), 3) AS pv, bround(avg(CASE WHEN source = 'yolo' AND kind <> 'existing_pv' THEN confidence END), 3) AS other, CAST(sum(CASE WHEN source = 'yolo' AND confidence < 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS low FROM {detections} GROUP BY capture_id")
-building_assessment = operator("a10_building_assessment", "faces", f"SELECT building_id, CASE WHEN sum(fits) = 0 THEN 'no_space' WHEN sum(CASE WHEN status <> 'not_recommended' THEN fits ELSE 0 END) = 0 THEN 'not_recommended' WHEN sum(CASE WHEN status = 'needs_review' AND fits > 0 THEN 1 ELSE 0 END) > 0 THEN 'needs_review' ELSE 'potential' END AS assessment, bround(100e0 * sum(CASE WHEN status <> 'not_recommended' THEN fits ELSE 0 END) * 1.998108e0 / sum(area), 1) AS coverage_pct FROM (SELECT *, floor((w - 0.6e0) / 1.154e0) * floor((h - 0.6e0) / 1.782e0) AS fits FROM ({ASSESSED}) a) t GROUP BY building_id")
 provenance = operator("a12_data_provenance", "detections", "SELECT source, kind, CAST(count(*) AS BIGINT) AS objects, CAST(count(confidence) AS BIGINT) AS scored FROM {detections} GROUP BY source, kind")
 vintage_findings = operator(
     "a13_vintage_findings", "plants",
@@ -205,20 +217,12 @@ usable_cells = operator(
                cx * 0.5e0 + 0.25e0 BETWEEN x0 + 2e0 - 0.4e0 AND x0 + 3e0 + 0.4e0 AND cy * 0.5e0 + 0.25e0 BETWEEN y0 + 1e0 - 0.4e0 AND y0 + 2e0 + 0.4e0 AS blocked
         FROM {faces} f EACH(cx, CAST(x0 * 2 AS BIGINT), CAST(x1 * 2 AS BIGINT) - 1) EACH(cy, CAST(y0 * 2 AS BIGINT), CAST(y1 * 2 AS BIGINT) - 1)) t GROUP BY face_id""",
 )
-exclusive = operator(
-    "a11_exclusive_accounting", "faces",
-    f"""SELECT building_id, CAST(count(*) AS BIGINT) AS cells, CAST(sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pv, CAST(sum(CASE WHEN rank = 2 THEN 1 ELSE 0 END) AS BIGINT) AS obstacle,
-               CAST(sum(CASE WHEN rank = 3 THEN 1 ELSE 0 END) AS BIGINT) AS shade, CAST(sum(CASE WHEN rank = 9 THEN 1 ELSE 0 END) AS BIGINT) AS remainder, bround(100e0 * sum(CASE WHEN rank < 9 THEN 1 ELSE 0 END) / count(*), 1) AS shortfall_pct
-        FROM (SELECT building_id, cx, cy, min(CASE WHEN (cx + cy) % 7 = 0 THEN 1 WHEN cx % 5 = 0 THEN 2 WHEN cy % 4 = 0 THEN 3 ELSE 9 END) AS rank FROM ({FACE_CELLS}) c WHERE status <> 'not_recommended' GROUP BY building_id, cx, cy) t GROUP BY building_id""",
-)
-sun_exclusions = operator("k3_sunlight_exclusions", "faces", f"SELECT face_id, CAST(count(*) AS BIGINT) AS shaded_cells FROM ({FACE_CELLS}) c WHERE (cx * 7 + cy * 3) % 100 < 60 AND (cx + cy) % 10 < 9 GROUP BY face_id")
 roof_potential = operator(
     "m1_roof_potential", "faces",
     f"""SELECT building_id, CAST(count(*) AS BIGINT) AS faces, CAST(sum(placed) AS BIGINT) AS panels, bround(sum(placed) * 450e0 / 1000e0, 3) AS kwp,
                CASE WHEN count(*) = count(irradiation) THEN CAST(bround(sum(placed * 0.45e0 * irradiation * 0.8e0), 0) AS BIGINT) END AS kwh
         FROM (SELECT w.*, f.irradiation FROM ({ALLOCATED}) w JOIN {{faces}} f ON f.face_id = w.face_id) t GROUP BY building_id""",
 )
-placement_check = operator("k12_validate_placement", "faces", f"SELECT face_id, placed * 1.998108e0 <= area AS fits_area, placed <= fits AS within_fits FROM (SELECT w.*, f.area FROM ({ALLOCATED}) w JOIN {{faces}} f ON f.face_id = w.face_id) t")
 objectives = operator(
     "k8_objective_comparison", "faces",
     f"""SELECT building_id, objective, CAST(sum(placed) AS BIGINT) AS panels FROM (
@@ -233,17 +237,4 @@ detection_views = operator(
     """SELECT id, CAST(least(n * (tile - CAST(floor(tile / 4e0) AS BIGINT)), px - tile) AS BIGINT) AS start_px, tile FROM (SELECT id, px, greatest(640, CAST(ceil(px / 3e0) AS BIGINT)) AS tile FROM (SELECT id, CAST(width_m * 3 AS BIGINT) AS px FROM {vectors}) p WHERE px > 768) t
        CROSS JOIN {numbers} WHERE n < 8 AND (n = 0 OR (n - 1) * (tile - CAST(floor(tile / 4e0) AS BIGINT)) + tile < px)""",
 )
-sampled_sun = operator(
-    "p12_sampled_sun", "numbers",
-    """SELECT month, hour, bround(up, 6) AS up, bround(up * days, 6) AS weight FROM (
-        SELECT month, hour, days, sin(phi) * sin(decl) + cos(phi) * cos(decl) * cos(radians((hour * 60e0 + eqt + 4e0 * 8.2e0) / 4e0 - 180e0)) AS up FROM (
-            SELECT m.n + 1 AS month, 4e0 + h.n / 2e0 AS hour, day(last_day(make_date(2025, CAST(m.n + 1 AS INT), 1))) AS days, radians(46.9e0) AS phi,
-                   0.409e0 * sin(2e0 * pi() * (dayofyear(make_date(2025, CAST(m.n + 1 AS INT), 21)) - 81) / 365e0) AS decl,
-                   9.87e0 * sin(4e0 * pi() * (dayofyear(make_date(2025, CAST(m.n + 1 AS INT), 21)) - 81) / 365e0) AS eqt
-            FROM {numbers} m CROSS JOIN {numbers} h WHERE m.n < 12 AND h.n < 33) s) t WHERE up > sin(radians(5e0))""",
-)
-horizon = operator("a15_horizon", "cells", f"SELECT tile_id, CAST(bin AS BIGINT) AS azimuth_bin, bround(greatest(0e0, max(coalesce(e, -1.5e0))), 6) AS horizon, bround(avg(CASE WHEN e IS NULL THEN 0e0 ELSE 1e0 END), 6) AS coverage FROM (SELECT tile_id, CAST(floor((degrees(atan2(col_no - 20 + 0.5e0, row_no - 20 + 0.5e0)) + 180e0) / 2.5e0) AS BIGINT) % 144 AS bin, atan2({CLEAN} - 503e0 - 0.25e0, sqrt(pow(col_no - 20 + 0.5e0, 2) + pow(row_no - 20 + 0.5e0, 2)) * 0.5e0) AS e FROM {{cells}}) t GROUP BY tile_id, bin")
-sun_access = operator("a16_sun_access", "vectors", "SELECT user_id, bround(sum(CASE WHEN sun_deg > tilt / 6e0 THEN w ELSE 0e0 END) / sum(w), 6) AS annual, bround(sum(CASE WHEN month IN (11, 12, 1, 2) AND sun_deg > tilt / 6e0 THEN w ELSE 0e0 END) / nullif(sum(CASE WHEN month IN (11, 12, 1, 2) THEN w ELSE 0e0 END), 0), 6) AS winter FROM (SELECT *, sin(radians(sun_deg + 1e0)) AS w FROM {vectors}) t GROUP BY user_id")
-shadow = operator("k5_instantaneous_shadow", "vectors", "SELECT id, CASE WHEN n_panels < 3 THEN 'unknown' WHEN sun_deg <= 0 THEN 'shade' WHEN n_panels % 50 = 49 THEN 'unknown' WHEN sun_deg <= tilt / 4e0 THEN 'shade' ELSE 'sun' END AS state FROM {vectors}")
-sun_bins = operator("j16_azimuth_bin", "vectors", "SELECT id, CAST(bround(lon * 30e0 / 2.5e0, 0) AS BIGINT) % 144 AS bin FROM {vectors}")
 extrema_ttl = operator("t1_latest_within_ttl", "events", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events} WHERE ts >= TIMESTAMP '2024-01-20 00:00:00') t WHERE rn = 1")

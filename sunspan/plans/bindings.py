@@ -102,12 +102,31 @@ FROM events
 TRUTH = "SELECT doc_id AS id, quality = 1 AS truth, toxic = 1 AS predicted, doc_id % 10 AS image FROM labels"
 
 SPLITS = """
-SELECT doc_id AS id, source, doc_id % 37 AS egid,
+SELECT doc_id AS id, source, CASE WHEN doc_id % 10 < 2 THEN CAST(floor(doc_id / 10e0) AS BIGINT) ELSE 1000000 + doc_id END AS egid,
+       CASE doc_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
        CAST(n_chars AS DOUBLE) / 100e0 AS kw, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE CAST(n_chars % 500 AS DOUBLE) END AS found
 FROM documents
 """
 
+#: Stored captures: one in 50 was changed after its digest was taken, one in 70 has another resolution.
+CAPTURES = """
+SELECT doc_id, text, n_chars AS stored_chars, sha2(CASE WHEN doc_id % 50 = 0 THEN concat(text, 'x') ELSE text END, 256) AS stored_sha256,
+       10e0 + CAST(doc_id % 7 AS DOUBLE) / 8e0 AS ppm, (10e0 + CAST(doc_id % 7 AS DOUBLE) / 8e0) * CASE WHEN doc_id % 70 = 3 THEN 1.001e0 ELSE 1e0 END AS stored_ppm
+FROM documents
+"""
+
+#: Nine samples on the roof of each tile, and the heights around it: a wall in the south, a gap without heights in some.
+SAMPLES = """
+SELECT t.tile_id, CAST(n.n AS BIGINT) AS sample, 126e0 + 2e0 * (n.n % 3) AS x, 126e0 + 2e0 * CAST(floor(n.n / 3e0) AS DOUBLE) AS y, 498e0 + CAST(t.tile_id % 4 AS DOUBLE) AS z
+FROM (SELECT DISTINCT CAST(floor(event_id / 1600e0) AS BIGINT) AS tile_id FROM events) t CROSS JOIN numbers n WHERE n.n < 9
+"""
+TERRAIN = """
+SELECT tile_id, cx, cy, CASE WHEN tile_id % 5 = 3 AND cx < 100 THEN NULL WHEN cy BETWEEN 108 AND 111 AND cx BETWEEN 100 AND 120 + 5 * (tile_id % 7) THEN 506e0 + CAST(tile_id % 6 AS DOUBLE)
+                             ELSE 490e0 + CAST((cx * 7 + cy * 3) % 11 AS DOUBLE) / 10e0 END AS z
+FROM (SELECT DISTINCT CAST(floor(event_id / 1600e0) AS BIGINT) AS tile_id FROM events) t EACH(cx, CAST(0 AS BIGINT), CAST(255 AS BIGINT)) EACH(cy, CAST(0 AS BIGINT), CAST(255 AS BIGINT))
+"""
+
 BINDINGS = {
     "raw_faces": RAW_FACES, "faces": FACES, "plants": PLANTS, "detections": DETECTIONS, "cells": CELLS, "tiles": TILES, "texts": TEXTS,
-    "vectors": VECTORS, "truth": TRUTH, "splits": SPLITS, **{t: f"SELECT * FROM {t}" for t in TABLES},
+    "vectors": VECTORS, "truth": TRUTH, "splits": SPLITS, "captures": CAPTURES, "samples": SAMPLES, "terrain": TERRAIN, **{t: f"SELECT * FROM {t}" for t in TABLES},
 }

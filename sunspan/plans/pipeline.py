@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.operators import graph, layout, relational
+from sunspan.operators import graph, layout, relational, roofs
+from sunspan.operators._shared import stored
+from sunspan.settings import Settings
 
 
 def prepare(faces: DataFrame) -> DataFrame:
@@ -33,6 +35,12 @@ def analyse(faces: DataFrame, power_w: float = 450.0, ratio: float = 0.8, limit:
     return rows.select("building_id", "face_id", "status", "orientation", "placed", "kwp", F.bround(F.col("kwp") * F.col("irradiation") * ratio, 0).cast("long").alias("kwh"))
 
 
-def shadow(samples: DataFrame) -> DataFrame:
-    """State of each sun sample: unknown without horizons, shade below them, else sun."""
-    return relational.shadow(vectors=samples)
+def analyse_rings(faces: DataFrame, objects: DataFrame, settings: Settings | None = None, terrain: DataFrame | None = None) -> DataFrame:
+    """A row for each face with rings: shade where heights (x, y, z) are given, then packing, allocation and accounting."""
+    sunlight = None if terrain is None else stored(roofs.analyse_sunlight(faces, roofs.height_blocks(terrain)), "sunlight")
+    return roofs.analyse_roofs(faces, objects, settings, sunlight)
+
+
+def shadow(sunlight: DataFrame, planes: DataFrame, month: int, hour: float) -> DataFrame:
+    """Samples in sun, in shade and unknown of each face at an hour (UTC) of the 21st of a month."""
+    return roofs.instantaneous_shadow(sunlight, planes, month, hour)

@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import buildings, graph, kernels, layout, raster, relational  # noqa: F401
+from sunspan.operators import buildings, graph, kernels, layout, raster, relational, roofs, shade  # noqa: F401
 from sunspan.operators._sql import OPERATORS, SqlOperator, ansi, spark_text
 from sunspan.plans.bindings import BINDINGS, TABLES
 
@@ -22,10 +23,10 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = SPARK_ONLY.get(name) or BINDINGS[name]
-    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
+    used = [t for t in (*TABLES, "numbers") if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(spark_text(text), **{t: bind(spark, sf_dir, t) for t in used})
 
 
 def _query(op: SqlOperator) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,7 +34,8 @@ def _query(op: SqlOperator) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _oracle(op: SqlOperator) -> str:
-    ctes = [f"{k} AS ({DUCK_ONLY.get(k) or ansi(BINDINGS[k])})" for k in op.inputs if k not in TABLES]
+    names = sorted((k for k in op.inputs if k not in TABLES), key=lambda k: k != "numbers")  # others may read numbers
+    ctes = [f"{k} AS ({DUCK_ONLY.get(k) or ansi(BINDINGS[k])})" for k in names]
     body = op.sql()
     return (f"WITH {', '.join(ctes)}\n" if ctes else "") + body if not body.lstrip().upper().startswith("WITH") else f"WITH {', '.join(ctes)}, {body.lstrip()[4:]}" if ctes else body
 
@@ -101,9 +103,56 @@ def p5_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.alignments(bind(spark, sf_dir, "vectors"))
 
 
+def ring_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces with rings and slopes."""
+    ring = F.array(*(F.array(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    steep = lambda f: -F.tan(F.radians("pitch")) * f(F.radians("azimuth"))
+    faces = bind(spark, sf_dir, "faces")
+    return faces.select("*", F.array(ring).alias("rings"), steep(F.sin).alias("slope_x"), steep(F.cos).alias("slope_y"))
+
+
+def roof_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thing of a square metre on every third face; every fourth of them is a plant."""
+    kind = F.when(F.col("s") % 4 == 0, "existing_pv").when(F.col("s") % 4 == 1, "chimney").when(F.col("s") % 16 == 2, "rwa").otherwise("skylight")
+    corner = lambda x, y: F.array(F.col("x0") + 2 + x, F.col("y0") + 0.5 + y)
+    square = F.array(*(corner(x, y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))))
+    return bind(spark, sf_dir, "faces").where("pk % 3 = 0").select("building_id", (F.col("building_id") * 16 + F.col("part_no")).alias("object_id"), kind.alias("kind"), square.alias("ring"))
+
+
+def k6_roof_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roofs.analyse_roofs(ring_faces(spark, sf_dir), roof_objects(spark, sf_dir))
+
+
+def k12_validate_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roofs.validate_placement(k6_roof_analysis(spark, sf_dir))
+
+
+def a10_building_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roofs.building_assessment(k6_roof_analysis(spark, sf_dir))
+
+
+def a11_sonnendach_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    official = bind(spark, sf_dir, "faces").select("building_id", (F.col("area") / F.cos(F.radians("pitch"))).alias("area_m2"), F.col("official_kwh").alias("kwh"))
+    return roofs.official_comparison(k6_roof_analysis(spark, sf_dir), official)
+
+
+def k9_map_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roofs.overlay(ring_faces(spark, sf_dir), k6_roof_analysis(spark, sf_dir), roof_objects(spark, sf_dir))
+
+
+def j1_ring_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roofs.ring_links(ring_faces(spark, sf_dir))
+
+
+def a2_merge_ring_building(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = ring_faces(spark, sf_dir)
+    return roofs.merge_building(faces, graph.select_connected(faces, roofs.ring_links(faces)))
+
+
 TREE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey = 1 THEN NULL ELSE CAST(floor(o_orderkey / 3e0) AS BIGINT) END AS parent, o_orderkey % 7 <> 5 AS covers FROM {orders}"""
 
-CODE = {f.__name__: f for f in (g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
+ROOFS = (k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_sonnendach_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
+CODE = {f.__name__: f for f in (*ROOFS, g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
 
 REACH = """reach(id, other) AS (SELECT a, a FROM links UNION SELECT b, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other)"""
 CODE_SQL = {
