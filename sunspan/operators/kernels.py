@@ -140,66 +140,71 @@ def _point_groups(points: DataFrame, key: str = "user_id") -> DataFrame:
 def alignments(points: DataFrame) -> DataFrame:
     """ring_id, angle in [-90, 90), length and width of the smallest rectangle around each group of points."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        angle, length, width = rotated_rectangle(pdf[["x", "y"]].to_numpy())
-        return pd.DataFrame({"ring_id": pdf["ring_id"].iloc[:1], "angle": [round((angle + 90) % 180 - 90, 2)], "length": [round(length, 2)], "width": [round(width, 2)]})
+    def run(rows: list[tuple]) -> list[tuple]:
+        angle, length, width = rotated_rectangle(np.array([r[2:] for r in rows], dtype=float))
+        return [(rows[0][0], round((angle + 90) % 180 - 90, 2), round(length, 2), round(width, 2))]
 
-    return _point_groups(points).groupBy("ring_id").applyInPandas(run, "ring_id long, angle double, length double, width double")
+    return by_group(_point_groups(points), "ring_id", ["id"], run, "ring_id long, angle double, length double, width double")
 
 
 def simplify_rings(points: DataFrame) -> DataFrame:
     """ring_id, points before and after, and area of the hull of each group, simplified."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = convex_hull(pdf[["x", "y"]].to_numpy())
+    def run(rows: list[tuple]) -> list[tuple]:
+        hull = convex_hull(np.array([r[2:] for r in rows], dtype=float))
         out = bounded_simplify(np.vstack([hull, hull[:1]])) if len(hull) > 2 else None
-        return pd.DataFrame({"ring_id": pdf["ring_id"].iloc[:1], "before": [len(pdf)], "after": [None if out is None else len(out) - 1], "area": [None if out is None else round(ring_area(out[:-1]), 6)]}).astype({"after": "Int64"})
+        return [(rows[0][0], len(rows), None if out is None else len(out) - 1, None if out is None else round(ring_area(out[:-1]), 6))]
 
-    return _point_groups(points).groupBy("ring_id").applyInPandas(run, "ring_id long, before long, after long, area double")
+    return by_group(_point_groups(points), "ring_id", ["id"], run, "ring_id long, before long, after long, area double")
 
 
 # --- heights --------------------------------------------------------------------------------------------------------
 
-SEED, TRIES, TOLERANCE = 20260908, 200, 0.25  # fixed values: seed, samples and tolerance of the consensus fit
+# Fixed values of the consensus fit: seed, samples, tolerance in metres, cells that it needs, inliers below which it is refused.
+SEED, TRIES, TOLERANCE, LEAST_CELLS, LEAST_INLIERS = 20260908, 200, 0.25, 12, 8
 
 
 def consensus_plane(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> dict | None:
-    """Slopes, offset, inliers and error of a plane by a seeded consensus of three points, refitted up to three times."""
-    if len(z) < 12:
-        return None
-    r = np.random.default_rng(SEED)
-    design = np.column_stack([x, y, np.ones(len(z))])
-    best = np.zeros(len(z), dtype=bool)
-    for _ in range(TRIES):
-        three = r.choice(len(z), 3, replace=False)
-        m = design[three]
-        if abs(np.linalg.det(m)) < 1e-9:
-            continue
-        inside = np.abs(design @ np.linalg.solve(m, z[three]) - z) <= TOLERANCE
-        if inside.sum() > best.sum():
-            best = inside
-    if best.sum() < 3:
+    """Slopes, offset, inliers, error and rank of the plane that most points agree on; None for too few points.
+
+    All samples of three are drawn and solved at once. Where hardly any points agree with the best, all take part. The
+    plane is then fitted to those that agree, by their sums, until they no longer change, three times at most.
+    """
+    if len(z) < LEAST_CELLS:
         return None
+    points = np.column_stack([x - x.mean(), y - y.mean(), np.ones(len(z))])
+    three = np.argpartition(np.random.default_rng(SEED).random((TRIES, len(z))), 3, axis=1)[:, :3]
+    some = three[np.abs(np.linalg.det(points[three])) > 1e-9]
+    agree = np.ones(len(z), dtype=bool)
+    if len(some):
+        planes = np.linalg.solve(points[some], z[some][..., None])[..., 0]
+        close = np.abs(planes @ points.T - z) <= TOLERANCE
+        top = close[close.sum(axis=1).argmax()]
+        agree = top if top.sum() >= LEAST_INLIERS else agree
     for _ in range(3):
-        fit, _, rank, _ = np.linalg.lstsq(design[best], z[best], rcond=None)
-        off = np.abs(design @ fit - z)
-        inside = off <= TOLERANCE
-        if (inside == best).all() or inside.sum() < 3:
+        p, q = points[agree], z[agree]
+        plane = np.linalg.pinv(p.T @ p) @ (p.T @ q)
+        off = np.abs(points @ plane - z)
+        nearer = off <= TOLERANCE
+        if nearer.sum() < LEAST_INLIERS or (nearer == agree).all():
             break
-        best = inside
-    return {"slope_x": fit[0], "slope_y": fit[1], "offset": fit[2], "inliers": int(best.sum()), "rmse": float(np.sqrt((off[best] ** 2).mean())), "rank": int(rank)}
+        agree = nearer
+    offset = plane[2] - plane[0] * x.mean() - plane[1] * y.mean()
+    rank = np.linalg.matrix_rank(points[agree])
+    return {"slope_x": plane[0], "slope_y": plane[1], "offset": offset, "inliers": int(agree.sum()), "rmse": float(np.sqrt((off[agree] ** 2).mean())), "rank": int(rank)}
 
 
 def fit_plane(cells: DataFrame) -> DataFrame:
     """tile_id and its consensus plane over (col, row); a tile with fewer than 12 known cells has none."""
     columns = ("slope_x", "slope_y", "offset", "inliers", "rmse", "rank")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["z"]).sort_values(["row_no", "col_no"])
-        fit = consensus_plane(pdf["col_no"].to_numpy(float), pdf["row_no"].to_numpy(float), pdf["z"].to_numpy(float))
-        return pd.DataFrame([{"tile_id": pdf["tile_id"].iloc[0], **{c: round(fit[c], 6) for c in columns}}] if fit else [], columns=["tile_id", *columns])
+    def run(rows: list[tuple]) -> list[tuple]:
+        _, row, col, z = zip(*rows, strict=True)
+        fit = consensus_plane(np.array(col, dtype=float), np.array(row, dtype=float), np.array(z, dtype=float))
+        return [(rows[0][0], *(round(float(fit[c]), 9) if c not in ("inliers", "rank") else fit[c] for c in columns))] if fit else []
 
-    return cells.groupBy("tile_id").applyInPandas(run, "tile_id long, slope_x double, slope_y double, offset double, inliers long, rmse double, rank long")
+    known = cells.where("z is not null").select("tile_id", "row_no", "col_no", "z")
+    return by_group(known, "tile_id", ["row_no", "col_no"], run, "tile_id long, slope_x double, slope_y double, offset double, inliers long, rmse double, rank long")
 
 
 def group_triangles(triangles: DataFrame) -> DataFrame:

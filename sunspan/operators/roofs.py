@@ -455,6 +455,42 @@ def ring_links(faces: DataFrame) -> DataFrame:
     return by_group(faces.select("building_id", "part_no", "face_id", "rings"), "building_id", ["part_no"], run, "a string, b string, reason string")
 
 
+def distance(a: list, b: list) -> float:
+    """Between two polygons; 0 where they meet."""
+    if rings.touch(a, b):
+        return 0.0
+    points = lambda r: np.concatenate([rings.closed(x) for x in r])
+    return float(min(rings.point_distance(a, points(b)).min(), rings.point_distance(b, points(a)).min()))
+
+
+# Measured faces are one where normals differ by 12 degrees at most, heights by 1.5 m, and they lie within .5 m.
+COPLANAR_COS, COPLANAR_RISE_M, COPLANAR_GAP_M = math.cos(math.radians(12)), 1.5, 0.5
+
+
+def join_coplanar(faces: DataFrame) -> DataFrame:
+    """face_id and lead of each measured face, and the lead's members and area: the largest face first, each joins the
+    first group that it lies in one plane with and beside. Repeated rows are faces of their own; null slopes count as 0."""
+
+    def run(group: list[tuple]) -> list[tuple]:
+        parts = []
+        for building, _, face, shape, sx, sy, z in group:
+            n = np.array([-(sx or 0.0), -(sy or 0.0), 1.0])
+            parts.append((rings.area(shape), face, shape, n / np.linalg.norm(n), z or 0.0, building))
+        joined: list[list] = []
+        for p in sorted(parts, key=lambda p: (-p[0], p[1])):
+            for g in joined:
+                lead = g[0]
+                if p[3] @ lead[3] >= COPLANAR_COS and abs(p[4] - lead[4]) <= COPLANAR_RISE_M and min(distance(p[2], q[2]) for q in g) <= COPLANAR_GAP_M:
+                    g.append(p)
+                    break
+            else:
+                joined.append([p])
+        return [(p[5], p[1], g[0][1], len(g), round(sum(q[0] for q in g), 4)) for g in joined for p in g]
+
+    rows = faces.select("building_id", "part_no", "face_id", "rings", "slope_x", "slope_y", "z")
+    return by_group(rows, "building_id", ["part_no"], run, "building_id long, face_id string, lead string, members long, area double")
+
+
 def merge_building(faces: DataFrame, chosen: DataFrame) -> DataFrame:
     """Per building the faces that were accepted, their union's area, and pitch where there is but one face.
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import buildings, graph, kernels, layout, raster, relational, roofs, shade  # noqa: F401
+from sunspan.operators import buildings, graph, images, kernels, layout, raster, relational, roofs, shade  # noqa: F401
 from sunspan.operators._sql import OPERATORS, SqlOperator, ansi, spark_text
 from sunspan.plans.bindings import BINDINGS, TABLES
 
@@ -151,7 +153,48 @@ def a2_merge_ring_building(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TREE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey = 1 THEN NULL ELSE CAST(floor(o_orderkey / 3e0) AS BIGINT) END AS parent, o_orderkey % 7 <> 5 AS covers FROM {orders}"""
 
-ROOFS = (k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_sonnendach_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
+def a27_join_coplanar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roofs.join_coplanar(ring_faces(spark, sf_dir))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of captures as their detections would look: brown roofs, blue fields with frame lines, and dark windows."""
+    held = bind(spark, sf_dir, "detections").groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("object_id", "kind", "x0", "y0", "x1", "y1"))).alias("things"))
+    size, ppm = (272, 200), 4.0
+    around = [[2.0, 2.0], [size[0] - 3.0, 2.0], [size[0] - 3.0, size[1] - 3.0], [2.0, size[1] - 3.0]]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for capture, things in zip(b.column("capture_id").to_pylist(), b.column("things").to_pylist(), strict=True):
+                r = np.random.default_rng(capture or 0)
+                image = np.array([150.0, 140.0, 132.0]) + r.normal(0, 4, (size[1], size[0], 3))
+                for t in [t for t in things if t["kind"] in ("existing_pv", "skylight")][:12]:
+                    x0, y0, x1, y1 = (int(t[c] * ppm) for c in ("x0", "y0", "x1", "y1"))
+                    patch = image[y0:y1, x0:x1]
+                    patch[:] = ((95.0, 105.0, 140.0) if t["kind"] == "existing_pv" else (98.0, 101.0, 118.0)) + r.normal(0, 3, patch.shape)
+                    if t["kind"] == "existing_pv":
+                        patch[::5] -= 45
+                        patch[:, ::5] -= 45
+                rgb = np.clip(image, 0, 255).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_pydict({"capture_id": pa.array([capture], pa.int64()), "width": pa.array([size[0]], pa.int32()), "height": pa.array([size[1]], pa.int32()), "rgb": [rgb], "ppm": [ppm]})
+
+    made = held.mapInArrow(draw, "capture_id long, width int, height int, rgb binary, ppm double")
+    return made.withColumn("roof", F.array(F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in around))))
+
+
+def i1_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.detect_obstacles(bind(spark, sf_dir, "cells"))
+
+
+def i3_pv_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.detect_solar_fields(captures(spark, sf_dir)).drop("rings")
+
+
+def i5_rooflights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.detect_roof_windows(captures(spark, sf_dir)).drop("rings")
+
+
+ROOFS = (a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_sonnendach_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
 CODE = {f.__name__: f for f in (*ROOFS, g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
 
 REACH = """reach(id, other) AS (SELECT a, a FROM links UNION SELECT b, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other)"""
