@@ -19,7 +19,7 @@ public_sunlight = operator("p19_public_sunlight", "vectors", "SELECT id, month,
 drawn_plane = operator("p20_drawn_plane", "faces", "SELECT face_id, CASE WHEN area >= 1 THEN face_id END AS accepted, CASE WHEN area < 1 THEN 'too_small' END AS problem FROM {faces}")
 valid_polygon = operator("p21_polygon_from_points", "detections", "SELECT object_id, (x1 - x0) * (y1 - y0) >= 4 AND x1 > x0 AND y1 > y0 AS valid FROM {detections}")
 footprint_member = operator("f14_footprint_membership", "faces", "SELECT a.face_id FROM {faces} a WHERE (least(a.x1, 30e0) - greatest(a.x0, 0e0)) * (least(a.y1, 8e0) - greatest(a.y0, 0e0)) >= greatest(0.25e0, 0.6e0 * a.area) AND least(a.x1, 30e0) > greatest(a.x0, 0e0) AND least(a.y1, 8e0) > greatest(a.y0, 0e0)")
-retained = operator("f15_object_retention", "detections faces", f"SELECT a.object_id FROM {{detections}} a LEFT JOIN {{faces}} b ON a.object_id = b.building_id GROUP BY a.object_id, a.source HAVING a.source = 'map' OR max(CASE WHEN {OX} > 0 AND {OY} > 0 THEN {OX} * {OY} ELSE 0e0 END) > 1")
+retained = operator("f15_object_retention", "detections faces", f"SELECT a.object_id FROM {{detections}} a LEFT JOIN {{faces}} b ON a.building_id = b.building_id GROUP BY a.object_id, a.source HAVING a.source = 'map' OR max(CASE WHEN {OX} > 0 AND {OY} > 0 THEN {OX} * {OY} ELSE 0e0 END) > 1")
 confidence_order = operator("f21_manual_first", "detections", "SELECT capture_id, object_id, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY CASE WHEN kind = 'existing_pv' THEN 0 WHEN source = 'manual' THEN 1 ELSE 2 END, object_id) AS BIGINT) AS place FROM {detections}")
 merged_building = operator(
     "a2_merge_building", "faces",
@@ -35,4 +35,4 @@ face_loop = operator(
         FROM ({ASSESSED}) f JOIN ({BEST}) b ON b.face_id = f.face_id""",
 )
 upload = operator("k10_upload_analyse", "detections", "SELECT capture_id, bround(ppm, 6) AS ppm, CAST(floor(w / ppm / 1.154e0) * floor(h / ppm / 1.782e0) AS BIGINT) AS panels, TRUE AS approximate FROM (SELECT capture_id, (max(x1) - min(x0)) / 12e0 AS ppm, max(x1) - min(x0) AS w, max(y1) - min(y0) AS h FROM {detections} GROUP BY capture_id) t")
-capture_document = operator("k13_capture_summary", "faces plants detections", "SELECT f.building_id, f.faces, f.area, coalesce(d.objects, 0) AS objects, coalesce(p.plants, 0) AS plants FROM (SELECT building_id, max(egid) AS egid, CAST(count(*) AS BIGINT) AS faces, bround(sum(area), 2) AS area FROM {faces} GROUP BY building_id) f LEFT JOIN (SELECT object_id, CAST(count(*) AS BIGINT) AS objects FROM {detections} GROUP BY object_id) d ON d.object_id = f.building_id LEFT JOIN (SELECT egid, CAST(count(*) AS BIGINT) AS plants FROM {plants} GROUP BY egid) p ON p.egid = f.egid")
+capture_document = operator("k13_capture_summary", "faces plants detections", "SELECT f.building_id, f.faces, f.area, coalesce(d.objects, 0) AS objects, coalesce(p.plants, 0) AS plants FROM (SELECT building_id, max(egid) AS egid, CAST(count(*) AS BIGINT) AS faces, bround(sum(area), 2) AS area FROM {faces} GROUP BY building_id) f LEFT JOIN (SELECT building_id, CAST(count(*) AS BIGINT) AS objects FROM {detections} GROUP BY building_id) d ON d.building_id = f.building_id LEFT JOIN (SELECT egid, CAST(count(*) AS BIGINT) AS plants FROM {plants} GROUP BY egid) p ON p.egid = f.egid")

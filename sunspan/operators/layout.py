@@ -47,6 +47,28 @@ demand = operator(
     "k7_demand_allocation", "faces",
     f"""SELECT building_id, face_id, wanted FROM (
         SELECT building_id, face_id, CAST(greatest(0, least(panels, needed - coalesce(sum(panels) OVER (PARTITION BY building_id ORDER BY irradiation DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS wanted
-        FROM (SELECT f.building_id, f.face_id, f.part_no, f.irradiation, b.panels, CAST(ceil(4000e0 / (0.45e0 * f.irradiation * 0.8e0)) AS BIGINT) AS needed
+        FROM (SELECT f.building_id, f.face_id, f.part_no, f.irradiation, b.panels, CAST(ceil(:target_kwh / (:power_kw * f.irradiation * :performance_ratio)) AS BIGINT) AS needed
               FROM ({BEST}) b JOIN ({ASSESSED}) f ON f.face_id = b.face_id WHERE f.status <> 'not_recommended' AND f.irradiation IS NOT NULL) t) w""",
+    target_kwh=4000.0, power_kw=0.45, performance_ratio=0.8,
+)
+
+#: Faces that may be used, with the modules that their best layout holds.
+FITTED = f"SELECT f.building_id, f.face_id, f.part_no, f.irradiation, coalesce(b.panels, 0) AS fits FROM ({ASSESSED}) f LEFT JOIN ({BEST}) b ON b.face_id = f.face_id WHERE f.status <> 'not_recommended'"
+BEFORE = "coalesce(sum(fits) OVER (PARTITION BY building_id{0} ORDER BY {1} DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+ALLOCATED = f"SELECT building_id, face_id, irradiation, fits, CAST(greatest(0, least(fits, :most_panels - {BEFORE.format('', 'coalesce(irradiation, -1e0)')})) AS BIGINT) AS placed FROM ({FITTED}) t"
+allocation = operator("w4_allocation", "faces", f"SELECT building_id, face_id, fits, placed FROM ({ALLOCATED}) w", most_panels=60)
+roof_potential = operator(
+    "m1_roof_potential", "faces",
+    f"""SELECT building_id, CAST(count(*) AS BIGINT) AS faces, CAST(sum(placed) AS BIGINT) AS panels, bround(sum(placed) * :power_kw, 3) AS kwp,
+               CASE WHEN count(*) = count(irradiation) THEN CAST(bround(sum(placed * :power_kw * irradiation * :performance_ratio), 0) AS BIGINT) END AS kwh
+        FROM ({ALLOCATED}) w GROUP BY building_id""",
+    most_panels=60, power_kw=0.45, performance_ratio=0.8,
+)
+objectives = operator(
+    "k8_objective_comparison", "faces",
+    f"""SELECT building_id, objective, CAST(sum(placed) AS BIGINT) AS panels FROM (
+        SELECT building_id, objective, greatest(0, least(fits, :most_panels - {BEFORE.format(', objective', 'score')})) AS placed
+        FROM (SELECT building_id, part_no, fits, o.objective, CASE WHEN o.objective = 'energy' THEN coalesce(irradiation, -1e0) ELSE fits * 1e0 END AS score
+              FROM ({FITTED}) t CROSS JOIN (SELECT 'capacity' AS objective UNION ALL SELECT 'energy' AS objective) o) s) p GROUP BY building_id, objective""",
+    most_panels=60,
 )

@@ -35,7 +35,7 @@ tile_origin = operator("s9_tile_origin", "tiles", f"SELECT item_id, CAST(substr(
 CLEAN = "CASE WHEN z < -100 OR z > 5000 THEN NULL ELSE z END"
 mosaic = operator("s10_mosaic", "cells", f"SELECT row_no, col_no, bround(min_by(v, tile_id), 6) AS z FROM (SELECT tile_id, row_no, col_no, {CLEAN} AS v FROM {{cells}}) t WHERE v IS NOT NULL GROUP BY row_no, col_no")
 clean_raster = operator("s11_clean_raster", "cells", f"SELECT tile_id, row_no, col_no, bround({CLEAN}, 6) AS z FROM {{cells}}")
-surveyed = operator("s16_surveyed_polygons", "detections faces", "SELECT d.object_id, f.face_id, bround((least(d.x1, f.x1) - greatest(d.x0, f.x0)) * (least(d.y1, f.y1) - greatest(d.y0, f.y0)), 6) AS area FROM {detections} d JOIN {faces} f ON d.object_id = f.building_id WHERE least(d.x1, f.x1) > greatest(d.x0, f.x0) AND least(d.y1, f.y1) > greatest(d.y0, f.y0) AND (least(d.x1, f.x1) - greatest(d.x0, f.x0)) * (least(d.y1, f.y1) - greatest(d.y0, f.y0)) >= 0.15e0")
+surveyed = operator("s16_surveyed_polygons", "detections faces", "SELECT d.object_id, f.face_id, bround((least(d.x1, f.x1) - greatest(d.x0, f.x0)) * (least(d.y1, f.y1) - greatest(d.y0, f.y0)), 6) AS area FROM {detections} d JOIN {faces} f ON d.building_id = f.building_id WHERE least(d.x1, f.x1) > greatest(d.x0, f.x0) AND least(d.y1, f.y1) > greatest(d.y0, f.y0) AND (least(d.x1, f.x1) - greatest(d.x0, f.x0)) * (least(d.y1, f.y1) - greatest(d.y0, f.y0)) >= 0.15e0")
 registered_pv = operator(
     "s17_registered_pv", "faces plants",
     """SELECT e.building_id, count(p.plant_id) > 0 AS known, CAST(count(p.plant_id) AS BIGINT) AS plants FROM (
@@ -104,7 +104,7 @@ coplanar = operator("j2_coplanar_pairs", "faces", f"SELECT a, b FROM ({COPLANAR}
 best_overlap = operator(
     "j4_best_overlap", "detections faces",
     f"""SELECT d.object_id, max_by(f.face_id, f.o * 1000 - f.part_no) AS face_id, bround(max(f.o) / max((d.x1 - d.x0) * (d.y1 - d.y0)), 3) AS share
-        FROM {{detections}} d LEFT JOIN (SELECT a.object_id, b.face_id, b.part_no, greatest(0e0, {OX}) * greatest(0e0, {OY}) AS o FROM {{detections}} a JOIN {{faces}} b ON a.object_id = b.building_id) f
+        FROM {{detections}} d LEFT JOIN (SELECT a.object_id, b.face_id, b.part_no, greatest(0e0, {OX}) * greatest(0e0, {OY}) AS o FROM {{detections}} a JOIN {{faces}} b ON a.building_id = b.building_id) f
         ON f.object_id = d.object_id AND f.o > 0 GROUP BY d.object_id""",
 )
 enriched = operator("j5_as_roof_planes", "faces plants", "SELECT f.face_id, coalesce(f.egid, p.egid) AS egid, bround((f.aspect + 540e0) % 360e0, 6) AS azimuth, bround(f.official_kwh, 3) AS official_kwh FROM {faces} f LEFT JOIN {plants} p ON f.building_id = p.plant_id")
@@ -114,10 +114,10 @@ cross_check = operator(
     """SELECT b.building_id, CASE WHEN r.n > 0 AND coalesce(s.n, 0) = 0 THEN 'registered_not_seen' WHEN coalesce(s.n, 0) > 0 AND coalesce(r.n, 0) = 0 AND b.e > 0 THEN 'seen_not_registered' ELSE 'consistent' END AS finding
        FROM (SELECT building_id, max(egid) AS egid, count(egid) AS e FROM {faces} GROUP BY building_id) b
        LEFT JOIN (SELECT egid, count(*) AS n FROM {plants} WHERE lower(trim(coalesce(category, ''))) = 'photovoltaic' GROUP BY egid) r ON r.egid = b.egid
-       LEFT JOIN (SELECT object_id, count(*) AS n FROM {detections} WHERE kind = 'existing_pv' GROUP BY object_id) s ON s.object_id = b.building_id""",
+       LEFT JOIN (SELECT building_id, count(*) AS n FROM {detections} WHERE kind = 'existing_pv' GROUP BY building_id) s ON s.building_id = b.building_id""",
 )
-objects_faces = operator("j8_objects_faces", "detections faces", f"SELECT a.object_id, b.face_id, bround({OX} * {OY}, 6) AS area FROM {{detections}} a JOIN {{faces}} b ON a.object_id = b.building_id WHERE {OX} > 0 AND {OY} > 0 AND {OX} * {OY} >= 1e-6")
-rwa_faces = operator("j9_rwa_clearance", "detections faces", "SELECT a.object_id, b.face_id FROM {detections} a JOIN {faces} b ON a.object_id = b.building_id WHERE a.kind = 'rwa' AND least(a.x1 + 2, b.x1) > greatest(a.x0 - 2, b.x0) AND least(a.y1 + 2, b.y1) > greatest(a.y0 - 2, b.y0)")
+objects_faces = operator("j8_objects_faces", "detections faces", f"SELECT a.object_id, b.face_id, bround({OX} * {OY}, 6) AS area FROM {{detections}} a JOIN {{faces}} b ON a.building_id = b.building_id WHERE {OX} > 0 AND {OY} > 0 AND {OX} * {OY} >= 1e-6")
+rwa_faces = operator("j9_rwa_clearance", "detections faces", "SELECT a.object_id, b.face_id FROM {detections} a JOIN {faces} b ON a.building_id = b.building_id WHERE a.kind = 'rwa' AND least(a.x1 + 2, b.x1) > greatest(a.x0 - 2, b.x0) AND least(a.y1 + 2, b.y1) > greatest(a.y0 - 2, b.y0)")
 enclosing = operator("j10_point_in_face", "faces vectors", "SELECT v.id, min_by(f.face_id, f.area * 100 + f.part_no) AS face_id FROM {vectors} v JOIN {faces} f ON f.building_id = v.id WHERE 2e0 + v.tilt BETWEEN f.x0 AND f.x1 AND v.sun_deg / 3e0 BETWEEN f.y0 AND f.y1 GROUP BY v.id")
 enclosing_building = operator("j11_enclosing_roof", "faces", "SELECT building_id, bround(sum(area), 6) AS area, max(CASE WHEN x0 <= 12 AND x1 >= 12 AND y0 <= 3 AND y1 >= 3 THEN 1 ELSE 0 END) = 1 AS covers FROM {faces} GROUP BY building_id HAVING max(CASE WHEN x0 <= 12 AND x1 >= 12 AND y0 <= 3 AND y1 >= 3 THEN 1 ELSE 0 END) = 1")
 clip_faces = operator("j12_clip_faces", "faces", "SELECT face_id, greatest(x0, 4e0) AS x0, least(x1, 44e0) AS x1, greatest(y0, 1e0) AS y0, least(y1, 9e0) AS y1 FROM {faces} WHERE (least(x1, 44e0) - greatest(x0, 4e0)) * (least(y1, 9e0) - greatest(y0, 1e0)) >= 0.25e0 AND least(x1, 44e0) > greatest(x0, 4e0) AND least(y1, 9e0) > greatest(y0, 1e0)")
@@ -154,11 +154,12 @@ confidence = operator("a9_confidence_summary", "detections", "SELECT capture_id,
 provenance = operator("a12_data_provenance", "detections", "SELECT source, kind, CAST(count(*) AS BIGINT) AS objects, CAST(count(confidence) AS BIGINT) AS scored FROM {detections} GROUP BY source, kind")
 vintage_findings = operator(
     "a13_vintage_findings", "plants",
-    f"""SELECT egid, CAST(max(extract(YEAR FROM day)) AS BIGINT) AS newest, bround(sum(kw), 2) AS kw, CAST(2026 - 1998 AS BIGINT) AS photo_age FROM (
+    f"""SELECT egid, CAST(max(extract(YEAR FROM day)) AS BIGINT) AS newest, bround(sum(kw), 2) AS kw, CAST(:today_year - :photo_year AS BIGINT) AS photo_age FROM (
         SELECT egid, {POWER_KW.format('power_text')} AS kw, CASE WHEN regexp_like(commissioned_text, '^[0-9][0-9][.][0-9][0-9][.](19|20)[0-9][0-9]$') THEN try_to_date(commissioned_text, 'dd.MM.yyyy') END AS day FROM {{plants}}) p
-        WHERE extract(YEAR FROM day) > 1998 GROUP BY egid""",
+        WHERE extract(YEAR FROM day) > :photo_year GROUP BY egid""",
+    photo_year=1998, today_year=2026,
 )
-vintage_confidence = operator("a14_vintage_confidence", "plants", "SELECT plant_id, CASE WHEN age <= 2 THEN 'high' WHEN age <= 4 THEN 'medium' WHEN age IS NOT NULL THEN 'low' ELSE 'unknown' END AS level FROM (SELECT plant_id, 2001 - extract(YEAR FROM taken_at) AS age FROM {plants}) t")
+vintage_confidence = operator("a14_vintage_confidence", "plants", "SELECT plant_id, CASE WHEN age <= 2 THEN 'high' WHEN age <= 4 THEN 'medium' WHEN age IS NOT NULL THEN 'low' ELSE 'unknown' END AS level FROM (SELECT plant_id, :today_year - extract(YEAR FROM taken_at) AS age FROM {plants}) t", today_year=2001)
 building_statistics = operator("a17_building_statistics", "faces", "SELECT building_id, CAST(count(*) AS BIGINT) AS faces, bround(sum(area), 3) AS area_m2, bround(sum(official_kwh), 2) AS official_kwh, bround(100e0 * sum(CASE WHEN irradiation >= 800 THEN area ELSE 0e0 END) / sum(area), 1) AS utilisation_pct FROM {faces} GROUP BY building_id")
 statistics_rollup = operator("a17_rollup", "faces", "SELECT building_id, part_no, bround(sum(area), 3) AS area_m2 FROM {faces} GROUP BY ROLLUP (building_id, part_no)")
 otsu = operator(
@@ -188,14 +189,10 @@ LOW, HIGH = "CAST(floor({0} + 0.5e0) AS BIGINT)", "CAST(ceil({0} - 0.5e0) AS BIG
 FACE_CELLS = f"SELECT building_id, face_id, part_no, z, cx, cy, status FROM ({ASSESSED}) f EACH(cx, {LOW.format('x0')}, {HIGH.format('x1')}) EACH(cy, {LOW.format('y0')}, {HIGH.format('y1')})"
 upper_face = operator("w2_upper_face_wins", "faces", f"SELECT building_id, cx, cy, face_id FROM (SELECT *, row_number() OVER (PARTITION BY building_id, cx, cy ORDER BY z DESC, part_no) AS rn FROM ({FACE_CELLS}) c) t WHERE rn = 1")
 topmost = operator("w3_topmost_area", "faces", f"SELECT face_id, CAST(count(*) AS BIGINT) AS visible FROM (SELECT *, row_number() OVER (PARTITION BY building_id, cx, cy ORDER BY z DESC, part_no) AS rn FROM ({FACE_CELLS}) c) t WHERE rn = 1 GROUP BY face_id")
-ALLOCATED = f"""
-SELECT building_id, face_id, fits, CAST(greatest(0, least(fits, 60 - coalesce(sum(fits) OVER (PARTITION BY building_id ORDER BY coalesce(irradiation, -1) DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS placed
-FROM (SELECT *, CAST(floor((w - 0.6e0) / 1.154e0) * floor((h - 0.6e0) / 1.782e0) AS BIGINT) AS fits FROM ({ASSESSED}) a WHERE status <> 'not_recommended') t"""
-allocation = operator("w4_allocation", "faces", f"SELECT building_id, face_id, fits, placed FROM ({ALLOCATED}) w")
 top_objects = operator("w5_top_objects", "detections", "SELECT capture_id, object_id, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY confidence DESC, object_id) AS rn FROM {detections} WHERE confidence IS NOT NULL) t WHERE rn <= 30")
-newest_per_origin = operator("w6_newest_per_origin", "tiles", "SELECT o, item_id FROM (SELECT item_id, item_id % 100 AS o, row_number() OVER (PARTITION BY item_id % 100 ORDER BY taken_at DESC, item_id) AS rn FROM {tiles} WHERE taken_at IS NOT NULL) t WHERE rn = 1")
+newest_per_origin = operator("w6_newest_per_origin", "tiles", f"SELECT origin, item_id FROM (SELECT item_id, {ORIGIN} AS origin, row_number() OVER (PARTITION BY {ORIGIN} ORDER BY taken_at DESC, item_id) AS rn FROM {{tiles}} WHERE taken_at IS NOT NULL) t WHERE rn = 1")
 lru = operator("w7_lru_running_total", "tiles", "SELECT item_id, CAST(sum(CAST(floor(bytes) AS BIGINT)) OVER (PARTITION BY media_type ORDER BY taken_at DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS kept_bytes FROM {tiles} WHERE taken_at IS NOT NULL")
-ring_length = operator("w8_ring_length", "vectors", "SELECT id, bround(sum(abs(a) + abs(b)) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS along FROM {vectors}")
+ring_length = operator("w8_ring_length", "vectors", "SELECT id, bround(sum(coalesce(side, 0e0)) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS along FROM (SELECT id, user_id, sqrt(pow(a - lag(a) OVER (PARTITION BY user_id ORDER BY id), 2) + pow(b - lag(b) OVER (PARTITION BY user_id ORDER BY id), 2)) AS side FROM {vectors}) s")
 
 # --- sets -----------------------------------------------------------------------------------------------------------
 SET_A, SET_B = "SELECT building_id FROM {faces} WHERE irradiation >= 1000", "SELECT building_id FROM {faces} WHERE pitch < 10"
@@ -213,23 +210,10 @@ usable_cells = operator(
     "k1_usable_cells", "faces",
     """SELECT face_id, CAST(count(*) AS BIGINT) AS cells, CAST(sum(CASE WHEN edge THEN 1 ELSE 0 END) AS BIGINT) AS edge_cells, CAST(sum(CASE WHEN NOT edge AND blocked THEN 1 ELSE 0 END) AS BIGINT) AS blocked_cells,
               CAST(sum(CASE WHEN NOT edge AND NOT blocked THEN 1 ELSE 0 END) AS BIGINT) AS usable_cells FROM (
-        SELECT face_id, cx * 0.5e0 + 0.25e0 < x0 + 0.3e0 OR cx * 0.5e0 + 0.25e0 > x1 - 0.3e0 OR cy * 0.5e0 + 0.25e0 < y0 + 0.3e0 OR cy * 0.5e0 + 0.25e0 > y1 - 0.3e0 AS edge,
-               cx * 0.5e0 + 0.25e0 BETWEEN x0 + 2e0 - 0.4e0 AND x0 + 3e0 + 0.4e0 AND cy * 0.5e0 + 0.25e0 BETWEEN y0 + 1e0 - 0.4e0 AND y0 + 2e0 + 0.4e0 AS blocked
+        SELECT face_id, cx * 0.5e0 + 0.25e0 < x0 + :edge_m OR cx * 0.5e0 + 0.25e0 > x1 - :edge_m OR cy * 0.5e0 + 0.25e0 < y0 + :edge_m OR cy * 0.5e0 + 0.25e0 > y1 - :edge_m AS edge,
+               cx * 0.5e0 + 0.25e0 BETWEEN x0 + 2e0 - :obstacle_m AND x0 + 3e0 + :obstacle_m AND cy * 0.5e0 + 0.25e0 BETWEEN y0 + 1e0 - :obstacle_m AND y0 + 2e0 + :obstacle_m AS blocked
         FROM {faces} f EACH(cx, CAST(x0 * 2 AS BIGINT), CAST(x1 * 2 AS BIGINT) - 1) EACH(cy, CAST(y0 * 2 AS BIGINT), CAST(y1 * 2 AS BIGINT) - 1)) t GROUP BY face_id""",
-)
-roof_potential = operator(
-    "m1_roof_potential", "faces",
-    f"""SELECT building_id, CAST(count(*) AS BIGINT) AS faces, CAST(sum(placed) AS BIGINT) AS panels, bround(sum(placed) * 450e0 / 1000e0, 3) AS kwp,
-               CASE WHEN count(*) = count(irradiation) THEN CAST(bround(sum(placed * 0.45e0 * irradiation * 0.8e0), 0) AS BIGINT) END AS kwh
-        FROM (SELECT w.*, f.irradiation FROM ({ALLOCATED}) w JOIN {{faces}} f ON f.face_id = w.face_id) t GROUP BY building_id""",
-)
-objectives = operator(
-    "k8_objective_comparison", "faces",
-    f"""SELECT building_id, objective, CAST(sum(placed) AS BIGINT) AS panels FROM (
-        SELECT building_id, objective, greatest(0, least(fits, 60 - coalesce(sum(fits) OVER (PARTITION BY building_id, objective ORDER BY score DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS placed
-        FROM (SELECT building_id, part_no, fits, o.objective, CASE WHEN o.objective = 'energy' THEN coalesce(irradiation, -1e0) ELSE fits * 1e0 END AS score
-              FROM (SELECT *, CAST(floor((w - 0.6e0) / 1.154e0) * floor((h - 0.6e0) / 1.782e0) AS BIGINT) AS fits FROM ({ASSESSED}) a WHERE status <> 'not_recommended') t
-              CROSS JOIN (SELECT 'capacity' AS objective UNION ALL SELECT 'energy' AS objective) o) s) p GROUP BY building_id, objective""",
+    edge_m=0.3, obstacle_m=0.4,
 )
 overlay = operator("k9_overlay", "faces detections", "SELECT 'roof' AS layer, face_id AS id, bround(area, 3) AS area FROM {faces} UNION ALL SELECT CASE kind WHEN 'existing_pv' THEN 'pv' ELSE 'obstacles' END AS layer, CAST(object_id AS STRING) AS id, bround((x1 - x0) * (y1 - y0), 3) AS area FROM {detections}")
 detection_views = operator(

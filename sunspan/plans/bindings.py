@@ -49,7 +49,7 @@ FROM orders
 """
 
 DETECTIONS = """
-SELECT event_id AS object_id, user_id AS capture_id,
+SELECT event_id AS object_id, user_id AS capture_id, 1 + event_id % 1499 AS building_id,
        CASE event_id % 5 WHEN 0 THEN 'existing_pv' WHEN 1 THEN 'skylight' WHEN 2 THEN 'chimney' WHEN 3 THEN 'rwa' ELSE 'other_obstacle' END AS kind,
        CASE (event_id % 97) % 5 WHEN 0 THEN 'yolo' WHEN 1 THEN 'map' WHEN 2 THEN 'manual' WHEN 3 THEN 'image' ELSE 'elevation' END AS source,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE value / 500e0 END AS confidence,
