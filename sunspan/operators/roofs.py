@@ -441,18 +441,18 @@ def official_comparison(faces: DataFrame, official: DataFrame) -> DataFrame:
     return both.withColumn("shortfall_pct", shortfall).withColumn("definition_difference_m2", F.bround(F.col("official_m2") - F.col("measured_m2"), 2))
 
 
-def ring_links(faces: DataFrame) -> DataFrame:
-    """a, b and reason of the pairs of faces of a building that touch; see rings.link_reason()."""
+def ring_links(faces: DataFrame, group: str = "building_id") -> DataFrame:
+    """a, b and reason of the pairs of faces of a group (a building or a capture) that touch; see rings.link_reason()."""
 
-    def run(group: list[tuple]) -> list[tuple]:
+    def run(rows: list[tuple]) -> list[tuple]:
         out = []
-        for i, (_, _, a, x) in enumerate(group):
-            for _, _, b, y in group[i + 1 :]:
+        for i, (_, _, a, x) in enumerate(rows):
+            for _, _, b, y in rows[i + 1 :]:
                 if (reason := rings.link_reason(x, y)) is not None:
                     out.append((a, b, reason))
         return out
 
-    return by_group(faces.select("building_id", "part_no", "face_id", "rings"), "building_id", ["part_no"], run, "a string, b string, reason string")
+    return by_group(faces.select(group, "part_no", "face_id", "rings"), group, ["part_no"], run, "a string, b string, reason string")
 
 
 def distance(a: list, b: list) -> float:
@@ -491,21 +491,22 @@ def join_coplanar(faces: DataFrame) -> DataFrame:
     return by_group(rows, "building_id", ["part_no"], run, "building_id long, face_id string, lead string, members long, area double")
 
 
-def merge_building(faces: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Per building the faces that were accepted, their union's area, and pitch where there is but one face.
+def merge_building(faces: DataFrame, chosen: DataFrame, group: str = "building_id") -> DataFrame:
+    """Per group the faces that were accepted, their buildings, their union's area, and pitch where there is but one face.
 
     chosen: face_id and accepted. Areas are of the plan, counted in cells of 5 cm. A union smaller than the clicked face
     is that face.
     """
-    rows = faces.join(chosen.where("accepted").select("face_id"), "face_id", "left_semi").select("building_id", "part_no", "face_id", "rings", "pitch", "contains_click")
+    rows = faces.join(chosen.where("accepted").select("face_id"), "face_id", "left_semi")
+    rows = rows.select(F.col(group).cast("long").alias("_group"), "part_no", "face_id", "rings", "pitch", "contains_click", F.col("building_id").alias("_building"))
 
-    def run(group: list[tuple]) -> list[tuple]:
-        polygons = [g[3] for g in group]
-        total = rings.union_area(polygons)
-        anchor = max((rings.area(g[3]) for g in group if g[5]), default=0.0)
-        return [(group[0][0], [g[2] for g in group], round(max(total, anchor), 2), "anchor" if total < anchor - 0.05 else "union", group[0][4] if len(group) == 1 else None)]
+    def run(found: list[tuple]) -> list[tuple]:
+        total = rings.union_area([g[3] for g in found])
+        anchor = max((rings.area(g[3]) for g in found if g[5]), default=0.0)
+        outline = "anchor" if total < anchor - 0.05 else "union"
+        return [(found[0][0], [g[2] for g in found], sorted({g[6] for g in found}), round(max(total, anchor), 2), outline, found[0][4] if len(found) == 1 else None)]
 
-    return by_group(rows, "building_id", ["part_no"], run, "building_id long, members array<string>, area_m2 double, outline string, pitch double")
+    return by_group(rows, "_group", ["part_no"], run, f"{group} long, members array<string>, buildings array<long>, area_m2 double, outline string, pitch double")
 
 
 def validate_placement(faces: DataFrame) -> DataFrame:

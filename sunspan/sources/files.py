@@ -34,6 +34,29 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({"x0": F.array_min(x), "x1": F.array_max(x), "y0": F.array_min(y), "y1": F.array_max(y), "area": ring_area("rings")})
 
 
+PAGE_SCHEMA = (
+    "crs struct<type: string, properties: struct<name: string>>, exceededTransferLimit boolean, "
+    "features array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>, properties: map<string, string>>>"
+)
+
+
+def read_pages(spark: SparkSession, path: str, crs: str = "2056", most: int = 200_000) -> DataFrame:
+    """Surveyed structures from pages of features (a file each, named in their order): page, egid, rings and properties.
+
+    Every page has to be in the coordinate system ``crs``; another one, or none, raises an error, and so do more than
+    ``most`` features, and a last page that says that more would follow. Polygons without points are left out.
+    """
+    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", "true").json(path).withColumn("page", F.input_file_name())
+    name = F.coalesce(F.col("crs.properties.name"), F.lit(""))
+    checked = pages.withColumn("features", F.when(name.endswith(crs), F.col("features")).otherwise(F.raise_error(F.concat(F.lit("coordinate system of "), "page", F.lit(" is "), name)).cast(pages.schema["features"].dataType)))
+    totals = checked.agg(F.sum(F.size("features")), F.max_by("exceededTransferLimit", "page")).first()
+    if (totals[0] or 0) > most or totals[1]:
+        raise ValueError(f"{totals[0]} features of {most} at most, or pages are missing")
+    rows = checked.select("page", F.explode("features").alias("f"))
+    rings = F.filter("f.geometry.coordinates", lambda r: F.size(r) > 3)
+    return rows.select("page", F.col("f.properties")["EGID"].try_cast("long").alias("egid"), rings.alias("rings"), F.col("f.properties").alias("properties")).where(F.size("rings") > 0)
+
+
 def ring_area(rings: str):
     """Column: area of a polygon's exterior less its holes, by shoelace sums in higher-order functions."""
     shoelace = f"""abs(aggregate(sequence(0, size({{0}}) - 2), 0D, (s, i) -> s + {{0}}[i][0] * {{0}}[i + 1][1] - {{0}}[i + 1][0] * {{0}}[i][1])) / 2D"""

@@ -204,6 +204,35 @@ def test_files(spark, tmp_path):
     assert json.loads(files.geojson_lines(boxes).first().value)["geometry"]["coordinates"][0][2] == [1.0, 1.0]
 
 
+def test_pages_are_checked(spark, tmp_path):
+    square = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]
+
+    def page(name, crs, n, more):
+        features = [{"geometry": {"type": "Polygon", "coordinates": square}, "properties": {"EGID": str(i), "kind": "x"}} for i in range(n)]
+        (tmp_path / name).write_text(json.dumps({"crs": {"type": "name", "properties": {"name": f"urn:ogc:def:crs:EPSG::{crs}"}}, "exceededTransferLimit": more, "features": features}))
+
+    page("0.json", 2056, 3, True)
+    page("1.json", 2056, 2, False)
+    rows = files.read_pages(spark, str(tmp_path)).collect()
+    assert len(rows) == 5 and {r.egid for r in rows} == {0, 1, 2} and rows[0].rings == [[[float(v) for v in p] for p in square[0]]]
+    with pytest.raises(ValueError):
+        files.read_pages(spark, str(tmp_path), most=4)
+    page("2.json", 4326, 1, False)
+    with pytest.raises(Exception, match="coordinate system"):
+        files.read_pages(spark, str(tmp_path))
+
+
+def test_operators_take_settings(spark):
+    df = faces(spark, [(0, 0, 10, 10), (20, 0, 30, 10)], irradiation=[700.0, 900.0])
+    assert [r.status for r in relational.assess_face(faces=df).orderBy("face_id").collect()] == ["not_recommended", "suitable"]
+    assert [r.status for r in relational.assess_face(faces=df, minimum_irradiation=600.0).orderBy("face_id").collect()] == ["suitable", "suitable"]
+    assert [r.face_id for r in relational.identify_point(faces=df, x=25.0, y=5.0).collect()] == ["20:2"]
+    assert relational.identify_envelope(faces=df, most=1, minx=0.0, maxx=40.0, miny=0.0, maxy=9.0).count() == 1
+    assert layout.allocation(faces=df, most_panels=3).agg(F.sum("placed")).first()[0] == 3
+    with pytest.raises(TypeError):
+        relational.assess_face(faces=df, unknown=1)
+
+
 def test_streams(spark, tiny, tmp_path):
     schema = spark.read.parquet(f"{tiny}/events.parquet").schema
     spark.read.parquet(f"{tiny}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
