@@ -21,12 +21,14 @@ from sunspan.llm._words import Words, sequence_hashes
 
 PASSAGE = 64
 TRAINING_ROWS = 4000
+#: Bytes of text that are scored at once: the measures of a slice take some thirty times as much.
+SLICE = 1 << 20
 HIDDEN, GATE = 12, 8
 
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "pipe": b"|", "symbol": b"%*$&#@~^+=<>", "shout": b"!?", "stop": b".,;:", "quote": b"\"'()[]{}/\\_-", "high": range(128, 256)}
 _TABLES = []
 for _members in _CLASSES.values():
-    _t = np.zeros(256, dtype=np.int64)
+    _t = np.zeros(256, dtype=np.int32)
     _t[list(_members)] = 1
     _TABLES.append(_t)
 MEASURES = len(_TABLES) + 9
@@ -56,7 +58,8 @@ def passages(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         size = w.ends - w.starts
         chars = np.maximum(total(size), 1)
         for i, table in enumerate(_TABLES):
-            sums = np.append(0, np.cumsum(table[w.data]))
+            sums = np.zeros(len(w.data) + 1, dtype=np.int32)
+            np.cumsum(table[w.data], out=sums[1:])
             own = sums[w.ends] - sums[w.starts]
             out[:, i] = total(own) / chars
             if i == 0:
@@ -103,8 +106,11 @@ class Model:
     attend: np.ndarray  # (GATE,)
     out: np.ndarray  # (HIDDEN + 1,)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -LIMIT, LIMIT)
+
     def forward(self, x: np.ndarray, doc: np.ndarray, n: int) -> dict[str, np.ndarray]:
-        x = np.clip((x - self.mean) / self.scale, -LIMIT, LIMIT)
+        """All that a score of scaled() passages goes through."""
         h = np.tanh(x @ self.encode[:-1] + self.encode[-1])
         v = np.tanh(h @ self.value[:-1] + self.value[-1])
         g = 1 / (1 + np.exp(-(h @ self.gate[:-1] + self.gate[-1])))
@@ -118,11 +124,11 @@ class Model:
 
     def scores(self, batch: list[str]) -> np.ndarray:
         x, doc = passages(batch)
-        return self.forward(x, doc, len(batch))["p"] if len(batch) else np.empty(0)
+        return self.forward(self.scaled(x), doc, len(batch))["p"] if len(batch) else np.empty(0)
 
 
 def gradient(m: Model, x: np.ndarray, doc: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted log loss, by weights."""
+    """Of the weighted log loss, by weights; x as from scaled()."""
     f = m.forward(x, doc, len(y))
     d = (f["p"] - y) * share
     grad = {"out": np.append(f["z"].T @ d, d.sum())}
@@ -155,6 +161,7 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = 300, rate: f
     pull[MEASURES:-1] = PULL
     names = ("encode", "gate", "value", "attend", "out")
     moments = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in names}
+    x = m.scaled(x)
     for t in range(1, steps + 1):
         grad = gradient(m, x, doc, y, share)
         for k in names:
@@ -176,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", test: tupl
     rows = training_rows(docs, labels, label, test, most, id_col, text_col)
 
     def extract(batches):
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             x, doc = passages(texts(b, "text"))
             x = x.astype("<f4")
             edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
@@ -203,7 +210,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {score_col: pa.array(np.round(Model(**parts).scores(texts(batch, text_col)), 12), pa.float64())}
 
-    return add_columns(df, fn, [T.StructField(score_col, T.DoubleType())], [text_col])
+    return add_columns(df, fn, [T.StructField(score_col, T.DoubleType())], [text_col], limit=SLICE)
 
 
 def predicted(score_col: str = "score", threshold: float = 0.3):
