@@ -2,8 +2,8 @@
 
 Equal vectors are one class. A first neighbour graph comes from random-hyperplane trees: each vector keeps the LIST best
 of the leaves that it is in. NN-descent then refines it: the neighbours of a vector, and those that have it as a
-neighbour, are compared with each other wherever one of them is new, and each keeps the best that it meets, until few
-lists change. Edges below the threshold are dropped, the rest is checked in double precision.
+neighbour, are compared with each other wherever one of them is new, and each keeps the best that it meets, until
+hardly any new link comes in. Edges below the threshold are dropped, the rest is checked in double precision.
 
 A list that is not full of links holds all links of its vector. One that is full is saturated and is enlarged to its
 whole group: vectors that links connect, with a saturated one among them, are a group; NN-descent looks for links that
@@ -29,7 +29,7 @@ from sunspan.llm._graph import components
 
 #: Neighbours that a vector keeps at first, and those that have it as a neighbour that take part in a comparison.
 LIST, MEET = 10, 10
-#: Rounds of NN-descent at most, and the share of list entries that a round has to change for another one.
+#: Rounds of NN-descent at most, and the share of new links among those listed that asks for another round.
 ROUNDS, CHANGE = 10, 0.001
 #: Vectors of a leaf, on average, and at most of those that are compared for the first graph.
 LEAF, CHUNK = 256, 1024
@@ -170,27 +170,28 @@ def _leaves(most: int):
     return run
 
 
-def _merged(most: int):
-    """Rows (id, lists, old) to the best of the lists, and how many entries are new against the old list, which age."""
+def _merged(most: int, least: float):
+    """Rows (id, lists, old) to the best of the lists, how many of these reach ``least``, and how many of those are new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            lists, changed = [], []
+            lists, near, new_ones = [], [], []
             for found, old in zip(b.column("lists").to_pylist(), b.column("old").to_pylist(), strict=True):
                 known = np.frombuffer(old or b"", dtype=ENTRY)
                 new = np.frombuffer(b"".join(found or []), dtype=ENTRY)
                 fresh = np.append(np.zeros(len(known), dtype=np.uint8), np.ones(len(new), dtype=np.uint8))
                 lists.append(_best(np.append(known["id"], new["id"]), np.append(known["cos"], new["cos"]), most, fresh))
-                changed.append(int(lists[-1]["fresh"].sum()))
+                near.append(int((lists[-1]["cos"] >= least).sum()))
+                new_ones.append(int(lists[-1]["fresh"][: near[-1]].sum()))
             worst = [float(x["cos"][-1]) if len(x) == most else -2.0 for x in lists]
             yield pa.RecordBatch.from_pydict(
-                {"id": b.column("id"), "list": pa.array([x.tobytes() for x in lists], pa.binary()), "worst": pa.array(worst, pa.float32()), "changed": pa.array(changed, pa.int64())}
+                {"id": b.column("id"), "list": pa.array([x.tobytes() for x in lists], pa.binary()), "worst": pa.array(worst, pa.float32()), "near": pa.array(near, pa.int64()), "new": pa.array(new_ones, pa.int64())}
             )
 
     return run
 
 
-MERGED = "id long, list binary, worst float, changed long"
+MERGED = "id long, list binary, worst float, near long, new long"
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +265,11 @@ def descend(vectors: DataFrame, threshold: float, most: int) -> tuple[DataFrame,
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.coalesce("chunks", F.lit(1)))).select(*key, "id", "part", "unit")
     found = placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_leaves(most), "id long, list binary")
     state = found.groupBy("id").agg(F.collect_list("list").alias("lists")).withColumn("old", F.lit(None).cast("binary"))
-    state = stored(state.mapInArrow(_merged(most), MERGED), "lists")
+    state = stored(state.mapInArrow(_merged(most, threshold - ROUGH), MERGED), "lists")
     nodes = signed.select(F.col("id").alias("member"), "part", "unit")
-    for _ in range(ROUNDS):
-        size, changed = state.agg(F.count(F.lit(1)), F.sum("changed")).first()
-        if not changed or changed <= CHANGE * size * most:
+    for turn in range(ROUNDS):
+        near, new = state.agg(F.sum("near"), F.sum("new")).first() if turn else (0, 1)  # one round whatever the graph
+        if not new or new <= CHANGE * near:
             break
         edges = state.select("id", "list").mapInArrow(_edges, "hub long, member long, fresh boolean, back boolean")
         first = Window.partitionBy("hub", "back").orderBy(F.col("fresh").desc(), F.xxhash64("hub", "member"))
@@ -277,15 +278,15 @@ def descend(vectors: DataFrame, threshold: float, most: int) -> tuple[DataFrame,
         found = rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(_meet(most), "id long, list binary")
         met = found.groupBy("id").agg(F.collect_list("list").alias("lists"))
         state = state.select("id", F.col("list").alias("old")).join(met, "id", "left").select("id", "lists", "old")
-        state = stored(state.mapInArrow(_merged(most), MERGED), "lists")
+        state = stored(state.mapInArrow(_merged(most, threshold - ROUGH), MERGED), "lists")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             lists = [x[x["cos"] >= threshold - ROUGH] for x in (np.frombuffer(v, dtype=ENTRY) for v in b.column("list").to_pylist())]
             if lists:
                 yield pa.RecordBatch.from_pydict({"a": np.repeat(b.column("id").to_numpy(), [len(x) for x in lists]), "b": np.concatenate(lists)["id"].astype(np.int64)})
 
-    links = state.select("id", "list").mapInArrow(near, "a long, b long")
+    links = state.select("id", "list").mapInArrow(listed, "a long, b long")
     for c in "ab":
         links = links.join(vectors.select(F.col("id").alias(c), F.col("vec").alias(f"vec_{c}")), c)
     links = stored(links.select("a", "b", "vec_a", "vec_b").mapInArrow(_checked(threshold), "a long, b long"), "edges")
