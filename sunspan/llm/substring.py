@@ -26,8 +26,8 @@ from sunspan.llm._words import Words, mix, sequence_hashes, sliding_min, word_ha
 
 #: Bytes of text whose strings are packed together.
 BATCH_BYTES = 4 << 20
-#: Words of the input for each bucket.
-BUCKET_WORDS = 800_000
+#: Words of the input for each bucket, and for each partition of buckets as long as these are not very many.
+BUCKET_WORDS, PARTITION_WORDS, MOST_PARTITIONS = 800_000, 20_000_000, 20_000
 #: A minimiser is hot when more than this part of a partition's fair share of runs, and more than LEAST_HOT runs, have it.
 HOT_SHARE, LEAST_HOT = 0.02, 64
 #: Minimisers that a task counts at once.
@@ -323,6 +323,7 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str, k: int = 13, m: int
     rows = _texts(df, id_col, text_col)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot, words = hot_minimisers(rows, k, m, partitions)
+    partitions = max(partitions, min(MOST_PARTITIONS, words // PARTITION_WORDS))
     buckets = max(partitions, -(-words // BUCKET_WORDS))
 
     def dealt(rows: DataFrame) -> DataFrame:
