@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -357,7 +358,7 @@ def test_attention_finds_the_bad_passage():
     x, doc = quality.passages(docs)
     model = quality.fit(x, doc, np.array(y))
     assert model.scores([good])[0] > 0.5 > model.scores([good + " " + bad + " " + good])[0]
-    f = model.forward(x, doc, len(docs))
+    f = model.forward(model.scaled(x), doc, len(docs))
     assert np.allclose(np.add.reduceat(f["a"], f["first"]), 1)
     attended = f["a"].reshape(-1, 4)[1::2]  # of texts with a bad passage, which is the second of four
     assert attended[:, 1].mean() > 0.5
@@ -368,7 +369,7 @@ def test_quality_forward_equals_a_loop():
     x, doc = quality.passages(texts)
     m = quality.fit(x, doc, np.array([1.0, 0.0, 0.0, 1.0]), steps=5)
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
-    for i, score in enumerate(m.forward(x, doc, len(texts))["p"]):
+    for i, score in enumerate(m.forward(m.scaled(x), doc, len(texts))["p"]):
         z = [np.clip((v - m.mean) / m.scale, -quality.LIMIT, quality.LIMIT) for v in x[doc == i]]
         h = [np.tanh(v @ m.encode[:-1] + m.encode[-1]) for v in z]
         e = np.array([np.tanh(v @ m.value[:-1] + m.value[-1]) * sigmoid(v @ m.gate[:-1] + m.gate[-1]) @ m.attend for v in h])
@@ -386,11 +387,11 @@ def test_quality_gradient_is_that_of_the_loss():
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
 
     def loss(m):
-        p = m.forward(x, doc, len(y))["p"]
+        p = m.forward(m.scaled(x), doc, len(y))["p"]
         return -(share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
 
     assert np.allclose(before.encode, again.encode) and loss(after) < loss(before)
-    grad = quality.gradient(before, x, doc, y, share)
+    grad = quality.gradient(before, before.scaled(x), doc, y, share)
     for name in ("encode", "gate", "value", "attend", "out"):
         weights = getattr(before, name)
         for place in list(np.ndindex(weights.shape))[:: max(1, weights.size // 12)]:
@@ -420,6 +421,83 @@ def test_pipeline_stages(spark, tiny):
     assert len(last) == single.count() and all(r.n_tokens * 4 == len(r.ids) for r in last)
 
 
+def pipeline_by_hand(docs, labels, least=0.3):
+    """(doc_id, ids) in mixed order: each stage on lists of rows, without Spark, from the statements of the stages."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sunspan.llm import secrets
+    from tests.llm.test_text_operators import components_by_hand
+
+    known = {i: q for i, q in labels if zlib.crc32(str(i).encode()) % 5 != 0 and i in docs}
+    chosen = []
+    for y in (0, 1):
+        chosen += sorted((i for i, q in known.items() if q == y), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:2000]
+    chosen.sort()
+    x, doc = quality.passages([docs[i][0] or "" for i in chosen])
+    model = quality.fit(x.astype(np.float32).astype(float), doc, np.array([float(known[i]) for i in chosen]))
+    kept = [i for i in sorted(docs) if round(float(model.scores([docs[i][0] or ""])[0]), 12) >= least]
+    groups = components_by_hand([docs[i][0] for i in kept])
+    kept = [i for n, i in enumerate(kept) if groups[n][1] == n]
+    texts = {}
+    for i in kept:
+        text, out, at = docs[i][0] or "", "", 0
+        for s in secrets.scan(text):
+            if s.start >= at:
+                out += text[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        texts[i] = out + text[at:]
+    by = defaultdict(list)
+    for i in kept:
+        by["=" + docs[i][1]].append(i)
+    for key in by:
+        by[key].sort(key=lambda i: (hashlib.md5(f"{i}:0".encode()).hexdigest(), i))
+    root = {k: len(v) ** 0.5 for k, v in by.items()}
+    parts = {k: max(round(r / sum(root.values()) * 1_000_000), 20) for k, r in root.items()}
+    length = max(math.ceil(Fraction(math.ceil(len(v) / 16) * sum(parts.values()), parts[k])) for k, v in by.items())
+    order = [i for key, k in edf(parts, length) for i in by[key][16 * k : 16 * (k + 1)]]
+    assert len(order) == len(kept)
+    tok = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    tok.no_truncation()
+    tok.no_padding()
+    return [(i, tok.encode(texts[i], add_special_tokens=False).ids) for i in order]
+
+
+def test_pipeline_equals_a_brute_force_version(spark, tiny):
+    import corpus_pipeline as p
+
+    rows = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{tiny}/labels.parquet").collect()]
+    want = pipeline_by_hand({r.doc_id: (r.text, r.source) for r in rows}, labels)
+    got = sorted(p.run(spark, tiny).collect(), key=lambda r: (r.mix_file, r.mix_row))
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    assert [(r.n_tokens, np.frombuffer(r.ids, dtype="<u4").tolist()) for r in got] == [(len(x), x) for _, x in want]
+
+
+def test_pipeline_stages_take_odd_rows(spark, tiny):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _quality string, _spans string, mix_slot long, extra array<int>"
+    word = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, word, "en", "a", 9, "q", "s", -1, [1]), (1, word, "en", "a", 9, "q", "s", -1, [1]), (2, word, None, None, None, None, None, None, None), (3, None, "en", "a", None, "q", "s", -1, [])]
+    rows += [(4, "", "", "", 0, "", "", 0, []), (None, word + " x", "en", "b", 3, "q", "s", 0, []), (5, "password = 'hunter2hunter2' " * 3000, "en", "b", 84_000, "q", "s", 0, [])]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in p.STAGES:
+        for case in (docs, docs.limit(0)):
+            got = stage(spark, case, tiny)
+            n = got.count()
+            assert name == "bpe" or got.columns == docs.columns
+            assert n == case.count() if name not in ("quality", "near_duplicates") else n <= case.count()
+    single = [r.doc_id for r in p.drop_near_duplicates(spark, docs, tiny).collect()]
+    assert sorted(map(str, single)) == ["1", "1", "3", "4", "5", "None"]
+    clean = {r.doc_id: r for r in p.redact_secrets(spark, docs, tiny).collect()}
+    assert "hunter2" not in clean[5].text and clean[5].n_chars == len(clean[5].text) and clean[3].text is None and clean[2].n_chars is None and clean[1]._spans == "s"
+    tokens = {r.doc_id: r.n_tokens for r in p.tokenize(spark, docs, tiny).collect()}
+    assert tokens[3] == tokens[4] == 0 and tokens[5] > 10_000
+
+
 def test_oracles_agree(spark, tiny):
     import duckdb
 
