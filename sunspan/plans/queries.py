@@ -133,7 +133,7 @@ def a10_building_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roofs.building_assessment(k6_roof_analysis(spark, sf_dir))
 
 
-def a11_sonnendach_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a11_official_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     official = bind(spark, sf_dir, "faces").select("building_id", (F.col("area") / F.cos(F.radians("pitch"))).alias("area_m2"), F.col("official_kwh").alias("kwh"))
     return roofs.official_comparison(k6_roof_analysis(spark, sf_dir), official)
 
@@ -194,7 +194,7 @@ def i5_rooflights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.detect_roof_windows(captures(spark, sf_dir)).drop("rings")
 
 
-ROOFS = (a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_sonnendach_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
+ROOFS = (a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_official_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
 CODE = {f.__name__: f for f in (*ROOFS, g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
 
 REACH = """reach(id, other) AS (SELECT a, a FROM links UNION SELECT b, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other)"""
