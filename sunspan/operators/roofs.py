@@ -456,7 +456,10 @@ def ring_links(faces: DataFrame, group: str = "building_id") -> DataFrame:
 
 
 def distance(a: list, b: list) -> float:
-    """Between two polygons; 0 where they meet."""
+    """Between two polygons; 0 where they meet, and what lies between their boxes where that is far."""
+    (p, q, r, s), (t, u, v, w) = rings.bounds(a), rings.bounds(b)
+    if (apart := math.hypot(max(0.0, p - v, t - r), max(0.0, q - w, u - s))) > COPLANAR_GAP_M:
+        return apart
     if rings.touch(a, b):
         return 0.0
     points = lambda r: np.concatenate([rings.closed(x) for x in r])
