@@ -35,6 +35,12 @@ def release() -> None:
         pass
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of finished steps now: it does once the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A string column as Python strings; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

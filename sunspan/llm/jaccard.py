@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.llm._arrow import release, slices, stored
+from sunspan.llm._arrow import release, slices, stored, sweep
 from sunspan.llm._graph import components
 from sunspan.llm._words import Words, mix, sequence_hashes
 
@@ -403,6 +403,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = texts.mapInArrow(_keys(k, percent, packed), "key long, deal int, id long").repartition("key", "deal").sortWithinPartitions("key", "deal")
     met = stored(met.mapInArrow(_shared, "key long, id long"), "keys")
+    sweep(df.sparkSession)
     shared = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     met = stored(met.join(shared, "key"), "met")
     # a class that many others are copies of has the keys that most of them kept: it leads where it takes part
@@ -411,10 +412,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = stored(weighed.groupBy("key").agg(F.max("rank").alias("lead")), "leads")
     led = weighed.join(leads, "key").where(F.col("id") != -F.col("lead.minus")).select("id", "lead").distinct()
     led = stored(led, "led")
+    sweep(df.sparkSession)
     first = stored(_pairs("lead", led.groupBy("id").agg(F.max("lead").alias("lead"))).distinct(), "first")
     near = stored(_verified(_led(first, sketches, percent), texts, k, percent).distinct(), "near")
     joined = components(near)
     # once more with the leads of all keys that still span several components, a pair for each member at most
+    sweep(df.sparkSession)
     other = joined.withColumnsRenamed({"id": "b", "component": "theirs"})
     again = _pairs("lead", led).distinct()
     again = again.join(joined.withColumnsRenamed({"id": "a", "component": "mine"}), "a", "left").join(other, "b", "left")
@@ -422,6 +425,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = stored(near.unionByName(_verified(_led(again, sketches, percent), texts, k, percent)).distinct(), "near")
     joined = components(near)
 
+    sweep(df.sparkSession)
     placed = met.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = stored(placed, "placed")
     spans = placed.groupBy("key").agg(
@@ -436,6 +440,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "bits", "component", "block")
     members = members.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     rest = stored(members.mapInArrow(_candidates(percent), "a long, b long").distinct(), "rest")
+    sweep(df.sparkSession)
     whole = components(near.unionByName(_verified(rest, texts, k, percent)))
     ids = owned.join(whole.withColumnRenamed("id", "class_id"), "class_id", "left")
     return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
