@@ -1,20 +1,24 @@
 """Words of many texts at once, as arrays over their UTF-8 bytes.
 
-Words are runs of bytes other than space and 0x09 to 0x0D. Hashes are polynomials modulo 2**64, mixed; equal words have
-equal hashes, and whoever needs more compares bytes.
+Words are runs of bytes other than space and 0x09 to 0x0D, or other than the gaps that a caller names. Hashes are
+polynomials modulo 2**64, mixed; equal words have equal hashes, and whoever needs more compares bytes or asks for codes.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 R = U(0x9E3779B97F4A7C15)
 R_INVERSE = U(pow(int(R), -1, 1 << 64))
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(9, 14)]] = True
+#: Gaps between words of digits, lower-case letters and all that is not ASCII.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CHUNK = 1 << 20
@@ -66,11 +70,11 @@ class Words:
     first: for each document its first word, and at last the number of words.
     """
 
-    def __init__(self, documents: list[bytes], lower: bool = False):
+    def __init__(self, documents: list[bytes], lower: bool = False, gaps: np.ndarray = SEPARATOR):
         raw = np.frombuffer(b" ".join(documents) + b" ", dtype=np.uint8)
         if lower:
             raw = LOWER[raw]
-        gap = SEPARATOR[raw]
+        gap = gaps[raw]
         word = ~gap
         begins = word.copy()
         begins[1:] &= gap[:-1]
@@ -86,7 +90,18 @@ class Words:
         self.first = np.searchsorted(begin, bounds)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(documents)), self.counts)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.data, self.starts, self.ends)
+
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word in the array of different words, by their bytes, and that array."""
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        body = np.delete(self.data, self.ends)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        coded = words.dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary
 
 
 def sequence_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

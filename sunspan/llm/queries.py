@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe, embeddings, jaccard, media, mixing, quality, secrets, substring, toxicity, warc
+from sunspan.llm import bpe, divergence, embeddings, importance, jaccard, media, mixing, quality, secrets, substring, toxicity, warc
 from sunspan.llm._arrow import shared_dir, stored
 from sunspan.llm._labels import held_out
 
@@ -182,6 +182,69 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
 
 
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({LOWER_SQL.format("text")}, '{divergence.TERM}') AS ts FROM documents),
+terms AS (SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(ts) AS term FROM d) t GROUP BY ALL),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(*) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(sum(t.n), 0) AS n
+         FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN terms t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term
+         GROUP BY g.lang, g.source, k.term),
+shares AS (SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p,
+                  1 + 1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 5)
+                      // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang, source)) AS q FROM grid),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+          FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+found AS (SELECT * FROM pairs UNION ALL
+          SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 50
+"""
+
+ALNUM_SQL = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WHERE = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {0}), lambda c, b: xor(c >> 8, CAST(tab[CAST(1 + (xor(c, b) & 255) AS BIGINT)] AS BIGINT)))"
+
+ORACLES["op13_importance"] = f"""
+WITH RECURSIVE bits(i, k, c) AS (
+    SELECT range, 0, CAST(range AS BIGINT) FROM range(256)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+w AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, {ALNUM_SQL.format(LOWER_SQL.format("text"))} AS ws FROM documents
+      UNION ALL SELECT 'b', -row_number() OVER (), NULL, {ALNUM_SQL.format(LOWER_SQL.format("text"))} FROM benchmark),
+features AS (
+    SELECT side, r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+bags AS (SELECT side, r, f, count(*) AS n FROM features GROUP BY side, r, f),
+names AS (SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS size FROM (SELECT DISTINCT f FROM bags) t),
+hashed AS (SELECT f, xor({_WHERE.format("list_transform(range(0, size), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))")}, 4294967295) % 10000 AS bucket
+           FROM names, crc),
+counts AS (SELECT h.bucket, sum(CASE WHEN side = 'd' THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 'b' THEN n ELSE 0 END) AS t
+           FROM bags g JOIN hashed h ON h.f = g.f GROUP BY h.bucket),
+wholes AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM counts, wholes),
+sums AS (SELECT g.r, sum(g.n) AS n, sum(g.n * x.gain) AS total FROM bags g JOIN hashed h ON h.f = g.f JOIN gains x ON x.bucket = h.bucket WHERE g.side = 'd' GROUP BY g.r),
+noise AS (SELECT w.*, CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS g FROM w WHERE side = 'd'),
+scored AS (SELECT d.doc_id, len(d.ws) >= 20 AS able, coalesce(s.n, 0) AS n_features,
+                  coalesce(s.total // s.n - CASE WHEN s.total < 0 AND s.total % s.n <> 0 THEN 1 ELSE 0 END, 0) AS weight, d.g FROM noise d LEFT JOIN sums s ON s.r = d.r),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY weight + g DESC, doc_id) AS place, 25 * count(*) FILTER (WHERE able) OVER () // 100 AS k FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + g AS BIGINT) AS score, CASE WHEN able AND place <= k THEN place END AS rank FROM placed
+"""
+
 WORDS_SQL = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_jaccard"] = f"""
