@@ -119,24 +119,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_terms(db: duckdb.DuckDBPyConnection, batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.Table]:
     """A sorted shard in tables of whole terms; counts of a term that is spread over more rows are merged on the way."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    fresh = 0  # rows since the last look
     for batch in batches:
         held.append(batch)
-        size += batch.num_rows
-        if size < SHARD_ROWS:
+        fresh += batch.num_rows
+        if fresh < SHARD_ROWS:
             continue
         table = pa.Table.from_batches(held)
         lang, term = table["lang"][-1].as_py(), table["term"][-1].as_py()
         db.register("held", table)
-        last = db.execute("SELECT count(*) FROM held WHERE lang = ? AND term = ?", [lang, term]).fetchone()[0]
+        [(last,)] = db.execute("SELECT count(*) FROM held WHERE lang = ? AND term = ?", [lang, term]).fetchall()
         if last < table.num_rows:
             yield table.slice(0, table.num_rows - last)
         rest = table.slice(table.num_rows - last)
         if merge and rest.num_rows:
             db.register("counts", rest)
             rest = db.sql(MERGE).to_arrow_table().cast(COUNTS).select(table.column_names).cast(table.schema)
-        held, size = rest.to_batches(), 0 if rest.num_rows >= SHARD_ROWS else rest.num_rows
-    if held:
+        held, fresh = rest.to_batches(), 0 if rest.num_rows >= SHARD_ROWS else rest.num_rows
+    if any(b.num_rows for b in held):
         yield pa.Table.from_batches(held)
 
 
@@ -169,10 +169,10 @@ def shard_sums(weighed: DataFrame, top: int = TOP_TERMS) -> DataFrame:
         db = _database()
         for table in _whole_terms(db, batches, merge=False):
             db.register("counts", table)
-            db.execute(SHARES)
-            blocks = db.execute("SELECT max(block) FROM shares").fetchone()[0] + 1
-            for one in range(blocks):
-                for two in range(one, blocks):
+            db.execute(SHARES).fetchall()
+            [(blocks,)] = db.execute("SELECT max(block) FROM shares").fetchall()
+            for one in range(blocks + 1):
+                for two in range(one, blocks + 1):
                     yield from _rows(db.sql(MEET, params={"one": one, "two": two}).to_arrow_table(), SUMS)
             yield from _rows(db.sql(OWN).to_arrow_table(), SUMS)
             yield from _rows(db.sql(best).to_arrow_table(), SUMS)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunspan.llm import bpe, divergence, embeddings, importance, jaccard, media, mixing, quality, secrets, substring, toxicity, warc
+from sunspan.llm import bpe, divergence, embeddings, importance, jaccard, licenses, media, mixing, quality, secrets, substring, toxicity, warc
 from sunspan.llm._arrow import shared_dir, stored
 from sunspan.llm._labels import held_out
 
@@ -187,6 +187,23 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+    base = F.filter("license_places", lambda p: p["phrase"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("license_places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("license_places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
