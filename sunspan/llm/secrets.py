@@ -32,15 +32,17 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 OPERATOR = re.compile(r":=|=>|(?<![=!<>+\-*/%&|^~])=(?![=~])|:(?![:/=])")
-QUOTED = re.compile(r"""(?:[rRbBuUfF]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)""")
-TRIPLE = re.compile(r"""(?:[rRbBuUfF]{0,2})(\"{3}|'{3})((?:[^\\]|\\[\s\S])*?)\1""")
-ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>]*?)\s*</\1\s*>", re.ASCII)
-BELOW = re.compile(r"[ \t]*(?:([|>])[-+0-9]*)?[ \t]*\r?\n")
-LINE = re.compile(r"([ \t]*)(?:- +)?([^\r\n]*?)[ \t]*(?:\r?\n|\Z)")
+QUOTED = re.compile(r"""(?:[rRbBuUfF]{0,2})("[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`]*`)""")
+TRIPLE = re.compile(r"""(?:[rRbBuUfF]{0,2})(\"{3}|'{3})""")
+OPEN_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>", re.ASCII)
+CLOSE_TAG = re.compile(r"\s*>", re.ASCII)
+BELOW = re.compile(r"[ \t]*(?:([|>])[-+0-9]*[ \t]*)?\r?\n")
+DASH = re.compile(r"- +")
 KEY = re.compile(r"[\w.\"'-]+[ \t]*:(?:\s|\Z)")
-BARE = re.compile(r"(?:[^\s,;#\"'`(){}\[\]<>|=:]|:(?=//))+={0,2}")
+BARE = re.compile(r"(?:[^\s,;#\"'`(){}\[\]<>|=:]+|:(?=//))+={0,2}")
 BLANK = re.compile(r"[ \t]*")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
+SPACES = " \t\n\r\f\v"
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
 
 #: How telling a part of a name is; above THRESHOLD, so that a strong literal is reported for each.
@@ -136,42 +138,102 @@ def _name(text: str, end: int) -> str | None:
     return name if name and not name[0].isdigit() else None
 
 
+def _closing(text: str, quotes: str, start: int) -> int:
+    """Where the first unescaped ``quotes`` from ``start`` are, -1 if nowhere."""
+    at = start
+    while (found := text.find(quotes, at)) >= 0:
+        back = found
+        while back > start and text[back - 1] == "\\":
+            back -= 1
+        if (found - back) % 2 == 0:
+            return found
+        at = found + 1
+    return -1
+
+
 def _literal(text: str, at: int) -> tuple[list[tuple[int, int, bool]], int]:
     """Pieces (start, end, quoted) of the value that starts at ``at``, and where it ends; pieces are joined by +."""
     pieces: list[tuple[int, int, bool]] = []
     while True:
         at = BLANK.match(text, at).end()
-        if m := TRIPLE.match(text, at):
-            pieces.append((*m.span(2), True))
+        if (m := TRIPLE.match(text, at)) and (end := _closing(text, m[1], m.end())) >= 0:
+            pieces.append((m.end(), end, True))
+            at = end + 3
         elif m := QUOTED.match(text, at):
             pieces.append((m.start(1) + 1, m.end(1) - 1, True))
+            at = m.end()
         elif (m := BARE.match(text, at)) and (not pieces or IDENTIFIER.match(m[0])):
             pieces.append((*m.span(), False))
+            at = m.end()
         else:
             return pieces, at
-        at = m.end()
         plus = PLUS.match(text, at)
         if not plus or not (pieces[-1][2] or IDENTIFIER.match(text[slice(*pieces[-1][:2])])):
             return pieces, at
         at = plus.end()
 
 
+class Line(NamedTuple):
+    """A line from ``start``: its text without blanks, a dash or the line's end, and where the next line starts."""
+
+    start: int
+    text: int
+    end: int
+    next: int
+
+
+def _line(text: str, at: int) -> Line | None:
+    """The line at ``at``, or None where a carriage return stands inside it; every step is a search or one pass."""
+    stop = text.find("\n", at)
+    after = len(text) if stop < 0 else stop + 1
+    stop = len(text) if stop < 0 else stop
+    if stop > at and after > stop and text[stop - 1] == "\r":
+        stop -= 1
+    if text.find("\r", at, stop) >= 0:
+        return None
+    begin = BLANK.match(text, at, stop).end()
+    if dash := DASH.match(text, begin, stop):
+        begin = dash.end()
+    return Line(at, begin, begin + len(text[begin:stop].rstrip(" \t")), after)
+
+
 def _below(text: str, name_at: int, at: int) -> list[tuple[int, int, bool]]:
     """Pieces of a value on the lines below a YAML name: a block's lines, or the one plain or quoted value."""
-    begin = text.rfind("\n", 0, name_at) + 1
-    if text[begin:name_at].strip(" \t-\"'") or not (m := BELOW.match(text, at)):
+    begin = name_at
+    while begin and text[begin - 1] in " \t-\"'":
+        begin -= 1
+    if (begin and text[begin - 1] != "\n") or not (m := BELOW.match(text, at)):
         return []
     depth, block, at = len(text[begin:name_at].rstrip("-\"'")), m[1], m.end()
     pieces: list[tuple[int, int, bool]] = []
-    while at < len(text) and (line := LINE.match(text, at)) and (len(line[1]) > depth or (block and not line[2])):
+    while at < len(text) and (line := _line(text, at)):
+        full = line.end > line.text
+        if BLANK.match(text, at, line.text).end() - at <= depth and not (block and not full):
+            break
         if not block:
-            return [] if KEY.match(line[2]) else _literal(text, line.start(2))[0]
-        if line[2]:
-            pieces.append((*line.span(2), True))
-        at = line.end()
+            return [] if KEY.match(text, line.text, line.end) else _literal(text, line.text)[0]
+        if full:
+            pieces.append((line.text, line.end, True))
+        at = line.next
     return pieces
 
 
+def _elements(text: str) -> list[tuple[int, str, tuple[int, int]]]:
+    """Start, name and content's span of each element that holds text only; each looks as far as the next <."""
+    out = []
+    for m in OPEN_TAG.finditer(text):
+        stop = text.find("<", m.end())
+        if stop < 0:
+            break
+        if text.startswith("</" + m[1], stop) and CLOSE_TAG.match(text, stop + 2 + len(m[1])) and text.find(">", m.end(), stop) < 0:
+            inner = text[m.end() : stop]
+            start = m.end() + len(inner) - len(inner.lstrip(SPACES))
+            end = m.end() + len(inner.rstrip(SPACES))
+            if end > start:
+                out.append((m.start(), m[1], (start, end)))
+    return out
+
+
 class Assigned(NamedTuple):
     """A value as it is written: each part is a span of the text, or the number of the earlier value that it names."""
 
@@ -199,12 +261,12 @@ def lexed_spans(text: str) -> list[Span]:
     """Literals that end up in a sensitive name, each with the name that scores most, the first of equals."""
     constants: dict[str, int] = {}
     assigned: list[Assigned] = []
-    found = [(m.start(), m, None) for m in OPERATOR.finditer(text)]
+    found: list[tuple] = [(m.start(), m) for m in OPERATOR.finditer(text)]
     if "</" in text:
-        found = sorted(found + [(m.start(), None, m) for m in ELEMENT.finditer(text) if m[2]], key=lambda x: x[0])
-    for _, m, element in found:
+        found = sorted(found + _elements(text), key=lambda x: x[0])
+    for _, m, *element in found:
         if element:
-            name, pieces = element[1], [(*element.span(2), True)]
+            name, pieces = m, [(*element[0], True)]
         else:
             name, pieces = _name(text, m.start()), []
             if name is not None:
@@ -257,8 +319,10 @@ def find_secrets(df: DataFrame, text_col: str, spans_col: str = "secret_spans")
     """``df`` with ``spans_col``: array of (kind, start, end, name, score), offsets in code points, end exclusive.
 
     Null and empty texts give an empty array. Spans of different kinds may overlap; within a kind of the plain
-    patterns they do not. Rows are scanned one by one, whatever their number or length, so repeated rows get equal
-    spans; an input column named ``spans_col`` is replaced; an empty table stays empty.
+    patterns they do not. Rows are scanned one by one, whole texts whatever their length, so repeated rows get equal
+    spans; an input column named ``spans_col`` is replaced; an empty table stays empty. Time grows with the length of
+    a text, also with runs of blanks, quotes or tags; only blocks inside blocks are read once for each block around
+    them, and as each is indented more, these are fewer than the square root of twice the length.
     """
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:

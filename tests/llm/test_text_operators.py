@@ -122,6 +122,21 @@ def test_lexing_takes_time_in_proportion():
         assert time.process_time() - began < 8, unit
 
 
+@pytest.mark.parametrize("head", ["<a>", "</b> <a>", "k:", "k =", 'k = """', "k: |\n a", "k: >\n", "- k:\n", "<a>x</a", "<a ", "password", "k = a +", "k = 'a\\"])
+def test_runs_of_blanks_take_time_in_proportion(head):
+    for fill in (" ", "\t", "\n", "\r\n", " \n", '"', "\\"):
+        for tail in ("", "x", "</a>"):
+            began = time.process_time()
+            secrets.scan(head + fill * (200_000 // len(fill)) + tail)
+            assert time.process_time() - began < 2, (head, fill, tail)
+
+
+def test_lexed_lines_may_end_in_blanks_and_tags_may_stand_apart():
+    for text in ("password: |  \r\n    9fQ2xL7pTz4W \t \r\n", "<token \n x='y'>\n\t9fQ2xL7pTz4W  \n</token  >", 'secret = """9fQ2x\\"""L7pTz4W"""'):
+        found = [text[s.start : s.end] for s in secrets.lexed_spans(text)]
+        assert found in (["9fQ2xL7pTz4W"], ['9fQ2x\\"""L7pTz4W']), text
+
+
 @pytest.mark.parametrize("text", ["<p>the password</p>", "secret:\n  name: value", "note: |\n  some plain words here\n", "token = a + b", "the token: is good", "colour = 'blue sky'", "password = 'password'", "x == y; a != b", "url: http://host/path"])
 def test_lexer_leaves_plain_text_alone(text):
     assert not [s for s in secrets.lexed_spans(text)]
