@@ -126,7 +126,42 @@ SELECT tile_id, cx, cy, CASE WHEN tile_id % 5 = 3 AND cx < 100 THEN NULL WHEN cy
 FROM (SELECT DISTINCT CAST(floor(event_id / 1600e0) AS BIGINT) AS tile_id FROM events) t EACH(cx, CAST(0 AS BIGINT), CAST(255 AS BIGINT)) EACH(cy, CAST(0 AS BIGINT), CAST(255 AS BIGINT))
 """
 
+#: Outlines of buildings on a map as edges: eight corners around a middle, every third with a court, every fifth with a
+#: second part; and blocks of the map, one for each supplier.
+def _corner(x_or_y: str, k: str, ways: str, radius: str, middle: str) -> str:
+    return f"CAST({middle} + (CAST(substr('{ways}', CAST({k} AS INT) + 1, 1) AS BIGINT) - 1) * ({radius}) AS DOUBLE) AS {x_or_y}"
+
+
+def _around(key: str, table: str, corners: int, ways: tuple[str, str], radius: str, middle: tuple[str, str], part: int, ring: int, where: str) -> str:
+    """Edges between ``corners`` corners, in the directions of ``ways`` (0, 1, 2 for -1, 0, 1) and with a radius by k."""
+    after = f"((k + 1) % {corners})"
+    ends = (_corner(f"{e}{c}", k, ways[i], radius.format(k=k), middle[i]) for e, k in (("u", "k"), ("v", after)) for i, c in enumerate("xy"))
+    return f"SELECT {key} AS polygon_id, CAST({part} AS BIGINT) AS part, CAST({ring} AS BIGINT) AS ring, k AS i, {', '.join(ends)} FROM (SELECT * FROM {table} WHERE {where}) t EACH(k, CAST(0 AS BIGINT), CAST({corners - 1} AS BIGINT))"
+
+
+_MIDDLE = ("40 * ({0} % 128)", "40 * CAST(floor({0} / 128e0) AS BIGINT)")
+_HERE = tuple(m.format("o_orderkey") for m in _MIDDLE)
+_COMPASS, _SQUARE, _BACK = ("22100012", "12221000"), ("2200", "0220"), ("1012", "0121")
+OUTLINES = " UNION ALL ".join(
+    (
+        _around("o_orderkey", "orders", 8, _COMPASS, "4 + (o_orderkey * 7 + {k} * 5) % 9", _HERE, 0, 0, "o_orderkey > 0"),
+        _around("o_orderkey", "orders", 4, _BACK, "2", _HERE, 0, 1, "o_orderkey % 3 = 0"),
+        _around("o_orderkey", "orders", 4, _SQUARE, "3", (f"19 + {_HERE[0]}", _HERE[1]), 1, 0, "o_orderkey % 5 = 0"),
+        _around("1000000000 + s_suppkey", "supplier", 4, _SQUARE, "95", ("95 + 200 * (s_suppkey % 25)", "90 + 200 * CAST(floor(s_suppkey / 25e0) AS BIGINT)"), 0, 0, "s_suppkey >= 0"),
+    )
+)
+_BUILDING = "(1 + (event_id * 37) % 1499)"
+_THERE = tuple(m.format(_BUILDING) for m in _MIDDLE)
+#: Clicks near buildings, on corners and edges too.
+CLICKS = f"""
+SELECT event_id AS point_id, CAST({_THERE[0]} AS DOUBLE) + CAST((event_id * 7) % 57 - 24 AS DOUBLE) / 2e0 AS x, CAST({_THERE[1]} AS DOUBLE) + CAST((event_id * 11) % 53 - 26 AS DOUBLE) / 2e0 AS y FROM events
+"""
+#: Things that were surveyed on and beside roofs: four corners around a middle.
+_THING = (f"({_THERE[0]} + (event_id * 5) % 31 - 13)", f"({_THERE[1]} + (event_id * 3) % 21 - 10)")
+SURVEYED = f"SELECT {_BUILDING} AS building_id, e.* FROM ({_around('event_id', 'events', 4, ('2101', '1210'), '1 + (event_id + {k} * 3) % 4', _THING, 0, 0, 'event_id >= 0')}) e".replace(f"SELECT {_BUILDING} AS building_id", f"SELECT {_BUILDING.replace('event_id', 'polygon_id')} AS building_id")
+
 BINDINGS = {
+    "edges": OUTLINES, "points": CLICKS, "objects": SURVEYED,
     "raw_faces": RAW_FACES, "faces": FACES, "plants": PLANTS, "detections": DETECTIONS, "cells": CELLS, "tiles": TILES, "texts": TEXTS,
     "vectors": VECTORS, "truth": TRUTH, "splits": SPLITS, "captures": CAPTURES, "samples": SAMPLES, "terrain": TERRAIN, **{t: f"SELECT * FROM {t}" for t in TABLES},
 }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import buildings, graph, images, kernels, layout, raster, relational, roofs, shade  # noqa: F401
+from sunspan.operators import buildings, graph, images, kernels, layout, polygons, raster, relational, roofs, shade  # noqa: F401
 from sunspan.operators._sql import OPERATORS, SqlOperator, ansi, spark_text
 from sunspan.plans.bindings import BINDINGS, TABLES
 
