@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import buildings, graph, images, kernels, layout, polygons, raster, relational, roofs, shade  # noqa: F401
+from sunspan.operators import buildings, graph, horizon, images, kernels, layout, polygons, raster, relational, roofs, shade  # noqa: F401
 from sunspan.operators._sql import OPERATORS, SqlOperator, ansi, spark_text
 from sunspan.plans.bindings import BINDINGS, TABLES
 
@@ -194,7 +194,19 @@ def i5_rooflights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.detect_roof_windows(captures(spark, sf_dir)).drop("rings")
 
 
-ROOFS = (a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_official_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
+def face_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return horizon.sun_access(bind(spark, sf_dir, "roof_samples"), bind(spark, sf_dir, "heights"), step=4.0)
+
+
+def k4_face_sunlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return horizon.face_sunlight(face_access(spark, sf_dir))
+
+
+def k3_face_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return horizon.sunlight_exclusions(face_access(spark, sf_dir))
+
+
+ROOFS = (k4_face_sunlight, k3_face_exclusions, a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_official_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
 CODE = {f.__name__: f for f in (*ROOFS, g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
 
 REACH = """reach(id, other) AS (SELECT a, a FROM links UNION SELECT b, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other)"""
