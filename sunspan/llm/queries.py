@@ -51,9 +51,11 @@ WITH RECURSIVE docs AS (
            md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0') AS h
     FROM documents),
 counted AS (SELECT key, count(*) AS n_rows, pow(CAST(count(*) AS DOUBLE), 0.5) AS weight FROM docs GROUP BY key),
+asked AS (SELECT key, n_rows, weight / sum(weight) OVER () * 100000 AS asked FROM counted),
+shares AS (SELECT key, n_rows, CASE WHEN asked >= 2 THEN asked * (100000 - (SELECT count(*) FROM asked WHERE asked < 2)) / (SELECT sum(asked) FROM asked WHERE asked >= 2) ELSE 1 END AS share FROM asked),
 parts AS (
     SELECT key, n_rows, row_number() OVER (ORDER BY key) AS i,
-           greatest(CAST(round(weight / sum(weight) OVER () * 1000000) AS BIGINT), 20) AS p FROM counted),
+           CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, key) <= 100000 - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS p FROM shares),
 lists AS (
     SELECT list(p ORDER BY i) AS ps, CAST(sum(p) AS BIGINT) AS whole,
            least(100000, max(CAST(ceil(ceil(n_rows / 16.0) * (SELECT sum(p) FROM parts) / p) AS BIGINT))) AS length FROM parts),
