@@ -2,12 +2,13 @@
 
 A module is a column and a row of its lattice, and it is blocked where its column and its row both meet the obstacle.
 So columns and rows are counted apart, and a layout's modules are columns times rows less blocked columns times blocked
-rows: no candidate module is made before the layout is chosen.
+rows. Both counts are quotients: a face's 32 layouts are one expression of its row, without a join or a shuffle, and
+modules are made for the chosen layout only. The oracles make every column and row of every layout and count them.
 """
 
 from __future__ import annotations
 
-from sunspan.operators._sql import operator
+from sunspan.operators._sql import ansi, operator
 from sunspan.operators.relational import ASSESSED
 
 USABLE = "SELECT face_id, building_id, part_no, x0 + 0.3e0 AS x0, y0 + 0.3e0 AS y0, x1 - 0.3e0 AS x1, y1 - 0.3e0 AS y1, irradiation, CASE WHEN pk % 3 = 0 THEN x0 + 2e0 END AS ox, CASE WHEN pk % 3 = 0 THEN y0 + 1e0 END AS oy FROM {faces}"
@@ -15,7 +16,7 @@ WIDE, HIGH = "CASE o WHEN 0 THEN 1.134e0 ELSE 1.762e0 END", "CASE o WHEN 0 THEN
 
 
 def _axis(low: str, high: str, size: str, obstacle: str) -> str:
-    """Positions along one axis: for each orientation o and offset f, lattice place i, and whether the obstacle is met."""
+    """Places along one axis: for each orientation o and offset f, lattice place i, and whether the obstacle is met."""
     return f"""SELECT face_id, o, f, i, place, NOT ({obstacle} IS NULL OR place + size <= {obstacle} - 0.4e0 OR place >= {obstacle} + 1.4e0) AS met FROM (
         SELECT *, lo + f * 0.25e0 * (size + 0.02e0) + i * (size + 0.02e0) AS place FROM (
             SELECT face_id, o, f, i, {size} AS size, {low} AS lo, {high} AS hi, {obstacle} FROM ({USABLE}) u EACH(o, CAST(0 AS BIGINT), CAST(1 AS BIGINT)) EACH(f, CAST(0 AS BIGINT), CAST(3 AS BIGINT))
@@ -25,50 +26,87 @@ def _axis(low: str, high: str, size: str, obstacle: str) -> str:
 
 COLUMNS, ROWS = _axis("x0", "x1", WIDE, "ox"), _axis("y0", "y1", HIGH, "oy")
 COUNTS = "SELECT face_id, o, f, count(*) AS n, sum(CASE WHEN met THEN 1 ELSE 0 END) AS met FROM ({0}) p GROUP BY face_id, o, f"
-BEST = f"""
+COUNTED = f"""
 SELECT face_id, o, fx, fy, ord, panels FROM (
     SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY panels DESC, ord) AS rn FROM (
         SELECT c.face_id, c.o, c.f AS fx, r.f AS fy, c.o * 16 + r.f * 4 + c.f AS ord, CAST(c.n * r.n - c.met * r.met AS BIGINT) AS panels
         FROM ({COUNTS.format(COLUMNS)}) c JOIN ({COUNTS.format(ROWS)}) r ON r.face_id = c.face_id AND r.o = c.o) l WHERE panels > 0) w WHERE rn = 1"""
-PANELS = f"""
+MADE = f"""
 SELECT b.face_id, c.i AS i, r.i AS j, c.place AS px, r.place AS py, CASE b.o WHEN 0 THEN 1.134e0 ELSE 1.762e0 END AS mw, CASE b.o WHEN 0 THEN 1.762e0 ELSE 1.134e0 END AS mh
-FROM ({BEST}) b JOIN ({COLUMNS}) c ON c.face_id = b.face_id AND c.o = b.o AND c.f = b.fx JOIN ({ROWS}) r ON r.face_id = b.face_id AND r.o = b.o AND r.f = b.fy
+FROM ({COUNTED}) b JOIN ({COLUMNS}) c ON c.face_id = b.face_id AND c.o = b.o AND c.f = b.fx JOIN ({ROWS}) r ON r.face_id = b.face_id AND r.o = b.o AND r.f = b.fy
 WHERE NOT (c.met AND r.met)"""
-optimise = operator("k2_optimise_panels", "faces", f"SELECT face_id, CASE o WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation, CAST(ord % 16 AS BIGINT) AS layout, panels FROM ({BEST}) b")
-panels = operator("k2_panels", "faces", f"SELECT face_id, i, j, bround(px, 4) AS x, bround(py, 4) AS y FROM ({PANELS}) p")
-module_adjacency = operator(
-    "j3_module_adjacency", "faces",
+
+
+def _quotients(low: str, high: str, size: str, obstacle: str) -> str:
+    """For orientations and offsets (k = 4 o + f) how many lattice places there are, and which of them meet the obstacle."""
+    size = size.replace("CASE o", "CASE k div 4")
+    step, start = f"({size} + 0.02e0)", f"({low} + (k % 4) * 0.25e0 * ({size} + 0.02e0))"
+    last = f"(floor(({high} + 1e-9 - {size} - {start}) / {step}))"
+    from_, to = f"greatest(0, floor(({obstacle} - 0.4e0 - {size} - {start}) / {step}) + 1)", f"least({last}, ceil(({obstacle} + 1.4e0 - {start}) / {step}) - 1)"
+    return f"""transform(sequence(0, 7), k -> named_struct('n', greatest(0L, {last} + 1), 'met', if({obstacle} IS NULL, 0L, greatest(0L, {to} - {from_} + 1)),
+        'size', {size}, 'start', {start}, 'low', {from_}, 'high', {to}))"""
+
+
+def _fitted(rows: str) -> str:
+    """``rows`` of faces with cols, lines and best: 64 times the modules of the best layout, and 63 less its number."""
+    edges = "x0 + 0.3e0 AS ux0, y0 + 0.3e0 AS uy0, x1 - 0.3e0 AS ux1, y1 - 0.3e0 AS uy1, CASE WHEN pk % 3 = 0 THEN x0 + 2e0 END AS ox, CASE WHEN pk % 3 = 0 THEN y0 + 1e0 END AS oy"
+    count = "cols[(l div 16) * 4 + l % 4].n * lines[l div 4].n - cols[(l div 16) * 4 + l % 4].met * lines[l div 4].met"
+    axes = f"named_struct('cols', {_quotients('ux0', 'ux1', WIDE, 'ox')}, 'lines', {_quotients('uy0', 'uy1', HIGH, 'oy')})"
+    # generators of one row: what is computed there is computed once, and no filter carries it elsewhere
+    return f"""SELECT * EXCEPT (axes), axes.cols, axes.lines FROM (SELECT *, {edges} FROM ({rows}) f) e LATERAL VIEW explode(array({axes})) _a AS axes
+        LATERAL VIEW explode(array(array_max(transform(sequence(0, 31), l -> ({count.replace("cols[", "axes.cols[").replace("lines[", "axes.lines[")}) * 64 + 63 - l)))) _b AS best"""
+
+
+BEST = f"SELECT face_id, ord div 16 AS o, cols, lines, ord, panels FROM (SELECT face_id, cols, lines, 63 - best % 64 AS ord, best div 64 AS panels FROM ({_fitted('SELECT * FROM {faces}')}) t) b WHERE panels > 0"
+_CHOSEN = f"SELECT face_id, panels, col, line FROM (SELECT face_id, panels, cols[CAST((ord div 16) * 4 + ord % 4 AS INT)] AS col, lines[CAST(ord div 4 AS INT)] AS line FROM ({BEST}) b) c"
+PANELS = f"""
+SELECT face_id, i, j, col.start + i * (col.size + 0.02e0) AS px, line.start + j * (line.size + 0.02e0) AS py, col.size AS mw, line.size AS mh
+FROM ({_CHOSEN}) c EACH(i, CAST(0 AS BIGINT), col.n - 1) EACH(j, CAST(0 AS BIGINT), line.n - 1)
+WHERE NOT (col.met > 0 AND line.met > 0 AND i BETWEEN col.low AND col.high AND j BETWEEN line.low AND line.high)"""
+
+
+def _packed(name: str, text: str, **settings: float):
+    """An operator over BEST, PANELS or FITTED by their names in ``text``; its oracle is over all that is counted or made."""
+    fill = lambda best, panels, fitted: text.replace("<BEST>", best).replace("<PANELS>", panels).replace("<FITTED>", fitted)
+    return operator(name, "faces", fill(BEST, PANELS, FITTED), oracle=ansi(fill(COUNTED, MADE, JOINED)), **settings)
+
+
+#: Faces that may be used, with the modules that their best layout holds.
+FITTED = f"SELECT building_id, face_id, part_no, irradiation, greatest(0L, best div 64) AS fits FROM ({_fitted(ASSESSED)}) t WHERE status <> 'not_recommended'"
+JOINED = f"SELECT f.building_id, f.face_id, f.part_no, f.irradiation, coalesce(b.panels, 0) AS fits FROM ({ASSESSED}) f LEFT JOIN ({COUNTED}) b ON b.face_id = f.face_id WHERE f.status <> 'not_recommended'"
+optimise = _packed("k2_optimise_panels", f"SELECT face_id, CASE o WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation, CAST(ord % 16 AS BIGINT) AS layout, panels FROM (<BEST>) b")
+panels = _packed("k2_panels", f"SELECT face_id, i, j, bround(px, 4) AS x, bround(py, 4) AS y FROM (<PANELS>) p")
+module_adjacency = _packed(
+    "j3_module_adjacency",
     f"""SELECT a.face_id, a.i AS ai, a.j AS aj, b.i AS bi, b.j AS bj FROM (
-            SELECT *, i + CAST(floor(s / 3e0) AS BIGINT) - 1 AS ni, j + s % 3 - 1 AS nj FROM ({PANELS}) p EACH(s, CAST(0 AS BIGINT), CAST(8 AS BIGINT))) a
-        JOIN ({PANELS}) b ON b.face_id = a.face_id AND b.i = a.ni AND b.j = a.nj
+            SELECT *, i + CAST(floor(s / 3e0) AS BIGINT) - 1 AS ni, j + s % 3 - 1 AS nj FROM (<PANELS>) p EACH(s, CAST(0 AS BIGINT), CAST(8 AS BIGINT))) a
+        JOIN (<PANELS>) b ON b.face_id = a.face_id AND b.i = a.ni AND b.j = a.nj
         WHERE a.i * 100 + a.j < b.i * 100 + b.j AND sqrt(pow(greatest(0e0, abs(a.px - b.px) - a.mw), 2) + pow(greatest(0e0, abs(a.py - b.py) - a.mh), 2)) <= 0.02e0 + 0.05e0 + 1e-9""",
 )
-demand = operator(
-    "k7_demand_allocation", "faces",
+demand = _packed(
+    "k7_demand_allocation",
     f"""SELECT building_id, face_id, wanted FROM (
         SELECT building_id, face_id, CAST(greatest(0, least(panels, needed - coalesce(sum(panels) OVER (PARTITION BY building_id ORDER BY irradiation DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS wanted
         FROM (SELECT f.building_id, f.face_id, f.part_no, f.irradiation, b.panels, CAST(ceil(:target_kwh / (:power_kw * f.irradiation * :performance_ratio)) AS BIGINT) AS needed
-              FROM ({BEST}) b JOIN ({ASSESSED}) f ON f.face_id = b.face_id WHERE f.status <> 'not_recommended' AND f.irradiation IS NOT NULL) t) w""",
+              FROM (<BEST>) b JOIN ({ASSESSED}) f ON f.face_id = b.face_id WHERE f.status <> 'not_recommended' AND f.irradiation IS NOT NULL) t) w""",
     target_kwh=4000.0, power_kw=0.45, performance_ratio=0.8,
 )
 
-#: Faces that may be used, with the modules that their best layout holds.
-FITTED = f"SELECT f.building_id, f.face_id, f.part_no, f.irradiation, coalesce(b.panels, 0) AS fits FROM ({ASSESSED}) f LEFT JOIN ({BEST}) b ON b.face_id = f.face_id WHERE f.status <> 'not_recommended'"
 BEFORE = "coalesce(sum(fits) OVER (PARTITION BY building_id{0} ORDER BY {1} DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-ALLOCATED = f"SELECT building_id, face_id, irradiation, fits, CAST(greatest(0, least(fits, :most_panels - {BEFORE.format('', 'coalesce(irradiation, -1e0)')})) AS BIGINT) AS placed FROM ({FITTED}) t"
-allocation = operator("w4_allocation", "faces", f"SELECT building_id, face_id, fits, placed FROM ({ALLOCATED}) w", most_panels=60)
-roof_potential = operator(
-    "m1_roof_potential", "faces",
+ALLOCATED = f"SELECT building_id, face_id, irradiation, fits, CAST(greatest(0, least(fits, :most_panels - {BEFORE.format('', 'coalesce(irradiation, -1e0)')})) AS BIGINT) AS placed FROM (<FITTED>) t"
+allocation = _packed("w4_allocation", f"SELECT building_id, face_id, fits, placed FROM ({ALLOCATED}) w", most_panels=60)
+roof_potential = _packed(
+    "m1_roof_potential",
     f"""SELECT building_id, CAST(count(*) AS BIGINT) AS faces, CAST(sum(placed) AS BIGINT) AS panels, bround(sum(placed) * :power_kw, 3) AS kwp,
                CASE WHEN count(*) = count(irradiation) THEN CAST(bround(sum(placed * :power_kw * irradiation * :performance_ratio), 0) AS BIGINT) END AS kwh
         FROM ({ALLOCATED}) w GROUP BY building_id""",
     most_panels=60, power_kw=0.45, performance_ratio=0.8,
 )
-objectives = operator(
-    "k8_objective_comparison", "faces",
+objectives = _packed(
+    "k8_objective_comparison",
     f"""SELECT building_id, objective, CAST(sum(placed) AS BIGINT) AS panels FROM (
         SELECT building_id, objective, greatest(0, least(fits, :most_panels - {BEFORE.format(', objective', 'score')})) AS placed
         FROM (SELECT building_id, part_no, fits, o.objective, CASE WHEN o.objective = 'energy' THEN coalesce(irradiation, -1e0) ELSE fits * 1e0 END AS score
-              FROM ({FITTED}) t CROSS JOIN (SELECT 'capacity' AS objective UNION ALL SELECT 'energy' AS objective) o) s) p GROUP BY building_id, objective""",
+              FROM (<FITTED>) t CROSS JOIN (SELECT 'capacity' AS objective UNION ALL SELECT 'energy' AS objective) o) s) p GROUP BY building_id, objective""",
     most_panels=60,
 )
