@@ -82,7 +82,7 @@ pv_gate = operator("f8_pv_field_gate", "detections", "SELECT capture_id, CASE WH
 pv_component = operator("f9_pv_component", "detections", "SELECT capture_id, object_id FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY (x1 - x0) * (y1 - y0) DESC, object_id) AS rn FROM {detections} WHERE kind = 'existing_pv' AND (x1 - x0) * (y1 - y0) >= 3 AND NOT (confidence < 0.1e0 AND height_m < 0.5e0)) t WHERE rn <= 30")
 alignment_gate = operator("f10_alignment_acceptance", "vectors", "SELECT id, CASE WHEN value <= 50 THEN 'no_edges' WHEN height / 450e0 < 1.02e0 THEN 'no_gain' WHEN value < 0.35e0 * 490 THEN 'weak' WHEN n_panels IN (0, 59) THEN 'on_search_wall' ELSE 'accepted' END AS verdict FROM {vectors}")
 measured_gate = operator("f13_measured_acceptance", "faces", "SELECT building_id, max(CASE WHEN x0 - 1.5e0 <= 12e0 AND x1 + 1.5e0 >= 12e0 AND y0 - 1.5e0 <= 3e0 AND y1 + 1.5e0 >= 3e0 THEN 1 ELSE 0 END) = 1 AS accepted FROM {faces} GROUP BY building_id")
-override_owned = operator("f16_override_ownership", "raw_faces faces", "SELECT DISTINCT r.face_id FROM {raw_faces} r LEFT JOIN {faces} f ON r.face_id = f.face_id WHERE f.face_id IS NULL")
+override_owned = operator("f16_override_ownership", "overrides faces", "SELECT DISTINCT r.face_id FROM {overrides} r LEFT JOIN {faces} f ON r.face_id = f.face_id AND r.building_id = f.building_id WHERE f.face_id IS NULL")
 capture_integrity = operator("f17_capture_integrity", "captures", "SELECT doc_id, length(text) = stored_chars AND sha2(text, 256) = stored_sha256 AND abs(ppm - stored_ppm) <= 1e-5 * stored_ppm AS intact FROM {captures}")
 roof_triangles = operator("f18_roof_triangles", "vectors", "SELECT id FROM {vectors} WHERE 1e0 / sqrt(a * a + b * b + 1e0) >= 0.30e0")
 colour_bins = operator("f19_colour_bins", "faces", "SELECT face_id, CASE WHEN irradiation >= 1200 THEN 'high' WHEN irradiation >= 1000 THEN 'medium' WHEN irradiation IS NOT NULL THEN 'low' END AS bin FROM {faces}")

@@ -16,7 +16,7 @@ SELECT l_orderkey AS building_id, l_linenumber AS part_no,
        CAST(400 AS DOUBLE) + CAST(l_partkey % 17 AS DOUBLE) / 2e0 AS z,
        CAST((7 * l_partkey) % 70 AS DOUBLE) AS pitch, CAST((37 * l_suppkey) % 360 - 180 AS DOUBLE) AS aspect,
        CASE WHEN l_tax = 0 THEN NULL ELSE CAST(600 + (13 * l_partkey) % 900 AS DOUBLE) END AS irradiation,
-       CASE WHEN l_returnflag = 'N' THEN NULL ELSE o_custkey END AS egid,
+       CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_partkey % 29 = 0 THEN o_custkey + 1 ELSE o_custkey END AS egid,
        l_suppkey AS s, l_partkey AS pk
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
@@ -33,6 +33,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY building_id, part_no ORDER BY ra
 WHERE rn = 1
 """
 
+#: What a user changed on a face by its name; one in 31 names a face that is not of this building.
+OVERRIDES = f"""
+SELECT face_id AS override_id, building_id, concat(CAST(building_id AS STRING), ':', CAST(part_no + CASE WHEN pk % 31 = 0 THEN 20 ELSE 0 END AS STRING)) AS face_id, pk % 2 = 0 AS excluded
+FROM ({FACES}) f WHERE pk % 4 = 0
+"""
+
 PLANTS = """
 SELECT o_orderkey AS plant_id, o_custkey AS egid,
        CASE o_orderkey % 4
@@ -54,7 +60,8 @@ SELECT event_id AS object_id, user_id AS capture_id, 1 + event_id % 1499 AS buil
        CASE (event_id % 97) % 5 WHEN 0 THEN 'yolo' WHEN 1 THEN 'map' WHEN 2 THEN 'manual' WHEN 3 THEN 'image' ELSE 'elevation' END AS source,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE value / 500e0 END AS confidence,
        CAST((event_id * 7) % 60 AS DOUBLE) AS x0, CAST((event_id * 13) % 40 AS DOUBLE) AS y0,
-       CAST((event_id * 7) % 60 + 2 + event_id % 5 AS DOUBLE) AS x1, CAST((event_id * 13) % 40 + 1 + event_id % 4 AS DOUBLE) AS y1,
+       CAST((event_id * 7) % 60 + 2 + event_id % 5 + CASE WHEN event_id % 35 = 0 THEN 30 ELSE 0 END AS DOUBLE) AS x1,
+       CAST((event_id * 13) % 40 + 1 + event_id % 4 + CASE WHEN event_id % 35 = 0 THEN 20 ELSE 0 END AS DOUBLE) AS y1,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id % 30 AS DOUBLE) / 10e0 END AS height_m
 FROM events
 """
@@ -177,6 +184,6 @@ FROM faces_of WHERE contains_click
 BINDINGS = {
     "heights": HEIGHTS, "roof_samples": ROOF_SAMPLES.replace("faces_of", f"({FACES}) f"),
     "edges": OUTLINES, "points": CLICKS, "objects": SURVEYED,
-    "raw_faces": RAW_FACES, "faces": FACES, "plants": PLANTS, "detections": DETECTIONS, "cells": CELLS, "tiles": TILES, "texts": TEXTS,
+    "raw_faces": RAW_FACES, "faces": FACES, "overrides": OVERRIDES, "plants": PLANTS, "detections": DETECTIONS, "cells": CELLS, "tiles": TILES, "texts": TEXTS,
     "vectors": VECTORS, "truth": TRUTH, "splits": SPLITS, "captures": CAPTURES, "samples": SAMPLES, "terrain": TERRAIN, **{t: f"SELECT * FROM {t}" for t in TABLES},
 }
