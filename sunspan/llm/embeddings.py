@@ -15,6 +15,7 @@ the lists get longer and the trees more, and if that does not raise it, the run
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from sunspan.llm._arrow import release, slices, stored
 from sunspan.llm._graph import components
 
+LOG = logging.getLogger(__name__)
 #: Neighbours that a vector keeps at first, and those that have it as a neighbour that take part in a comparison.
 LIST, MEET = 10, 10
 #: Rounds of NN-descent at most, and the share of new links among those listed that asks for another round.
@@ -121,18 +123,6 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rest: tuple
         yield rows
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each of ``n`` places reaches over links (a, b)."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        if (x == y).all():
-            return root
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root != (root := root[root])).any():
-            pass
-
-
 def _best(ids: np.ndarray, cos: np.ndarray, most: int, fresh: np.ndarray | None = None) -> np.ndarray:
     """The ``most`` best of entries, each id once; of equal cosines the lesser id, of equal ids the older entry."""
     out = np.empty(len(ids), dtype=ENTRY)
@@ -368,11 +358,15 @@ def _audit(queries: list[tuple[int, bytes]], threshold: float):
     return run
 
 
-def _truth(classes: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """The ids that the audit asks, and their links by brute force: four times as many ids while these are too few."""
+def _truth(classes: DataFrame, threshold: float, among: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The ids that the audit asks, and their links by brute force: four times as many ids while these are too few.
+
+    Asked are vectors of all classes, or of those with an id in ``among``; MOST_ASKED bounds what is fetched.
+    """
     spark, vectors, n = classes.sparkSession, classes.select("id", "vec"), AUDIT
+    chosen = vectors if among is None else stored(vectors.join(among, "id", "left_semi"), "asked")
     while True:
-        asked = [(r.id, bytes(r.vec)) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+        asked = [(r.id, bytes(r.vec)) for r in chosen.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
         wanted = vectors.mapInArrow(_audit(asked, threshold), "id long, n long").agg(F.sum("n")).first()[0] or 0
         if wanted >= ENOUGH or len(asked) < n or n >= MOST_ASKED:
             return spark.createDataFrame([(i,) for i, _ in asked], "id long"), wanted
@@ -402,7 +396,8 @@ def _found(classes: DataFrame, threshold: float, most: int) -> DataFrame:
 def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float | None]:
     """Rows (id, near, around, root) of vectors (id, copies, vec as packed float64), and the audited recall.
 
-    Recall is None where none of the audited vectors has a link.
+    Where none of the vectors drawn has a link, those that were found to have some are asked, so recall is None only if
+    no link was found and no vector drawn has one.
 
     near and around add up over a vector's rows to its links and to the copies at their ends; (id, root) reach what
     links reach.
@@ -410,6 +405,8 @@ def neighbours(classes: DataFrame, threshold: float) -> tuple[DataFrame, float |
     asked, wanted = _truth(classes, threshold)
     for attempt in range(TRIES + 1):
         found = _found(classes, threshold, LIST << attempt)
+        if not wanted:
+            asked, wanted = _truth(classes, threshold, found.select("id").distinct())
         got = found.join(F.broadcast(asked), "id", "left_semi").agg(F.sum("near")).first()[0] or 0
         recall = got / wanted if wanted else None
         if recall is None or recall >= RECALL:
@@ -425,13 +422,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     with each other. Equal vectors are linked and take part once, with their number. Repeated rows, even of one id,
     are vectors of their own. component_id is the smallest id reachable, itself included, and kept says whether it is
     the row's own; for a null id both are null and it is linked with nothing. Other columns are not read; an empty
-    table stays empty. Below the threshold nothing is linked; the share of links found is audited,
-    and a share below RECALL that longer lists do not mend raises an error.
+    table stays empty; the length of vectors is bounded by a task's memory only. Below the threshold nothing is linked;
+    the share of links found is audited and logged, and a share below RECALL that longer lists do not mend raises an error.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     rows = stored(rows.mapInArrow(_prepare, "id long, same binary, vec binary"), "vectors")
     classes = stored(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "copies")
-    found, _ = neighbours(classes.select("id", "copies", "vec"), threshold)
+    found, recall = neighbours(classes.select("id", "copies", "vec"), threshold)
+    LOG.info("recall of links of the audited vectors: %s", "no links" if recall is None else f"{recall:.4f}")
     around = found.groupBy("id").agg(F.sum("around").alias("around"))
     reach = components(found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
     known = classes.select("same", "id", "copies").join(around, "id", "left").join(reach, "id", "left")

@@ -212,6 +212,11 @@ def test_embedding_audit_looks_for_links_and_fails_on_low_recall(spark, monkeypa
     found, recall = embeddings.neighbours(vector_classes(spark, few), 0.95)
     assert recall == 1.0 and found.agg(F.sum("near")).first()[0] == 2 * links
     assert embeddings.neighbours(vector_classes(spark, alone), 0.95)[1] is None
+    with monkeypatch.context() as rare:  # no vector drawn has a link: the linked ones are asked
+        rare.setattr(embeddings, "AUDIT", 1)
+        rare.setattr(embeddings, "MOST_ASKED", 1)
+        assert embeddings._truth(vector_classes(spark, few), 0.95)[1] == 0
+        assert embeddings.neighbours(vector_classes(spark, few), 0.95)[1] == 1.0
     monkeypatch.setattr(embeddings, "shape", lambda n, threshold: (14, 1))
     monkeypatch.setattr(embeddings, "ROUNDS", 0)
     monkeypatch.setattr(embeddings, "TRIES", 0)
