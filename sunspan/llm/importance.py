@@ -191,6 +191,7 @@ def scores(
     gains = bucket_gains(bucket_counts(docs, text_col, n, buckets), bucket_counts(target, text_col, n, buckets), buckets)
     rows = weigh(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), gains, "_text", n)
     rows = rows.select("_id", "n_features", "weight", (F.col("weight") + noise(F.col("_id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("_able"))
+    rows = stored(rows, "scores")  # ranges are drawn from a sample, which would weigh all texts once more
     rows = ranked(rows, [F.desc("_able"), F.desc("score"), F.asc_nulls_first("_id")])
     drawn = rows.where("_able").count() * percent // 100
     rank = F.when(F.col("_able") & (F.col("rank") <= drawn), F.col("rank"))
