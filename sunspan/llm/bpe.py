@@ -24,6 +24,10 @@ from sunspan.llm._arrow import add_columns, texts
 NONE = np.iinfo(np.int64).max
 #: Words kept in a worker's cache; when it is full, it starts anew.
 CACHE_WORDS = 120_000
+#: Words of so many bytes go through their trees alone where a batch has so few of their size: a round of arrays costs
+#: more than a few plain numbers.
+LONG, FEW = 512, 16
+NO_PAIR = int(NONE)
 
 
 def _byte_chars() -> list[str]:
@@ -70,6 +74,11 @@ class WordBpe:
         self.special_bytes = {t: np.array([i], dtype="<u4").tobytes() for t, i in self.special.items()}
         self.cache: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each mergeable pair."""
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 32) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -85,6 +94,10 @@ class WordBpe:
             step = max(1, (1 << 18) // int(size))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
+                if len(part) <= FEW and size >= LONG:
+                    for i in part.tolist():
+                        out[i] = self._tree(words[i], int(size))
+                    continue
                 for i, ids in zip(part.tolist(), self._trees([words[i] for i in part], lengths[part], int(size)), strict=True):
                     out[i] = ids
         return out
@@ -135,6 +148,43 @@ class WordBpe:
         flat, ends = sym[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def _tree(self, word: bytes, size: int) -> bytes:
+        """One word of at most ``size`` bytes, by the same tree as plain numbers; a change goes up as far as it matters."""
+        pairs, made, last = self.pairs, self.made, len(word) - 1
+        sym = self.inside[np.frombuffer(word, dtype=np.uint8)].tolist()
+        sym[last] = int(self.last[word[last]])
+        after, before = list(range(1, last + 2)), list(range(-1, last))
+        tree = [NO_PAIR] * (2 * size)
+        for p in range(last):
+            if (rank := pairs.get(sym[p] << 32 | sym[p + 1])) is not None:
+                tree[size + p] = rank * size + p
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(p: int, q: int) -> None:
+            rank = pairs.get(sym[p] << 32 | sym[q]) if q <= last else None
+            node = size + p
+            tree[node] = NO_PAIR if rank is None else rank * size + p
+            while node > 1:
+                node >>= 1
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while (root := tree[1]) != NO_PAIR:
+            rank, p = divmod(root, size)
+            q = after[p]
+            sym[p], sym[q] = int(made[rank]), -1
+            after[p] = r = after[q]
+            put(q, last + 1)
+            put(p, r)
+            if r <= last:
+                before[r] = p
+            if before[p] >= 0:
+                put(before[p], p)
+        return np.array([x for x in sym if x >= 0], dtype="<u4").tobytes()
+
     @staticmethod
     def _put(tree: np.ndarray, rows: np.ndarray, leaf: np.ndarray, value: np.ndarray, size: int) -> None:
         node = leaf + size
@@ -191,7 +241,8 @@ def encode(df: DataFrame, text_col: str, tokenizer_path: str, ids_col: str = "id
 def decode(df: DataFrame, ids_col: str, tokenizer_path: str, text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text that packed ids stand for; null ids give an empty text.
 
-    Ids outside the vocabulary raise IndexError. An input column named ``text_col`` is replaced.
+    Ids outside the vocabulary raise IndexError. Rows are decoded one by one, whole arrays whatever their length, so
+    repeated rows get equal texts. An input column named ``text_col`` is replaced; an empty table stays empty.
     """
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:

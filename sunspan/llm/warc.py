@@ -30,7 +30,7 @@ def _record_id(page: Column, sha256: Column) -> Column:
 
 
 def header_field(name: str, header: str = "header") -> Column:
-    """The value of a named field of the header bytes; null where the header has none."""
+    """The value of a named field of the header bytes; null where the header is null or has none, of several the first."""
     found = F.regexp_extract(F.col(header).cast("string"), rf"\r\n(?i:{name}): ([^\r]*)", 1)
     return F.when(F.col(header).cast("string").rlike(rf"\r\n(?i:{name}): "), found)
 
@@ -83,7 +83,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """id, sha256, the exact header bytes of every record, and what is parsed from these.
 
     Parsed are record_id, url, record_type, refers_id (the record that a revisit refers to, else null), digest and
-    length (of the record's own block).
+    length (of the record's own block). An archive without records gives no row; each record is a row, repeated ids too.
     """
     identifier = lambda name: F.regexp_extract(header_field(name), "<(.*)>", 1)
     return spark.read.parquet(f"{path}/headers").select(
@@ -94,7 +94,10 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """sha256, payload, payload_bytes and payload_digest; a payload that does not match its sha256 raises."""
+    """sha256, payload, payload_bytes and payload_digest; a payload that does not match its sha256 raises.
+
+    Each payload is one row whatever its length, an empty one too; an archive without records gives no row.
+    """
     found = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
     checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary"))
     return found.select("sha256", checked.alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))

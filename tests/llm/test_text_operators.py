@@ -76,6 +76,25 @@ def test_segment_tree_is_lowest_rank_leftmost_first():
         assert np.frombuffer(model.merge([raw])[0], dtype="<u4").tolist() == ids
 
 
+def test_long_words_are_merged_alone_with_the_same_result(monkeypatch):
+    model, r = bpe.load(TOKENIZER), random.Random(2)
+    words = ["".join(r.choice(["the", "ing", "a", "x", "é", "zz", "tion"]) for _ in range(r.randrange(150, 900))).encode() for _ in range(6)] + [b"a" * 3000, b"ab" * 700, b"e" * 512]
+    alone = [model.merge([w])[0] for w in words]
+    monkeypatch.setattr(bpe, "LONG", 1 << 40)
+    assert alone == model.merge(words) and min(map(len, words)) < 1024
+    monkeypatch.undo()
+    began = time.process_time()
+    model.merge(["".join(r.choice("etaoinshr") for _ in range(100_000)).encode()])
+    assert time.process_time() - began < 10
+
+
+def test_decoding_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, bytearray(), "y"), (3, bytearray(b"\x05\0\0\0"), "z"), (3, bytearray(b"\x05\0\0\0"), "z")], "id long, ids binary, decoded string")
+    rows = bpe.decode(df, "ids", TOKENIZER).collect()
+    assert [r.decoded for r in sorted(rows, key=lambda r: r.id)][:2] == ["", ""] and rows[-1].decoded == rows[-2].decoded != ""
+    assert bpe.decode(df.limit(0), "ids", TOKENIZER).collect() == []
+
+
 @pytest.mark.parametrize(
     ("text", "literal"),
     [
