@@ -181,7 +181,11 @@ SELECT building_id * 100 + part_no AS id, face_id, CAST(60 + (building_id * 37)
 FROM faces_of WHERE contains_click
 """
 
+#: Captures with sizes in pixels, some of one view only.
+VIEW_CAPTURES = "SELECT user_id AS capture_id, 500 + (user_id * 137) % 2300 AS width, 400 + (user_id * 211) % 1500 AS height FROM events GROUP BY user_id"
+
 BINDINGS = {
+    "view_captures": VIEW_CAPTURES,
     "heights": HEIGHTS, "roof_samples": ROOF_SAMPLES.replace("faces_of", f"({FACES}) f"),
     "edges": OUTLINES, "points": CLICKS, "objects": SURVEYED,
     "raw_faces": RAW_FACES, "faces": FACES, "overrides": OVERRIDES, "plants": PLANTS, "detections": DETECTIONS, "cells": CELLS, "tiles": TILES, "texts": TEXTS,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunspan.functions import scalars  # noqa: F401  registers its operators
-from sunspan.operators import buildings, graph, horizon, images, kernels, layout, polygons, raster, relational, roofs, shade  # noqa: F401
+from sunspan.operators import buildings, graph, horizon, images, kernels, layout, polygons, raster, relational, roofs, shade, stitching  # noqa: F401
 from sunspan.operators._sql import OPERATORS, SqlOperator, ansi, spark_text
 from sunspan.plans.bindings import BINDINGS, TABLES
 
@@ -206,11 +206,34 @@ def k3_face_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return horizon.sunlight_exclusions(face_access(spark, sf_dir))
 
 
-ROOFS = (k4_face_sunlight, k3_face_exclusions, a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_official_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
+#: What is seen of each detection in a view: the part inside, where this is a fifth of it or more.
+SEEN = """SELECT capture_id, view_no, object_id, kind, confidence, x0 - x AS x0, y0 - y AS y0, x1 - x AS x1, y1 - y AS y1 FROM (
+    SELECT d.capture_id, v.view_no, d.object_id, d.kind, d.confidence, v.x, v.y, greatest(d.x0 * 20, v.x) AS x0, greatest(d.y0 * 20, v.y) AS y0, least(d.x1 * 20, v.x + v.w) AS x1, least(d.y1 * 20, v.y + v.h) AS y1,
+           (d.x1 - d.x0) * (d.y1 - d.y0) * 400e0 AS whole FROM {detections} d JOIN {views} v ON d.capture_id = v.capture_id) t WHERE x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) >= 0.2e0 * whole"""
+
+
+def g7_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = stitching.views_of(bind(spark, sf_dir, "view_captures"))
+    return stitching.stitch(spark.sql(SEEN, detections=bind(spark, sf_dir, "detections"), views=views), views)
+
+
+#: The same over all pairs of a capture, with views from lists.
+_STITCHED = f"""WITH RECURSIVE {_ctes("detections", "view_captures")},
+views AS (SELECT row_number() OVER () AS view_no, * FROM ({stitching.views.oracle.strip()}) l),
+moved AS (SELECT row_number() OVER () AS id, s.capture_id, s.object_id, s.kind, s.confidence, s.x0 + v.x AS x0, s.y0 + v.y AS y0, s.x1 + v.x AS x1, s.y1 + v.y AS y1
+          FROM ({SEEN.format(detections="detections", views="views")}) s JOIN views v ON v.capture_id = s.capture_id AND v.view_no = s.view_no),
+links AS (SELECT a.id AS a, b.id AS b FROM moved a JOIN moved b ON a.capture_id = b.capture_id AND a.kind = b.kind AND a.id < b.id
+          WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.5 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))),
+reach(id, other) AS (SELECT id, id FROM moved UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other),
+groups AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT capture_id, min(object_id) AS object_id, kind, max(confidence) AS confidence, count(*) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM moved m JOIN groups g ON g.id = m.id GROUP BY capture_id, kind, component"""
+
+ROOFS = (g7_stitched, k4_face_sunlight, k3_face_exclusions, a27_join_coplanar, i1_obstacles, i3_pv_field, i5_rooflights, k6_roof_analysis, k12_validate_placement, a10_building_assessment, a11_official_comparison, k9_map_overlay, j1_ring_links, a2_merge_ring_building)
 CODE = {f.__name__: f for f in (*ROOFS, g1_select_connected, g2_coplanar_components, g3_grouped_panels, g4_tileset_walk, g5_sibling_fixpoint, g6_cell_components, g7_merge_detections, g8_deduplicate, a1_union_area, a4_fit_plane, a26_roof_faces, p22_bounded_simplify, p5_alignment)}
 
 REACH = """reach(id, other) AS (SELECT a, a FROM links UNION SELECT b, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.other)"""
 CODE_SQL = {
+    "g7_stitched": _STITCHED,
     "g2_coplanar_components": f"WITH RECURSIVE {_ctes('faces')}, links AS ({ansi(relational.coplanar.text).format(faces='faces')}), {REACH} SELECT id AS face_id, min(other) AS component FROM reach GROUP BY id",
     "g4_tileset_walk": f"WITH RECURSIVE n AS ({TREE.format(orders='orders')}), w(id, level) AS (SELECT id, 0 FROM n WHERE id = 1 AND covers UNION ALL SELECT n.id, w.level + 1 FROM n JOIN w ON n.parent = w.id WHERE n.covers AND w.level < 24) SELECT id, level FROM w",
     "g6_cell_components": f"WITH RECURSIVE {_ctes('cells', 'numbers')}, links AS ({ansi(raster.CELL_LINKS).format(cells='cells', numbers='numbers')}), {REACH} SELECT id AS cell, min(other) AS component FROM reach GROUP BY id",
