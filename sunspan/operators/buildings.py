@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sunspan.operators._sql import operator
-from sunspan.operators.layout import BEST
+from sunspan.operators.layout import packed
 from sunspan.operators.relational import ASSESSED, FACE_CELLS, OX, OY
 
 VERTICES = """SELECT l_orderkey AS batch, l_partkey * 3 + n AS vertex_id, CAST((l_partkey * 7 + n * 5) % 19 AS DOUBLE) AS vx, CAST((l_suppkey * 3 + n * 11) % 17 AS DOUBLE) AS vy, CAST((l_partkey + n) % 5 AS DOUBLE) AS vz, l_linenumber AS triangle, n AS corner
@@ -27,12 +27,12 @@ merged_building = operator(
               CAST(count(*) AS BIGINT) AS members, CASE WHEN count(*) = 1 THEN max(pitch) END AS pitch FROM {faces} GROUP BY building_id""",
 )
 footprint = operator("a28_footprint_cells", "faces", f"SELECT building_id, CAST(count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT building_id, cx, cy FROM ({FACE_CELLS}) c) t GROUP BY building_id")
-face_loop = operator(
-    "k6_face_loop", "faces",
+face_loop = packed(
+    "k6_face_loop",
     f"""SELECT f.building_id, f.face_id, f.status, b.panels AS physical, CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN CAST(0 AS BIGINT) ELSE b.panels END AS recommended,
                bround(CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN 0e0 ELSE b.panels * 0.45e0 END, 3) AS kwp,
                CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN CAST(0 AS BIGINT) ELSE CAST(bround(b.panels * 0.45e0 * f.irradiation * 0.8e0, 0) AS BIGINT) END AS kwh
-        FROM ({ASSESSED}) f JOIN ({BEST}) b ON b.face_id = f.face_id""",
+        FROM ({ASSESSED}) f JOIN (<BEST>) b ON b.face_id = f.face_id""",
 )
 upload = operator("k10_upload_analyse", "detections", "SELECT capture_id, bround(ppm, 6) AS ppm, CAST(floor(w / ppm / 1.154e0) * floor(h / ppm / 1.782e0) AS BIGINT) AS panels, TRUE AS approximate FROM (SELECT capture_id, (max(x1) - min(x0)) / 12e0 AS ppm, max(x1) - min(x0) AS w, max(y1) - min(y0) AS h FROM {detections} GROUP BY capture_id) t")
 capture_document = operator("k13_capture_summary", "faces plants detections", "SELECT f.building_id, f.faces, f.area, coalesce(d.objects, 0) AS objects, coalesce(p.plants, 0) AS plants FROM (SELECT building_id, max(egid) AS egid, CAST(count(*) AS BIGINT) AS faces, bround(sum(area), 2) AS area FROM {faces} GROUP BY building_id) f LEFT JOIN (SELECT building_id, CAST(count(*) AS BIGINT) AS objects FROM {detections} GROUP BY building_id) d ON d.building_id = f.building_id LEFT JOIN (SELECT egid, CAST(count(*) AS BIGINT) AS plants FROM {plants} GROUP BY egid) p ON p.egid = f.egid")

@@ -65,7 +65,7 @@ FROM ({_CHOSEN}) c EACH(i, CAST(0 AS BIGINT), col.n - 1) EACH(j, CAST(0 AS BIGIN
 WHERE NOT (col.met > 0 AND line.met > 0 AND i BETWEEN col.low AND col.high AND j BETWEEN line.low AND line.high)"""
 
 
-def _packed(name: str, text: str, **settings: float):
+def packed(name: str, text: str, **settings: float):
     """An operator over BEST, PANELS or FITTED by their names in ``text``; its oracle is over all that is counted or made."""
     fill = lambda best, panels, fitted: text.replace("<BEST>", best).replace("<PANELS>", panels).replace("<FITTED>", fitted)
     return operator(name, "faces", fill(BEST, PANELS, FITTED), oracle=ansi(fill(COUNTED, MADE, JOINED)), **settings)
@@ -74,16 +74,16 @@ def _packed(name: str, text: str, **settings: float):
 #: Faces that may be used, with the modules that their best layout holds.
 FITTED = f"SELECT building_id, face_id, part_no, irradiation, greatest(0L, best div 64) AS fits FROM ({_fitted(ASSESSED)}) t WHERE status <> 'not_recommended'"
 JOINED = f"SELECT f.building_id, f.face_id, f.part_no, f.irradiation, coalesce(b.panels, 0) AS fits FROM ({ASSESSED}) f LEFT JOIN ({COUNTED}) b ON b.face_id = f.face_id WHERE f.status <> 'not_recommended'"
-optimise = _packed("k2_optimise_panels", f"SELECT face_id, CASE o WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation, CAST(ord % 16 AS BIGINT) AS layout, panels FROM (<BEST>) b")
-panels = _packed("k2_panels", f"SELECT face_id, i, j, bround(px, 4) AS x, bround(py, 4) AS y FROM (<PANELS>) p")
-module_adjacency = _packed(
+optimise = packed("k2_optimise_panels", f"SELECT face_id, CASE o WHEN 0 THEN 'portrait' ELSE 'landscape' END AS orientation, CAST(ord % 16 AS BIGINT) AS layout, panels FROM (<BEST>) b")
+panels = packed("k2_panels", f"SELECT face_id, i, j, bround(px, 4) AS x, bround(py, 4) AS y FROM (<PANELS>) p")
+module_adjacency = packed(
     "j3_module_adjacency",
     f"""SELECT a.face_id, a.i AS ai, a.j AS aj, b.i AS bi, b.j AS bj FROM (
             SELECT *, i + CAST(floor(s / 3e0) AS BIGINT) - 1 AS ni, j + s % 3 - 1 AS nj FROM (<PANELS>) p EACH(s, CAST(0 AS BIGINT), CAST(8 AS BIGINT))) a
         JOIN (<PANELS>) b ON b.face_id = a.face_id AND b.i = a.ni AND b.j = a.nj
         WHERE a.i * 100 + a.j < b.i * 100 + b.j AND sqrt(pow(greatest(0e0, abs(a.px - b.px) - a.mw), 2) + pow(greatest(0e0, abs(a.py - b.py) - a.mh), 2)) <= 0.02e0 + 0.05e0 + 1e-9""",
 )
-demand = _packed(
+demand = packed(
     "k7_demand_allocation",
     f"""SELECT building_id, face_id, wanted FROM (
         SELECT building_id, face_id, CAST(greatest(0, least(panels, needed - coalesce(sum(panels) OVER (PARTITION BY building_id ORDER BY irradiation DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS wanted
@@ -94,15 +94,15 @@ demand = _packed(
 
 BEFORE = "coalesce(sum(fits) OVER (PARTITION BY building_id{0} ORDER BY {1} DESC, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 ALLOCATED = f"SELECT building_id, face_id, irradiation, fits, CAST(greatest(0, least(fits, :most_panels - {BEFORE.format('', 'coalesce(irradiation, -1e0)')})) AS BIGINT) AS placed FROM (<FITTED>) t"
-allocation = _packed("w4_allocation", f"SELECT building_id, face_id, fits, placed FROM ({ALLOCATED}) w", most_panels=60)
-roof_potential = _packed(
+allocation = packed("w4_allocation", f"SELECT building_id, face_id, fits, placed FROM ({ALLOCATED}) w", most_panels=60)
+roof_potential = packed(
     "m1_roof_potential",
     f"""SELECT building_id, CAST(count(*) AS BIGINT) AS faces, CAST(sum(placed) AS BIGINT) AS panels, bround(sum(placed) * :power_kw, 3) AS kwp,
                CASE WHEN count(*) = count(irradiation) THEN CAST(bround(sum(placed * :power_kw * irradiation * :performance_ratio), 0) AS BIGINT) END AS kwh
         FROM ({ALLOCATED}) w GROUP BY building_id""",
     most_panels=60, power_kw=0.45, performance_ratio=0.8,
 )
-objectives = _packed(
+objectives = packed(
     "k8_objective_comparison",
     f"""SELECT building_id, objective, CAST(sum(placed) AS BIGINT) AS panels FROM (
         SELECT building_id, objective, greatest(0, least(fits, :most_panels - {BEFORE.format(', objective', 'score')})) AS placed

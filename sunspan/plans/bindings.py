@@ -167,16 +167,16 @@ SELECT event_id AS point_id, CAST({_THERE[0]} AS DOUBLE) + CAST((event_id * 7) %
 _THING = (f"({_THERE[0]} + (event_id * 5) % 31 - 13)", f"({_THERE[1]} + (event_id * 3) % 21 - 10)")
 SURVEYED = f"SELECT {_BUILDING} AS building_id, e.* FROM ({_around('event_id', 'events', 4, ('2101', '1210'), '1 + (event_id + {k} * 3) % 4', _THING, 0, 0, 'event_id >= 0')}) e".replace(f"SELECT {_BUILDING} AS building_id", f"SELECT {_BUILDING.replace('event_id', 'polygon_id')} AS building_id")
 
-#: Heights of a square map of cells of 4 m, numbered along a Z curve so that it grows in both directions with the table:
-#: ground, houses of 6 by 6 cells, and ponds of 3 by 3 cells without heights.
+#: Heights of a square map of cells of 16 m, numbered along a Z curve so that it grows in both directions with the table:
+#: ground, houses of 1 by 2 cells, and ponds of a cell without heights.
 _CURVE = tuple(" + ".join(f"CAST(floor(event_id / {float(4**k * 2**c)!r}) AS BIGINT) % 2 * {2**k}" for k in range(12)) for c in (0, 1))
 HEIGHTS = f"""
-SELECT cx, cy, CASE WHEN cx % 64 BETWEEN 12 AND 14 AND cy % 64 BETWEEN 17 AND 19 THEN NULL WHEN cx % 16 BETWEEN 5 AND 10 AND cy % 16 BETWEEN 4 AND 9 THEN 498e0 + value / 90e0 ELSE 490e0 + value / 490e0 END AS z
+SELECT cx, cy, CASE WHEN cx % 32 = 13 AND cy % 32 = 18 THEN NULL WHEN cx % 4 = 1 AND cy % 4 BETWEEN 1 AND 2 THEN 498e0 + value / 90e0 ELSE 490e0 + value / 490e0 END AS z
 FROM (SELECT event_id, value, {_CURVE[0]} AS cx, {_CURVE[1]} AS cy FROM events) e
 """
 #: A sample on the face of each building that is clicked, on and between the houses.
 ROOF_SAMPLES = """
-SELECT building_id * 100 + part_no AS id, face_id, CAST(60 + (building_id * 37) % 257 AS DOUBLE) + 0.25e0 AS x, CAST(60 + (building_id * 91) % 259 AS DOUBLE) + 0.75e0 AS y,
+SELECT building_id * 100 + part_no AS id, face_id, CAST(130 + (building_id * 37) % 241 AS DOUBLE) + 0.25e0 AS x, CAST(130 + (building_id * 91) % 239 AS DOUBLE) + 0.75e0 AS y,
        494e0 + CAST(s % 9 AS DOUBLE) AS z, pitch, azimuth
 FROM faces_of WHERE contains_click
 """

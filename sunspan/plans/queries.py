@@ -195,7 +195,7 @@ def i5_rooflights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return horizon.sun_access(bind(spark, sf_dir, "roof_samples"), bind(spark, sf_dir, "heights"), step=4.0)
+    return horizon.sun_access(bind(spark, sf_dir, "roof_samples"), bind(spark, sf_dir, "heights"), step=16.0)
 
 
 def k4_face_sunlight(spark: SparkSession, sf_dir: str) -> DataFrame:
