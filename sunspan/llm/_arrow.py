@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -95,3 +96,14 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     path = shared_dir(spark, what)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing will read again: what was made from them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not re.search(r"-[0-9a-f]{32}$", path):
+                raise ValueError(f"{path} is no table of stored()")
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.llm._arrow import stored
+from sunspan.llm._arrow import discard, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "theirs").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
         step = stored(step.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
-        changed = step.where("was <> component").limit(1).count()
+        discard(labels)
         labels = step.select("id", "component")
-        if not changed:
+        if not step.where("was <> component").limit(1).count():
+            discard(both)
             return labels

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.llm._arrow import release, slices, stored, sweep
+from sunspan.llm._arrow import discard, release, slices, stored, sweep
 from sunspan.llm._graph import components
 from sunspan.llm._words import Words, mix, sequence_hashes
 
@@ -390,6 +390,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     texts = texts.withColumn("version", F.xxhash64("text"))
     sketches = stored(texts.mapInArrow(_sketches(k), "id long, version long, n long, same binary, bits binary, slot long"), "sketches")
+    first_sketches = sketches
     packed, sketches = _ranks(sketches), sketches.where("slot is null").drop("slot")
     sets = sketches.groupBy("id").agg(F.max(F.struct("same", "n", "version")).alias("s")).select("id", "s.same", "s.n", "s.version")
     classes = stored(sketches.where("n > 0").groupBy("same").agg(F.min("id").alias("class_id")), "classes")
@@ -400,34 +401,39 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # repeated rows: a group of the columns by which they were joined asks for no other shuffle
     texts = stored(texts.join(heads, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("text").alias("text")).select("id", "text"), "texts")
     sketches = stored(sketches.join(heads, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).drop("version"), "heads")
+    discard(first_sketches, classes)
 
     met = texts.mapInArrow(_keys(k, percent, packed), "key long, deal int, id long").repartition("key", "deal").sortWithinPartitions("key", "deal")
-    met = stored(met.mapInArrow(_shared, "key long, id long"), "keys")
+    keys = stored(met.mapInArrow(_shared, "key long, id long"), "keys")
     sweep(df.sparkSession)
-    shared = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    met = stored(met.join(shared, "key"), "met")
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    met = stored(keys.join(shared, "key"), "met")
+    discard(keys, shared)
     # a class that many others are copies of has the keys that most of them kept: it leads where it takes part
     weight = stored(met.groupBy("id").agg(F.sum("members").alias("weight")), "weight")
     weighed = stored(met.select("key", "id").join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")), "weighed")
     leads = stored(weighed.groupBy("key").agg(F.max("rank").alias("lead")), "leads")
     led = weighed.join(leads, "key").where(F.col("id") != -F.col("lead.minus")).select("id", "lead").distinct()
     led = stored(led, "led")
+    discard(weight, weighed, leads)
     sweep(df.sparkSession)
     first = stored(_pairs("lead", led.groupBy("id").agg(F.max("lead").alias("lead"))).distinct(), "first")
-    near = stored(_verified(_led(first, sketches, percent), texts, k, percent).distinct(), "near")
-    joined = components(near)
+    once_near = stored(_verified(_led(first, sketches, percent), texts, k, percent).distinct(), "near")
+    joined = components(once_near)
     # once more with the leads of all keys that still span several components, a pair for each member at most
     sweep(df.sparkSession)
     other = joined.withColumnsRenamed({"id": "b", "component": "theirs"})
     again = _pairs("lead", led).distinct()
     again = again.join(joined.withColumnsRenamed({"id": "a", "component": "mine"}), "a", "left").join(other, "b", "left")
     again = again.where(F.coalesce("mine", "a") != F.coalesce("theirs", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    near = stored(near.unionByName(_verified(_led(again, sketches, percent), texts, k, percent)).distinct(), "near")
+    near = stored(once_near.unionByName(_verified(_led(again, sketches, percent), texts, k, percent)).distinct(), "near")
+    discard(led, first, once_near, joined)
     joined = components(near)
 
     sweep(df.sparkSession)
     placed = met.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = stored(placed, "placed")
+    discard(met, joined)
     spans = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest"),
@@ -440,7 +446,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "bits", "component", "block")
     members = members.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     rest = stored(members.mapInArrow(_candidates(percent), "a long, b long").distinct(), "rest")
+    discard(placed, once)
     sweep(df.sparkSession)
     whole = components(near.unionByName(_verified(rest, texts, k, percent)))
+    discard(near, rest, texts, sketches)
     ids = owned.join(whole.withColumnRenamed("id", "class_id"), "class_id", "left")
     return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
