@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunspan.operators import polygons
+from sunspan.plans import queries
 from sunspan.sources.files import read_features
 
 SQUARE = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]
@@ -166,3 +167,10 @@ def test_union_of_many_counts_nothing_twice(spark, band):
     objects = polygons.edges_of(things, "id", "rings", "part").withColumn("building_id", F.lit(1).cast("long"))
     [row] = polygons.union(objects=objects, edges=shapes(spark, [(1, 0, [SQUARE])]), band=band).collect()
     assert (row.outline, row.objects, row.united, row.free) == pytest.approx((100, 2 * 3 + 2 * 2 + 4, 104, 90), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["s2_identify_rings", "j10_point_in_rings", "j11_enclosing_rings"])
+def test_covers_broadcast_nothing(spark, tiny, name):
+    """Exploded rows look as small to Spark as what they come from."""
+    plan = queries.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
