@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunspan.functions import scalars
-from sunspan.operators import graph, kernels, layout, relational
+from sunspan.operators import graph, kernels, layout, relational, shade
 from sunspan.operators._sql import ansi
 from sunspan.plans import pipeline
 from sunspan.plans import queries as plans
@@ -244,3 +244,22 @@ def test_streams(spark, tiny, tmp_path):
         assert spark.table(name).count() > 0
     want = {r.user_id: r.v for r in spark.read.parquet(str(tmp_path / "in")).groupBy("user_id").agg(F.max_by("value", "ts").alias("v")).collect()}
     assert {r.user_id: r.value for r in spark.table("latest").collect()}.keys() == want.keys()
+
+
+def test_rays_never_travel_as_rows(spark, tiny):
+    """Heights are looked up where a tile's cells are; cells are made in many tasks and neither broadcast nor shuffled."""
+    plan = plans.queries()["j15_ray_horizon"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "explode(sequence" not in plan.split("FlatMapCoGroups")[0]
+    cells = plan.split("Generate explode")
+    assert "Exchange" not in cells[1] and "REPARTITION_BY_NUM" in cells[2]
+
+
+def test_tile_horizons_of_odd_rows(spark):
+    """Repeated cells, tiles without cells, null places and null eyes count as they do where each point is joined."""
+    samples = spark.createDataFrame([(1, 0, 0.5, 0.5, 0.0), (2, 0, 0.5, 0.5, 0.0), (1, 1, None, 0.5, 0.0), (1, 2, 0.5, 0.5, None), (None, 0, 0.5, 0.5, 0.0)], "tile_id long, sample long, x double, y double, z double")
+    terrain = spark.createDataFrame([(1, 0, 1, 5.0), (1, 0, 1, None), (1, 0, 1, 3.0), (None, 0, 1, 9.0)], "tile_id long, cx long, cy long, z double")
+    got = {(r.tile_id, r.sample, r.bin): (r.horizon, r.coverage) for r in shade.tile_horizons(samples, terrain).collect()}
+    assert len(got) == 5 * 144
+    assert got[1, 0, 0] == (math.atan2(4.75, 0.5), 2 * 2 / (138 + 2 * 3))  # at .5 and 1 m
+    assert {got[k, n, b] for k, n in ((2, 0), (1, 1), (None, 0)) for b in range(144)} == {(0.0, 0.0)}
+    assert got[1, 2, 0] == (0.0, 4 / 144)
