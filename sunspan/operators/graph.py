@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +63,62 @@ def select_connected(faces: DataFrame, links: DataFrame, group: str = "building_
     return by_group(rows, group, ["part_no"], grow, f"{group} long, face_id string, accepted boolean, reason string")
 
 
+def _arrays(points: list[tuple], beside: dict[tuple, list], minimum: int) -> list[tuple]:
+    """i, j, array_no and place of ``points`` (sorted) that are linked as ``beside`` says."""
+    place = {p: n for n, p in enumerate(points)}
+    seen, groups = set(), []
+    for p in points:
+        if p not in seen:
+            seen.add(p)
+            queue, group = deque([p]), []
+            while queue:
+                q = queue.popleft()
+                group.append(q)
+                for r in sorted(beside[q]):
+                    if r not in seen:
+                        seen.add(r)
+                        queue.append(r)
+            groups.append(group)
+    kept = sorted((g for g in groups if minimum <= 1 or len(g) >= minimum), key=lambda g: (-len(g), place[g[0]]))
+    return [(i, j, n, k) for n, g in enumerate(kept) for k, (i, j) in enumerate(g)]
+
+
+@lru_cache(maxsize=1024)
+def _lattice(n: int, m: int, hole: tuple[int, ...], minimum: int) -> np.ndarray:
+    """The arrays of a lattice of n by m modules without those of a hole, where all that touch, at corners too, are linked."""
+    points = [(i, j) for i in range(n) for j in range(m) if not (hole[0] <= i <= hole[1] and hole[2] <= j <= hole[3])]
+    held = set(points)
+    beside = {(i, j): [p for p in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b) if p in held] for i, j in points}
+    return np.array(_arrays(points, beside, minimum), dtype=np.int64).reshape(-1, 4)
+
+
+def grouped_lattices(lattices: DataFrame, minimum: int = 4) -> DataFrame:
+    """What grouped_panels() gives for faces (face_id, n, m, hole), a row for each, whose modules stand in one lattice.
+
+    hole has the first and last column and the first and last row without modules. Modules are made and grouped where
+    their face is, and faces of one lattice are grouped once; nothing is shuffled.
+    """
+
+    def made(face_ids: pa.Array, at: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found) if found else np.zeros((0, 4), dtype=np.int64)
+        faces = face_ids.take(pa.array(np.repeat(np.array(at, dtype=np.int64), [len(f) for f in found])))
+        return pa.RecordBatch.from_arrays([faces, *(pa.array(c) for c in np.ascontiguousarray(rows.T))], names=["face_id", "i", "j", "array_no", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found, size = [], [], 0
+            for k, (n, m, hole) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "m", "hole")), strict=True)):
+                at.append(k)
+                found.append(_lattice(n, m, tuple(hole), minimum))
+                size += len(found[-1])
+                if size > 100_000:
+                    yield made(b.column("face_id"), at, found)
+                    at, found, size = [], [], 0
+            yield made(b.column("face_id"), at, found)
+
+    return lattices.select("face_id", "n", "m", "hole").mapInArrow(run, "face_id string, i long, j long, array_no long, place long")
+
+
 def grouped_panels(panels: DataFrame, links: DataFrame, minimum: int = 4) -> DataFrame:
     """face_id, i, j, array_no and place of modules in arrays of ``minimum`` or more, largest array first, breadth first inside.
 
@@ -70,26 +130,11 @@ def grouped_panels(panels: DataFrame, links: DataFrame, minimum: int = 4) -> Dat
     def order(rows: list[tuple]) -> list[tuple]:
         face, points, near = rows[0]
         points = [(p["i"], p["j"]) for p in points]
-        place = {p: n for n, p in enumerate(points)}
         beside: dict[tuple, list] = {p: [] for p in points}
         for ai, aj, bi, bj in near or []:
             beside[ai, aj].append((bi, bj))
             beside[bi, bj].append((ai, aj))
-        seen, groups = set(), []
-        for p in points:
-            if p not in seen:
-                seen.add(p)
-                queue, group = deque([p]), []
-                while queue:
-                    q = queue.popleft()
-                    group.append(q)
-                    for r in sorted(beside[q]):
-                        if r not in seen:
-                            seen.add(r)
-                            queue.append(r)
-                groups.append(group)
-        kept = sorted((g for g in groups if minimum <= 1 or len(g) >= minimum), key=lambda g: (-len(g), place[g[0]]))
-        return [(face, i, j, n, k) for n, g in enumerate(kept) for k, (i, j) in enumerate(g)]
+        return [(face, *r) for r in _arrays(points, beside, minimum)]
 
     rows = nodes.join(pairs, "face_id", "left").select("face_id", "nodes", "pairs")
     return by_group(rows, "face_id", [], order, "face_id string, i long, j long, array_no long, place long")

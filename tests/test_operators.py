@@ -263,3 +263,21 @@ def test_tile_horizons_of_odd_rows(spark):
     assert got[1, 0, 0] == (math.atan2(4.75, 0.5), 2 * 2 / (138 + 2 * 3))  # at .5 and 1 m
     assert {got[k, n, b] for k, n in ((2, 0), (1, 1), (None, 0)) for b in range(144)} == {(0.0, 0.0)}
     assert got[1, 2, 0] == (0.0, 4 / 144)
+
+
+def test_modules_are_paired_and_grouped_in_place(spark, tiny):
+    """One shuffle, of faces: a lattice tells its pairs and arrays; they are those of modules that are joined."""
+    for name in ("j3_module_adjacency", "g3_grouped_panels"):
+        plan = plans.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 1, name
+    faces = plans.bind(spark, tiny, "faces").where("building_id < 60")
+    want = graph.grouped_panels(layout.panels(faces=faces), layout.module_adjacency(faces=faces)).collect()
+    got = graph.grouped_lattices(spark.sql(plans.spark_text(layout.LATTICES), faces=faces)).collect()
+    assert sorted(got) == sorted(want) and len(want) > 500
+
+
+def test_lattice_with_a_hole_from_side_to_side():
+    """Two arrays, the larger first, and one that is too small left out."""
+    rows = graph._lattice(5, 3, (2, 2, 0, 2), 4).tolist()
+    assert [(i, j) for i, j, n, _ in rows if n == 0][0] == (0, 0) and {n for *_, n, _ in rows} == {0, 1} and len(rows) == 12
+    assert len(graph._lattice(3, 3, (1, 1, 0, 2), 4)) == 0
