@@ -87,13 +87,13 @@ def _there(i: str, j: str) -> str:
     return f"{i} BETWEEN 0 AND col.n - 1 AND {j} BETWEEN 0 AND line.n - 1 AND NOT (col.met > 0 AND line.met > 0 AND {i} BETWEEN col.low AND col.high AND {j} BETWEEN line.low AND line.high)"
 
 
-#: A module's neighbours are places of its own lattice: pairs follow from the row of the face, without a join. Only the
-#: oracle joins modules.
+#: A module's neighbours are places of its own lattice: pairs follow from the row of the face, without a join. The
+#: four neighbours that come later are asked for. Only the oracle joins modules.
 _GAPS = [f"pow(greatest(0e0, abs(({axis}.start + {a} * ({axis}.size + 0.02e0)) - ({axis}.start + {b} * ({axis}.size + 0.02e0))) - {axis}.size), 2)" for axis, a, b in (("col", "i", "ni"), ("line", "j", "nj"))]
 PAIRS = f"""SELECT face_id, i AS ai, j AS aj, ni AS bi, nj AS bj FROM (
         SELECT *, i + CAST(floor(s / 3e0) AS BIGINT) - 1 AS ni, j + s % 3 - 1 AS nj FROM (
-            SELECT face_id, col, line, i, j FROM ({_CHOSEN}) c EACH(i, CAST(0 AS BIGINT), col.n - 1) EACH(j, CAST(0 AS BIGINT), line.n - 1)) p EACH(s, CAST(0 AS BIGINT), CAST(8 AS BIGINT))) a
-    WHERE {_there("i", "j")} AND {_there("ni", "nj")} AND i * 100 + j < ni * 100 + nj AND sqrt({" + ".join(_GAPS)}) <= 0.02e0 + 0.05e0 + 1e-9"""
+            SELECT face_id, col, line, i, j FROM ({_CHOSEN}) c EACH(i, CAST(0 AS BIGINT), col.n - 1) EACH(j, CAST(0 AS BIGINT), line.n - 1) WHERE {_there("i", "j")}) p EACH(s, CAST(5 AS BIGINT), CAST(8 AS BIGINT))) a
+    WHERE {_there("ni", "nj")} AND sqrt({" + ".join(_GAPS)}) <= 0.02e0 + 0.05e0 + 1e-9"""
 module_adjacency = operator("j3_module_adjacency", "faces", PAIRS, oracle=ansi(_PAIRS.replace("<PANELS>", MADE)))
 #: A row for each face: the columns and rows of its chosen layout, and those between which modules are blocked.
 LATTICES = f"SELECT face_id, col.n AS n, line.n AS m, if(col.met > 0 AND line.met > 0, array(col.low, col.high, line.low, line.high), array(0L, -1L, 0L, -1L)) AS hole FROM ({_CHOSEN}) c"
