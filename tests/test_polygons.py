@@ -174,3 +174,29 @@ def test_covers_broadcast_nothing(spark, tiny, name):
     """Exploded rows look as small to Spark as what they come from."""
     plan = queries.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    r = random.Random(3)
+    made = lambda n, at: [(at + k, 0, [moved([[x * s, y * s / 2] for x, y in SQUARE], r.uniform(-300, 300), r.uniform(-300, 300))]) for k, s in ((k, r.choice([0.01, 0.3, 3, 20, 200])) for k in range(n))]
+    a, b = made(120, 0), made(90, 1000)
+    box = lambda row: (min(p[0] for p in row[2][0]), max(p[0] for p in row[2][0]), min(p[1] for p in row[2][0]), max(p[1] for p in row[2][0]))
+    meet = lambda p, q: p[0] <= q[1] and q[0] <= p[1] and p[2] <= q[3] and q[2] <= p[3]
+    for cell in (16.0, 1.0, 5000.0):
+        found = [tuple(x) for x in polygons.box_pairs(shapes(spark, a), shapes(spark, b), cell).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(p[0], q[0]) for p in a for q in b if meet(box(p), box(q))}
+
+
+@pytest.mark.parametrize("name", ["o2_ring_overlay", "s16_surveyed_rings", "j8_objects_rings", "j12_clip_rings", "f14_ring_membership"])
+def test_overlays_make_their_pieces_once(spark, tiny, name):
+    """A pair is one row that is swept where it is: polygons are exploded for their pieces and areas, not for each step."""
+    plan = queries.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 40 and plan.count("Exchange hashpartitioning") <= 20 and "Window" not in plan
+
+
+@pytest.mark.parametrize("band", [64.0, 3.0])
+def test_overlays_over_bands(spark, band):
+    touching = moved(SQUARE, 0, 10)
+    found = polygons.overlay_pairs(objects=shapes(spark, [(1, 0, [SQUARE, HOLE]), (3, 0, [[[0.0, 10.0], [5.0, 10.0], [9.0, 10.0]]])]), edges=shapes(spark, [(2, 0, [moved(SQUARE, 5, 5)]), (4, 0, [touching])]), band=band)
+    got = {(r.object_id, r.polygon_id): tuple(r[k] for k in KEYS) for r in found.collect()}
+    assert got == {(1, 2): (96, 100, 24, 172, 72, 76), (1, 4): (96, 100, 0, 196, 96, 100), (3, 2): (0, 100, 0, 100, 0, 100), (3, 4): (0, 100, 0, 100, 0, 100)}
