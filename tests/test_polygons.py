@@ -200,3 +200,17 @@ def test_overlays_over_bands(spark, band):
     found = polygons.overlay_pairs(objects=shapes(spark, [(1, 0, [SQUARE, HOLE]), (3, 0, [[[0.0, 10.0], [5.0, 10.0], [9.0, 10.0]]])]), edges=shapes(spark, [(2, 0, [moved(SQUARE, 5, 5)]), (4, 0, [touching])]), band=band)
     got = {(r.object_id, r.polygon_id): tuple(r[k] for k in KEYS) for r in found.collect()}
     assert got == {(1, 2): (96, 100, 24, 172, 72, 76), (1, 4): (96, 100, 0, 196, 96, 100), (3, 2): (0, 100, 0, 100, 0, 100), (3, 4): (0, 100, 0, 100, 0, 100)}
+
+
+def test_unions_of_piles_are_swept_at_the_rim(spark, tiny):
+    """Cells that lie in one object need none of the others, and slabs are no rows of Spark's."""
+    plan = queries.queries()["a1_union_rings"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    pile = [(k, 0, 1, [moved([[x / 2, y / 2] for x, y in SQUARE], k % 20 * 0.75, k // 20 % 20 * 0.75), [[x / 10 + k % 20 * 0.75 + 2, y / 10 + k // 20 % 20 * 0.75 + 2] for x, y in HOLE[::-1]]]) for k in range(500)]
+    things = spark.createDataFrame([*pile, (900, 0, 1, [[[30.0, 0.0], [34.0, 4.0], [30.0, 8.0], [26.0, 4.0]]]), (901, 0, None, [SQUARE]), (902, 0, 3, [SQUARE])], "id long, part long, building_id long, rings array<array<array<double>>>")
+    objects = polygons.edges_of(things, "id", "rings", "part").join(things.select(F.col("id").alias("polygon_id"), "building_id"), "polygon_id")
+    for band in (64.0, 0.7):
+        found = {r.building_id: tuple(r)[1:] for r in polygons.union(objects=objects, edges=shapes(spark, [(1, 0, [SQUARE, HOLE]), (2, 0, [SQUARE])]), band=band).collect()}
+        side = 19 * 0.75 + 5
+        assert found[1] == pytest.approx((96, side * side + 32, side * side + 32, 0), abs=1e-5)
+        assert found[2] == (100, 0, 100, 100) and found[3] == (0, 100, 100, 0) and len(found) == 3
