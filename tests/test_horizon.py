@@ -101,3 +101,15 @@ def test_a_wall_in_the_south_takes_sun_and_excludes(spark):
     assert faces["a"].available and faces["a"].coverage_fraction == 1 and not faces["b"].available
     empty = spark.createDataFrame([], SAMPLES)
     assert horizon.horizons(empty, heights_of(spark, grid[:2, :2]), STEP).collect() == []
+
+
+def test_access_makes_no_rows_of_rays_and_parts_change_nothing(spark, monkeypatch):
+    """Rows of a sample stay as many as samples, and a block dealt to several parts gives the same."""
+    grid = scene(4)
+    _, samples = samples_of(spark, grid, 24, 4)
+    again = samples.unionByName(samples.withColumn("id", samples.id + 100))
+    whole = {r.id: tuple(r)[1:] for r in horizon.sun_access(samples, heights_of(spark, grid), step=STEP).collect()}
+    monkeypatch.setattr(horizon, "DEALT", 5)
+    monkeypatch.setattr(horizon, "horizons", None)  # its tiles are rows for each sample
+    parts = {r.id: tuple(r)[1:] for r in horizon.sun_access(again, heights_of(spark, grid), step=STEP).collect()}
+    assert len(whole) == 24 and parts == whole | {k + 100: v for k, v in whole.items()}
