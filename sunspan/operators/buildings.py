@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sunspan.operators._sql import operator
+from sunspan.operators._sql import ansi, operator
 from sunspan.operators.layout import packed
-from sunspan.operators.relational import ASSESSED, FACE_CELLS, OX, OY
+from sunspan.operators.relational import ASSESSED, BOXED, FACE_CELLS, OX, OY, uncovered
 
 VERTICES = """SELECT l_orderkey AS batch, l_partkey * 3 + n AS vertex_id, CAST((l_partkey * 7 + n * 5) % 19 AS DOUBLE) AS vx, CAST((l_suppkey * 3 + n * 11) % 17 AS DOUBLE) AS vy, CAST((l_partkey + n) % 5 AS DOUBLE) AS vz, l_linenumber AS triangle, n AS corner
 FROM {lineitem} l EACH(n, CAST(0 AS BIGINT), CAST(2 AS BIGINT))"""
@@ -26,7 +26,11 @@ merged_building = operator(
     """SELECT building_id, bround(max(x1) - min(x0), 4) AS width, bround(max(y1) - min(y0), 4) AS depth, CASE WHEN sum(area) >= max(CASE WHEN contains_click THEN area ELSE 0e0 END) THEN 'union' ELSE 'anchor' END AS outline,
               CAST(count(*) AS BIGINT) AS members, CASE WHEN count(*) = 1 THEN max(pitch) END AS pitch FROM {faces} GROUP BY building_id""",
 )
-footprint = operator("a28_footprint_cells", "faces", f"SELECT building_id, CAST(count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT building_id, cx, cy FROM ({FACE_CELLS}) c) t GROUP BY building_id")
+#: The cells of a building are those that each face adds to the ones before it.
+footprint = operator(
+    "a28_footprint_cells", "faces", f"SELECT building_id, CAST(sum(cells) AS BIGINT) AS cells FROM (SELECT building_id, {uncovered('0L')} AS cells FROM ({BOXED}) f) c GROUP BY building_id",
+    oracle=ansi(f"SELECT building_id, CAST(count(*) AS BIGINT) AS cells FROM (SELECT DISTINCT building_id, cx, cy FROM ({FACE_CELLS}) c) t GROUP BY building_id"),
+)
 face_loop = packed(
     "k6_face_loop",
     f"""SELECT f.building_id, f.face_id, f.status, b.panels AS physical, CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN CAST(0 AS BIGINT) ELSE b.panels END AS recommended,
