@@ -33,7 +33,11 @@ footprint = operator(
 )
 face_loop = packed(
     "k6_face_loop",
-    f"""SELECT f.building_id, f.face_id, f.status, b.panels AS physical, CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN CAST(0 AS BIGINT) ELSE b.panels END AS recommended,
+    """SELECT building_id, face_id, status, panels AS physical, CASE WHEN status = 'not_recommended' OR panels < 4 THEN CAST(0 AS BIGINT) ELSE panels END AS recommended,
+               bround(CASE WHEN status = 'not_recommended' OR panels < 4 THEN 0e0 ELSE panels * 0.45e0 END, 3) AS kwp,
+               CASE WHEN status = 'not_recommended' OR panels < 4 THEN CAST(0 AS BIGINT) ELSE CAST(bround(panels * 0.45e0 * irradiation * 0.8e0, 0) AS BIGINT) END AS kwh
+        FROM {assessed}""",
+    joined=f"""SELECT f.building_id, f.face_id, f.status, b.panels AS physical, CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN CAST(0 AS BIGINT) ELSE b.panels END AS recommended,
                bround(CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN 0e0 ELSE b.panels * 0.45e0 END, 3) AS kwp,
                CASE WHEN f.status = 'not_recommended' OR b.panels < 4 THEN CAST(0 AS BIGINT) ELSE CAST(bround(b.panels * 0.45e0 * f.irradiation * 0.8e0, 0) AS BIGINT) END AS kwh
         FROM ({ASSESSED}) f JOIN (<BEST>) b ON b.face_id = f.face_id""",

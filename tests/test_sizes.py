@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from sunspan.operators import buildings, relational
+from sunspan.operators import buildings, layout, relational
 from sunspan.plans import queries as plans
 
 
@@ -33,3 +33,22 @@ def test_cells_of_piles_are_counted_without_being_made(spark, tiny):
     for name in ("a28_footprint_cells", "w2_upper_face_wins", "w3_topmost_area"):
         plan = plans.queries()[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
         assert ("Generate" in plan) == (name == "w2_upper_face_wins") and not any("cx" in line for line in plan.splitlines() if "Aggregate" in line or "Window" in line), name
+
+
+def test_packing_by_batches_equals_the_expression_of_a_row(spark, tiny):
+    """Boxes of all sizes, empty and turned ones, unknown ones and those with an obstacle; modules and pairs too."""
+    rng = np.random.default_rng(3)
+    low, side = rng.uniform(-50, 50, (300, 2)).round(2), rng.choice([-1.0, 0.0, 0.61, 1.734, 1.8, 2.4, 4.112, 7.5, 11.0, 33.3], (300, 2))
+    rows = [(f"f{i}", *map(float, low[i]), *map(float, low[i] + side[i]), None if i % 13 == 0 else i) for i in range(300)] + [("none", None, 0.0, 9.0, 9.0, 1)]
+    df = spark.createDataFrame(rows, "face_id string, x0 double, y0 double, x1 double, y1 double, pk long")
+    want = spark.sql(layout._CHOSEN, faces=df).orderBy("face_id").collect()
+    got = layout.fitted(df, "face_id", lattice=True).where("panels > 0").orderBy("face_id").collect()
+    assert [(r.face_id, r.panels, r.col.n, r.col.met, r.col.start, r.line.n, r.line.met, r.line.start) for r in got] == [(r.face_id, r.panels, r.col.n, r.col.met, r.col.start, r.line.n, r.line.met, r.line.start) for r in want]
+    assert len(want) > 100 and any(r.col.met and r.line.met for r in want)
+    both = [sorted(map(repr, d.collect())) for d in (layout.lattices(df), spark.sql(layout.LATTICES, faces=df))]
+    assert both[0] == both[1]
+    faces = plans.bind(spark, tiny, "faces")
+    for name in ("k2_optimise_panels", "k2_panels", "k6_face_loop", "k7_demand_allocation", "k8_objective_comparison", "m1_roof_potential"):
+        plan = plans.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") <= 2 and "MapInArrow" in plan and "lambdafunction" not in plan, name  # the join of the binding, and of two objectives
+    assert layout.optimise(faces=faces.limit(0)).collect() == []
