@@ -2,17 +2,18 @@
 
 A capture is seen whole and, beyond 768 pixels, in tiles along both axes that overlap by a quarter; the last tile of an
 axis ends with the image. Detections of the views are moved to the capture's frame; those of one kind that share more
-than half of the smaller one are the same object, along chains too, so an object on a seam is one row. Boxes meet by
-equality on cells, once, in the cell of the corner of what they share.
+than half of the smaller one are the same object, along chains too, so an object on a seam is one row. A capture is a
+group: chains never leave it, so its boxes travel once. Pairs alone (same_objects) meet by equality on cells, once, in
+the cell of the corner of what they share.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.operators import graph
-from sunspan.operators._shared import stored
+from sunspan.operators._shared import by_group
 from sunspan.operators._sql import operator, spark_text
 
 # Captures up to WHOLE pixels are seen once; tiles have TILE pixels at least and a third of the longer side.
@@ -68,12 +69,39 @@ def stitch(seen: DataFrame, views: DataFrame) -> DataFrame:
     """
     place = views.select("capture_id", "view_no", "x", "y")
     moved = seen.join(place, ["capture_id", "view_no"]).select(
-        F.struct("capture_id", "object_id", "view_no").alias("id"), "capture_id", "object_id", "kind", "confidence",
+        "capture_id", "view_no", "object_id", "kind", "confidence",
         (F.col("x0") + F.col("x")).alias("x0"), (F.col("y0") + F.col("y")).alias("y0"), (F.col("x1") + F.col("x")).alias("x1"), (F.col("y1") + F.col("y")).alias("y1"),
     )
-    moved = stored(moved, "moved")
-    group = graph.components(same_objects(moved))
-    whole = moved.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
-    merged = whole.groupBy("component").agg(F.first("capture_id").alias("capture_id"), F.min("object_id").alias("object_id"), F.first("kind").alias("kind"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("members"), *box)
-    return merged.drop("component")
+    kinds = dict(moved.dtypes)
+    out = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in ("capture_id", "object_id", "kind", "confidence", "members", "x0", "y0", "x1", "y1"))
+    return by_group(moved, "capture_id", ["view_no", "object_id"], _merged, out)
+
+
+def _merged(rows: list[tuple]) -> list[tuple]:
+    """The objects of a capture's boxes, found by a sweep over their left sides for each kind."""
+    kinds: dict[str, list[int]] = {}
+    for i, (_, _, _, kind, _, *box) in enumerate(rows):
+        if kind is not None and None not in box and box[2] > box[0] and box[3] > box[1]:
+            kinds.setdefault(kind, []).append(i)
+    up = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for own in kinds.values():
+        own.sort(key=lambda i: rows[i][5])
+        x0, y0, x1, y1 = np.array([rows[i][5:] for i in own], dtype=float).T
+        area, ends = (x1 - x0) * (y1 - y0), np.searchsorted(x0, x1)
+        for n, i in enumerate(own):
+            m = slice(n + 1, ends[n])
+            shared = np.maximum(np.minimum(x1[n], x1[m]) - x0[m], 0) * np.maximum(np.minimum(y1[n], y1[m]) - np.maximum(y0[n], y0[m]), 0)
+            for k in np.flatnonzero(shared > SAME * np.minimum(area[n], area[m])):
+                up[find(own[n + 1 + k])] = find(i)
+    parts: dict[int, list[tuple]] = {}
+    for i, r in enumerate(rows):
+        parts.setdefault(find(i), []).append(r)
+    known = lambda part, c, f: f((r[c] for r in part if r[c] is not None), default=None)
+    return [(p[0][0], known(p, 2, min), p[0][3], known(p, 4, max), len(p), known(p, 5, min), known(p, 6, min), known(p, 7, max), known(p, 8, max)) for p in parts.values()]

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from sunspan.operators import buildings, layout, relational
+from sunspan.operators import buildings, images, layout, relational, rings
 from sunspan.plans import queries as plans
 
 
@@ -52,3 +52,46 @@ def test_packing_by_batches_equals_the_expression_of_a_row(spark, tiny):
         plan = plans.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Join") <= 2 and "MapInArrow" in plan and "lambdafunction" not in plan, name  # the join of the binding, and of two objectives
     assert layout.optimise(faces=faces.limit(0)).collect() == []
+
+
+def test_captures_travel_by_the_hundred(spark, tiny):
+    """Large pixels do not meet in one batch of Arrow, and each capture is looked at once."""
+    for name in ("i3_pv_field", "i5_rooflights"):
+        plan = plans.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchEvalPython") == 1 and plan.count("MapInArrow") == 1, name  # the latter draws, a capture in a batch
+
+
+def test_outlines_of_parts_anywhere_are_those_of_the_whole_frame():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        small = rng.random((7, 9)) < 0.7
+        top, left = rng.integers(0, 20, 2)
+        frame = np.zeros((40, 40), dtype=bool)
+        frame[top : top + 7, left : left + 9] = small
+        got, want = images.outlines(frame, 0.1, 500), images.outlines(small, 0.1, 500)
+        assert [r.tolist() for r in got] == [(r + [left, top]).tolist() for r in want]
+        assert sum(rings.signed_area(r) for r in got) in (small.sum(), -small.sum())
+    assert images.outlines(np.zeros((4, 4), dtype=bool), 1.0, 9) == []
+
+
+def test_objects_of_a_capture_meet_in_one_shuffle(spark, tiny):
+    plan = plans.queries()["g7_stitched"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "moved-" not in plan and "labels-" not in plan
+
+
+def test_half_metre_cells_are_counted_by_columns_and_rows(spark, tiny):
+    plan = plans.queries()["k1_usable_cells"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    df = spark.createDataFrame([("a", 0.5, 1.0, 7.0, 6.5), ("b", 0.0, 0.0, 0.0, 4.0), ("c", -3.0, -2.0, -1.0, 2.0), ("a", 0.0, 0.0, 1.0, 1.0), ("n", None, 0.0, 1.0, 1.0)], "face_id string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.face_id: r[1:] for r in relational.usable_cells(faces=df).collect()}
+    want = {}
+    for f, x0, y0, x1, y1 in (r for r in df.collect() if r.x0 is not None):
+        for cx in range(int(x0 * 2), int(x1 * 2)):
+            for cy in range(int(y0 * 2), int(y1 * 2)):
+                x, y = cx * 0.5 + 0.25, cy * 0.5 + 0.25
+                edge = x < x0 + 0.3 or x > x1 - 0.3 or y < y0 + 0.3 or y > y1 - 0.3
+                met = x0 + 2 - 0.4 <= x <= x0 + 3 + 0.4 and y0 + 1 - 0.4 <= y <= y0 + 2 + 0.4
+                c = want.setdefault(f, [0, 0, 0, 0])
+                c[0] += 1
+                c[1 if edge else 2 if met else 3] += 1
+    assert got == {f: tuple(c) for f, c in want.items()}
