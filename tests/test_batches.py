@@ -99,3 +99,14 @@ def test_groups_are_dealt_whatever_joins_did_before(spark, tiny):
 def test_answers_without_modules_do_not_make_them(spark, tiny):
     for name in ("a10_building_assessment", "a11_official_comparison"):
         assert "panels" not in plans.queries()[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_overlaps_are_counted_over_all_pairs(spark):
+    r, rows = np.random.default_rng(4), []
+    for k in range(60):
+        u, v = np.array([1.1, 0.2 * (k % 3)]), np.array([-0.2, 1.7])
+        low = r.integers(0, 5, (k % 30, 2)) * r.choice([1.0, 0.55, 1.02])
+        rows.append((f"f{k}", [np.concatenate([q, q + u, q + u + v, q + v]).tolist() for q in low @ np.array([u, v])] if k else None, low))
+    want = {f: sum(bool((np.abs(low[i] - low[j]) < 1 - 1e-4).all()) for i in range(len(low)) for j in range(i)) for f, _, low in rows}
+    df = spark.createDataFrame([(f, p) for f, p, _ in rows], "face_id string, panels array<array<double>>")
+    assert {x.face_id: x.overlaps for x in roofs.validate_placement(df).collect()} == want and sum(want.values()) > 100
