@@ -255,3 +255,142 @@ def pairs(group: np.ndarray, box: np.ndarray, by: float = 1e-6) -> tuple[np.ndar
     i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (one, two))
     order = np.lexsort((j, i))
     return i[order], j[order]
+
+
+def stretches(shapes: Polygons, row: np.ndarray, which: np.ndarray, x0: np.ndarray, n: np.ndarray, y: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, and first cells and ends of the stretches of cells that polygons ``which`` cover in ``row``: n cells from x0, at a height y."""
+    out = []
+    for part in parts(shapes.count[which]):
+        some, at = np.unique(which[part], return_inverse=True)
+        ends = np.sort(columns_below(x0[part], step, n[part], crossings(shapes.take(some).padded()[at], y[part])), axis=1)
+        for k in range(ends.shape[1] - 1, 0, -2):  # a cell lies inside where an odd number of sides is on its right
+            here = np.flatnonzero(ends[:, k] > ends[:, k - 1])
+            out.append((row[part[here]], ends[here, k - 1], ends[here, k]))
+        if ends.shape[1] % 2:
+            here = np.flatnonzero(ends[:, 0] > 0)
+            out.append((row[part[here]], 0 * ends[here, 0], ends[here, 0]))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=np.int64) for i in range(3))
+
+
+def covered(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that stretches cover, once where several do: rows and how many more cells each stretch has than those before."""
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    width = int(high.max(initial=0)) + 1
+    reached = np.maximum.accumulate(row * width + high) - row * width
+    before = np.concatenate([[0], np.where(row[1:] == row[:-1], reached[:-1], 0)])[: len(row)]
+    return row, np.maximum(0, high - np.maximum(low, before))
+
+
+def _cells(low: np.ndarray, high: np.ndarray, step: float) -> np.ndarray:
+    return np.maximum(1, np.ceil((high - low) / step - EPS)).astype(np.int64)
+
+
+def shared_area(a: Polygons, b: Polygons, step: float = 0.1) -> np.ndarray:
+    """rings.overlap_area() of rows of polygons."""
+    out = np.zeros(len(a))
+    low, high = np.maximum(a.box[:, :2], b.box[:, :2]), np.minimum(a.box[:, 2:], b.box[:, 2:])
+    some = np.flatnonzero((low < high).all(axis=1))
+    ny = _cells(low[some, 1], high[some, 1], step)
+    for part in parts(ny):
+        at, rows = some[part], ny[part]
+        pair, j = spread(rows)
+        p = at[pair]
+        nx = _cells(low[at, 0], high[at, 0], step)[pair]
+        y, row = low[p, 1] + step * (j + 0.5), np.arange(len(p))
+        one, two = (stretches(s, row, p, low[p, 0], nx, y, step) for s in (a, b))
+        both = covered(*(np.concatenate(x) for x in zip(one, two, strict=True)))
+        cells = sum(np.bincount(pair[r], weights=h - g, minlength=len(at)) for r, g, h in (one, two)) - np.bincount(pair[both[0]], weights=both[1], minlength=len(at))
+        out[at] = cells * step * step
+    return out
+
+
+def union_area(group: np.ndarray, shapes: Polygons, step: float = 0.05) -> np.ndarray:
+    """rings.union_area() of the polygons of each group, whose numbers follow each other from 0."""
+    i, j = pairs(group, shapes.box)
+    met = np.zeros(int(group.max(initial=-1)) + 1, dtype=bool)
+    met[group[i[touch(shapes.take(i), shapes.take(j))]]] = True
+    total = np.bincount(group, weights=shapes.area(), minlength=len(met))
+    first, size = np.searchsorted(group, np.arange(len(met))), np.bincount(group, minlength=len(met))
+    some = np.flatnonzero(met)
+    if not len(some):
+        return total
+    box = np.column_stack([f.reduceat(shapes.box[:, k], first) for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum))])[some]
+    whole = np.floor((box[:, 3] - box[:, 1]) / 2 + EPS).astype(np.int64)  # stripes of 2 m are counted each on its own
+    per, rest = round(2 / step), box[:, 3] - (box[:, 1] + 2 * whole)
+    ny = whole * per + np.where(rest > 0, np.ceil(rest / step - EPS), 0).astype(np.int64)
+    for part in parts(ny * size[some]):
+        groups, rows = some[part], ny[part]
+        owner, no = spread(size[groups])
+        shape = first[groups][owner] + no
+        # a polygon is asked in the rows that its box meets only
+        start = np.clip(np.floor((shapes.box[shape, 1] - box[part][owner, 1]) / step).astype(np.int64) - 1, 0, None) if len(shape) else shape
+        end = np.minimum(rows[owner], np.ceil((shapes.box[shape, 3] - box[part][owner, 1]) / step).astype(np.int64) + 1)
+        item, k = spread(np.maximum(0, end - start))
+        k, who = k + start[item], owner[item]
+        y = box[part][who, 1] + 2.0 * (k // per) + step * (k % per + 0.5)
+        n = _cells(box[part][:, 0], box[part][:, 2], step)[who]
+        base = np.cumsum(rows) - rows
+        row, more = covered(*stretches(shapes, base[who] + k, shape[item], box[part][who, 0], n, y, step))
+        total[groups] = np.bincount(np.searchsorted(base, row, side="right") - 1, weights=more, minlength=len(groups)) * step * step
+    return total
+
+
+def point_distance(sides: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of the points of each row from the nearest side of the row's polygon."""
+    out = np.full(x.shape, np.inf)
+    with np.errstate(invalid="ignore"):
+        for k in range(sides.shape[1]):
+            ax, ay, bx, by = (sides[:, k, i, None] for i in range(4))
+            dx, dy = bx - ax, by - ay
+            t = np.clip(((x - ax) * dx + (y - ay) * dy) / np.maximum(dx * dx + dy * dy, EPS * EPS), 0, 1)
+            out = np.fmin(out, np.hypot(x - ax - t * dx, y - ay - t * dy))
+    return out
+
+
+def near(a: Polygons, b: Polygons, by: float) -> np.ndarray:
+    """Which rows of polygons touch or lie ``by`` apart at most."""
+    out = np.zeros(len(a), dtype=bool)
+    gap = np.maximum(0.0, np.maximum(a.box[:, :2] - b.box[:, 2:], b.box[:, :2] - a.box[:, 2:])) if len(a) else np.zeros((0, 2))
+    some = np.flatnonzero((np.hypot(gap[:, 0], gap[:, 1]) <= by) & (a.count > 0) & (b.count > 0))
+    out[some] = touch(a.take(some), b.take(some))
+    some = some[~out[some]]
+    for part in parts(a.count[some] * b.count[some]):
+        at = some[part]
+        e, f = a.take(at).padded(), b.take(at).padded()
+        with np.errstate(invalid="ignore"):
+            out[at] = np.fmin(np.nanmin(np.where(np.isnan(f[:, :, 0]), np.inf, point_distance(e, f[:, :, 0], f[:, :, 1])), axis=1), np.nanmin(np.where(np.isnan(e[:, :, 0]), np.inf, point_distance(f, e[:, :, 0], e[:, :, 1])), axis=1)) <= by
+    return out
+
+
+def shared_edge(a: Polygons, b: Polygons, reach: float = 0.35, step: float = 0.02) -> np.ndarray:
+    """Length of the first one's outline, by points ``step`` apart, within ``reach`` of the second one."""
+    out = np.zeros(len(a))
+    length = np.hypot(a.sides[:, 2] - a.sides[:, 0], a.sides[:, 3] - a.sides[:, 1])
+    number = np.maximum(1, np.ceil(length / step)).astype(np.int64)
+    pair = np.repeat(np.arange(len(a)), a.count)
+    box = b.box[pair] + np.array([-1, -1, 1, 1]) * (reach + 0.01)
+    low, high = np.zeros(len(pair)), np.ones(len(pair))
+    for i in (0, 1):  # the part of each side that is in reach of the other's box
+        p, d = a.sides[:, i], a.sides[:, i + 2] - a.sides[:, i]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            one, two = (box[:, i] - p) / d, (box[:, i + 2] - p) / d
+        none = np.abs(d) < 1e-12
+        inside = (p >= box[:, i]) & (p <= box[:, i + 2])
+        low = np.maximum(low, np.where(none, np.where(inside, 0.0, 2.0), np.fmin(one, two)))
+        high = np.minimum(high, np.where(none, np.where(inside, 1.0, -1.0), np.fmax(one, two)))
+    start = np.clip(np.floor(low * number - 1.5), 0, number).astype(np.int64)
+    end = np.clip(np.ceil(high * number + 1.5), 0, number).astype(np.int64)
+    size = np.where(low <= high + 1e-9, np.maximum(0, end - start), 0)
+    for part in parts(size * np.maximum(1, b.count[pair])):
+        side, k = spread(size[part])
+        side = part[side]
+        t = (k + start[side] + 0.5) / number[side]
+        x, y = (a.sides[side, i] + t * (a.sides[side, i + 2] - a.sides[side, i]) for i in (0, 1))
+        here = np.flatnonzero((x >= box[side, 0]) & (y >= box[side, 1]) & (x <= box[side, 2]) & (y <= box[side, 3]))
+        side, x, y = side[here], x[here, None], y[here, None]
+        some, at = np.unique(pair[side], return_inverse=True)
+        sides = b.take(some).padded()[at]
+        hit = ((point_distance(sides, x, y) <= reach + EPS) | contains(sides, x, y))[:, 0]
+        out += np.bincount(pair[side[hit]], weights=(length / number)[side[hit]], minlength=len(a))
+    return out

@@ -110,3 +110,62 @@ def test_overlaps_are_counted_over_all_pairs(spark):
     want = {f: sum(bool((np.abs(low[i] - low[j]) < 1 - 1e-4).all()) for i in range(len(low)) for j in range(i)) for f, _, low in rows}
     df = spark.createDataFrame([(f, p) for f, p, _ in rows], "face_id string, panels array<array<double>>")
     assert {x.face_id: x.overlaps for x in roofs.validate_placement(df).collect()} == want and sum(want.values()) > 100
+
+
+def test_shared_areas_edges_and_gaps_are_those_of_two_at_a_time():
+    r = np.random.default_rng(9)
+    shapes = [shape(r, *r.uniform(-5, 5, 2), r.uniform(1, 7)) for _ in range(70)] + [[[[float(x), 0.0], [x + w, 0.0], [x + w, 4.0], [float(x), 4.0]]] for x, w in ((20, 10), (30, 9), (39.3, 4), (43.7, 2), (46.2, 3))]
+    got = Polygons.of(*batches.lists(pa.array(shapes, RINGS)))
+    i, j = np.triu_indices(len(shapes), 1)
+    over, along = batches.shared_area(got.take(i), got.take(j)), batches.shared_edge(got.take(i), got.take(j))
+    told = [f"overlaps by {o:.1f} m2" if o > 0.5 else f"shares {e:.1f} m of edge" if e >= 1.5 else None for o, e in zip(over, along, strict=True)]
+    assert told == [rings.link_reason(shapes[a], shapes[b]) for a, b in zip(i, j, strict=True)] and {str(x)[:4] for x in told} == {"over", "shar", "None"}
+    assert over == pytest.approx([rings.overlap_area(shapes[a], shapes[b]) for a, b in zip(i, j, strict=True)])
+    points = [np.concatenate([rings.closed(x) for x in s]) for s in shapes]
+    gap = [0.0 if rings.touch(shapes[a], shapes[b]) else min(rings.point_distance(shapes[a], points[b]).min(), rings.point_distance(shapes[b], points[a]).min()) for a, b in zip(i, j, strict=True)]
+    close = batches.near(got.take(i), got.take(j), 0.5)
+    assert close.tolist() == [g <= 0.5 for g in gap] and 0 < close.sum() < len(close) and any(0 < g <= 0.5 for g in gap)
+    assert len(batches.near(got.take(i[:0]), got.take(j[:0]), 0.5)) == 0 == len(batches.shared_edge(got.take(i[:0]), got.take(j[:0])))
+
+
+def test_unions_of_groups_are_those_of_one_at_a_time(monkeypatch):
+    r = np.random.default_rng(3)
+    group = np.sort(r.integers(0, 25, 70))
+    group = np.unique(group, return_inverse=True)[1]
+    shapes = [shape(r, *r.uniform(-6, 6, 2), r.uniform(1, 7)) for _ in group]
+    want = [rings.union_area([s for s, g in zip(shapes, group, strict=True) if g == k]) for k in range(group.max() + 1)]
+    got = Polygons.of(*batches.lists(pa.array(shapes, RINGS)))
+    assert batches.union_area(group, got) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(batches.parts, "__defaults__", (500,))
+    assert batches.union_area(group, got) == pytest.approx(want, abs=1e-9)
+    assert len(batches.union_area(group[:0], got.take(group[:0]))) == 0
+
+
+def test_coplanar_groups_are_those_of_one_at_a_time(spark):
+    """Chains of faces beside each other; repeated rows and names, unknown slopes and heights."""
+    r, rows = np.random.default_rng(12), []
+    for b in range(25):
+        for k in range(int(r.integers(1, 9))):
+            s = shape(r, *r.uniform(-5, 5, 2), r.uniform(1, 6))
+            rows.append((b, k, f"{b}:{k % 7}", [[[round(float(v), 3) for v in p] for p in q] for q in s], None if k % 5 == 4 else float(r.choice([0.0, 0.15, 0.3])), 0.0, None if k == 6 else float(r.choice([0.0, 1.2, 2.4]))))
+    want = []
+    for b in range(25):
+        parts = []
+        for _, _, face, s, sx, sy, z in (x for x in rows if x[0] == b):
+            n = np.array([-(sx or 0.0), -sy, 1.0])
+            parts.append((rings.area(s), face, s, n / np.linalg.norm(n), z or 0.0))
+        joined = []
+        for p in sorted(parts, key=lambda p: (-p[0], p[1])):
+            for g in joined:
+                points = lambda s: np.concatenate([rings.closed(x) for x in s])
+                gap = min(0.0 if rings.touch(p[2], q[2]) else min(rings.point_distance(p[2], points(q[2])).min(), rings.point_distance(q[2], points(p[2])).min()) for q in g)
+                if p[3] @ g[0][3] >= roofs.COPLANAR_COS and abs(p[4] - g[0][4]) <= roofs.COPLANAR_RISE_M and gap <= roofs.COPLANAR_GAP_M:
+                    g.append(p)
+                    break
+            else:
+                joined.append([p])
+        want += [(b, p[1], g[0][1], len(g), round(sum(q[0] for q in g), 2)) for g in joined for p in g]
+    df = spark.createDataFrame(rows, "building_id long, part_no int, face_id string, rings array<array<array<double>>>, slope_x double, slope_y double, z double")
+    got = [(x.building_id, x.face_id, x.lead, x.members, round(x.area, 2)) for x in roofs.join_coplanar(df).collect()]
+    assert sorted(got) == sorted(want) and max(w[3] for w in want) > 2
+    assert roofs.join_coplanar(df.limit(0)).collect() == []
