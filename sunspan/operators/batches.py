@@ -25,6 +25,16 @@ def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def numbers(t: pa.Table, name: str, missing: float = 0.0) -> np.ndarray:
+    return t.column(name).fill_null(missing).to_numpy()
+
+
+def groups(t: pa.Table, name: str) -> np.ndarray:
+    """Numbers of the groups of rows that follow each other."""
+    known, value = t.column(name).is_valid().to_numpy(), numbers(t, name, 0)
+    return np.cumsum(np.concatenate([[False], (value[1:] != value[:-1]) | (known[1:] != known[:-1])])[: len(value)])
+
+
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Lengths of the lists of a column, and their items; a null is an empty list."""
     if isinstance(column, pa.ChunkedArray):

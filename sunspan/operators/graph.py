@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunspan.operators._shared import by_group, stored
+from sunspan.operators import batches
+from sunspan.operators._shared import by_group, by_groups, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,13 +37,14 @@ def select_connected(faces: DataFrame, links: DataFrame, group: str = "building_
     from every known one is refused; one that is linked to an accepted face joins, and its identity becomes known.
     Groups are buildings: their faces fit one task.
     """
-    near = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    ways = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    near = links.select(F.inline(ways))  # a union would make the links twice
     beside = near.groupBy("x").agg(F.sort_array(F.collect_set("y")).alias("beside")).withColumnRenamed("x", "face_id")
     rows = faces.select(group, "part_no", "face_id", "egid", "contains_click").join(beside, "face_id", "left").select(group, "part_no", "face_id", "egid", "contains_click", "beside")
 
-    def grow(rows: list[tuple]) -> list[tuple]:
-        ids, parts, egid = [r[2] for r in rows], {r[2]: r[5] or () for r in rows}, {r[2]: r[3] or None for r in rows}
-        anchor = next((r[2] for r in rows if r[4]), ids[0])
+    def grow(ids: list[str], egids: list, clicked: list, besides: list) -> list[str]:
+        parts, egid = {i: p or () for i, p in zip(ids, besides, strict=True)}, {i: e or None for i, e in zip(ids, egids, strict=True)}
+        anchor = next((i for i, c in zip(ids, clicked, strict=True) if c), ids[0])
         accepted, known, reason = {anchor}, {egid[anchor]} - {None}, {anchor: "anchor"}
         grown = True
         while grown:
@@ -58,9 +60,32 @@ def select_connected(faces: DataFrame, links: DataFrame, group: str = "building_
                     reason[i], grown = "linked", True
                 else:
                     reason[i] = "apart"
-        return [(rows[0][0], i, i in accepted, reason[i]) for i in ids]
-
-    return by_group(rows, group, ["part_no"], grow, f"{group} long, face_id string, accepted boolean, reason string")
+        return [reason[i] for i in ids]
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        number, egid, clicked = batches.groups(t, group), batches.numbers(t, "egid", 0), t.column("contains_click").fill_null(False).to_numpy()
+        size = np.bincount(number)
+        first = np.cumsum(size) - size
+        anchor, there = first.copy(), np.flatnonzero(clicked)
+        anchor[number[there[::-1]]] = there[::-1]  # the first that is clicked
+        known = egid[anchor][number]
+        reason = np.where((egid != 0) & (known != 0) & (egid != known), "other_identity", "apart").astype(object)
+        reason[anchor] = "anchor"
+        # groups with links, and those that repeat a face, are grown one by one
+        names = t.column("face_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        pairs = np.sort(number * (len(number) + 1) + names + 1)
+        again = pairs[1:][pairs[1:] == pairs[:-1]] // (len(number) + 1)
+        linked = np.unique(np.concatenate([number[batches.lists(t.column("beside"))[0] > 0], again]))
+        rows = np.flatnonzero(np.isin(number, linked))
+        some = t.select(["face_id", "egid", "contains_click", "beside"]).take(rows)
+        columns, at = [c.to_pylist() for c in some.columns], 0
+        for n in size[linked].tolist():
+            reason[rows[at : at + n]] = grow(*(c[at : at + n] for c in columns))
+            at += n
+        accepted = (reason == "anchor") | (reason == "linked")
+        return pa.RecordBatch.from_arrays([t.column(group).combine_chunks(), t.column("face_id").combine_chunks(), pa.array(accepted.astype(bool)), pa.array(reason.tolist(), pa.string())], names=[group, "face_id", "accepted", "reason"])
+
+    return by_groups(rows, group, ["part_no"], run, f"{group} long, face_id string, accepted boolean, reason string")
 
 
 def _arrays(points: list[tuple], beside: dict[tuple, list], minimum: int) -> list[tuple]:

@@ -169,3 +169,53 @@ def test_coplanar_groups_are_those_of_one_at_a_time(spark):
     got = [(x.building_id, x.face_id, x.lead, x.members, round(x.area, 2)) for x in roofs.join_coplanar(df).collect()]
     assert sorted(got) == sorted(want) and max(w[3] for w in want) > 2
     assert roofs.join_coplanar(df.limit(0)).collect() == []
+
+
+def test_polygons_of_a_batch_are_looked_at_together(spark, monkeypatch):
+    """No polygon is asked on its own any more."""
+    for name in ("link_reason", "touch", "overlap_area", "union_area", "point_distance", "area", "bounds", "inside"):
+        monkeypatch.setattr(rings, name, None)
+    seen, by = [], roofs.by_groups
+    monkeypatch.setattr(roofs, "by_groups", lambda df, key, order, fn, schema: seen.append(fn) or by(df, key, order, fn, schema))
+    row = {"g": 1, "part_no": 1, "rings": [[[0.0, 0.0], [9.0, 0.0], [9.0, 5.0], [0.0, 5.0]]], "slope_x": 0.0, "slope_y": 0.0, "z": 1.0, "pitch": 0.0, "contains_click": True, "egid": 1}
+    rows = [row | {"building_id": 1, "_group": 1, "_building": 1, "face_id": f} for f in ("a", "b")]
+    schema = "building_id long, part_no long, face_id string, rings array<array<array<double>>>, slope_x double, slope_y double, z double, pitch double, contains_click boolean"
+    df = spark.createDataFrame([], schema)
+    for made in (roofs.ring_links(df), roofs.join_coplanar(df), roofs.merge_building(df, spark.createDataFrame([], "face_id string, accepted boolean"))):
+        assert made.columns
+    got = [fn(pa.Table.from_pylist(rows)).to_pylist() for fn in seen]
+    assert got[0] == [{"a": "a", "b": "b", "reason": "overlaps by 45.0 m2"}] and [g["members"] for g in got[1]] == [2, 2] and got[2][0]["area_m2"] == 45.0 and got[2][0]["members"] == ["a", "b"]
+
+
+def test_roofs_are_grown_as_one_by_one(spark):
+    """Groups with and without links, without a click, with repeated faces, without identities."""
+    from sunspan.operators import graph
+
+    r, rows, links, want = np.random.default_rng(6), [], [], []
+    for g in range(60):
+        n = int(r.integers(1, 8))
+        own = [(g, k, f"{g}:{k if k < 6 else 0}", None if r.random() < 0.3 else int(r.integers(0, 3)), None if r.random() < 0.2 else bool(r.random() < 0.3)) for k in range(n)]
+        mine = [(f"{g}:{a}", f"{g}:{b}") for a in range(min(n, 6)) for b in range(a + 1, min(n, 6)) if g % 3 and r.random() < 0.4]
+        rows, links = rows + own, links + mine
+        egid = {f: e or None for _, _, f, e, _ in own}
+        anchor = next((f for _, _, f, _, c in own if c), own[0][2])
+        reason, known, more = {anchor: "anchor"}, {egid[anchor]} - {None}, True
+        while more:
+            more = False
+            for _, _, f, _, _ in own:
+                if reason.get(f) in ("anchor", "linked"):
+                    continue
+                if egid[f] and known and egid[f] not in known:
+                    reason[f] = "other_identity"
+                elif any(reason.get(b if a == f else a) in ("anchor", "linked") for a, b in mine if f in (a, b)):
+                    reason[f], known, more = "linked", known | ({egid[f]} - {None}), True
+                else:
+                    reason[f] = "apart"
+        want += [(g, f, reason[f] in ("anchor", "linked"), reason[f]) for _, _, f, _, _ in own]
+    faces = spark.createDataFrame(rows, "building_id long, part_no int, face_id string, egid long, contains_click boolean")
+    near = spark.createDataFrame(links, "a string, b string")
+    got = graph.select_connected(faces, near)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[3] for w in want} == {"anchor", "linked", "apart", "other_identity"}
+    assert graph.select_connected(faces.limit(0), near).collect() == []
+    plan = plans.queries()["a2_merge_ring_building"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # links, growth and unions
